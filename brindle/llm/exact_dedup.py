@@ -14,7 +14,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import ascii_lower, materialize
 
@@ -48,6 +48,24 @@ def misra_gries(digests: DataFrame, capacity: int) -> DataFrame:
     return out
 
 
+def settle(rows: DataFrame, aggs: list[Column], *, capacity: int = 256) -> DataFrame:
+    """rows (with a column digest, already cheap to read twice) and the aggregates of each row's digest group.
+
+    Digests of more than rows/(capacity+1) rows are found by Misra-Gries,
+    verified by an exact count, and joined map-side; the others by a shuffle.
+    """
+    spark = rows.sparkSession
+    found = [r["digest"] for r in misra_gries(rows, capacity).select("digest").collect()]  # capacity rows at most
+    candidates = spark.createDataFrame([(d,) for d in found], "digest string")
+    groups = rows.join(F.broadcast(candidates), "digest", "left_semi").groupBy("digest").agg(*aggs, F.count(F.lit(1)).alias("__n"))
+    floor = rows.count() / (capacity + 1)
+    verified = groups.filter(F.col("__n") > F.lit(floor)).drop("__n")
+    known = spark.createDataFrame([tuple(r) for r in verified.collect()], verified.schema)
+    hot = rows.join(F.broadcast(known), "digest")
+    rest = rows.join(F.broadcast(known.select("digest")), "digest", "left_anti")
+    return hot.unionByName(rest.join(rest.groupBy("digest").agg(*aggs), "digest"))
+
+
 def exact_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", capacity: int = 256) -> DataFrame:
     """One row per document: id, digest, keep_id, group_size, kept.
 
@@ -56,15 +74,7 @@ def exact_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     gives no rows; repeated ids are kept as rows of their group; extra columns
     are ignored, whatever their names.
     """
-    digests = materialize(docs.select(F.col(id_col).cast("long").alias("id"), F.sha2(ascii_lower(F.coalesce(F.col(text_col), F.lit(""))).cast("binary"), 256).alias("digest")))
-    found = [r["digest"] for r in misra_gries(digests, capacity).select("digest").collect()]  # capacity rows at most
-    spark = digests.sparkSession
-    candidates = spark.createDataFrame([(d,) for d in found], "digest string")
-    agg = [F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")]
-    floor = digests.count() / (capacity + 1)
-    winners = digests.join(F.broadcast(candidates), "digest", "left_semi").groupBy("digest").agg(*agg).filter(F.col("group_size") > F.lit(floor)).collect()
-    known = spark.createDataFrame([tuple(r) for r in winners], "digest string, keep_id long, group_size long")
-    hot = digests.join(F.broadcast(known), "digest")
-    rest = digests.join(F.broadcast(known.select("digest")), "digest", "left_anti")
-    cold = rest.join(rest.groupBy("digest").agg(*agg), "digest")
-    return hot.unionByName(cold).select(F.col("id").alias(id_col), "digest", "keep_id", "group_size", (F.col("id") == F.col("keep_id")).alias("kept"))
+    text = ascii_lower(F.coalesce(F.col(text_col), F.lit("")))
+    digests = materialize(docs.select(F.col(id_col).cast("long").alias("id"), F.sha2(text.cast("binary"), 256).alias("digest")))
+    done = settle(digests, [F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")], capacity=capacity)
+    return done.select(F.col("id").alias(id_col), "digest", "keep_id", "group_size", (F.col("id") == F.col("keep_id")).alias("kept"))

@@ -9,8 +9,10 @@ from .decontaminate import find_contamination
 from .exact_dedup import exact_dedup
 from .html_extract import extract_pages
 from .line_dedup import line_dedup
+from .ngram_join import ngram_components
 from .packing import pack, pieces
 from .secrets import scan_secrets
+from .toxicity import score_toxicity, train
 
 
 def tokenizer_path() -> str:
@@ -38,6 +40,16 @@ def _kind_count(kind: str):
     return F.size(F.filter("secrets", lambda x: x["kind"] == kind)).cast("long")
 
 
+def held_out(id_col: str = "doc_id"):
+    return F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    field = train(docs, read(spark, sf_dir, "labels").filter(~held_out()))
+    return score_toxicity(docs, field).select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op4_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_pages(read(spark, sf_dir, "pages")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
@@ -58,7 +70,11 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(read(spark, sf_dir, "documents")).withColumnRenamed("digest", "text_sha256")
 
 
-QUERIES = {"op1_pack": op1_pack, "op2_secrets": op2_secrets, "op4_extract": op4_extract, "op6_decontaminate": op6_decontaminate, "op7_line_dedup": op7_line_dedup, "op8_exact_dedup": op8_exact_dedup}
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_components(read(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_pack": op1_pack, "op2_secrets": op2_secrets, "op3_toxicity": op3_toxicity, "op4_extract": op4_extract, "op6_decontaminate": op6_decontaminate, "op7_line_dedup": op7_line_dedup, "op8_exact_dedup": op8_exact_dedup, "op10_ngram_join": op10_ngram_join}
 
 _UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
