@@ -12,6 +12,7 @@ from .line_dedup import line_dedup
 from .ngram_join import ngram_components
 from .packing import pack, pieces
 from .secrets import scan_secrets
+from .suffix_dedup import suffix_dedup
 from .toxicity import score_toxicity, train
 
 
@@ -54,6 +55,10 @@ def op4_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_pages(read(spark, sf_dir, "pages")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup(read(spark, sf_dir, "documents"), keep_text=False)
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
     items = F.array_sort(F.transform(F.array_distinct("matches.item_id"), lambda i: i.cast("string")))
@@ -74,7 +79,7 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_components(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_pack": op1_pack, "op2_secrets": op2_secrets, "op3_toxicity": op3_toxicity, "op4_extract": op4_extract, "op6_decontaminate": op6_decontaminate, "op7_line_dedup": op7_line_dedup, "op8_exact_dedup": op8_exact_dedup, "op10_ngram_join": op10_ngram_join}
+QUERIES = {"op1_pack": op1_pack, "op2_secrets": op2_secrets, "op3_toxicity": op3_toxicity, "op4_extract": op4_extract, "op5_suffix_dedup": op5_suffix_dedup, "op6_decontaminate": op6_decontaminate, "op7_line_dedup": op7_line_dedup, "op8_exact_dedup": op8_exact_dedup, "op10_ngram_join": op10_ngram_join}
 
 _UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
