@@ -129,6 +129,16 @@ def _scan(batch: pa.RecordBatch, index: Index):
         yield doc_id, n, hits, spans[k]
 
 
+def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_words: int):
+    """The benchmark in broadcast blocks of about block_words words at most."""
+    items = benchmark.select(F.col(item_col).cast("long").alias("i"), F.col(text_col).alias("t")).filter("t is not null")
+    size = items.agg(F.sum(F.length("t"))).first()[0] or 0
+    blocks = 1 + size // (2 * block_words)  # a word and its gap take two characters at least
+    for block in range(blocks):
+        part = [(r["i"], r["t"]) for r in items.filter(F.pmod(F.xxhash64("i"), F.lit(blocks)) == block).toLocalIterator()]
+        yield benchmark.sparkSession.sparkContext.broadcast(part)
+
+
 def find_contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10, block_words: int = 2_000_000) -> DataFrame:
     """(id, n_words, hits, matches) for every document.
 
@@ -138,17 +148,11 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "
     n_words).  Null and empty texts have no words; repeated rows are judged
     each; an empty benchmark hits nothing; items with equal texts all match.
     """
-    spark = docs.sparkSession
     shape = "doc_id bigint, n_words bigint, hits array<int>, matches array<struct<item_id:bigint,doc_word:int,item_word:int,n_words:int>>"
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("doc_word", pa.int32()), ("item_word", pa.int32()), ("n_words", pa.int32())]))
     source = docs.select(F.col(id_col).cast("long"), F.col(text_col))
-    items = benchmark.select(F.col(item_col).cast("long").alias("i"), F.col(item_text_col).alias("t")).filter("t is not null")
-    size = items.agg(F.sum(F.length("t"))).first()[0] or 0
-    blocks = 1 + size // (2 * block_words)  # a word and its gap take two characters at least
     outs = []
-    for block in range(blocks):
-        part = [(r["i"], r["t"]) for r in items.filter(F.pmod(F.xxhash64("i"), F.lit(blocks)) == block).toLocalIterator()]
-        held = spark.sparkContext.broadcast(part)
+    for held in _blocks(benchmark, item_col, item_text_col, block_words):
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             index = Index(held.value, window)
@@ -158,7 +162,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "
                     yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([list(r[2]) for r in rows], pa.list_(pa.int32())), pa.array([[dict(zip(("item_id", "doc_word", "item_word", "n_words"), m)) for m in r[3]] for r in rows], kind)], ["doc_id", "n_words", "hits", "matches"])
 
         outs.append(source.mapInArrow(run, shape))
-    if blocks == 1:
+    if len(outs) == 1:
         return outs[0].withColumnRenamed("doc_id", id_col)
     every = outs[0]
     for o in outs[1:]:
@@ -167,7 +171,19 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "
     return merged.withColumnRenamed("doc_id", id_col)
 
 
-def remove_contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", **how) -> DataFrame:
-    """docs without the affected documents; all columns stay."""
-    found = find_contamination(docs, benchmark, id_col=id_col, **how).filter(F.size("hits") > 0).select(F.col(id_col).alias("__hit")).distinct()
-    return docs.join(found, F.col(id_col).eqNullSafe(F.col("__hit")), "left_anti")
+def remove_contaminated(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10, block_words: int = 2_000_000) -> DataFrame:
+    """docs without the affected documents.  Rows pass through whole, one block of the benchmark after the other; nothing is shuffled."""
+    where = docs.columns.index(text_col)
+    for held in _blocks(benchmark, item_col, item_text_col, block_words):
+
+        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            index = Index(held.value, window)
+            for batch in batches:
+                for at in range(0, batch.num_rows, 512):
+                    part = batch.slice(at, 512)
+                    numbers = pa.array(range(part.num_rows), pa.int64())
+                    clean = [not len(hits) for _, _, hits, _ in _scan(pa.RecordBatch.from_arrays([numbers, part.column(where)], ["i", "t"]), index)]
+                    yield part.filter(pa.array(clean, pa.bool_()))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs

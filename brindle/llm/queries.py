@@ -9,6 +9,7 @@ from .decontaminate import find_contamination
 from .exact_dedup import exact_dedup
 from .html_extract import extract_pages
 from .line_dedup import line_dedup
+from .lm_score import lm_score
 from .ngram_join import ngram_components
 from .packing import pack, pieces
 from .secrets import scan_secrets
@@ -75,11 +76,15 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(read(spark, sf_dir, "documents")).withColumnRenamed("digest", "text_sha256")
 
 
+def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score(read(spark, sf_dir, "documents"))
+
+
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_components(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_pack": op1_pack, "op2_secrets": op2_secrets, "op3_toxicity": op3_toxicity, "op4_extract": op4_extract, "op5_suffix_dedup": op5_suffix_dedup, "op6_decontaminate": op6_decontaminate, "op7_line_dedup": op7_line_dedup, "op8_exact_dedup": op8_exact_dedup, "op10_ngram_join": op10_ngram_join}
+QUERIES = {"op1_pack": op1_pack, "op2_secrets": op2_secrets, "op3_toxicity": op3_toxicity, "op4_extract": op4_extract, "op5_suffix_dedup": op5_suffix_dedup, "op6_decontaminate": op6_decontaminate, "op7_line_dedup": op7_line_dedup, "op8_exact_dedup": op8_exact_dedup, "op9_lm_score": op9_lm_score, "op10_ngram_join": op10_ngram_join}
 
 _UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 

@@ -220,10 +220,36 @@ def score_toxicity(docs: DataFrame, field: Field, *, id_col: str = "doc_id", tex
     Only the text enters the score.  Null and empty texts get the score of a
     text with no tokens.  Documents are settled where they are read.
     """
-    held = docs.sparkSession.sparkContext.broadcast(field)
+    schema, run = _scoring(docs.select(id_col, text_col), field, text_col, keep=None)
+    return docs.select(id_col, text_col).mapInArrow(run, schema)
+
+
+def drop_toxic(docs: DataFrame, field: Field, *, text_col: str = "text", reject: float = 0.3) -> DataFrame:
+    """docs without the rows whose score reaches reject; the rows pass through whole, without a join."""
+    schema, run = _scoring(docs, field, text_col, keep=reject)
+    return docs.mapInArrow(run, schema)
+
+
+def _score_texts(model: Field, score, texts: list[str]) -> tuple[list[float], list[list[dict]]]:
+    emits = [np.array(list(map(score, TOKEN.findall(t.lower())))) for t in texts]
+    scores, spans = [0.0] * len(texts), [[] for _ in texts]
+    for group in in_groups([len(e) for e in emits]):
+        for i, m in zip(group, forward_backward([emits[i] for i in group], model.trans)[0]):
+            scores[i] = model.probability(m)
+            hot = np.flatnonzero(m >= 0.5)
+            if len(hot):
+                lower = texts[i].lower()
+                places = [x.span() for x in TOKEN.finditer(lower if len(lower) == len(texts[i]) else texts[i])]  # where lower-casing changes the length, count in the original
+                spans[i] = [{"start": places[k][0], "end": places[k][1], "p": float(m[k])} for k in hot if k < len(places)]
+    return scores, spans
+
+
+def _scoring(source: DataFrame, field: Field, text_col: str, keep: float | None):
+    """Schema and mapInArrow function: the score and spans of each row, or the whole rows that score under keep."""
+    held = source.sparkSession.sparkContext.broadcast(field)
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("p", pa.float64())]))
-    source = docs.select(id_col, text_col)
-    id_type = source.schema[id_col].dataType.simpleString()
+    where = source.columns.index(text_col)
+    schema = source.schema if keep is not None else f"`{source.columns[0]}` {source.schema[0].dataType.simpleString()}, score double, spans array<struct<start:bigint,end:bigint,p:double>>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = held.value
@@ -231,19 +257,10 @@ def score_toxicity(docs: DataFrame, field: Field, *, id_col: str = "doc_id", tex
         for batch in batches:
             for at in range(0, batch.num_rows, 2048):
                 part = batch.slice(at, 2048)
-                texts = [t or "" for t in part.column(1).to_pylist()]
-                emits = [np.array(list(map(score, TOKEN.findall(t.lower())))) for t in texts]
-                scores, spans = [0.0] * len(texts), [[] for _ in texts]
-                for group in in_groups([len(e) for e in emits]):
-                    for i, m in zip(group, forward_backward([emits[i] for i in group], model.trans)[0]):
-                        scores[i] = model.probability(m)
-                        hot = np.flatnonzero(m >= 0.5)
-                        if len(hot) and len(texts[i].lower()) == len(texts[i]):
-                            places = [x.span() for x in TOKEN.finditer(texts[i].lower())]
-                            spans[i] = [{"start": places[k][0], "end": places[k][1], "p": float(m[k])} for k in hot]
-                        elif len(hot):  # lower-casing changed the length: count in the original
-                            places = [x.span() for x in TOKEN.finditer(texts[i])]
-                            spans[i] = [{"start": places[k][0], "end": places[k][1], "p": float(m[k])} for k in hot if k < len(places)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(scores, pa.float64()), pa.array(spans, kind)], ["id", "score", "spans"])
-
-    return source.mapInArrow(run, f"id {id_type}, score double, spans array<struct<start:bigint,end:bigint,p:double>>").withColumnRenamed("id", id_col)
+                scores, spans = _score_texts(model, score, [t or "" for t in part.column(where).to_pylist()])
+                if keep is not None:
+                    yield part.filter(pa.array([s < keep for s in scores]))
+                else:
+                    yield pa.RecordBatch.from_arrays([part.column(0), pa.array(scores, pa.float64()), pa.array(spans, kind)], [part.schema.names[0], "score", "spans"])
+
+    return schema, run
