@@ -265,8 +265,7 @@ def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     rows = materialize(settle_buckets(anchor_rows(source, span), span, hot))
     settled = rows.filter("meta < 0").select("doc", "start", (F.col("start") - F.col("meta")).alias("end"))
-    checks = rows.filter("meta >= 0").groupBy("doc").agg(F.collect_list(F.struct("key", "start", "meta")).alias("checks"))
-    dealt = source.repartition("doc_id")  # read by both joins: one shuffle of the texts
+    dealt = source.repartition("doc_id")  # read by all joins below, in one plan: one shuffle of the texts
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -284,10 +283,14 @@ def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
                         held.append(data[c["start"] : c["start"] + m + span - 1])
                 yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(doc, pa.int64()), pa.array(start, pa.int64()), pa.array(n, pa.int64()), pa.array(held, pa.binary())], ["key", "doc", "start", "n", "held"])
 
-    texts = dealt.join(checks, dealt["doc_id"] == checks["doc"]).select("doc_id", "text", "checks").mapInArrow(fetch, "key bigint, doc bigint, start bigint, n bigint, held binary")
-    found = settled.unionByName(_compare(texts.filter("key <> 0"), span))
+    def covered(which: str) -> DataFrame:
+        checks = rows.filter(f"meta >= 0 AND {which}").groupBy("doc").agg(F.collect_list(F.struct("key", "start", "meta")).alias("checks"))
+        joined = dealt.join(checks, dealt["doc_id"] == checks["doc"]).select("doc_id", "text", "checks")
+        return joined.mapInArrow(fetch, "key bigint, doc bigint, start bigint, n bigint, held binary")
+
+    found = settled.unionByName(_compare(covered("key <> 0"), span))
     if rows.filter("meta >= 0 AND key = 0").limit(1).count():
-        found = found.unionByName(_by_window(materialize(texts.filter("key = 0")), span))
+        found = found.unionByName(_by_window(covered("key = 0"), span))
     per_doc = found.groupBy("doc").agg(F.collect_list(F.struct("start", "end")).alias("found"))
     return dealt.join(per_doc, dealt["doc_id"] == per_doc["doc"], "left").select("doc_id", "text", "found")
 
