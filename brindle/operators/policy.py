@@ -40,7 +40,7 @@ def best_question(gains: DataFrame, asked: DataFrame | None = None) -> DataFrame
     rows = gains if asked is not None else gains.withColumn("asked", F.lit(0))
     if asked is not None:
         rows = gains.join(asked, ["query_id", "attribute"], "left").fillna(0, ["asked"])
-    scored = rows.withColumn("value", F.round(F.col("gain") * prior / (1 + 0.85 * F.col("asked")), 9))
+    scored = rows.withColumn("value", F.round(F.col("gain") * prior / (1 + 0.85 * F.col("asked")), 6))
     w = Window.partitionBy("query_id").orderBy(F.desc("value"), "attribute")
     return scored.withColumn("i", F.row_number().over(w)).filter("i = 1").select("query_id", "attribute", "value")
 

@@ -91,9 +91,9 @@ def phrase_route(docs: DataFrame, queries: DataFrame, k: int | None = 180) -> Da
 
 
 def divide(matches: DataFrame, wanted: DataFrame, *, doc: str = "doc_id", query: str = "query_id", clause: str = "clause") -> DataFrame:
-    """Relational division: (query, doc) pairs of matches that cover every clause wanted of the query."""
+    """Relational division: (query, doc) pairs such that matches (doc, clause) cover every clause wanted (query, clause)."""
     need = wanted.select(query, clause).distinct().groupBy(query).agg(F.count(F.lit(1)).alias("need"))
-    have = matches.join(wanted.select(query, clause).distinct(), [query, clause]).groupBy(query, doc).agg(F.countDistinct(clause).alias("have"))
+    have = wanted.select(query, clause).distinct().join(matches, clause).groupBy(query, doc).agg(F.countDistinct(clause).alias("have"))
     return have.join(need, query).filter(F.col("have") == F.col("need")).select(query, doc)
 
 

@@ -1,4 +1,4 @@
-"""The registered queries of the engine's own operators."""
+"""All registered queries of the engine's own operators."""
 
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
+from . import evaluation_queries, ranking_queries, search_queries  # noqa: F401
+from .registry import ORACLE, QUERIES  # noqa: F401
