@@ -18,50 +18,77 @@ copies does not expand to all its pairs.
 
 from __future__ import annotations
 
-import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import ASCII_LOWER, materialize, mix64
+from .common import materialize, mix64
 from .components import connected_components
 from .exact_dedup import settle
 
-SPACE_WORD = re.compile(r"[^\x20\x09-\x0D]+")
 BITS = 512
 CACHE_WORDS = 300_000
 _ODD = [np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5)]
+_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
-class Shingler:
-    """Text -> sorted distinct shingle hashes."""
-
-    def __init__(self, width: int = 5):
-        self.width, self.cache = width, {}
+class _Numbers(dict):
+    """word -> number; the words' 64-bit hashes stand in one growing array."""
 
-    def __call__(self, text: str | None) -> np.ndarray:
+    def __init__(self):
         import xxhash
 
-        words = SPACE_WORD.findall(text.translate(ASCII_LOWER)) if text else []
-        if not words:
-            return np.zeros(0, np.uint64)
-        if len(self.cache) > CACHE_WORDS:
-            self.cache.clear()
-        cache, digest = self.cache, xxhash.xxh3_64_intdigest
-        ids = []
-        for w in words:
-            v = cache.get(w)
-            if v is None:
-                v = cache[w] = digest(w)
-            ids.append(v)
-        h = np.array(ids, dtype=np.uint64)
-        n = max(1, len(h) - self.width + 1)
-        out = np.full(n, min(len(h), self.width), dtype=np.uint64)
-        for k in range(min(len(h), self.width)):
-            out = mix64(out ^ (h[k : k + n] * _ODD[k % 5]))
-        return np.unique(out)
+        super().__init__()
+        self.hashes, self.digest = array("Q"), xxhash.xxh3_64_intdigest
+
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = len(self.hashes)
+        self.hashes.append(self.digest(word))
+        return n
+
+
+class Shingler:
+    """Texts -> shingle hashes.  bytes.split() cuts at exactly the six ASCII blanks of the word rule."""
+
+    def __init__(self, width: int = 5):
+        self.width, self.numbers = width, _Numbers()
+
+    def raw(self, texts: list[str | None]) -> list[np.ndarray]:
+        """Hashes of every text's shingles, repeats kept."""
+        if len(self.numbers) > CACHE_WORDS:
+            self.numbers = _Numbers()
+        words, counts = [], []
+        for t in texts:
+            w = t.encode().translate(_LOWER).split() if t else ()
+            words += w
+            counts.append(len(w))
+        ids = np.fromiter(map(self.numbers.__getitem__, words), np.int64, len(words))
+        h = np.array(self.numbers.hashes, dtype=np.uint64)[ids] if len(ids) else np.zeros(0, np.uint64)
+        width = self.width
+        full = np.full(max(0, len(h) - width + 1), width, np.uint64)
+        for k in range(width):
+            full += h[k : k + len(full)] * _ODD[k % 5] * np.uint64(2 * (k // 5) + 1)
+        full = mix64(full)
+        out, at = [], 0
+        for n in counts:
+            if n >= width:
+                out.append(full[at : at + n - width + 1])
+            elif n:
+                short = np.full(1, n, np.uint64)
+                for k in range(n):
+                    short += h[at + k : at + k + 1] * _ODD[k % 5] * np.uint64(2 * (k // 5) + 1)
+                out.append(mix64(short))
+            else:
+                out.append(h[:0])
+            at += n
+        return out
+
+    def __call__(self, texts: list[str | None]) -> list[np.ndarray]:
+        """Sorted distinct hashes of every text's shingles."""
+        return [np.unique(x) for x in self.raw(texts)]
 
 
 def least_overlap(n: int, percent: int) -> int:
@@ -72,8 +99,8 @@ def least_overlap(n: int, percent: int) -> int:
 def common_shingles(docs: DataFrame, id_col: str, text_col: str, *, width: int, most: int) -> np.ndarray:
     """At most ``most`` shingles with the highest document counts, sorted; only the order of prefixes depends on them.
 
-    Every document is counted.  A task sums over blocks of documents and passes on
-    what it saw twice or more, so a count falls short by one a block at most.
+    Every occurrence in every document counts.  A task sums over blocks of documents
+    and passes on what it saw twice or more, so a count falls short by one a block at most.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -86,9 +113,10 @@ def common_shingles(docs: DataFrame, id_col: str, text_col: str, *, width: int,
             return pa.RecordBatch.from_arrays([pa.array(h[keep].view(np.int64)), pa.array(n[keep])], ["h", "n"])
 
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                held.append(shingle(text))
-                size += len(held[-1])
+            for at in range(0, batch.num_rows, 256):
+                some = shingle.raw(batch.column(0).slice(at, 256).to_pylist())
+                held += some
+                size += sum(map(len, some))
                 if size > 4_000_000:
                     yield block()
                     held, size = [], 0
@@ -130,17 +158,17 @@ def describe(docs: DataFrame, common: np.ndarray, *, id_col: str, text_col: str,
         maybe[(heavy & mask).astype(np.int64)] = True
         sent: set[int] = set()
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
                 n, digest, gids, bits, prefixes = [], [], [], [], []
-                for text in part.column(1).to_pylist():
-                    h = shingle(text)
+                for h in shingle(part.column(1).to_pylist()):
                     n.append(len(h))
                     digest.append(f"{len(h)}:{_fold64(h, 1)}:{_fold64(h, 77)}")
                     bits.append(_bitmap(h))
                     hot = maybe[(h & mask).astype(np.int64)]
                     if hot.any():
-                        hot[hot] = np.isin(h[hot], heavy, assume_unique=True, kind="sort")
+                        found = np.searchsorted(heavy, h[hot])
+                        hot[hot] = heavy[np.minimum(found, len(heavy) - 1)] == h[hot]
                     token = np.sort((mix64(h) >> np.uint64(1)) | (hot.astype(np.uint64) << np.uint64(63)))
                     token = token[: len(h) - least_overlap(len(h), percent) + 1] if len(h) else token
                     gid = int(mix64(np.array([_fold64(token * _ODD[0], len(h))], np.int64).view(np.uint64)).view(np.int64)[0])
@@ -178,11 +206,12 @@ def _runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[np.ndar
 
 
 def group_lists(postings: DataFrame, percent: int) -> DataFrame:
-    """(lid, gid): groups that share a prefix shingle, one list for each different set of groups.  postings: (token, gid, n, pos)."""
+    """(lid, gid): groups that share a prefix shingle, one list for each different set of groups.  postings: (token, gid, place), place being size * 2**32 + position."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sent: set[int] = set()
-        for token, gid, n, pos in _runs(batches, 1):
+        for token, gid, place in _runs(batches, 1):
+            n, pos = place >> 32, place & 0xFFFFFFFF
             new = np.ones(len(token), bool)
             new[1:] = (token[1:] != token[:-1]) | (gid[1:] != gid[:-1])
             token, gid, n, pos = token[new], gid[new], n[new], pos[new]
@@ -294,22 +323,35 @@ def in_blocks(members: DataFrame, block: int) -> DataFrame:
     return spread.withColumn("x", F.least("blk", "other")).withColumn("y", F.greatest("blk", "other")).drop("size", "blocks", "other")
 
 
-def verify(pairs: DataFrame, docs: DataFrame, *, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
-    """(a, b) of the pairs that link, by their whole sets."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+def verify(pairs: DataFrame, docs: DataFrame, *, id_col: str, text_col: str, width: int, percent: int, broadcast_rows: int = 1_000_000) -> DataFrame:
+    """(a, b) of the pairs that link, by the shingles of their whole texts.
+
+    Up to broadcast_rows pairs are broadcast to where the texts are read, so only
+    texts that some pair needs are shuffled; above that the texts are joined by a shuffle.
+    """
+    small = pairs.count() <= broadcast_rows
+    near = F.broadcast if small else (lambda df: df)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler(width)
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingle(t).view(np.int64) for t in part.column(1).to_pylist()], pa.list_(pa.int64()))], ["id", "h"])
-
-    needed = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).join(ids, "id", "left_semi")
-    sets = materialize(needed.mapInArrow(run, "id bigint, h array<bigint>").dropDuplicates(["id"]))
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("h").alias("ha")), "a").join(sets.select(F.col("id").alias("b"), F.col("h").alias("hb")), "b")
-    shared = F.size(F.array_intersect("ha", "hb"))
-    return both.filter(100 * shared >= percent * (F.size("ha") + F.size("hb") - shared)).select("a", "b")
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                a, b, ta, tb = (c.to_pylist() for c in part.columns)
+                first = {x: i for i, x in reversed(list(enumerate(b)))}  # a text that many pairs share is cut once
+                right = dict(zip(first, shingle([tb[i] for i in first.values()])))
+                keep = []
+                for i, x in enumerate(shingle(ta)):
+                    y = right[b[i]]
+                    shared = len(x) + len(y) - len(np.union1d(x, y))
+                    keep.append(100 * shared >= percent * (len(x) + len(y) - shared))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"))
+    left = texts.join(near(pairs), texts["id"] == pairs["a"]).select("a", "b", F.col("t").alias("ta"))
+    wanted = pairs.select("b").distinct()
+    right = texts.join(near(wanted), texts["id"] == wanted["b"]).select("b", F.col("t").alias("tb"))
+    return left.join(right, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a bigint, b bigint")
 
 
 def ngram_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, most_common: int = 500_000, block: int = 2048) -> DataFrame:
@@ -326,7 +368,7 @@ def ngram_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     filled = rows.filter("n > 0").select("id", "n", "digest", "gid")
     classes = materialize(settle(filled, [F.min("id").alias("rep")]))
     reps = rows.join(classes.filter("id = rep").select("id"), "id", "left_semi").select("id", "n", "gid", "bits")
-    postings = rows.filter("prefix is not null").select("gid", "n", F.posexplode("prefix").alias("pos", "token")).select("token", "gid", "n", F.col("pos").cast("long").alias("pos"))
+    postings = rows.filter("prefix is not null").select("gid", "n", F.posexplode("prefix").alias("pos", "token")).select("token", "gid", (F.col("n") * F.lit(1 << 32) + F.col("pos")).alias("place"))
     same = reps.groupBy("gid").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select(F.col("gid").alias("lid"), "gid")
     lists = group_lists(postings, percent).unionByName(same)
     members = materialize(in_blocks(lists.join(reps, "gid").select("lid", "id", "n", "bits"), block))
