@@ -1,4 +1,4 @@
 """All registered queries of the engine's own operators."""
 
-from . import evaluation_queries, ranking_queries, search_queries  # noqa: F401
+from . import evaluation_queries, ranking_queries, search_queries, session_queries  # noqa: F401
 from .registry import ORACLE, QUERIES  # noqa: F401

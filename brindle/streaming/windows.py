@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame, functions as F
 
 def activity(events: DataFrame, *, every: str = "1 day", late: str = "1 hour") -> DataFrame:
     """(start, event_type, n, total) by tumbling windows; rows later than the watermark are dropped by the stream."""
-    timed = events.withWatermark("ts", late) if events.isStreaming else events
+    timed = events.withColumn("ts", F.col("ts").cast("timestamp"))
+    timed = timed.withWatermark("ts", late) if events.isStreaming else timed
     g = timed.groupBy(F.window("ts", every).alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
     return g.select(F.col("w.start").alias("start"), "event_type", "n", "total")
 
