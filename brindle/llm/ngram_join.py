@@ -6,8 +6,8 @@ sets of Jaccard t or more share a shingle among the first n - ceil(t*n) + 1 of
 each.  Documents with equal sets are one class; classes with the same size and
 the same prefix are one group, and only groups enter the inverted lists.  Lists
 of groups expand to members; pairs of members are filtered by size and by a
-512-bit parity bitmap, which bounds the overlap from above, and the rest are verified on
-whole sets.
+parity bitmap of a length that follows the set's size, which bounds the overlap from
+above, and the rest are verified on whole sets.
 
 Inside a list, pairs that can only confirm a connection already proposed are
 left to a second round: the first verifies a spanning forest of the filtered
@@ -29,7 +29,7 @@ from .common import materialize, mix64
 from .components import connected_components
 from .exact_dedup import settle
 
-BITS = 512
+BITS = (512, 32_768)  # least and most bits of a parity bitmap
 CACHE_WORDS = 300_000
 _ODD = [np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5)]
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -138,7 +138,20 @@ def common_shingles(docs: DataFrame, id_col: str, text_col: str, *, width: int,
 
 
 def _bitmap(h: np.ndarray) -> bytes:
-    return np.packbits(np.bincount((h & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS) & 1).astype(np.uint8).tobytes()
+    """Parities of the numbers of shingles by hash: twice as many bits as shingles or more, within BITS, a power of two."""
+    size = min(BITS[1], max(BITS[0], 1 << (2 * len(h)).bit_length()))
+    return np.packbits(np.bincount((h & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1).astype(np.uint8).tobytes()
+
+
+def _folded(bits: list[bytes], size: int) -> np.ndarray:
+    """Bitmaps of size bytes: longer ones folded, which is what a shorter bitmap of the same set holds."""
+    out = np.empty((len(bits), size), np.uint8)
+    for i, b in enumerate(bits):
+        x = np.frombuffer(b, np.uint8)
+        while len(x) > size:
+            x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+        out[i] = x
+    return out.view(np.uint64)
 
 
 def _fold64(x: np.ndarray, seed: int) -> int:
@@ -271,7 +284,6 @@ def member_pairs(members: DataFrame, percent: int, every: bool) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lid, x, y, blk, ids, n, bits, comp in _runs(batches, 3):
-            words = np.frombuffer(b"".join(bits.tolist()), dtype=np.uint64).reshape(len(ids), -1)
             cuts = np.flatnonzero(np.concatenate([[True], (lid[1:] != lid[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])]))
             ends = np.concatenate([cuts[1:], [len(lid)]])
             out_a, out_b = [], []
@@ -280,10 +292,12 @@ def member_pairs(members: DataFrame, percent: int, every: bool) -> DataFrame:
                 own += f
                 if len(own) < 2 or (comp[own] == comp[own[0]]).all():
                     continue
-                i_, n_, w_, c_, k_ = ids[own], n[own], words[own], comp[own], blk[own]
+                own = own[np.argsort(n[own], kind="stable")]
+                i_, n_, c_, k_ = ids[own], n[own], comp[own], blk[own]
+                held = bits[own].tolist()
+                sizes = np.array([len(h) for h in held])  # grow with n, so partners' bitmaps are as long or longer
+                level, table, first = 0, None, 0
                 cross = x[f] != y[f]
-                order = np.argsort(n_, kind="stable")
-                i_, n_, w_, c_, k_ = i_[order], n_[order], w_[order], c_[order], k_[order]
                 known: dict[int, int] = {}
                 start = [known.setdefault(c, len(known)) for c in c_.tolist()]
                 parent = list(range(len(known)))
@@ -292,8 +306,12 @@ def member_pairs(members: DataFrame, percent: int, every: bool) -> DataFrame:
                     top = int(tops[k])
                     if top <= k + 1:
                         continue
+                    if sizes[k] != level:
+                        level, first = int(sizes[k]), k
+                        end = int(tops[np.searchsorted(sizes, level, "right") - 1])
+                        table = _folded(held[first:end], level)
                     other = slice(k + 1, top)
-                    ham = np.bitwise_count(w_[other] ^ w_[k]).sum(axis=1, dtype=np.int64)
+                    ham = np.bitwise_count(table[k + 1 - first : top - first] ^ table[k - first]).sum(axis=1, dtype=np.int64)
                     total = n_[other] + n_[k]
                     ok = (100 + percent) * (total - ham) >= 2 * percent * total
                     ok &= c_[other] != c_[k]

@@ -372,9 +372,10 @@ def test_ngram_empty(spark):
     assert nj.ngram_components(frame(spark, [])).count() == 0
 
 
-def test_components(spark):
+@pytest.mark.parametrize("block", [400_000, 10])
+def test_components(spark, block):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, i) for i in range(101, 130)] + [(7, 7), (130, 129), (50, 51)]
-    got = dict(map(tuple, connected_components(spark.createDataFrame(edges, "a long, b long")).collect()))
+    got = dict(map(tuple, connected_components(spark.createDataFrame(edges, "a long, b long"), block=block).collect()))
     assert got == {**{i: 0 for i in range(41)}, **{i: 100 for i in range(100, 131)}, 50: 50, 51: 50}
 
 
