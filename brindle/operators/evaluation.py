@@ -74,3 +74,43 @@ def stage_of(flags: list[tuple[str, str]], final: str) -> Column:
     for column, stage in reversed(flags):
         out = F.when(~F.coalesce(F.col(column), F.lit(False)), F.lit(stage)).otherwise(out)
     return out
+
+
+def slot_quality(expected: DataFrame, proposed: DataFrame) -> DataFrame:
+    """(arm, tp, fp, fn, precision, recall) of slots (arm, case_id, attribute, value); nothing proposed is precision 1, nothing expected recall 0."""
+    keys = ["arm", "case_id", "attribute", "value"]
+    e, p = expected.select(*keys).distinct().withColumn("e", F.lit(1)), proposed.select(*keys).distinct().withColumn("p", F.lit(1))
+    g = e.join(p, keys, "full").groupBy("arm").agg(F.sum(F.when(F.col("e").isNotNull() & F.col("p").isNotNull(), 1).otherwise(0)).alias("tp"), F.sum(F.when(F.col("e").isNull(), 1).otherwise(0)).alias("fp"), F.sum(F.when(F.col("p").isNull(), 1).otherwise(0)).alias("fn"))
+    return g.select("arm", "tp", "fp", "fn", F.coalesce(F.try_divide("tp", F.col("tp") + F.col("fp")), F.lit(1.0)).alias("precision"), F.coalesce(F.try_divide("tp", F.col("tp") + F.col("fn")), F.lit(0.0)).alias("recall"))
+
+
+def run_differences(a: DataFrame, b: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:
+    """(keys, field): turns where two runs differ; a turn of one run only differs in 'presence'."""
+    j = a.select(*keys, F.struct(*fields).alias("x")).join(b.select(*keys, F.struct(*fields).alias("y")), keys, "full")
+    names = F.array(*[F.when(~F.col(f"x.{f}").eqNullSafe(F.col(f"y.{f}")), F.lit(f)) for f in fields])
+    one = F.col("x").isNull() | F.col("y").isNull()
+    return j.select(*keys, F.explode(F.when(one, F.array(F.lit("presence"))).otherwise(F.filter(names, lambda n: n.isNotNull()))).alias("field"))
+
+
+def scorer_agreement(a: DataFrame, b: DataFrame, k: int = 30) -> DataFrame:
+    """(queries, max_delta, same_order, overlap_k) of two scorings (query_id, doc_id, score)."""
+    w = Window.partitionBy("query_id")
+    j = a.select("query_id", "doc_id", F.col("score").alias("x")).join(b.select("query_id", "doc_id", F.col("score").alias("y")), ["query_id", "doc_id"])
+    r = j.withColumn("rx", F.row_number().over(w.orderBy(F.desc("x"), "doc_id"))).withColumn("ry", F.row_number().over(w.orderBy(F.desc("y"), "doc_id")))
+    q = r.groupBy("query_id").agg(F.max(F.abs(F.col("x") - F.col("y"))).alias("d"), F.bool_and(F.col("rx") == F.col("ry")).alias("same"), (F.sum(((F.col("rx") <= k) & (F.col("ry") <= k)).cast("int")) / F.least(F.lit(k), F.count(F.lit(1)))).alias("o"))
+    return q.agg(F.count(F.lit(1)).alias("queries"), F.max("d").alias("max_delta"), F.sum(F.col("same").cast("int")).alias("same_order"), F.avg("o").alias("overlap_k"))
+
+
+def exposure_status(receipts: DataFrame) -> DataFrame:
+    """(dataset, status) of receipts (dataset, kind): consumed outranks attempt_recorded, which outranks unknown."""
+    g = receipts.groupBy("dataset").agg(F.bool_or(F.col("kind") == "consumed").alias("c"), F.bool_or(F.col("kind") == "attempt").alias("a"))
+    return g.select("dataset", F.when(F.col("c"), "consumed").when(F.col("a"), "attempt_recorded").otherwise("unknown").alias("status"))
+
+
+def power(effect: float, deviation: float, n: int, alpha_z: float = 1.959963984540054) -> float:
+    """Power of a two-sided paired test by the normal approximation."""
+    import math
+
+    z = abs(effect) / (deviation / math.sqrt(n)) if deviation > 0 and n > 0 else 0.0
+    cdf = lambda x: 0.5 * (1 + math.erf(x / math.sqrt(2)))
+    return cdf(z - alpha_z) + cdf(-z - alpha_z)
