@@ -218,12 +218,48 @@ def _runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[np.ndar
         yield held
 
 
-def group_lists(postings: DataFrame, percent: int) -> DataFrame:
-    """(lid, gid): groups that share a prefix shingle, one list for each different set of groups.  postings: (token, gid, place), place being size * 2**32 + position."""
+def _bounded_runs(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[bool, list[np.ndarray]]]:
+    """Like _runs for one key, but a run of over ``most`` rows comes in parts.  True with every part of such a run, and only with these."""
+    held, cut = None, None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        if held is not None:
+            cols = [np.concatenate([a, b]) for a, b in zip(held, cols)]
+        if cut is not None:  # the rest of a run that has been cut
+            own = int((cols[0] == cut).sum())
+            if own:
+                yield True, [c[:own] for c in cols]
+                cols = [c[own:] for c in cols]
+            if not len(cols[0]):
+                held = None
+                continue
+            cut = None
+        at = len(cols[0]) - int((cols[0] == cols[0][-1]).sum())
+        if at:
+            yield False, [c[:at] for c in cols]
+        held = [c[at:] for c in cols]
+        if len(held[0]) > most:
+            yield True, held
+            cut, held = held[0][0], None
+    if held is not None and len(held[0]):
+        yield False, held
+
+
+def group_lists(postings: DataFrame, percent: int, most: int = 1_000_000) -> DataFrame:
+    """(lid, gid): groups that share a prefix shingle, one list for each different set of groups.
+
+    postings: (token, gid, place), place being size * 2**32 + position.  Lists of over
+    ``most`` groups pass through in parts under the token's own number.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sent: set[int] = set()
-        for token, gid, place in _runs(batches, 1):
+        for cut, (token, gid, place) in _bounded_runs(batches, most):
+            if cut:
+                yield pa.RecordBatch.from_arrays([pa.array(token, pa.int64()), pa.array(gid, pa.int64())], ["lid", "gid"])
+                continue
             n, pos = place >> 32, place & 0xFFFFFFFF
             new = np.ones(len(token), bool)
             new[1:] = (token[1:] != token[:-1]) | (gid[1:] != gid[:-1])

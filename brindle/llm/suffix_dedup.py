@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .common import materialize, mix64
-from .ngram_join import _runs
+from .ngram_join import _bounded_runs, _runs
 
 GRAM = 24
 _MULT = 0x9E3779B97F4A7C15
@@ -163,11 +163,14 @@ def anchor_rows(docs: DataFrame, span: int) -> DataFrame:
     return docs.mapInArrow(run, "key bigint, cover bigint, doc bigint, start bigint, meta bigint")
 
 
-def settle_buckets(rows: DataFrame, span: int, hot: int) -> DataFrame:
-    """The same columns: settled spans (meta < 0), and the rows whose covered bytes must be compared; theirs is a key of 0 in hot buckets."""
+def settle_buckets(rows: DataFrame, span: int, hot: int, most: int = 1_000_000) -> DataFrame:
+    """(key, doc, start, meta): settled spans (meta < 0), and the rows whose covered bytes must be compared; theirs is a key of 0 in hot buckets.
+
+    A bucket of over ``most`` rows is hot whatever it holds, and passes through in parts.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, cover, doc, start, meta in _runs(batches, 1):
+        for cut, (key, cover, doc, start, meta) in _bounded_runs(batches, most):
             ready = meta < 0
             k, c, d, s, m = (x[~ready] for x in (key, cover, doc, start, meta))
             order = np.lexsort((s, d, c, k))
@@ -180,8 +183,8 @@ def settle_buckets(rows: DataFrame, span: int, hot: int) -> DataFrame:
             heads = np.flatnonzero(np.concatenate([[True], fk[1:] != fk[:-1]])) if len(fk) else np.zeros(0, np.int64)
             size = np.diff(np.concatenate([heads, [len(fk)]]))
             many = np.repeat(size, size)
-            check = many > 1
-            ck = np.where(many[check] > hot, 0, fk[check])
+            check = (many > 1) | cut
+            ck = np.where((many[check] > hot) | cut, 0, fk[check])
             ss, se, sd = merge(np.concatenate([s[later], start[ready]]), np.concatenate([s[later] + (m[later] & 255) + span - 1, start[ready] - meta[ready]]), np.concatenate([d[later], doc[ready]]))
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (np.concatenate([ck, np.ones(len(ss), np.int64)]), np.concatenate([fd[check], sd]), np.concatenate([fs[check], ss]), np.concatenate([fm[check], ss - se]))], ["key", "doc", "start", "meta"])
 

@@ -270,6 +270,32 @@ def test_suffix_dedup(spark, corpus, hot):
     assert [(*r[:5], bytes(r[5])) for r in sorted(map(tuple, got.collect()))] == brute_suffix(rows)
 
 
+@pytest.mark.parametrize("most", [1, 3, 5, 100])
+def test_bounded_runs_cut_long_runs_only(most):
+    import pyarrow as pa
+
+    keys = [1, 1, 2, 2, 2, 2, 2, 2, 2, 3, 4, 4, 4, 4, 5]
+    for size in (1, 2, 4, 20):
+        batches = [pa.record_batch([pa.array(keys[i : i + size])], ["k"]) for i in range(0, len(keys), size)]
+        got = [(cut, k) for cut, (col,) in nj._bounded_runs(iter(batches), most) for k in col.tolist()]
+        assert [k for _, k in got] == keys
+        flags = {k: {c for c, x in got if x == k} for k in keys}
+        assert all(len(f) == 1 for f in flags.values())
+        assert all(flags[k] == {False} for k in keys if keys.count(k) <= most)
+
+
+def test_suffix_dedup_cut_buckets(spark, corpus, monkeypatch):
+    whole = sd.settle_buckets
+    monkeypatch.setattr(sd, "settle_buckets", lambda rows, span, hot: whole(rows, span, hot, most=1))
+    rows = corpus + [(50 + i, f"{i} " + corpus[9][1][:180]) for i in range(6)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
+    try:
+        got = sorted(map(tuple, sd.suffix_dedup(frame(spark, rows)).collect()))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert [(*r[:5], bytes(r[5])) for r in got] == brute_suffix(rows)
+
+
 def test_suffix_dedup_long_document_parts(spark, monkeypatch):
     monkeypatch.setattr(sd, "CHUNK", 700)
     rows = [(0, gibberish(1, 900)), (1, gibberish(1, 900)[400:2600] + gibberish(2, 50)), (2, "ab" * 900)]
@@ -360,6 +386,13 @@ def test_ngram_components(spark, corpus, block, most_common):
     assert sorted(map(tuple, got.collect())) == brute_components(rows)
 
 
+def test_ngram_cut_lists(spark, corpus, monkeypatch):
+    whole = nj.group_lists
+    monkeypatch.setattr(nj, "group_lists", lambda postings, percent: whole(postings, percent, most=1))
+    rows = corpus + near_copies()
+    assert sorted(map(tuple, nj.ngram_components(frame(spark, rows)).collect())) == brute_components(rows)
+
+
 def test_ngram_second_round_verifies_what_the_first_left(spark):
     df = spark.createDataFrame([(1, 2)], "a long, b long")
     docs = frame(spark, [(1, "a b c d e f g h i j"), (2, "a b c d e f g h i j k")])
