@@ -98,9 +98,19 @@ def softmax(score: Column, query: str, temperature: float = 5.0) -> Column:
     return e / F.sum(e).over(w)
 
 
-def vector_top_k(vectors: DataFrame, queries: DataFrame, k: int, *, vec: str = "embedding") -> DataFrame:
-    """(query_id, doc_id, score, rank) by dot product.  queries is a bounded set that is compared with all rows."""
+def vector_top_k(vectors: DataFrame, queries: DataFrame, k: int, *, vec: str = "embedding", block: int = 4096) -> DataFrame:
+    """(query_id, doc_id, score, rank) by dot product.
+
+    The stated query set meets all rows in blocks of about ``block`` queries, so
+    what is broadcast at once is bounded; each block keeps k rows a query.
+    """
     dot = F.aggregate(F.zip_with(vec, "q", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    scored = vectors.crossJoin(F.broadcast(queries.select("query_id", F.col(vec).alias("q")))).select("query_id", "doc_id", F.round(dot, 9).alias("score"))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("doc_id"))
-    return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    wanted = queries.select("query_id", F.col(vec).alias("q"))
+    blocks, out = -(-queries.count() // block) or 1, None
+    for i in range(blocks):
+        part = wanted if blocks == 1 else wanted.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i)
+        scored = vectors.crossJoin(F.broadcast(part)).select("query_id", "doc_id", F.round(dot, 9).alias("score"))
+        top = scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+        out = top if out is None else out.unionByName(top)
+    return out
