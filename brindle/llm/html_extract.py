@@ -17,12 +17,12 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-# Frequent function words of the languages of the corpus.
+# The commonest function words of the corpus's languages.
 STOP_WORDS = frozenset(
-    "the of and to in a is that it for was on are as with his they be at one have this from or had by not but what all were when we there can an your which their if do will each about how up out them then she many some so these would other into has more two her like him see time could no make than first been its who now my over did down only way find use may long little very after called just where most know "
-    "der die und in den von zu das mit sich des auf für ist im dem nicht ein eine als auch es an werden aus er hat dass sie nach wird bei einer um am sind noch wie einem über einen so zum war haben nur oder aber vor zur bis mehr durch man sein wurde sei "
-    "de la le et les des en un du une que est pour qui dans par plus pas au sur ne se ce il sont avec son aux cette ou mais nous sa ses elle leur été être comme "
-    "el que y a los se del las por con no una su para al lo como más o pero sus le ha me si sin sobre este ya entre cuando todo esta ser son dos también fue había era muy hasta desde está".split()
+    "the of and to in a is that it for was on are as with his they be at one have this from or had by not but what all were when we there can an your which their if will each about how up out them "
+    "der die und den von zu das mit sich des auf für ist im dem nicht ein eine auch es an werden aus er hat dass sie nach wird bei einer um am sind noch wie einem über einen so zum "
+    "de la le et les du un une que est pour qui dans par plus pas au sur ne se ce il sont avec son aux cette ou mais nous sa "
+    "el y los del las por con no su para al lo como más o pero sus me si sin sobre este ya entre cuando todo esta ser son".split()
 )
 # HTML's own element classes.
 BLOCK_TAGS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul title head".split())
@@ -32,6 +32,8 @@ DROPPED_TAGS = frozenset("nav header footer aside form menu dialog head title".s
 MAIN_TAGS = frozenset(("article", "main"))
 #: words in class, id or role that mark what is not main text
 MARKED = re.compile(r"(?i)(?:^|[\s_-])(ad|ads|advert\w*|banner|sponsor\w*|promo\w*|side-?bar|side|nav\w*|menu\w*|breadcrumbs?|foot\w*|header|masthead|cookies?|consent|notices?|alerts?|popup|modal|newsletter|subscribe|share|social|related|recommended|comments?|replies|reply|disqus|widget|toolbar|login|search|complementary|contentinfo|navigation)(?:$|[\s_-])")
+#: names that speak of something elsewhere on the page
+STATE = re.compile(r"(?i)(?:^|(?<=\s))(?:no|has|with|without)-\S+")
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<![^>]*(?:>|$)|<\?[^>]*(?:>|$)|</?[A-Za-z](?:[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*(?:>|$)|[^<]+|<", re.S)
 ATTRIBUTE = re.compile(r"(?i)[\s\"'](?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
 SPACE = re.compile(r"\s+")
@@ -99,7 +101,7 @@ def blocks_of(page: str) -> list[Block]:
         _, dropped, main, section = stack[-1] if stack else ("", False, False, 0)
         drop = tag in DROPPED_TAGS
         if not drop and "=" in token and tag not in ("html", "body", "main"):
-            drop = any(MARKED.search(next(g for g in a.groups() if g is not None)) for a in ATTRIBUTE.finditer(token))
+            drop = any(MARKED.search(STATE.sub(" ", next(g for g in a.groups() if g is not None))) for a in ATTRIBUTE.finditer(token))
         if tag in MAIN_TAGS and not dropped and not drop:
             main = True
         if tag in MAIN_TAGS or (drop and not dropped):

@@ -220,6 +220,7 @@ PAGES = [
     ("<article><script>var t='</p>';if(a<b){}</script><style>p{}</style><p>Kept</p><aside>no</aside><div class=\"x comments\"><p>first!</p></div><form>f</form><!-- <p>gone</p> --></article>", "Kept"),
     ("<main><p title='a>b'>Text &#233;&nbsp;x</p></main><div id=sidebar>the side of the page and all that is in it</div>", "Text é x"),
     ("<div><p>" + "The house of the man was on the hill and it is old. " * 6 + "</p><p>Short one</p><p>" + "It was the end of the day and they had to go. " * 6 + "</p></div>", None),
+    ("<article class='post has-sidebar no-ads'><p>Whole</p></article>", "Whole"),
     ("<article><p>" + "cut off", "cut off"),
     ("<p>" * 3000 + "deep", ""),
 ]
