@@ -12,6 +12,7 @@ from ..functions.text import FACETS
 def constraint_kind(value: Column) -> Column:
     """The attribute a constraint text belongs to, by ordered keywords."""
     v = F.lower(value)
+    # The keywords of each attribute, in the order they are tried.
     return (
         F.when(v.contains("budget") | v.rlike(r"(?:\$|<=|under)\s*\d"), "budget")
         .when(v.rlike(FACETS["material"]), "material")
