@@ -149,11 +149,11 @@ def turn_dedupe_latest(spark, sf_dir):
 
 
 COLOR_RE = FACETS["color"]
-FAMILY = f"""fam AS (SELECT p_partkey AS id, p_type AS category, p_brand, trim(regexp_replace(regexp_replace(regexp_replace(lower(p_name || ' ' || p_type), '\\b({COLOR_RE})\\b', ' ', 'g'), '\\d+', ' ', 'g'), '[^a-z0-9]+', ' ', 'g')) AS family FROM part)"""
+FAMILY = f"""fam AS (SELECT p_partkey AS id, p_type AS category, p_brand, p_size AS size, trim(regexp_replace(regexp_replace(regexp_replace(lower(p_name || ' ' || p_type), '\\b({COLOR_RE})\\b', ' ', 'g'), '\\d+', ' ', 'g'), '[^a-z0-9]+', ' ', 'g')) AS family FROM part)"""
 
 
 def _family(spark, sf_dir):
-    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_type").alias("category"), "p_brand", packs.family_key(F.concat_ws(" ", "p_name", "p_type"), loose=True).alias("family"))
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_type").alias("category"), "p_brand", F.col("p_size").alias("size"), packs.family_key(F.concat_ws(" ", "p_name", "p_type"), loose=True).alias("family"))
 
 
 @query(f"WITH {FAMILY} SELECT family, arg_min(id, sha256('seed' || chr(0) || id)) AS id, count(*) AS members FROM fam GROUP BY 1")
@@ -179,12 +179,12 @@ def split_overlap_audit(spark, sf_dir):
     return packs.overlap(_dealt(spark, sf_dir), ("category", "family"))
 
 
-@query(f"WITH {DEAL}, prior AS (SELECT DISTINCT family FROM dealt WHERE split = 'test' AND id % 50 = 0) SELECT id, family FROM dealt WHERE family NOT IN (SELECT family FROM prior) AND id % 50 <> 0")
+@query(f"WITH {DEAL}, prior AS (SELECT DISTINCT family FROM dealt WHERE split = 'test' AND size = 1) SELECT id, family FROM dealt WHERE family NOT IN (SELECT family FROM prior)")
 def excluded_family_antijoin(spark, sf_dir):
-    """Products that are neither earlier targets nor relatives of one."""
+    """Products that are neither earlier targets (here: test products of size 1) nor relatives of one."""
     d = _dealt(spark, sf_dir)
-    prior = d.filter("split = 'test' AND id % 50 = 0").select("family").distinct()
-    return d.filter("id % 50 <> 0").join(prior, "family", "left_anti").select("id", "family")
+    prior = d.filter("split = 'test' AND size = 1").select("family").distinct()
+    return d.join(prior, "family", "left_anti").select("id", "family")
 
 
 @query(f"""WITH {FAMILY} SELECT id, category, i FROM (SELECT *, row_number() OVER (PARTITION BY category ORDER BY sha256('rr' || chr(0) || id), id) AS i FROM fam) ORDER BY i, category LIMIT 100""")

@@ -206,13 +206,13 @@ def vector_gated_bonus(spark, sf_dir):
     return v.join(m, "query_id").select("query_id", "doc_id", F.round(F.when(open_, F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("score")))).otherwise(0.0), 6).alias("bonus"))
 
 
-@query(f"""WITH {RANKED}, x AS (SELECT query_id, doc_id, rank, price > 980 AS violation, doc_id % 3 = 0 AND rank <= 10 AS seen FROM rk),
+@query(f"""WITH {RANKED}, x AS (SELECT query_id, doc_id, rank, price > 980 AS violation, size < 20 AND rank <= 10 AS seen FROM rk),
     qt AS (SELECT query_id, violation, count(*) AS quota FROM x WHERE rank <= 5 GROUP BY 1, 2),
     pg AS (SELECT query_id, doc_id, violation, seen, i FROM (SELECT *, row_number() OVER (PARTITION BY query_id, violation ORDER BY seen, rank) AS i FROM x) JOIN qt USING (query_id, violation) WHERE i <= quota)
     SELECT query_id, doc_id, violation, seen, row_number() OVER (PARTITION BY query_id ORDER BY violation, i) AS place FROM pg""")
 def guarded_page(spark, sf_dir):
     x = _ranked(spark, sf_dir).withColumn("violation", F.col("price") > 980)
-    seen = x.filter((F.col("doc_id") % 3 == 0) & (F.col("rank") <= 10)).select("query_id", "doc_id")
+    seen = x.filter((F.col("size") < 20) & (F.col("rank") <= 10)).select("query_id", "doc_id")
     return paging.guarded_page(x.select("query_id", "doc_id", "rank", "violation"), seen, 5)
 
 

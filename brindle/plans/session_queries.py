@@ -75,7 +75,7 @@ def _flat(spark, sf_dir):
 
 @query()
 def lexical_search(spark, sf_dir):
-    """The default backend end to end: folded dialogues, two routes, fusion, scores and tiers; the sessions of the first product of each title."""
+    """The default backend end to end: folded dialogues, two routes, fusion, scores and tiers; one session for every different title."""
     flat = _flat(spark, sf_dir)
     first = flat.groupBy("title").agg(F.min("product_id").alias("session_id"))
     evidence = ledger.fold(_dialogues(spark, sf_dir).join(first, "session_id", "left_semi")).withColumnRenamed("session_id", "query_id").filter("attribute <> 'budget'")
