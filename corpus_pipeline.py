@@ -29,10 +29,15 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return done.select(*[F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
 
 
-def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by shingle sets of Jaccard 0.8 or more, the one with the smallest id stays."""
-    kept = ngram_components(docs).filter("doc_id = component_id").select(F.col("doc_id").alias("__kept"))
-    return docs.join(kept, docs["doc_id"] == kept["__kept"], "left_semi")
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str, *, broadcast_rows: int = 2_000_000) -> DataFrame:
+    """Of documents linked by shingle sets of Jaccard 0.8 or more, the one with the smallest id stays.
+
+    The ids that go are broadcast up to broadcast_rows of them (16 MB), else joined by a shuffle.
+    """
+    gone = materialize(ngram_components(docs).filter("doc_id <> component_id").select(F.col("doc_id").alias("__gone")))
+    if gone.count() <= broadcast_rows:
+        gone = F.broadcast(gone)
+    return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
