@@ -138,8 +138,8 @@ def common_shingles(docs: DataFrame, id_col: str, text_col: str, *, width: int,
 
 
 def _bitmap(h: np.ndarray) -> bytes:
-    """Parities of the numbers of shingles by hash: twice as many bits as shingles or more, within BITS, a power of two."""
-    size = min(BITS[1], max(BITS[0], 1 << (2 * len(h)).bit_length()))
+    """Parities of the numbers of shingles by hash: over four times as many bits as shingles, within BITS, a power of two."""
+    size = min(BITS[1], max(BITS[0], 1 << (4 * len(h)).bit_length()))
     return np.packbits(np.bincount((h & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1).astype(np.uint8).tobytes()
 
 
@@ -304,15 +304,23 @@ def group_lists(postings: DataFrame, percent: int, most: int = 1_000_000) -> Dat
     return postings.repartition("token").sortWithinPartitions("token", "gid").mapInArrow(run, "lid bigint, gid bigint").distinct()
 
 
-def _find(parent: list[int], i: int) -> int:
-    while parent[i] != i:
-        parent[i] = parent[parent[i]]
-        i = parent[i]
-    return i
+def best_forest(likeness: np.ndarray) -> list[tuple[int, int]]:
+    """Edges of a spanning forest of most likeness (a symmetric table, 0 for no edge), by Prim's rule on the dense table."""
+    m = len(likeness)
+    best, near = np.zeros(m, likeness.dtype), np.zeros(m, np.int64)
+    out, left = [], np.ones(m, bool)
+    for _ in range(m):
+        k = int(np.argmax(np.where(left, best, -1)))
+        if best[k] > 0:
+            out.append((int(near[k]), k))
+        left[k] = False
+        closer = likeness[k] > best
+        best[closer], near[closer] = likeness[k][closer], k
+    return out
 
 
 def member_pairs(members: DataFrame, percent: int, every: bool) -> DataFrame:
-    """(a, b): pairs of the same list that pass the filters, with different components; only a spanning forest of them unless every.
+    """(a, b): pairs of the same list that pass the filters, with different components; only the spanning forest of most estimated likeness unless every, so that likely links come before doubtful ones.
 
     members: (lid, x, y, blk, id, n, bits, component); x and y number the two
     blocks of a list that a task pairs, blk the member's own.
@@ -334,9 +342,8 @@ def member_pairs(members: DataFrame, percent: int, every: bool) -> DataFrame:
                 sizes = np.array([len(h) for h in held])  # grow with n, so partners' bitmaps are as long or longer
                 level, table, first = 0, None, 0
                 cross = x[f] != y[f]
-                known: dict[int, int] = {}
-                start = [known.setdefault(c, len(known)) for c in c_.tolist()]
-                parent = list(range(len(known)))
+                found: list[tuple[int, int]] = []
+                likeness = None if every else np.zeros((len(own), len(own)), np.float32)
                 tops = np.searchsorted(percent * n_, 100 * n_, "right")  # partners in size end here
                 for k in range(len(i_) - 1):
                     top = int(tops[k])
@@ -353,14 +360,13 @@ def member_pairs(members: DataFrame, percent: int, every: bool) -> DataFrame:
                     ok &= c_[other] != c_[k]
                     if cross:
                         ok &= k_[other] != k_[k]
-                    for j in (np.flatnonzero(ok) + k + 1).tolist():
-                        if not every:
-                            r, s = _find(parent, start[k]), _find(parent, start[j])
-                            if r == s:
-                                continue
-                            parent[r] = s
-                        out_a.append(min(i_[k], i_[j]))
-                        out_b.append(max(i_[k], i_[j]))
+                    if every:
+                        found += [(k, j) for j in (np.flatnonzero(ok) + k + 1).tolist()]
+                    elif ok.any():
+                        likeness[k, k + 1 : top] = likeness[k + 1 : top, k] = np.where(ok, (total - ham + 1) / (total + ham + 1), 0)
+                for k, j in found if every else best_forest(likeness):
+                    out_a.append(min(i_[k], i_[j]))
+                    out_b.append(max(i_[k], i_[j]))
             if out_a:
                 yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], ["a", "b"])
 
