@@ -8,9 +8,9 @@ probability.  A document's score is the sum of its tokens' conditional log-proba
 The vocabulary comes from word counts over all documents, rare words standing
 in for ``buckets`` classes of spelling.  The network is trained in numpy by rounds of
 parameter averaging: every partition takes the same start, runs stochastic gradient
-steps on its own documents (in each a fixed share of the places of every document,
-chosen by hash), and the parameters are averaged, weighted by the places
-seen, in a grouping by parameter block.  So what is gathered grows with the
+steps on its own documents (a round takes every share-th place of a document, each from
+another offset, so that all rounds together take every place), and the parameters are
+averaged, weighted by the places seen, in a grouping by parameter block.  So what is gathered grows with the
 input, and the driver holds one set of parameters whatever its size.
 """
 
@@ -30,6 +30,7 @@ TOKEN = re.compile(r"\w+|[^\w\s]")
 PLACES = (-3, -2, -1, 1, 2, 3)
 EDGE = 0  # stands beyond both ends of a document
 BLOCK = 4096  # parameters in one row while averaging
+BATCH = 512  # places in a gradient step
 
 
 def tokens_of(text: str | None) -> list[str]:
@@ -127,6 +128,8 @@ class Network:
     def step(self, context: np.ndarray, target: np.ndarray, rate: float) -> None:
         """One gradient step on a small batch."""
         n = len(target)
+        target, order = np.sort(target), np.argsort(target)
+        context = context[order]
         h = self.hidden_of(context)
         c = target // self.width
         z = h @ self.wc.T + self.bc
@@ -136,23 +139,27 @@ class Network:
         dh = p @ self.wc
         self.wc -= rate / n * (p.T @ h)
         self.bc -= rate / n * p.sum(axis=0)
-        order = np.argsort(c, kind="stable")
-        cuts = np.flatnonzero(np.concatenate([[True], np.diff(c[order]) > 0, [True]]))
-        for f, e in zip(cuts[:-1], cuts[1:]):
-            at = order[f:e]
-            k = c[at[0]]
-            y = h[at] @ self.ww[k].T + (self.bw[k] + self.void[k])
-            q = np.exp(y - y.max(axis=1, keepdims=True))
+        cuts = np.flatnonzero(np.concatenate([[True], np.diff(c) > 0, [True]])).tolist()
+        inside, numbers = target - c * self.width, np.arange(n)
+        for f, e, k in zip(cuts[:-1], cuts[1:], c[cuts[:-1]].tolist()):
+            own, ww = h[f:e], self.ww[k]
+            q = own @ ww.T
+            q += self.bw[k] + self.void[k]
+            q -= q.max(axis=1, keepdims=True)
+            np.exp(q, out=q)
             q /= q.sum(axis=1, keepdims=True)
-            q[np.arange(len(at)), target[at] - k * self.width] -= 1
-            dh[at] += q @ self.ww[k]
-            scale = rate / max(1.0, len(at) ** 0.5)
-            self.ww[k] -= scale / len(at) ** 0.5 * (q.T @ h[at])
-            self.bw[k] -= scale / len(at) ** 0.5 * q.sum(axis=0)
+            q[numbers[: e - f], inside[f:e]] -= 1
+            dh[f:e] += q @ ww
+            q *= np.float32(rate / (e - f))
+            ww -= q.T @ own
+            self.bw[k] -= q.sum(axis=0)
         dh *= (1 - h * h) * (rate * 0.05)
         self.b -= dh.mean(axis=0)
-        for k in range(len(PLACES)):
-            np.subtract.at(self.embed[k], context[:, k], dh)
+        rows = (context + np.arange(len(PLACES)) * self.size).T.ravel()
+        order = np.argsort(rows, kind="stable")
+        rows = rows[order]
+        starts = np.flatnonzero(np.concatenate([[True], np.diff(rows) > 0]))
+        self.embed.reshape(-1, self.hidden)[rows[starts]] -= np.add.reduceat(dh[order % n], starts, axis=0)
 
 
 def contexts(ids: np.ndarray) -> np.ndarray:
@@ -178,6 +185,11 @@ def encode_docs(docs: DataFrame, vocab: list[str], buckets: int, id_col: str, te
     return materialize(source.mapInArrow(run, f"id {id_type}, ids binary"))
 
 
+def places_of(n: int, round_no: int, share: int) -> np.ndarray:
+    """The places of a document of n tokens that a round trains on: share rounds in a row take each place once."""
+    return np.arange((n * 7 + round_no) % share, n, share)
+
+
 def average_round(encoded: DataFrame, size: int, hidden: int, flat: np.ndarray, *, round_no: int, share: int, rate: float) -> np.ndarray:
     """One round: local steps in every partition, then the weighted mean of the parameters."""
     held = encoded.sparkSession.sparkContext.broadcast(flat)
@@ -188,15 +200,18 @@ def average_round(encoded: DataFrame, size: int, hidden: int, flat: np.ndarray,
         for batch in batches:
             for raw in batch.column(0).to_pylist():
                 ids = np.frombuffer(raw, "<u2").astype(np.int64)
-                if not len(ids):
+                at = places_of(len(ids), round_no, share)
+                if not len(at):
                     continue
-                at = np.arange((len(ids) * 7 + round_no * 5) % share, len(ids), share)
                 some_c.append(contexts(ids)[at])
                 some_t.append(ids[at])
                 some += len(at)
-                if some >= 512:
-                    net.step(np.concatenate(some_c), np.concatenate(some_t), rate)
-                    seen, some_c, some_t, some = seen + some, [], [], 0
+                if some >= BATCH:
+                    c, t = np.concatenate(some_c), np.concatenate(some_t)
+                    whole = some // BATCH * BATCH
+                    for f in range(0, whole, BATCH):
+                        net.step(c[f : f + BATCH], t[f : f + BATCH], rate)
+                    seen, some_c, some_t, some = seen + whole, [c[whole:]], [t[whole:]], some - whole
         if some:
             net.step(np.concatenate(some_c), np.concatenate(some_t), rate)
             seen += some
@@ -225,13 +240,15 @@ def average_round(encoded: DataFrame, size: int, hidden: int, flat: np.ndarray,
     return np.concatenate([np.frombuffer(r["part"], np.float32) / np.float32(r["seen"]) for r in rows]) if rows else flat
 
 
-def lm_score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 1500, buckets: int = 64, hidden: int = 24, rounds: int = 2, share: int = 24, rate: float = 0.7) -> DataFrame:
+def lm_score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 1500, buckets: int = 64, hidden: int = 24, rounds: int = 2, share: int = 2, rate: float = 0.7) -> DataFrame:
     """(id, n_tokens, log_likelihood, mean_log_likelihood) for every document.
 
     Null, empty and blank texts have no tokens, a sum of 0 and no mean.
     Repeated rows are scored each; extra columns are ignored.  Sums run over
-    every token of the whole text.
+    every token of the whole text, and the network is trained on every place.
     """
+    if rounds % share:
+        raise ValueError("rounds must be a multiple of share, so that every place is trained on equally often")
     spark = docs.sparkSession
     counts = count_words(docs, text_col)
     vocab = [r["word"] for r in counts.orderBy(F.desc("n"), "word").limit(words).collect()]

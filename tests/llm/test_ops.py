@@ -485,6 +485,20 @@ def test_lm_scores_beat_unigrams_on_structured_text(spark):
     assert lm.lm_score(frame(spark, [])).count() == 0
 
 
+def test_lm_rounds_train_on_every_place():
+    import inspect
+
+    default = {k: p.default for k, p in inspect.signature(lm.lm_score).parameters.items()}
+    rounds, share = default["rounds"], default["share"]
+    for n in range(60):
+        assert sorted(i for r in range(rounds) for i in lm.places_of(n, r, share).tolist()) == sorted([*range(n)] * (rounds // share))
+
+
+def test_lm_defaults_learn_from_short_documents(spark):
+    got = lm.lm_score(frame(spark, [(i, "alpha beta") for i in range(4000)])).collect()
+    assert len(got) == 4000 and all(x["n_tokens"] == 2 and x["mean_log_likelihood"] > -3 for x in got)
+
+
 def test_lm_probabilities_sum_to_one():
     import numpy as np
 
