@@ -5,8 +5,11 @@ hidden layer sums one learned vector per window place and word, and a
 two-level softmax (class, then word in class) gives the conditional
 probability.  A document's score is the sum of its tokens' conditional log-probabilities.
 
-The vocabulary comes from word counts over all documents, rare words standing
-in for ``buckets`` classes of spelling.  The network is trained in numpy by rounds of
+The vocabulary comes from word counts over all documents: the words that occur
+at least ``often`` times the square root of the number of tokens, so that it grows with
+the corpus.  The network predicts one of ``buckets`` classes for any other word, and
+the word within its class has the probability of its letters, from last to first, by a
+model of four-letter windows counted over all rarer words of the corpus.  The network is trained in numpy by rounds of
 parameter averaging: every partition takes the same start, runs stochastic gradient
 steps on its own documents (a round takes every share-th place of a document, each from
 another offset, so that all rounds together take every place), and the parameters are
@@ -16,7 +19,9 @@ input, and the driver holds one set of parameters whatever its size.
 
 from __future__ import annotations
 
+import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -28,6 +33,7 @@ from .common import materialize
 
 TOKEN = re.compile(r"\w+|[^\w\s]")
 PLACES = (-3, -2, -1, 1, 2, 3)
+FIRST_CLASS, END = 0xF0000, chr(0x10FFFF)  # signs that stand for classes and for the end of a word
 EDGE = 0  # stands beyond both ends of a document
 BLOCK = 4096  # parameters in one row while averaging
 BATCH = 512  # places in a gradient step
@@ -37,27 +43,75 @@ def tokens_of(text: str | None) -> list[str]:
     return TOKEN.findall(text.lower()) if text else []
 
 
-class Vocabulary:
-    """Frequent words by falling count from number 1 + buckets on; others by a hash of their ends and length class."""
+def class_of(word: str, buckets: int) -> int:
+    """The number, from 1 on, of the class that stands for a word outside the vocabulary: a hash of its end and length class."""
+    return 1 + zlib.crc32(f"{word[-2:]}{min(len(word) // 4, 3)}".encode()) % buckets
+
+
+def letters_of(word: str, group: int) -> str:
+    """A word from last to first letter, after three signs of its class and before a sign of its end."""
+    return chr(FIRST_CLASS + group) * 3 + word[::-1] + END
+
+
+class Spelling:
+    """Probabilities of a word's letters given its class; windows: counts of four letters in a row.
+
+    A letter's share after three letters is mixed with that after two, one and
+    none, and at last with the same share for every code point, so all words sum to one in a class.
+    """
+
+    def __init__(self, windows: dict[str, int], weight: float = 2.0):
+        self.weight = weight
+        self.counts: Counter = Counter()
+        self.totals: Counter = Counter()
+        for w, n in windows.items():
+            for k in range(4):
+                self.counts[w[k:]] += n
+                self.totals[w[k:3]] += n
+        self.logs: dict[str, float] = {}
+
+    def letter(self, window: str) -> float:
+        p = 1 / 0x110000
+        for k in range(3, -1, -1):
+            p = (self.counts[window[k:]] + self.weight * p) / (self.totals[window[k:3]] + self.weight)
+        return math.log(p)
+
+    def __call__(self, word: str, group: int) -> float:
+        s, total = letters_of(word, group), 0.0
+        for i in range(len(s) - 3):
+            w = s[i : i + 4]
+            lp = self.logs.get(w)
+            if lp is None:
+                lp = self.logs[w] = self.letter(w)
+            total += lp
+        return total
+
 
-    def __init__(self, words: list[str], buckets: int):
-        import zlib
+class Vocabulary:
+    """Frequent words by falling count from number 1 + buckets on; others by their class, and spelt for the rest of their probability."""
 
-        self.buckets, self.crc = buckets, zlib.crc32
+    def __init__(self, words: list[str], buckets: int, spelling: Spelling | None = None):
+        self.buckets, self.spelling = buckets, spelling or Spelling({})
         self.ids = {w: 1 + buckets + i for i, w in enumerate(words)}
         self.size = 1 + buckets + len(words)
-        self.known = len(self.ids)
+        self.rare: dict[str, tuple[int, float]] = {}
 
-    def __call__(self, tokens: list[str]) -> np.ndarray:
-        get, ids = self.ids.get, []
+    def __call__(self, tokens: list[str]) -> tuple[np.ndarray, float]:
+        """Word numbers, and the log-probability of the rarer words within their classes."""
+        get, ids, spelt = self.ids.get, [], 0.0
         for t in tokens:
             i = get(t)
             if i is None:
-                i = 1 + self.crc(f"{t[-2:]}{min(len(t) // 4, 3)}".encode()) % self.buckets
-                if len(self.ids) < self.known + 200_000:
-                    self.ids[t] = i
+                known = self.rare.get(t)
+                if known is None:
+                    i = class_of(t, self.buckets)
+                    known = i, self.spelling(t, i)
+                    if len(self.rare) < 200_000:
+                        self.rare[t] = known
+                i = known[0]
+                spelt += known[1]
             ids.append(i)
-        return np.array(ids, dtype=np.int64)
+        return np.array(ids, dtype=np.int64), spelt
 
 
 def count_words(docs: DataFrame, text_col: str) -> DataFrame:
@@ -80,6 +134,41 @@ def count_words(docs: DataFrame, text_col: str) -> DataFrame:
     return docs.select(text_col).mapInArrow(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def choose_words(counts: DataFrame, words: int, often: float) -> tuple[list[str], DataFrame]:
+    """The vocabulary, by falling count, and (word, n) of the rarer words.  words is the least number of words taken, if there are so many."""
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    many = counts.filter(F.col("n") >= often * math.sqrt(total)).count()
+    taken = counts.orderBy(F.desc("n"), "word").limit(max(words, many)).collect()
+    if not taken:
+        return [], counts
+    last = taken[-1]
+    return [r["word"] for r in taken], counts.filter((F.col("n") < last["n"]) | ((F.col("n") == last["n"]) & (F.col("word") > last["word"])))
+
+
+def count_windows(rarer: DataFrame, buckets: int) -> dict[str, int]:
+    """Counts of four letters in a row over all occurrences of the rarer words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(counts):
+            return pa.RecordBatch.from_arrays([pa.array(list(counts)), pa.array(list(counts.values()), pa.int64())], ["window", "n"])
+
+        counts: dict[str, int] = {}
+        for batch in batches:
+            for word, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                s = letters_of(word, class_of(word, buckets))
+                for i in range(len(s) - 3):
+                    w = s[i : i + 4]
+                    counts[w] = counts.get(w, 0) + n
+            if len(counts) > 500_000:
+                yield out(counts)
+                counts = {}
+        if counts:
+            yield out(counts)
+
+    found = rarer.select("word", "n").mapInArrow(run, "window string, n bigint").groupBy("window").agg(F.sum("n").alias("n")).toArrow()
+    return dict(zip(found["window"].to_pylist(), found["n"].to_pylist()))
+
+
 class Network:
     """size words in classes of width; hidden units; parameters in one flat array."""
 
@@ -168,21 +257,22 @@ def contexts(ids: np.ndarray) -> np.ndarray:
     return np.stack([padded[reach + p : reach + p + len(ids)] for p in PLACES], axis=1)
 
 
-def encode_docs(docs: DataFrame, vocab: list[str], buckets: int, id_col: str, text_col: str) -> DataFrame:
-    """(id, ids): word numbers of every whole text, as little-endian 16-bit integers."""
+def encode_docs(docs: DataFrame, vocab: list[str], windows: dict[str, int], buckets: int, id_col: str, text_col: str) -> DataFrame:
+    """(id, ids, spelt): word numbers of every whole text, as little-endian 32-bit integers, and the log-probability of rarer words within their classes."""
     spark = docs.sparkSession
-    held = spark.sparkContext.broadcast(vocab)
+    held = spark.sparkContext.broadcast((vocab, windows))
     source = docs.select(id_col, text_col)
     id_type = source.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = Vocabulary(held.value, buckets)
+        encode = Vocabulary(held.value[0], buckets, Spelling(held.value[1]))
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([encode(tokens_of(t)).astype("<u2").tobytes() for t in part.column(1).to_pylist()], pa.binary())], ["id", "ids"])
+                done = [encode(tokens_of(t)) for t in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([ids.astype("<u4").tobytes() for ids, _ in done], pa.binary()), pa.array([x for _, x in done], pa.float64())], ["id", "ids", "spelt"])
 
-    return materialize(source.mapInArrow(run, f"id {id_type}, ids binary"))
+    return materialize(source.mapInArrow(run, f"id {id_type}, ids binary, spelt double"))
 
 
 def places_of(n: int, round_no: int, share: int) -> np.ndarray:
@@ -199,7 +289,7 @@ def average_round(encoded: DataFrame, size: int, hidden: int, flat: np.ndarray,
         seen, some_c, some_t, some = 0, [], [], 0
         for batch in batches:
             for raw in batch.column(0).to_pylist():
-                ids = np.frombuffer(raw, "<u2").astype(np.int64)
+                ids = np.frombuffer(raw, "<u4").astype(np.int64)
                 at = places_of(len(ids), round_no, share)
                 if not len(at):
                     continue
@@ -235,27 +325,26 @@ def average_round(encoded: DataFrame, size: int, hidden: int, flat: np.ndarray,
             yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([s[0] for s in sums.values()]), pa.array([s[1].astype(np.float32).tobytes() for s in sums.values()], pa.binary())], ["block", "seen", "part"])
 
     shape = "block int, seen double, part binary"
-    trained = encoded.select("ids").mapInArrow(run, shape).repartition("block").mapInArrow(mean, shape)
+    most = 8 * encoded.sparkSession.sparkContext.defaultParallelism  # parameters travel once a task
+    trained = encoded.select("ids").coalesce(most).mapInArrow(run, shape).repartition("block").mapInArrow(mean, shape)
     rows = sorted(trained.collect())
     return np.concatenate([np.frombuffer(r["part"], np.float32) / np.float32(r["seen"]) for r in rows]) if rows else flat
 
 
-def lm_score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 1500, buckets: int = 64, hidden: int = 24, rounds: int = 2, share: int = 2, rate: float = 0.7) -> DataFrame:
+def lm_score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 1500, often: float = 0.1, buckets: int = 64, hidden: int = 24, rounds: int = 2, share: int = 2, rate: float = 0.7) -> DataFrame:
     """(id, n_tokens, log_likelihood, mean_log_likelihood) for every document.
 
     Null, empty and blank texts have no tokens, a sum of 0 and no mean.
     Repeated rows are scored each; extra columns are ignored.  Sums run over
     every token of the whole text, and the network is trained on every place.
+    The vocabulary is all words with at least often * sqrt(tokens) occurrences, and no fewer than words.
     """
     if rounds % share:
         raise ValueError("rounds must be a multiple of share, so that every place is trained on equally often")
     spark = docs.sparkSession
-    counts = count_words(docs, text_col)
-    vocab = [r["word"] for r in counts.orderBy(F.desc("n"), "word").limit(words).collect()]
+    vocab, rarer = choose_words(materialize(count_words(docs, text_col)), words, often)
     size = 1 + buckets + len(vocab)
-    if size > 65_535:
-        raise ValueError("word numbers take 16 bits")
-    encoded = encode_docs(docs, vocab, buckets, id_col, text_col)
+    encoded = encode_docs(docs, vocab, count_windows(rarer, buckets), buckets, id_col, text_col)
     flat = Network(size, hidden).flat
     for r in range(rounds):
         flat = average_round(encoded, size, hidden, flat, round_no=r, share=share, rate=rate / (1 + r))
@@ -266,7 +355,7 @@ def lm_score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                ids = [np.frombuffer(b, "<u2").astype(np.int64) for b in part.column(1).to_pylist()]
+                ids = [np.frombuffer(b, "<u4").astype(np.int64) for b in part.column(1).to_pylist()]
                 flat_ids = np.concatenate(ids)
                 lp = np.zeros(len(flat_ids))
                 if len(flat_ids):
@@ -275,7 +364,7 @@ def lm_score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
                         lp[f : f + 16_384] = net.log_probability(where[f : f + 16_384], flat_ids[f : f + 16_384])
                 total = np.concatenate([[0.0], np.cumsum(lp)])
                 n = [len(i) for i in ids]
-                sums = [float(total[e] - total[e - k]) for e, k in zip(np.cumsum(n).tolist(), n)]
+                sums = [float(total[e] - total[e - k]) + x for e, k, x in zip(np.cumsum(n).tolist(), n, part.column(2).to_pylist())]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(sums, pa.float64()), pa.array([s / k if k else None for s, k in zip(sums, n)], pa.float64())], ["id", "n_tokens", "log_likelihood", "mean_log_likelihood"])
 
     id_type = encoded.schema["id"].dataType.simpleString()

@@ -499,6 +499,29 @@ def test_lm_defaults_learn_from_short_documents(spark):
     assert len(got) == 4000 and all(x["n_tokens"] == 2 and x["mean_log_likelihood"] > -3 for x in got)
 
 
+def test_lm_vocabulary_grows_with_the_corpus(spark):
+    few, many = (spark.createDataFrame([(f"w{i}", n * (60 - i)) for i in range(60)], "word string, n long") for n in (1, 100))
+    (a, rest_a), (b, rest_b) = lm.choose_words(few, 5, 1.0), lm.choose_words(many, 5, 1.0)
+    assert a == [f"w{i}" for i in range(18)] and b == [f"w{i}" for i in range(56)]
+    assert rest_a.count() == 42 and rest_b.count() == 4
+    assert len(lm.choose_words(few, 30, 1.0)[0]) == 30
+
+
+def test_lm_rare_words_are_scored_by_their_letters(spark):
+    r = random.Random(3)
+    stems = ["".join(r.choice("bdklmnrst") + r.choice("aeiou") for _ in range(3)) for _ in range(60)]
+    rows = [(i, " ".join(["the", r.choice(stems) + "ng", "the"])) for i in range(600)] + [(900, "the " + stems[0] + "ng the"), (901, "the xqzjvwng the")]
+    got = {x["doc_id"]: x["log_likelihood"] for x in lm.lm_score(frame(spark, rows), words=1, often=5.0).collect()}
+    assert got[901] < got[900] - 1
+
+
+def test_lm_letters_sum_to_one():
+    spell = lm.Spelling({s[i : i + 4]: 3 for w in ("abc", "xbc") for s in [lm.letters_of(w, 5)] for i in range(len(s) - 3)})
+    seen = {*"abcx", lm.END}
+    unseen = (0x110000 - len(seen)) * math.exp(spell.letter("\U000f0005\U000f0005c?"))
+    assert abs(sum(math.exp(spell.letter("\U000f0005\U000f0005c" + c)) for c in seen) + unseen - 1) < 1e-9
+
+
 def test_lm_probabilities_sum_to_one():
     import numpy as np
 
