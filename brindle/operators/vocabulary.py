@@ -40,6 +40,32 @@ def title_neighbors(tokens: DataFrame, *, rare: int = 6, most_df: int = 1000, po
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
+def product_neighbors(titles: DataFrame, *, rare: int = 6, most_df: int = 1000, posting_cap: int = 256, k: int = 8) -> DataFrame:
+    """(doc_id, neighbor, similarity, rank): idf-weighted Jaccard over all tokens of titles (doc_id, tokens).
+
+    Every title asks with its rare rarest tokens that other titles share and at
+    most most_df hold.  Only the candidates are capped: each of those tokens
+    offers the posting_cap smallest ids of all titles that hold it.
+    """
+    n = titles.agg(F.count(F.lit(1)).alias("n_docs"))
+    tokens = titles.select("doc_id", F.explode(F.array_distinct("tokens")).alias("token"))
+    df = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    weighted = tokens.join(df, "token").crossJoin(F.broadcast(n)).withColumn("idf", F.log1p(F.col("n_docs") / F.col("df")))
+    whole = weighted.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("token", "idf"))).alias("w"))
+    whole = whole.withColumn("total", F.aggregate("w", F.lit(0.0), lambda acc, x: acc + x["idf"]))
+    tellers = weighted.filter((F.col("df") > 1) & (F.col("df") <= most_df))
+    asks = tellers.withColumn("i", F.row_number().over(Window.partitionBy("doc_id").orderBy("df", "token"))).filter(F.col("i") <= rare).select("doc_id", "token")
+    cap = F.row_number().over(Window.partitionBy("token").orderBy("doc_id"))
+    pool = tellers.withColumn("p", cap).filter(F.col("p") <= posting_cap).select("token", F.col("doc_id").alias("neighbor"))
+    pairs = asks.join(pool, "token").filter("doc_id <> neighbor").select("doc_id", "neighbor").distinct()
+    other = whole.select(F.col("doc_id").alias("neighbor"), F.col("w.token").alias("held"), F.col("total").alias("other"))
+    both = pairs.join(whole, "doc_id").join(other, "neighbor")
+    shared = F.aggregate(F.filter("w", lambda x: F.array_contains(F.col("held"), x["token"])), F.lit(0.0), lambda acc, x: acc + x["idf"])
+    scored = both.withColumn("shared", shared).select("doc_id", "neighbor", F.round(F.col("shared") / (F.col("total") + F.col("other") - F.col("shared")), 9).alias("similarity"))
+    order = Window.partitionBy("doc_id").orderBy(F.desc("similarity"), "neighbor")
+    return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+
+
 def contrasts(neighbors: DataFrame, facts: DataFrame) -> DataFrame:
     """(doc_id, attribute, value, neighbors, support): a document's facts (doc_id, attribute, value) that fewer than half of its neighbours share."""
     count = neighbors.groupBy("doc_id").agg(F.count(F.lit(1)).alias("neighbors"))

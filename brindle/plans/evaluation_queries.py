@@ -248,6 +248,36 @@ def contrast_differences(spark, sf_dir):
     return voc.contrasts(n, tokens.select("doc_id", F.lit("term").alias("attribute"), F.col("token").alias("value")))
 
 
+PRODUCT_NEIGHBORS = f"""pt AS (SELECT DISTINCT doc_id, token FROM (SELECT p_partkey AS doc_id, unnest({terms_sql('p_name')}) AS token FROM part)),
+    pd AS (SELECT token, count(*) AS df FROM pt GROUP BY 1),
+    pw AS (SELECT doc_id, token, df, ln(1 + (SELECT count(*) FROM part) / df) AS idf FROM pt JOIN pd USING (token)),
+    ps AS (SELECT doc_id, sum(idf) AS total FROM pw GROUP BY 1),
+    pa AS (SELECT doc_id, token FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY df, token) AS i FROM pw WHERE df BETWEEN 2 AND 1000) WHERE i <= 6),
+    pp AS (SELECT doc_id, token FROM (SELECT *, row_number() OVER (PARTITION BY token ORDER BY doc_id) AS p FROM pw WHERE df BETWEEN 2 AND 1000) WHERE p <= 256),
+    pc AS (SELECT DISTINCT pa.doc_id, pp.doc_id AS neighbor FROM pa JOIN pp USING (token) WHERE pa.doc_id <> pp.doc_id),
+    ph AS (SELECT pc.doc_id, neighbor, sum(a.idf) AS shared FROM pc JOIN pw a ON a.doc_id = pc.doc_id JOIN pt b ON b.doc_id = neighbor AND b.token = a.token GROUP BY 1, 2),
+    pb AS (SELECT ph.doc_id, neighbor, round(shared / (x.total + y.total - shared), 9) AS similarity FROM ph JOIN ps x ON x.doc_id = ph.doc_id JOIN ps y ON y.doc_id = neighbor),
+    pr AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY similarity DESC, neighbor) AS rank FROM pb) WHERE rank <= 8)"""
+
+
+def _product_neighbors(spark, sf_dir):
+    titles = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), F.array_distinct(terms("p_name")).alias("tokens"))
+    return titles, voc.product_neighbors(titles)
+
+
+@query(f"WITH {PRODUCT_NEIGHBORS} SELECT doc_id, neighbor, round(similarity, 6) AS similarity, rank FROM pr")
+def product_neighbors(spark, sf_dir):
+    return _product_neighbors(spark, sf_dir)[1].withColumn("similarity", F.round("similarity", 6))
+
+
+@query(f"""WITH {PRODUCT_NEIGHBORS}, c AS (SELECT doc_id, count(*) AS neighbors FROM pr GROUP BY 1),
+    s AS (SELECT t.doc_id, t.token AS value, c.neighbors, count(o.token) AS support FROM pt t JOIN c USING (doc_id) JOIN pr ON pr.doc_id = t.doc_id LEFT JOIN pt o ON o.doc_id = pr.neighbor AND o.token = t.token GROUP BY 1, 2, 3)
+    SELECT doc_id, 'term' AS attribute, value, neighbors, support FROM s WHERE support * 2 < neighbors""")
+def product_contrasts(spark, sf_dir):
+    titles, n = _product_neighbors(spark, sf_dir)
+    return voc.contrasts(n, titles.select("doc_id", F.lit("term").alias("attribute"), F.explode("tokens").alias("value")))
+
+
 @query("SELECT p_brand AS store, sha256(string_agg(p_partkey || ':' || p_name, chr(10) ORDER BY p_partkey)) AS fingerprint, count(*) AS n FROM part GROUP BY 1")
 def catalog_fingerprint(spark, sf_dir):
     rows = table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("store")).agg(F.array_sort(F.collect_list(F.struct("p_partkey", "p_name"))).alias("r"), F.count(F.lit(1)).alias("n"))

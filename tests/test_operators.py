@@ -136,3 +136,13 @@ def test_title_neighbors(spark):
     t = spark.createDataFrame([(1, "a"), (1, "b"), (2, "a"), (2, "b"), (3, "a"), (3, "z")], "doc_id long, token string")
     got = {(x["doc_id"], x["neighbor"]): x["similarity"] for x in voc.title_neighbors(t).collect()}
     assert got[1, 2] == 1.0 and 0 < got[1, 3] < 1
+
+
+def test_product_neighbors_cap_candidates_and_not_askers(spark):
+    t = spark.createDataFrame([(i, ["common", f"own{i}"]) for i in range(300)] + [(300, ["common", "far"]), (301, ["far", "own7", "own7"])], "doc_id long, tokens array<string>")
+    got = voc.product_neighbors(t).collect()
+    of = {d: [(x["neighbor"], x["similarity"]) for x in sorted(got, key=lambda x: x["rank"]) if x["doc_id"] == d] for d in range(302)}
+    assert all(len(of[d]) == 8 for d in range(301)) and max(n for d in of for n, _ in of[d]) > 255
+    idf = {"common": math.log1p(302 / 301), "own7": math.log1p(302 / 2), "far": math.log1p(302 / 2), "own299": math.log1p(302)}
+    assert of[299][0] == (7, round(idf["common"] / (idf["common"] + idf["own299"] + idf["own7"]), 9))
+    assert of[301] == [(7, round(idf["own7"] / (idf["own7"] + idf["far"] + idf["common"]), 9)), (300, round(idf["far"] / (idf["own7"] + idf["far"] + idf["common"]), 9))]
