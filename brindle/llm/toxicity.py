@@ -10,7 +10,9 @@ document; the sum and maximum of the marginals go through a logistic
 calibration to the document's score, and tokens with a marginal of at least
 one half are the offending spans.
 
-The fit uses at most ``max_train`` labelled documents, taken in hash order.
+The fit uses at most ``max_train`` labelled documents, taken in hash order, each with its whole text.
+The field's weights come from all toxic ones of them and, in the order of their ids, from the first
+3 * toxic + 50 clean ones; word frequencies and the calibration come from all.
 """
 
 from __future__ import annotations
@@ -138,12 +140,13 @@ class Adam:
         return out
 
 
-def fit(texts: list[str | None], toxic: list[int], *, epochs: int = 25, least_docs: int = 4, least_share: float = 0.02, lift: float = 8.0, train_tokens: int = 3000) -> Field:
+def fit(texts: list[str | None], toxic: list[int], *, epochs: int = 25, least_docs: int = 4, least_share: float = 0.02, lift: float = 8.0) -> Field:
     """Fit on labelled documents.  With no toxic or no clean document every score is the base rate."""
     first = {(t or "").lower(): i for i, t in reversed(list(enumerate(texts)))}  # copies must not make their words look common
     texts, toxic = [texts[i] for i in sorted(first.values())], [toxic[i] for i in sorted(first.values())]
     y = np.array(toxic, dtype=float)
-    words = [TOKEN.findall((t or "").lower()) for t in texts]
+    same: dict[str, str] = {}  # one string for all places of a word
+    words = [[same.setdefault(w, w) for w in TOKEN.findall((t or "").lower())] for t in texts]
     bad_df, ok_df = Counter(), Counter()
     for ws, label in zip(words, toxic):
         (bad_df if label else ok_df).update({f for w in set(ws) for f in (("w" + w), ("4" + w[:4]), ("5" + w[:5]))})
@@ -153,7 +156,7 @@ def fit(texts: list[str | None], toxic: list[int], *, epochs: int = 25, least_do
     clean = [i for i in range(len(texts)) if not toxic[i]][: 3 * int(y.sum()) + 50]
     used = sorted([i for i in range(len(texts)) if toxic[i]] + clean)
     types: dict[str, int] = {}
-    seqs = [np.array([types.setdefault(w, len(types)) for w in words[i][:train_tokens]], dtype=np.int64) for i in used]
+    seqs = [np.array([types.setdefault(w, len(types)) for w in words[i]], dtype=np.int64) for i in used]
     names = list(types)
     index: dict[str, int] = {}
     rows = np.array([[index.setdefault(f, len(index)) for f in features(w)] for w in names], dtype=np.int64).reshape(-1, 4)

@@ -464,6 +464,16 @@ def test_special_token_text_is_ordinary():
         assert packing.encoder(tokenizer_path())(s) == t.encode(s, add_special_tokens=False).ids
 
 
+# ---- toxicity of long documents
+
+
+def test_toxicity_fit_reads_whole_texts():
+    r = random.Random(6)
+    plain = [" ".join(r.choice(["stone", "river", "cloud", "meadow"]) for _ in range(3100)) for _ in range(24)]
+    field = tox.fit([t + " vilegrot vilegrot" if i % 2 else t for i, t in enumerate(plain)], [i % 2 for i in range(24)])
+    assert field.weights["wvilegrot"] > 0 and field.scorer()("vilegrot") > field.scorer()("stone")
+
+
 # ---- language model
 
 
