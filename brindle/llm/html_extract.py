@@ -35,6 +35,7 @@ MARKED = re.compile(r"(?i)(?:^|[\s_-])(ad|ads|advert\w*|banner|sponsor\w*|promo\
 #: names that speak of something elsewhere on the page
 STATE = re.compile(r"(?i)(?:^|(?<=\s))(?:no|has|with|without)-\S+")
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<![^>]*(?:>|$)|<\?[^>]*(?:>|$)|</?[A-Za-z](?:[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*(?:>|$)|[^<]+|<", re.S)
+CODE_END = {tag: re.compile(f"(?i)</{tag}") for tag in ("script", "style")}
 ATTRIBUTE = re.compile(r"(?i)[\s\"'](?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
 SPACE = re.compile(r"\s+")
 WORDS = re.compile(r"[^\W\d_]+")
@@ -53,13 +54,12 @@ def blocks_of(page: str) -> list[Block]:
     stack: list[tuple[str, bool, bool, int]] = []  # tag, dropped, main, section
     sections, links, raw = 0, 0, None
     current: Block | None = None
-    for m in TOKEN.finditer(page):
-        token = m.group()
+    at = 0
+    while m := TOKEN.match(page, at):
+        token, at = m.group(), m.end()
         if raw:
             if token[:2] == "</" and token[2 : 2 + len(raw)].lower() == raw:
                 raw = None
-            elif raw in ("script", "style") and (at := token.lower().find(f"</{raw}")) >= 0:
-                raw = None  # the end tag stands inside a quoted part
             continue
         if token[0] != "<" or token == "<":
             if current is None:
@@ -75,6 +75,9 @@ def blocks_of(page: str) -> list[Block]:
         tag = re.match(r"[A-Za-z][^\s/>]*", token[2 if closing else 1 :]).group().lower()
         if tag in RAW_TAGS:
             raw = None if closing or token.endswith("/>") else tag
+            if raw in CODE_END:  # code has no tags or quotes of the page
+                end = CODE_END[raw].search(page, at)
+                at = end.start() if end else len(page)
             continue
         if tag == "a":
             links = 0 if closing else 1

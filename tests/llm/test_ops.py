@@ -464,6 +464,15 @@ def test_special_token_text_is_ordinary():
         assert packing.encoder(tokenizer_path())(s) == t.encode(s, add_special_tokens=False).ids
 
 
+# ---- text after code
+
+
+def test_extract_keeps_text_after_unpaired_quotes_in_code():
+    for code in ("<script>if(a<b){x()} // don't</script>", "<SCRIPT>if(a<b){x('\"')} // \"</SCRIPT >", "<style>a<b{} /* isn't */</style>"):
+        found = he.blocks_of(f"<html><body>{code}<article><p>The story stands here.</p></article></body></html>")
+        assert [("".join(b.text), b.label) for b in found] == [("The story stands here.", None)]
+
+
 # ---- toxicity of long documents
 
 
