@@ -24,12 +24,26 @@ def ascii_lower(col: Column) -> Column:
     return F.translate(col, UPPER, LOWER)
 
 
+def fresh(columns: list[str], *names: str) -> list[str]:
+    """The names, lengthened until no input column has them."""
+    taken = {c.lower() for c in columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: what the cluster names in spark.checkpoint.dir; a temporary one only where that is unset (tests, local runs)."""
+    """The folder all executors share: what the cluster names in spark.checkpoint.dir.  A temporary one only where that is unset and the session is local (tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not named:
         named = spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         named = tempfile.mkdtemp(prefix="brindle-")
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
