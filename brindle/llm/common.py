@@ -57,6 +57,22 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def placed(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, bool]:
+    """(doc, id, text) of every row, doc being a different number for every row that ascends with the id; and whether doc differs from id.
+
+    Where ids are unique and not null, doc is the id and nothing is moved.  Otherwise
+    null ids come last and rows with equal ids follow one another by a hash of their texts; (id, hash, row) is
+    sorted by ranges, so a frequent id does not stay in one task, and the number is the place in that order.
+    """
+    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    if not source.groupBy("id").agg(F.count(F.lit(1)).alias("c")).filter("c > 1 OR id IS NULL").limit(1).count():
+        return source.select(F.col("id").alias("doc"), "id", "text"), False
+    rows = materialize(source.withColumn("row", F.monotonically_increasing_id()))
+    order = rows.select("id", F.xxhash64("text").alias("h"), "row").orderBy(F.asc_nulls_last("id"), "h", "row")
+    numbers = materialize(order.select("row", F.monotonically_increasing_id().alias("doc")))
+    return materialize(rows.join(numbers, "row").select("doc", "id", "text")), True
+
+
 def crc_fold(doc_id) -> int:
     """crc32 of an id written as decimal text."""
     return zlib.crc32(str(doc_id).encode())

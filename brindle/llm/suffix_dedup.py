@@ -8,16 +8,17 @@ span-byte prefixes meet:
 1. Every span-byte window elects an anchor, its gram of the least hash (a
    minimizer).  Equal windows elect equal anchors at equal places, so windows
    need comparing only within an anchor's bucket.  Consecutive windows with one
-   anchor travel as one row with a hash of the bytes that they cover.
-2. Rows of a bucket that cover the same bytes as an earlier one are later copies
-   outright, first within the batch that reads them, then in the bucket.
-   Buckets with one covering text end here.
-3. For the others the covered bytes are fetched, a suffix array to the depth of
-   span bytes is built by prefix doubling, and the longest previous factors
-   follow from the previous smaller positions in suffix order: a window with an
-   earlier equal one is removed.  Buckets with more than ``hot`` covering
-   texts are settled by window instead: windows are hashed, the first place of
-   each is found by a grouping with map-side combining and joined back.
+   anchor travel as one row with a 128-bit BLAKE2 digest of the bytes that they cover.
+2. A bucket holds each different covering text once, at its first place; rows with an equal
+   digest are that text at later places, where every window is a later copy.  Buckets with one
+   covering text have nothing else to compare.
+3. For the others the covered bytes are fetched.  Their suffix array is built by prefix doubling, the common
+   prefixes of neighbours in it by lifting over the doubled ranks, and the previous and next smaller positions
+   (the nearest suffixes on both sides in suffix order that start earlier in the corpus) by pointer jumping.  A suffix's
+   longest previous factor is the longer of the common prefixes with these two; a window whose factor
+   is span bytes long is removed.  Lengths are counted up to span, which is all the rule asks.
+4. Buckets with more than ``hot`` covering texts are dealt once more, each window by its own hash, after the
+   longest previous factors within each batch of texts have removed what they can; then as in 3.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import materialize, mix64
+from .common import hash_strings, materialize, mix64, placed
 from .ngram_join import _bounded_runs, _runs
 
 GRAM = 24
@@ -56,16 +57,13 @@ class Roller:
     def all(self, width: int) -> np.ndarray:
         return mix64((self.sums[width:] - self.sums[:-width]) * Roller.back[: len(self.sums) - width])
 
-    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix64((self.sums[end] - self.sums[start]) * Roller.back[start])
-
 
 def anchors(data: np.ndarray, ends: np.ndarray, span: int) -> tuple[np.ndarray, ...]:
-    """(gram hash, covered-bytes hash, first window, windows, anchor's place in the first window) of documents laid end to end."""
+    """(gram hash, first window, windows) of documents laid end to end; a row for each run of windows with one anchor."""
     none = np.zeros(0, np.int64)
     width = span - GRAM + 1
     if len(data) < span:
-        return none, none, none, none, none
+        return none, none, none
     roll = Roller(data)
     grams = roll.all(GRAM)
     place = np.uint64((1 << 24) - 1)
@@ -82,13 +80,18 @@ def anchors(data: np.ndarray, ends: np.ndarray, span: int) -> tuple[np.ndarray,
         valid[max(0, e - span + 1) : e] = False
     at = at[valid]
     if not len(at):
-        return none, none, none, none, none
+        return none, none, none
     anchor = (low[valid] & place).astype(np.int64)
     first = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
     last = np.concatenate([first[1:], [len(at)]]) - 1
-    s0, s1, p = at[first], at[last], anchor[first]
-    cover = mix64(roll.of(s0, s1 + span) ^ mix64(((p - s0) * 256 + (s1 - s0)).astype(np.uint64)))
-    return grams[p].view(np.int64), cover.view(np.int64), s0, s1 - s0 + 1, p - s0
+    s0, s1 = at[first], at[last]
+    return grams[anchor[first]].view(np.int64), s0, s1 - s0 + 1
+
+
+def digests(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """128-bit digests of pieces, as two columns of 64 bits."""
+    held, blake = data.tobytes(), hashlib.blake2b
+    return np.frombuffer(b"".join([blake(held[s:e], digest_size=16).digest() for s, e in zip(start.tolist(), end.tolist())]), np.int64).reshape(-1, 2)
 
 
 def merge(start: np.ndarray, end: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -132,8 +135,11 @@ def _slices(ids: list, texts: list) -> Iterator[tuple[np.ndarray, np.ndarray, np
         yield out()
 
 
+_ROW = ("key", "cover", "more", "doc", "start", "meta")
+
+
 def anchor_rows(docs: DataFrame, span: int) -> DataFrame:
-    """(key, cover, doc, start, meta) of docs (id, text).  meta >= 0: place of the anchor * 256 + windows; meta < 0: a settled span of -meta bytes."""
+    """(key, cover, more, doc, start, meta) of docs (doc, text); cover and more are the digest.  meta > 0: windows in a row; meta < 0: a settled span of -meta bytes."""
     if span != 100:
         raise ValueError("parts of long documents overlap by 99 bytes: span must be 100")
 
@@ -141,26 +147,29 @@ def anchor_rows(docs: DataFrame, span: int) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 2048):
                 part = batch.slice(at, 2048)
-                rows = [[], [], [], [], []]
+                rows = [[], [], [], [], [], []]
                 for data, ends, ids, shift in _slices(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    key, cover, s0, n, left = anchors(data, ends, span)
+                    key, s0, n = anchors(data, ends, span)
                     if len(key):
                         number = np.searchsorted(ends, s0, "right")
                         base = np.concatenate([[0], ends[:-1]])[number]
-                        for k, x in enumerate((key, cover, ids[number], s0 - base + shift[number], left * 256 + n)):
+                        both = digests(data, s0, s0 + n + span - 1)
+                        for k, x in enumerate((key, both[:, 0], both[:, 1], ids[number], s0 - base + shift[number], n)):
                             rows[k].append(x)
                 if not rows[0]:
                     continue
-                key, cover, doc, start, meta = (np.concatenate(x) for x in rows)
-                order = np.lexsort((start, doc, cover, key))
+                key, cover, more, doc, start, meta = (np.concatenate(x) for x in rows)
+                order = np.lexsort((start, doc, cover))
                 again = np.zeros(len(order), bool)
-                again[1:] = (key[order[1:]] == key[order[:-1]]) & (cover[order[1:]] == cover[order[:-1]])
+                again[1:] = (cover[order[1:]] == cover[order[:-1]]) & (more[order[1:]] == more[order[:-1]])
                 kept, later = order[~again], order[again]
-                s, e, d = merge(start[later], start[later] + (meta[later] & 255) + span - 1, doc[later])
-                key = np.concatenate([key[kept], mix64(d.view(np.uint64) + np.uint64(1)).view(np.int64) ^ s])
-                yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(np.concatenate([cover[kept], np.zeros(len(d), np.int64)])), pa.array(np.concatenate([doc[kept], d]), pa.int64()), pa.array(np.concatenate([start[kept], s]), pa.int64()), pa.array(np.concatenate([meta[kept], s - e]), pa.int64())], ["key", "cover", "doc", "start", "meta"])
+                s, e, d = merge(start[later], start[later] + meta[later] + span - 1, doc[later])
+                none = np.zeros(len(d), np.int64)
+                spread = mix64(d.view(np.uint64) + np.uint64(1)).view(np.int64) ^ s  # settled spans go anywhere
+                cols = (np.concatenate([x, y]) for x, y in ((key[kept], spread), (cover[kept], none), (more[kept], none), (doc[kept], d), (start[kept], s), (meta[kept], s - e)))
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in cols], _ROW)
 
-    return docs.mapInArrow(run, "key bigint, cover bigint, doc bigint, start bigint, meta bigint")
+    return docs.mapInArrow(run, ", ".join(f"{c} bigint" for c in _ROW))
 
 
 def settle_buckets(rows: DataFrame, span: int, hot: int, most: int = 1_000_000) -> DataFrame:
@@ -170,69 +179,112 @@ def settle_buckets(rows: DataFrame, span: int, hot: int, most: int = 1_000_000)
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for cut, (key, cover, doc, start, meta) in _bounded_runs(batches, most):
+        for cut, (key, cover, more, doc, start, meta) in _bounded_runs(batches, most):
             ready = meta < 0
-            k, c, d, s, m = (x[~ready] for x in (key, cover, doc, start, meta))
+            k, c, m2, d, s, m = (x[~ready] for x in (key, cover, more, doc, start, meta))
             order = np.lexsort((s, d, c, k))
-            k, c, d, s, m = k[order], c[order], d[order], s[order], m[order]
-            same = np.zeros(len(k), bool)
-            same[1:] = k[1:] == k[:-1]
-            later = same.copy()
-            later[1:] &= c[1:] == c[:-1]
+            k, c, m2, d, s, m = k[order], c[order], m2[order], d[order], s[order], m[order]
+            later = np.zeros(len(k), bool)
+            later[1:] = (k[1:] == k[:-1]) & (c[1:] == c[:-1]) & (m2[1:] == m2[:-1])
             fk, fd, fs, fm = k[~later], d[~later], s[~later], m[~later]
             heads = np.flatnonzero(np.concatenate([[True], fk[1:] != fk[:-1]])) if len(fk) else np.zeros(0, np.int64)
             size = np.diff(np.concatenate([heads, [len(fk)]]))
             many = np.repeat(size, size)
             check = (many > 1) | cut
             ck = np.where((many[check] > hot) | cut, 0, fk[check])
-            ss, se, sd = merge(np.concatenate([s[later], start[ready]]), np.concatenate([s[later] + (m[later] & 255) + span - 1, start[ready] - meta[ready]]), np.concatenate([d[later], doc[ready]]))
+            ss, se, sd = merge(np.concatenate([s[later], start[ready]]), np.concatenate([s[later] + m[later] + span - 1, start[ready] - meta[ready]]), np.concatenate([d[later], doc[ready]]))
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (np.concatenate([ck, np.ones(len(ss), np.int64)]), np.concatenate([fd[check], sd]), np.concatenate([fs[check], ss]), np.concatenate([fm[check], ss - se]))], ["key", "doc", "start", "meta"])
 
     return rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, "key bigint, doc bigint, start bigint, meta bigint")
 
 
-def longest_previous(data: np.ndarray, starts: np.ndarray, order: np.ndarray, span: int) -> np.ndarray:
-    """For suffixes at starts of data (each with span bytes left): the number, in starts, of the nearest earlier one (by order) whose first span bytes are equal, or -1.
+def suffix_array(data: np.ndarray, starts: np.ndarray, order: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:
+    """(numbers in starts by their suffixes' first span bytes, then by order; common prefix with the one before, at most span).
 
-    The suffix array is sorted to a depth of span bytes by prefix doubling.
-    Within a run of common prefixes of span bytes or more, suffixes
-    stand by their place in the corpus, so the previous smaller position in
-    suffix order is the neighbour before.
+    Every start has span bytes left.  Ranks are doubled from 8 bytes on; the common prefix of two neighbours adds up the
+    widths, from the widest down, at which their ranks agree.
     """
     padded = np.concatenate([data, np.zeros(8, np.uint8)])
     rank = np.zeros(len(data), np.uint64)
     for k in range(8):
         rank = (rank << np.uint64(8)) | padded[k : k + len(data)]
-    rank = np.unique(rank, return_inverse=True)[1].astype(np.int64)
-    depth = 8
-    while depth * 2 <= span:
-        pair = rank[:-depth] * np.int64(len(data)) + rank[depth:]
-        rank = np.unique(pair, return_inverse=True)[1].astype(np.int64)
-        depth *= 2
+    ranks = [(8, np.unique(rank, return_inverse=True)[1])]
+    while ranks[-1][0] * 2 <= span:
+        depth, rank = ranks[-1]
+        ranks.append((depth * 2, np.unique(rank[:-depth] * np.int64(len(data)) + rank[depth:], return_inverse=True)[1]))
+    depth, rank = ranks[-1]
     deep = rank[starts] if depth == span else rank[starts] * np.int64(len(data)) + rank[starts + span - depth]
-    suffix_order = np.lexsort((order, deep))
-    out = np.full(len(starts), -1, np.int64)
-    equal = np.zeros(len(starts), bool)
-    equal[1:] = deep[suffix_order[1:]] == deep[suffix_order[:-1]]
-    where = np.flatnonzero(equal)
-    out[suffix_order[where]] = suffix_order[where - 1]
+    line = np.lexsort((order, deep))
+    common = np.zeros(len(line), np.int64)
+    if len(line) > 1:
+        same = np.flatnonzero(deep[line[1:]] == deep[line[:-1]]) + 1
+        common[same] = span
+        part = np.flatnonzero(deep[line[1:]] != deep[line[:-1]]) + 1
+        a, b, n = starts[line[part - 1]], starts[line[part]], np.zeros(len(part), np.int64)
+        for depth, rank in reversed(ranks):
+            fits = n + depth <= span
+            x, y = np.where(fits, a + n, 0), np.where(fits, b + n, 0)
+            n += depth * (fits & (rank[x] == rank[y]))
+        left = np.arange(len(part))
+        for _ in range(7):
+            left = left[n[left] < span]
+            left = left[data[a[left] + n[left]] == data[b[left] + n[left]]]
+            n[left] += 1
+        common[part] = n
+    return line, common
+
+
+def previous_smaller(place: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each entry the nearest entry before it of a smaller place (-1: none), and the least of common on the way; common[i] lies between i - 1 and i.
+
+    All entries jump at once: whoever meets a greater place goes on to where that one has got.  Between an entry and where it stands all places are greater.
+    """
+    at, least = np.arange(-1, len(place) - 1), common.copy()
+    least[:1] = 0
+    going = np.arange(len(place))
+    while len(going):
+        going = going[(at[going] >= 0) & (least[going] > 0)]
+        going = going[place[at[going]] > place[going]]
+        via = at[going]
+        at[going], least[going] = at[via], np.minimum(least[going], least[via])
+    return np.where(least > 0, at, -1), least
+
+
+def longest_previous(data: np.ndarray, starts: np.ndarray, order: np.ndarray, span: int) -> np.ndarray:
+    """Lengths, up to span, of the longest previous factors of the suffixes at starts: the longest prefix that also starts at a place of a lower order."""
+    line, common = suffix_array(data, starts, order, span)
+    place = order[line]
+    _, before = previous_smaller(place, common)
+    turned = np.concatenate([common[:1] * 0, common[1:][::-1]])
+    _, behind = previous_smaller(place[::-1], turned)
+    out = np.empty(len(line), np.int64)
+    out[line] = np.maximum(before, behind[::-1])
     return out
 
 
+def _windows(doc: np.ndarray, start: np.ndarray, n: np.ndarray, held: list[bytes], span: int) -> tuple[np.ndarray, ...]:
+    """(row, place in its document, place in the joined bytes, longest previous factor) of every window of the covering texts."""
+    sizes = n + span - 1
+    base = np.cumsum(sizes) - sizes
+    row = np.repeat(np.arange(len(n)), n)
+    inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    where = start[row] + inner
+    order = np.empty(len(row), np.int64)
+    order[np.lexsort((where, doc[row]))] = np.arange(len(row))
+    data = np.frombuffer(b"".join(held), np.uint8)
+    return row, where, base[row] + inner, longest_previous(data, base[row] + inner, order, span)
+
+
+_TEXTS = "key bigint, doc bigint, start bigint, n bigint, held binary"
+
+
 def _compare(texts: DataFrame, span: int) -> DataFrame:
     """(doc, start, end) of the removed windows of rows (key, doc, start, n, bytes)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, doc, start, n, held in _runs(batches, 1):
-            data = np.frombuffer(b"".join(held.tolist()), np.uint8)
-            sizes = n + span - 1
-            base = np.cumsum(sizes) - sizes
-            row = np.repeat(np.arange(len(n)), n)
-            inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            where = start[row] + inner
-            order = np.empty(len(row), np.int64)
-            order[np.lexsort((where, doc[row]))] = np.arange(len(row))
-            gone = longest_previous(data, base[row] + inner, order, span) >= 0
+            row, where, _, factor = _windows(doc, start, n, held.tolist(), span)
+            gone = factor >= span
             s, e, d = merge(where[gone], where[gone] + span, doc[row][gone])
             if len(s):
                 yield pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(s, pa.int64()), pa.array(e, pa.int64())], ["doc", "start", "end"])
@@ -240,35 +292,37 @@ def _compare(texts: DataFrame, span: int) -> DataFrame:
     return texts.repartition("key").sortWithinPartitions("key").mapInArrow(run, "doc bigint, start bigint, end bigint")
 
 
-def _by_window(texts: DataFrame, span: int) -> DataFrame:
-    """The same for rows of hot buckets, by grouping window hashes."""
+def _by_window(texts: DataFrame, span: int, size: int = 256) -> DataFrame:
+    """Rows of hot buckets dealt anew: (key, doc, start, n, held), a row for each window that nothing in its batch of texts precedes, under its own hash; n < 0: a settled span of -n bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            doc, start, n, held = (c.to_numpy(zero_copy_only=False) for c in batch.columns[1:])
-            if not len(doc):
-                continue
-            digests = [hashlib.blake2b(b[i : i + span], digest_size=16).digest() for b, k in zip(held.tolist(), n.tolist()) for i in range(k)]
-            row = np.repeat(np.arange(len(n)), n)
-            inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(doc[row], pa.int64()), pa.array(start[row] + inner, pa.int64())], ["w", "doc", "start"])
+            for f in range(0, batch.num_rows, size):
+                doc, start, n, held = (c.to_numpy(zero_copy_only=False) for c in batch.slice(f, size).columns[1:])
+                row, where, at, factor = _windows(doc, start, n, held.tolist(), span)
+                gone = factor >= span
+                s, e, d = merge(where[gone], where[gone] + span, doc[row][gone])
+                data = b"".join(held.tolist())
+                left = [data[i : i + span] for i in at[~gone].tolist()]
+                key = hash_strings(left).view(np.int64)
+                cols = [pa.array(np.concatenate([x, y]), pa.int64()) for x, y in ((key, s * 0), (doc[row][~gone], d), (where[~gone], s), (np.ones(len(left), np.int64), s - e))]
+                yield pa.RecordBatch.from_arrays([*cols, pa.array([*left, *[None] * len(s)], pa.binary())], ["key", "doc", "start", "n", "held"])
 
-    windows = texts.mapInArrow(run, "w binary, doc bigint, start bigint")
-    first = windows.groupBy("w").agg(F.min(F.struct("doc", "start")).alias("first"))
-    later = windows.join(first, "w").filter(F.struct("doc", "start") > F.col("first"))
-    return later.select("doc", "start", (F.col("start") + span).alias("end"))
+    return texts.mapInArrow(run, _TEXTS)
 
 
 def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", span: int = 100, hot: int = 20_000) -> DataFrame:
-    """(doc_id, text, spans) for every document: spans are the maximal removed runs (start, end) in bytes of UTF-8.
+    """(id, text, found) for every row: found lists removed runs (start, end) in bytes of UTF-8, which may overlap.
 
-    Null counts as empty; texts under span bytes lose nothing; ids must be
-    unique.  Copies within one document count.  Extra columns are ignored.
+    Null counts as empty; texts under span bytes lose nothing.  Copies within one document count.
+    Of rows with one id each counts as a document: they stand behind one another by a hash of
+    their texts, so one copy of a repeated row stays; null ids come last.  An empty table gives no rows; extra columns are ignored.
     """
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    numbered, _ = placed(docs, id_col, text_col)
+    source = numbered.select("doc", "text")
     rows = materialize(settle_buckets(anchor_rows(source, span), span, hot))
     settled = rows.filter("meta < 0").select("doc", "start", (F.col("start") - F.col("meta")).alias("end"))
-    dealt = source.repartition("doc_id")  # read by all joins below, in one plan: one shuffle of the texts
+    dealt = numbered.repartition("doc")  # read by all joins below, in one plan: one shuffle of the texts
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -278,7 +332,7 @@ def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
                 for d, text, checks in zip(*(c.to_pylist() for c in part.columns)):
                     data = text.encode()
                     for c in checks:
-                        m = c["meta"] & 255
+                        m = c["meta"]
                         key.append(c["key"])
                         doc.append(d)
                         start.append(c["start"])
@@ -287,15 +341,15 @@ def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
                 yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(doc, pa.int64()), pa.array(start, pa.int64()), pa.array(n, pa.int64()), pa.array(held, pa.binary())], ["key", "doc", "start", "n", "held"])
 
     def covered(which: str) -> DataFrame:
-        checks = rows.filter(f"meta >= 0 AND {which}").groupBy("doc").agg(F.collect_list(F.struct("key", "start", "meta")).alias("checks"))
-        joined = dealt.join(checks, dealt["doc_id"] == checks["doc"]).select("doc_id", "text", "checks")
-        return joined.mapInArrow(fetch, "key bigint, doc bigint, start bigint, n bigint, held binary")
+        checks = rows.filter(f"meta > 0 AND {which}").groupBy("doc").agg(F.collect_list(F.struct("key", "start", "meta")).alias("checks"))
+        return dealt.join(checks, "doc").select("doc", "text", "checks").mapInArrow(fetch, _TEXTS)
 
     found = settled.unionByName(_compare(covered("key <> 0"), span))
-    if rows.filter("meta >= 0 AND key = 0").limit(1).count():
-        found = found.unionByName(_by_window(covered("key = 0"), span))
+    if rows.filter("meta > 0 AND key = 0").limit(1).count():
+        windows = materialize(_by_window(covered("key = 0"), span))
+        found = found.unionByName(windows.filter("n < 0").select("doc", "start", (F.col("start") - F.col("n")).alias("end"))).unionByName(_compare(windows.filter("n > 0"), span))
     per_doc = found.groupBy("doc").agg(F.collect_list(F.struct("start", "end")).alias("found"))
-    return dealt.join(per_doc, dealt["doc_id"] == per_doc["doc"], "left").select("doc_id", "text", "found")
+    return dealt.join(per_doc, "doc", "left").select("id", "text", "found")
 
 
 def suffix_dedup(docs: DataFrame, *, keep_text: bool = True, **how) -> DataFrame:

@@ -54,3 +54,268 @@ def test_decontamination_judges_rows_not_ids(spark, block_words, shard_words):
     assert got == sorted(want, key=str)
     left = dec.remove_contaminated(docs, b, **how)
     assert left.columns == docs.columns and sorted(map(tuple, left.collect()), key=str) == [(3, "", 1, 2), (None, None, 1, 2)]
+
+# ---- suffix deduplication
+
+
+def brute_factors(data, starts, order, span):
+    out = []
+    for i, a in enumerate(starts):
+        best = 0
+        for j, b in enumerate(starts):
+            if order[j] < order[i]:
+                n = 0
+                while n < span and data[a + n] == data[b + n]:
+                    n += 1
+                best = max(best, n)
+        out.append(best)
+    return out
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_longest_previous_factors_against_brute_force(seed):
+    import numpy as np
+
+    from brindle.llm import suffix_dedup as sd
+
+    r = np.random.default_rng(seed)
+    unit = r.integers(0, 2 + seed, 40).astype(np.uint8)
+    data = np.concatenate([unit, r.integers(0, 2 + seed, 60).astype(np.uint8), np.tile(unit, 6), np.zeros(130, np.uint8), unit, r.integers(0, 2, 120).astype(np.uint8)])
+    starts = np.flatnonzero(r.random(len(data) - 99) < 0.8)
+    order = r.permutation(len(starts))
+    assert sd.longest_previous(data, starts, order, 100).tolist() == brute_factors(data, starts, order, 100)
+
+
+@pytest.mark.parametrize("hot", [20_000, 0])
+def test_suffix_dedup_keeps_one_copy_of_repeated_rows(spark, hot):
+    from brindle.llm import suffix_dedup as sd
+
+    from .test_ops import brute_suffix, gibberish
+
+    t, u = gibberish(1, 40), gibberish(2, 300)
+    rows = [(1, t), (1, t), (2, t), (None, u), (None, u[:250]), (3, u), (1, None), (None, None)]
+    got = sd.suffix_dedup(frame(spark, rows).repartition(4), hot=hot).collect()
+    assert len(got) == len(rows)
+    of_one = sorted(r["n_removed"] for r in got if r["doc_id"] == 1)
+    assert of_one == [0, 0, len(t.encode())] and [r["n_removed"] for r in got if r["doc_id"] == 2] == [len(t.encode())]
+    assert [r["n_removed"] for r in got if r["doc_id"] == 3] == [0]  # null ids come last
+    assert sorted(r["n_removed"] for r in got if r["doc_id"] is None) == [0, len(u[:250].encode()), len(u.encode())]
+
+
+# ---- HTML: pages made from their own main text
+
+
+NOISE = [
+    "<nav><ul><li><a href='/a'>The way of it</a></ul></nav>", "<div class=\"ad\">Buy the best of it now and be glad.</div>", "<header><h2>The site of the day</h2></header>", "<footer>All of the rights</footer>",
+    "<aside><p>It is said that the side is not the middle of the page.</p></aside>", "<form><label>Name of the user</label><select><option>One of<option>Two of</select><textarea><p>raw</textarea></form>",
+    "<script>if(a<b){x('</p>')} // don't</script>", "<style>p > a::before{content:'<'}</style>", "<!-- <p>the gone one</p> -->", "<div id=cookie-notice title=it's>We use the cookies of the house</div>",
+    "<section class='reader-ratings comments'><article class=x><p>First of all the readers!</p></article></section>", "<div role=navigation><a href=x>home of it</a></div>", "<iframe src=x><p>frame</iframe>", "<button>Press the one</button>",
+]
+
+
+def page_and_text(seed):
+    r = random.Random(seed)
+    words = "the house of a man and his dog was on that old hill for years & it's <quiet> é漢".split()
+    quote = lambda w: w.replace("&", r.choice(["&amp;", "&#38;"])).replace("<", "&lt;").replace(">", r.choice(["&gt;", ">"])).replace("é", r.choice(["é", "&eacute;", "&#xe9;"]))
+    inline = ["<b>%s</b>", "<math><mi>%s</mi></math>", "<object>%s</object>", "<span data-x=it's>%s</span>", "<noscript>%s</noscript>", "%s", "%s", "%s", "%s"]
+    blocks, body = [], []
+    for _ in range(r.randint(1, 6)):
+        some = [r.choice(words) for _ in range(r.randint(1, 80))]
+        blocks.append(" ".join(some))
+        links = set(r.sample(range(len(some)), len(some) // 6))  # blocks that are mostly links are bad by rule
+        inner = r.choice([" ", "\n  ", " \t", "<br>"]).join(("<a href=\"x>y\" title='a\"b'>%s</a>" if k in links else r.choice(inline)) % quote(w) for k, w in enumerate(some))
+        body.append(r.choice(["<p>%s</p>", "<p class='x has-sidebar'>%s", "<h2 id=menu-planning>%s</h2>", "<blockquote>%s</blockquote>", "<ul><li>%s</ul>"]) % inner)
+        if r.random() < 0.5:
+            body.append(r.choice(NOISE))
+    around = [r.choice(NOISE) for _ in range(4)]
+    main = r.choice(["<article class=post>%s</article>", "<div class='social-policy'><main>%s</main></div>"]) % "".join(body)
+    return f"<!doctype html><html><head><title>The title of it</title></head><body class=with-nav>{around[0]}{around[1]}{main}{around[2]}{around[3]}</body></html>", "\n\n".join(blocks)
+
+
+@pytest.mark.parametrize("seed", range(150))
+def test_html_gives_back_the_text_a_page_was_made_from(seed):
+    from brindle.llm import html_extract as he
+
+    page, text = page_and_text(seed)
+    assert he.extract_text(page) == text
+
+
+LONG = "The house of the man was on the hill and it is old. " * 8
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ("<p data-x=it's>" + LONG + "</p>", LONG.strip()),
+        ("<article><p>Let <math><mi>x</mi></math> be and <svg><text>a</text></svg> end.</p></article>", "Let x be and a end."),
+        ("<div class='social-policy'><p>" + LONG + "</p></div>", LONG.strip()),
+        ("<div class='menu-planning'><p>" + LONG + "</p></div>", LONG.strip()),
+        ("<article><button>Share<p>Kept text</p></article>", "Kept text"),
+        ("<body><p>The cat sat on the mat.</p></body>", "The cat sat on the mat."),
+        ("<body><nav><a href=x>The way of it.</a></nav><div class=ad>Buy it now, it is the best.</div></body>", ""),
+        ("<p>" + "这是一个很长的句子，我们要保留它。" * 20 + "</p>", "这是一个很长的句子，我们要保留它。" * 20),
+        ("<div id=siteNav><p>" + LONG + "</p></div><div class=related-posts><p>" + LONG + "</p></div>", ""),
+        ('<p title="open>' + LONG, LONG.strip()),
+        ("<textarea>" + LONG + "</textarea><p>" + LONG, LONG.strip()),
+    ],
+)
+def test_html_hard_pages(page, want):
+    from brindle.llm import html_extract as he
+
+    assert he.extract_text(page) == want
+
+
+# ---- toxicity
+
+
+def test_forward_backward_of_long_and_many_sequences():
+    import numpy as np
+
+    from brindle.llm import toxicity as tox
+
+    r = np.random.default_rng(3)
+    trans = r.normal(size=(2, 2)) * 3
+    emits = [r.normal(size=n) * 8 for n in (0, 1, 2, 3000, 1, 0, 77)]
+    got, counts = tox.forward_backward(emits, trans)
+    a, total = np.exp(trans), np.zeros((2, 2))
+    for e, m in zip(emits, got):
+        n = len(e)
+        w = np.stack([np.ones(n), np.exp(e)], axis=1)
+        f, b = np.zeros((n, 2)), np.ones((n, 2))
+        for t in range(n):
+            f[t] = w[t] * (f[t - 1] @ a if t else 1)
+            f[t] /= f[t].sum()
+        for t in range(n - 2, -1, -1):
+            b[t] = a @ (w[t + 1] * b[t + 1])
+            b[t] /= b[t].sum()
+        p = f * b
+        assert np.allclose(m, p[:, 1] / p.sum(axis=1))
+        for t in range(1, n):
+            j = f[t - 1][:, None] * a * (w[t] * b[t])[None, :]
+            total += j / j.sum()
+    assert np.allclose(counts, total)
+
+
+def test_toxic_places_are_those_of_the_text():
+    from brindle.llm import toxicity as tox
+
+    for text in ("İstanbul vile İİ grot", "plain Vile", "ΑΣ vile ΑΣ", ""):
+        found = [text[s:e].lower() for s, e in tox.places_of(text)]
+        assert "".join(found).replace("̇", "") == "".join(tox.TOKEN.findall(text.lower())).replace("̇", "")
+
+
+def test_toxicity_of_empty_tables_repeats_and_bounds(spark):
+    from brindle.llm import toxicity as tox
+
+    from .test_ops import toxic_rows
+
+    rows = toxic_rows(200)
+    docs = frame(spark, [(i, t) for i, t, _ in rows])
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows] + [(0, 1), (None, 1), (9999, 1), (5, None)], "doc_id long, toxic int")
+    field = tox.train(docs.unionByName(docs), labels)
+    twice = tox.score_toxicity(docs.unionByName(docs), field)
+    assert twice.count() == 400 and twice.select("doc_id", "score").distinct().count() == 200
+    assert tox.score_toxicity(docs.limit(0), field).count() == 0 and tox.drop_toxic(docs.limit(0), field).count() == 0
+    none = tox.train(docs.limit(0), labels.limit(0))
+    assert {r["score"] for r in tox.score_toxicity(docs, none).collect()} == {0.5}
+    few = tox.train(docs, labels, max_train=50, max_chars=400)
+    assert len(few.weights) < len(tox.train(docs, labels, max_train=50).weights)
+
+
+# ---- language model
+
+
+def test_lm_cut_follows_the_rule_for_one_text():
+    import pyarrow as pa
+
+    from brindle.llm import lm_score as lm
+
+    texts = ["Ab c, dé_f! x9²½    ß...", None, "", " ", "a\x1cb\x85c d", "漢字、テスト ́x", "A​B­C", "'s—“q”", "é" * 3000 + " " + "x, " * 2000]
+    words, codes, n = lm.cut(pa.array(texts))
+    assert n.tolist() == [len(lm.tokens_of(t)) for t in texts]
+    assert [words[c] for c in codes] == sum(map(lm.tokens_of, texts), [])
+
+
+def test_lm_scores_against_brute_force(spark, monkeypatch):
+    import math
+
+    import numpy as np
+
+    from brindle.llm import lm_score as lm
+
+    from .test_ops import gibberish
+
+    rows = [(i, gibberish(i, 5 + i)) for i in range(12)] + [(50, None), (51, ""), (None, "one two"), (3, gibberish(3, 8)), (60, gibberish(7, 3000))]
+    held = {}
+
+    def fixed(encoded, size, hidden, flat, **how):
+        held["flat"] = np.random.default_rng(5).normal(size=len(flat)).astype(np.float32) * 0.4
+        return held["flat"]
+
+    monkeypatch.setattr(lm, "average_round", fixed)
+    buckets, words = 5, 20
+    got = lm.lm_score(frame(spark, rows).repartition(3), words=words, often=1e9, buckets=buckets, hidden=4).collect()
+    counts = {}
+    for _, t in rows:
+        for w in lm.tokens_of(t):
+            counts[w] = counts.get(w, 0) + 1
+    vocab = sorted(counts, key=lambda w: (-counts[w], w))[:words]
+    windows = {}
+    for w, n in counts.items():
+        if w not in vocab:
+            s = lm.letters_of(w, lm.class_of(w, buckets))
+            for i in range(len(s) - 3):
+                windows[s[i : i + 4]] = windows.get(s[i : i + 4], 0) + n
+    spelling, net = lm.Spelling(windows), lm.Network(1 + buckets + len(vocab), 4, held["flat"])
+    number = lambda w: 1 + buckets + vocab.index(w) if w in vocab else lm.class_of(w, buckets)
+    want = []
+    for i, t in rows:
+        w = lm.tokens_of(t)
+        ids, total = [number(x) for x in w], 0.0
+        for k, x in enumerate(w):
+            h = np.tanh(net.b + sum(net.embed[j][ids[k + p] if 0 <= k + p < len(ids) else lm.EDGE] for j, p in enumerate(lm.PLACES)))
+            c, inside = divmod(ids[k], net.width)
+            z = h @ net.wc.T + net.bc
+            y = (h @ net.ww[c].T + net.bw[c])[: net.size - c * net.width]
+            total += z[c] - math.log(np.exp(z).sum()) + y[inside] - math.log(np.exp(y).sum())
+            total += 0 if x in vocab else spelling(x, lm.class_of(x, buckets))
+        want.append((i, len(w), total))
+    key = lambda r: (r[0] is None, r[0] or 0, r[1], r[2])
+    for g, x in zip(sorted(((r["doc_id"], r["n_tokens"], r["log_likelihood"]) for r in got), key=key), sorted(want, key=key)):
+        assert g[:2] == x[:2] and abs(g[2] - x[2]) < 1e-3 * (1 + abs(x[2]))
+
+# ---- n-gram join
+
+
+@pytest.mark.parametrize("block", [512, 9])
+def test_ngram_rows_with_equal_or_null_ids(spark, block):
+    from brindle.llm import ngram_join as nj
+
+    from .test_ops import brute_components, near_copies
+
+    texts = [t for _, t in near_copies()] + [None, "", "a b", "A B", "x y z u v w", "lone words stand here by themselves today"]
+    ids = [i // 3 + 5 if i % 4 else None for i in range(len(texts))]
+    rows = list(zip(ids, texts)) + [(7, texts[0]), (7, texts[0]), (900, texts[1])]
+    got = nj.ngram_components(frame(spark, rows).repartition(3), block=block).collect()
+    # the same by rows: equal ids cannot be told apart, so only counts and the least ids of components are compared
+    order = sorted(range(len(rows)), key=lambda k: (rows[k][0] is None, rows[k][0] or 0))
+    want = brute_components([(place, rows[k][1]) for place, k in enumerate(order)])
+    least = {c: rows[order[c]][0] for _, _, c in want}
+    key = str
+    assert sorted((tuple(r) for r in got), key=key) == sorted(((rows[order[i]][0], n, least[c]) for i, n, c in want), key=key)
+
+
+def test_ngram_long_lists_are_dealt_linearly(spark):
+    from brindle.llm import ngram_join as nj
+
+    members = spark.range(6000).selectExpr("1L AS lid", "id", "100L AS n", "cast('' AS binary) AS bits")
+    first = nj.shared_blocks(members, 512)
+    assert first.count() < 6000 + 12 * 60
+    one = members.selectExpr("*", "if(id < 5990, 0L, id) AS component")
+    dealt = nj.open_blocks(one, 512)
+    assert dealt.count() < 6000 + 10 * 20 and dealt.select("id").distinct().count() == 6000
+    assert nj.open_blocks(members.selectExpr("*", "3L AS component"), 512).count() == 0
+    several = members.selectExpr("*", "id % 7 AS component")
+    meets = {(r["x"], r["y"]): r["c"] for r in nj.open_blocks(several, 512).groupBy("x", "y").agg({"id": "count"}).withColumnRenamed("count(id)", "c").collect()}
+    rest, main = 11, 2  # 857 or 858 members a component
+    assert set(meets) == {(x, y) for x in range(rest) for y in range(x, rest + main)}
