@@ -13,7 +13,9 @@ Inside a list, pairs that can only confirm a connection already proposed are
 left to a second round: the first verifies a spanning forest of the filtered
 pairs, the second verifies every remaining pair between different components.
 So no link between different components is lost, and a large group of near
-copies does not expand to all its pairs.
+copies does not expand to all its pairs: the first round deals a long list into blocks that share some hubs, which
+is linear in its length, and the second leaves out lists of one component and pairs only what lies
+outside a list's largest component with the rest of it.
 """
 
 from __future__ import annotations
@@ -23,9 +25,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import materialize, mix64
+from .common import materialize, mix64, placed
 from .components import connected_components
 from .exact_dedup import settle
 
@@ -370,79 +372,128 @@ def member_pairs(members: DataFrame, percent: int, every: bool) -> DataFrame:
             if out_a:
                 yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], ["a", "b"])
 
-    dealt = members.select("lid", "x", "y", "blk", "id", "n", "bits", "component").repartition("lid", "x", "y").sortWithinPartitions("lid", "x", "y")
+    dealt = members.repartition("lid", "x", "y").sortWithinPartitions("lid", "x", "y")
     return dealt.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
-def in_blocks(members: DataFrame, block: int) -> DataFrame:
-    """Lists of more than block members are dealt as pairs of blocks, so that no task holds more than two blocks of one list."""
+def _dealt(members: DataFrame, blk: Column, other: Column) -> DataFrame:
+    """members with a row for each block number in other; x and y are that pair of blocks in order."""
+    spread = members.withColumn("blk", blk.cast("int")).withColumn("other", F.explode(other.cast("array<int>")))
+    return spread.withColumn("x", F.least("blk", "other")).withColumn("y", F.greatest("blk", "other")).select("lid", "x", "y", "blk", "id", "n", "bits", "component")
+
+
+def shared_blocks(members: DataFrame, block: int, hubs: int = 16) -> DataFrame:
+    """Lists of more than block members in blocks of about that many; about ``hubs`` members of a list stand in all its blocks and hold them together."""
     sizes = members.groupBy("lid").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") > block)
-    sized = members.join(sizes, "lid", "left").withColumn("blocks", F.coalesce(F.ceil(F.col("size") / block), F.lit(1)).cast("int"))
-    own = sized.withColumn("blk", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    spread = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return spread.withColumn("x", F.least("blk", "other")).withColumn("y", F.greatest("blk", "other")).drop("size", "blocks", "other")
+    sized = members.join(sizes, "lid", "left").withColumn("blocks", F.coalesce(F.ceil(F.col("size") / block), F.lit(1)))
+    hub = F.pmod(F.xxhash64("id", F.lit(7)), F.col("size")) < hubs
+    own = F.pmod(F.xxhash64("id"), F.col("blocks"))
+    every = F.when(hub, F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).otherwise(F.array(own))
+    spread = sized.withColumn("blk", F.explode(every.cast("array<int>")))
+    return spread.select("lid", F.col("blk").alias("x"), F.col("blk").alias("y"), "blk", "id", "n", "bits", F.col("id").alias("component"))
 
 
-def verify(pairs: DataFrame, docs: DataFrame, *, id_col: str, text_col: str, width: int, percent: int, broadcast_rows: int = 1_000_000) -> DataFrame:
+def open_blocks(members: DataFrame, block: int) -> DataFrame:
+    """Lists with several components as pairs of blocks: all that lies outside the largest component with all of the list.
+
+    Lists of up to block members are one block.  In a longer one the blocks outside the largest component come
+    first, and meet one another and those of the largest; these do not meet among themselves.
+    """
+    kinds = members.groupBy("lid", "component").agg(F.count(F.lit(1)).alias("c"))
+    per = kinds.groupBy("lid").agg(F.sum("c").alias("size"), F.count(F.lit(1)).alias("kinds"), F.max(F.struct("c", "component")).alias("top")).filter("kinds > 1")
+    per = per.select("lid", "size", F.col("top.c").alias("most"), F.col("top.component").alias("main"))
+    j = members.join(per, "lid")
+    long = F.col("size") > block
+    n_rest = F.when(long, F.ceil((F.col("size") - F.col("most")) / block)).otherwise(F.lit(1))
+    n_main = F.when(long, F.ceil(F.col("most") / block)).otherwise(F.lit(0))
+    j = j.withColumn("n_rest", n_rest.cast("int")).withColumn("n_main", n_main.cast("int")).withColumn("in_main", long & (F.col("component") == F.col("main")))
+    h = F.xxhash64("id")
+    blk = F.when(F.col("in_main"), F.col("n_rest") + F.pmod(h, F.greatest("n_main", F.lit(1)))).otherwise(F.pmod(h, F.col("n_rest")))
+    last = F.when(F.col("in_main"), F.col("n_rest") - 1).otherwise(F.col("n_rest") + F.col("n_main") - 1)
+    return _dealt(j, blk, F.sequence(F.lit(0), last))
+
+
+def verify(pairs: DataFrame, docs: DataFrame, *, id_col: str, text_col: str, width: int, percent: int, broadcast_rows: int = 1_000_000, chunk: int = 64) -> DataFrame:
     """(a, b) of the pairs that link, by the shingles of their whole texts.
 
+    Of a pair the text in more pairs is the hub.  Pairs are dealt by hub and chunk of about
+    ``chunk`` partners; a hub's text travels once a chunk, ahead of its partners, so a frequent hub is neither copied to each of its pairs nor left to one task.
     Up to broadcast_rows pairs are broadcast to where the texts are read, so only
     texts that some pair needs are shuffled; above that the texts are joined by a shuffle.
     """
-    small = pairs.count() <= broadcast_rows
-    near = F.broadcast if small else (lambda df: df)
+    near = F.broadcast if pairs.count() <= broadcast_rows else (lambda df: df)
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("deg"))
+    of_a, of_b = (ends.select(F.col("id").alias(c), F.col("deg").alias(f"deg_{c}")) for c in "ab")
+    both = pairs.join(of_a, "a").join(of_b, "b")
+    first = F.col("deg_a") >= F.col("deg_b")
+    other = F.when(first, F.col("b")).otherwise(F.col("a"))
+    part = F.pmod(F.xxhash64(other), F.ceil(F.greatest("deg_a", "deg_b") / chunk)).cast("int")
+    turned = materialize(both.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("hub"), part.alias("part"), other.alias("id")))
+    wanted = turned.withColumn("tag", F.lit(1)).unionByName(turned.select("hub", "part", F.col("hub").alias("id")).distinct().withColumn("tag", F.lit(0)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler(width)
+        own = None
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64)
-                a, b, ta, tb = (c.to_pylist() for c in part.columns)
-                first = {x: i for i, x in reversed(list(enumerate(b)))}  # a text that many pairs share is cut once
-                right = dict(zip(first, shingle([tb[i] for i in first.values()])))
-                keep = []
-                for i, x in enumerate(shingle(ta)):
-                    y = right[b[i]]
-                    shared = len(x) + len(y) - len(np.union1d(x, y))
-                    keep.append(100 * shared >= percent * (len(x) + len(y) - shared))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"))
-    left = texts.join(near(pairs), texts["id"] == pairs["a"]).select("a", "b", F.col("t").alias("ta"))
-    wanted = pairs.select("b").distinct()
-    right = texts.join(near(wanted), texts["id"] == wanted["b"]).select("b", F.col("t").alias("tb"))
-    return left.join(right, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a bigint, b bigint")
-
-
-def ngram_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, most_common: int = 500_000, block: int = 2048) -> DataFrame:
-    """(id, n_shingles, component_id) for every document.
+                hubs, ids, tags, texts = (part.column(k).to_pylist() for k in (0, 2, 3, 4))
+                a, b = [], []
+                for hub, i, tag, x in zip(hubs, ids, tags, shingle(texts)):
+                    if not tag:
+                        own = x
+                        continue
+                    shared = len(x) + len(own) - len(np.union1d(x, own))
+                    if 100 * shared >= percent * (len(x) + len(own) - shared):
+                        a.append(min(hub, i))
+                        b.append(max(hub, i))
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    texts = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("t"))
+    rows = texts.join(near(wanted), F.col("__id") == F.col("id")).select("hub", "part", "id", "tag", "t")
+    return rows.repartition("hub", "part").sortWithinPartitions("hub", "part", "tag").mapInArrow(run, "a bigint, b bigint")
+
+
+def ngram_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, most_common: int = 500_000, block: int = 512) -> DataFrame:
+    """(id, n_shingles, component_id) for every row.
 
     Documents link when 100 * intersection >= percent * union of their
     distinct shingles; component_id is the smallest id a document reaches by
     links.  Texts of fewer than width words have one shingle, the whole
     sequence; null, empty and blank texts have none and link with nothing.
-    Ids must be unique; extra columns are ignored.
+    Rows with equal or null ids are documents of their own, null being the greatest id; equal texts (ties, repeated
+    rows) are linked.  An empty table gives no rows; extra columns are ignored, whatever their names.
     """
-    common = common_shingles(docs, id_col, text_col, width=width, most=most_common)
-    rows = materialize(describe(docs, common, id_col=id_col, text_col=text_col, width=width, percent=percent))
+    numbered, moved = placed(docs, id_col, text_col)
+    found = _components(numbered.select("doc", "text"), width, percent, most_common, block)
+    if not moved:
+        return found.withColumnsRenamed({"id": id_col})
+    ids = numbered.select("doc", F.col("id").alias("__own"))
+    own = found.join(ids, found["id"] == ids["doc"]).select("__own", "n_shingles", "component_id")
+    least = ids.select(F.col("doc").alias("__least"), F.col("__own").alias("__component"))
+    return own.join(least, own["component_id"] == least["__least"]).select(F.col("__own").alias(id_col), "n_shingles", F.col("__component").alias("component_id"))
+
+
+def _components(docs: DataFrame, width: int, percent: int, most_common: int, block: int) -> DataFrame:
+    """(id, n_shingles, component_id) of docs (doc, text), doc being unique."""
+    common = common_shingles(docs, "doc", "text", width=width, most=most_common)
+    rows = materialize(describe(docs, common, id_col="doc", text_col="text", width=width, percent=percent))
     filled = rows.filter("n > 0").select("id", "n", "digest", "gid")
     classes = materialize(settle(filled, [F.min("id").alias("rep")]))
     reps = rows.join(classes.filter("id = rep").select("id"), "id", "left_semi").select("id", "n", "gid", "bits")
     postings = rows.filter("prefix is not null").select("gid", "n", F.posexplode("prefix").alias("pos", "token")).select("token", "gid", (F.col("n") * F.lit(1 << 32) + F.col("pos")).alias("place"))
     same = reps.groupBy("gid").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select(F.col("gid").alias("lid"), "gid")
     lists = group_lists(postings, percent).unionByName(same)
-    members = materialize(in_blocks(lists.join(reps, "gid").select("lid", "id", "n", "bits"), block))
-    how = {"id_col": id_col, "text_col": text_col, "width": width, "percent": percent}
-    first = materialize(member_pairs(members.withColumn("component", F.col("id")), percent, every=False))
+    members = materialize(lists.join(reps, "gid").select("lid", "id", "n", "bits"))
+    how = {"id_col": "doc", "text_col": "text", "width": width, "percent": percent}
+    first = materialize(member_pairs(shared_blocks(members, block), percent, every=False))
     links = materialize(verify(first, docs, **how))
     parts = connected_components(links)
-    placed = members.join(parts, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    second = materialize(member_pairs(placed, percent, every=True).join(first, ["a", "b"], "left_anti"))
-    more = second.limit(1).count()
-    if more:
+    reached = members.join(parts, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    second = materialize(member_pairs(open_blocks(reached, block), percent, every=True).join(first, ["a", "b"], "left_anti"))
+    if second.limit(1).count():
         links = links.unionByName(verify(second, docs, **how))
         parts = connected_components(links)
     done = classes.select("id", "n", "rep").join(parts.withColumnRenamed("id", "rep"), "rep", "left")
-    linked = done.select("id", "n", F.coalesce("component", "rep").alias("component_id"))
-    alone = rows.filter("n = 0").select("id", "n", F.col("id").alias("component_id"))
-    return linked.unionByName(alone).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
+    linked = done.select("id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
+    return linked.unionByName(rows.filter("n = 0").select("id", F.col("n").alias("n_shingles"), F.col("id").alias("component_id")))
