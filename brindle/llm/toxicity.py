@@ -10,16 +10,16 @@ document; the sum and maximum of the marginals go through a logistic
 calibration to the document's score, and tokens with a marginal of at least
 one half are the offending spans.
 
-The fit uses at most ``max_train`` labelled documents, taken in hash order, each with its whole text.
-The field's weights come from all toxic ones of them and, in the order of their ids, from the first
-3 * toxic + 50 clean ones; word frequencies and the calibration come from all.
+The fit uses a bounded sample of the labelled documents, taken whole and in hash order: at most ``max_train`` of them,
+and no further ones once their texts have ``max_chars`` code points together.  Everything is fitted on all of the sample.  Tasks
+cut its texts into words; the driver holds four bytes a word and each different word once.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,60 +34,74 @@ def features(word: str) -> tuple[str, ...]:
     return ("w" + word, "3" + word[:3], "4" + word[:4], "5" + word[:5])
 
 
+def _scan(m: np.ndarray, start: float) -> np.ndarray:
+    """Shares of state 1 after each of many steps of 2x2 weights m (n, 2, 2) on a pair of weights, which begins with the share ``start``.
+
+    The steps are laid out in lanes.  Every lane is run from both states at once, which gives what it does to any
+    pair; then the lanes' beginnings follow one another, and all lanes run again from theirs.
+    """
+    n = len(m)
+    steps = max(1, int(np.sqrt(n)))
+    lanes = -(-n // steps)
+    pad = np.ones((lanes * steps, 4))
+    pad[:n] = m.reshape(n, 4)
+    a, b, c, d = (np.ascontiguousarray(x) for x in pad.reshape(lanes, steps, 4).transpose(2, 1, 0))  # 0 to 0, 0 to 1, 1 to 0, 1 to 1
+    u0, u1, v0, v1 = np.ones(lanes), np.zeros(lanes), np.zeros(lanes), np.ones(lanes)
+    for t in range(steps):
+        u0, u1 = u0 * a[t] + u1 * c[t], u0 * b[t] + u1 * d[t]
+        v0, v1 = v0 * a[t] + v1 * c[t], v0 * b[t] + v1 * d[t]
+        scale = 1 / (u0 + u1 + v0 + v1)
+        u0, u1, v0, v1 = u0 * scale, u1 * scale, v0 * scale, v1 * scale
+    begin, p = np.empty(lanes), start
+    for k, (x0, x1, y0, y1) in enumerate(zip(u0.tolist(), u1.tolist(), v0.tolist(), v1.tolist())):
+        begin[k] = p
+        zero, one = (1 - p) * x0 + p * y0, (1 - p) * x1 + p * y1
+        p = one / (zero + one)
+    out, p = np.empty((steps, lanes)), begin
+    for t in range(steps):
+        one = b[t] + p * (d[t] - b[t])
+        p = one / (one + a[t] + p * (c[t] - a[t]))
+        out[t] = p
+    return out.T.ravel()[:n]
+
+
 def forward_backward(emit: list[np.ndarray], trans: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
-    """Marginals of state 1 for each sequence, and expected transition counts.  emit: scores of state 1 against state 0; trans: 2x2 scores."""
-    order = sorted(range(len(emit)), key=lambda i: -len(emit[i]))
-    n, longest = len(emit), len(emit[order[0]]) if emit else 0
-    out: list[np.ndarray] = [np.zeros(0)] * n
-    if not longest:
-        return [np.zeros(len(e)) for e in emit], np.zeros((2, 2))
-    lengths = np.array([len(emit[i]) for i in order])
-    e = np.ones((longest, n))
-    for k, i in enumerate(order):
-        e[: len(emit[i]), k] = np.exp(np.clip(emit[i], -30, 30))
-    a = np.exp(trans)
-    active = np.searchsorted(-lengths, -np.arange(longest), "left")  # sequences longer than t
-    fwd = np.empty((longest, n))  # share of state 1 among the forward weights
-    p = e[0] / (1 + e[0])
-    fwd[0] = p
-    for t in range(1, longest):
-        m = active[t]
-        q = p[:m]
-        one = (a[0, 1] + q * (a[1, 1] - a[0, 1])) * e[t, :m]
-        p = one / (a[0, 0] + q * (a[1, 0] - a[0, 0]) + one)
-        fwd[t, :m] = p
-    marginal = np.zeros((longest, n))
-    back = np.full(n, 0.5)  # share of state 1 among the backward weights
-    counts = np.zeros((2, 2))
-    for t in range(longest - 1, -1, -1):
-        m = active[t]
-        b, f = back[:m], fwd[t, :m]
-        up = f * b
-        marginal[t, :m] = up / (up + (1 - f) * (1 - b))
-        if t:
-            g = fwd[t - 1, :m]
-            w1 = e[t, :m] * b
-            w0 = 1 - b
-            to0, to1 = a[0, 0] * w0 + a[0, 1] * w1, a[1, 0] * w0 + a[1, 1] * w1
-            z = (1 - g) * to0 + g * to1
-            counts[0, 1] += ((1 - g) * a[0, 1] * w1 / z).sum()
-            counts[0, 0] += ((1 - g) * a[0, 0] * w0 / z).sum()
-            counts[1, 1] += (g * a[1, 1] * w1 / z).sum()
-            counts[1, 0] += (g * a[1, 0] * w0 / z).sum()
-            back[:m] = to1 / (to0 + to1)
-    for k, i in enumerate(order):
-        out[i] = marginal[: len(emit[i]), k]
-    return out, counts
+    """Marginals of state 1 for each sequence, and expected transition counts.  emit: scores of state 1 against state 0; trans: 2x2 scores.
+
+    All sequences run as one, whose steps forget what was before where a sequence begins.
+    """
+    sizes = np.array([len(e) for e in emit], dtype=np.int64)
+    if not sizes.sum():
+        return [np.zeros(0) for _ in emit], np.zeros((2, 2))
+    e = np.exp(np.clip(np.concatenate(emit), -30, 30))
+    ends = np.cumsum(sizes)
+    first = np.zeros(len(e), bool)
+    first[(ends - sizes)[sizes > 0]] = True
+    m = np.exp(trans)[None, :, :] * np.stack([np.ones(len(e)), e], axis=1)[:, None, :]
+    m[first, :, 0], m[first, :, 1] = 1.0, e[first, None]
+    fwd = _scan(m, 0.5)
+    back = np.empty(len(e))  # share of state 1 among the backward weights
+    back[-1] = 0.5
+    back[:-1] = _scan(m[:0:-1].transpose(0, 2, 1), 0.5)[::-1]
+    up = fwd * back
+    marginal = up / (up + (1 - fwd) * (1 - back))
+    inner = np.flatnonzero(~first)
+    g, b, w = fwd[inner - 1], back[inner], m[inner]
+    joint = np.stack([1 - g, g], axis=1)[:, :, None] * w * np.stack([1 - b, b], axis=1)[:, None, :]
+    counts = (joint / joint.sum(axis=(1, 2), keepdims=True)).sum(axis=0) if len(inner) else np.zeros((2, 2))
+    return np.split(marginal, ends[:-1]), counts
 
 
 def in_groups(lengths: list[int], cells: int = 300_000) -> Iterator[list[int]]:
-    """Sequence numbers in groups of like length; a group's table has at most cells cells, or one sequence."""
+    """Sequence numbers in groups of at most cells tokens together, or one sequence."""
     group: list[int] = []
-    for i in sorted(range(len(lengths)), key=lambda i: -lengths[i]):
-        if group and (len(group) + 1) * lengths[group[0]] > cells:
+    size = 0
+    for i, n in enumerate(lengths):
+        if group and size + n > cells:
             yield group
-            group = []
+            group, size = [], 0
         group.append(i)
+        size += n
     if group:
         yield group
 
@@ -140,60 +154,69 @@ class Adam:
         return out
 
 
-def fit(texts: list[str | None], toxic: list[int], *, epochs: int = 25, least_docs: int = 4, least_share: float = 0.02, lift: float = 8.0) -> Field:
-    """Fit on labelled documents.  With no toxic or no clean document every score is the base rate."""
-    first = {(t or "").lower(): i for i, t in reversed(list(enumerate(texts)))}  # copies must not make their words look common
-    texts, toxic = [texts[i] for i in sorted(first.values())], [toxic[i] for i in sorted(first.values())]
-    y = np.array(toxic, dtype=float)
-    same: dict[str, str] = {}  # one string for all places of a word
-    words = [[same.setdefault(w, w) for w in TOKEN.findall((t or "").lower())] for t in texts]
-    bad_df, ok_df = Counter(), Counter()
-    for ws, label in zip(words, toxic):
-        (bad_df if label else ok_df).update({f for w in set(ws) for f in (("w" + w), ("4" + w[:4]), ("5" + w[:5]))})
-    n_bad, n_ok = max(1, int(y.sum())), max(1, int((1 - y).sum()))
-    telling = {f for f, n in bad_df.items() if n >= max(least_docs, least_share * n_bad) and n / n_bad > lift * (ok_df[f] + 1) / n_ok}
-    # every toxic document, and three clean ones for each
-    clean = [i for i in range(len(texts)) if not toxic[i]][: 3 * int(y.sum()) + 50]
-    used = sorted([i for i in range(len(texts)) if toxic[i]] + clean)
+def cut(text: str | None) -> tuple[bytes, list[str], np.ndarray]:
+    """(digest, different words, their numbers in order) of a lower-cased text."""
+    lower = (text or "").lower()
+    numbers: dict[str, int] = {}
+    ids = np.array([numbers.setdefault(w, len(numbers)) for w in TOKEN.findall(lower)], dtype=np.int32)
+    return hashlib.blake2b(lower.encode("utf-8", "surrogatepass"), digest_size=16).digest(), list(numbers), ids
+
+
+def fit(texts: list[str | None], toxic: list[int], **how) -> Field:
+    """Fit on labelled documents."""
+    return fit_cut((cut(t) for t in texts), toxic, **how)
+
+
+def fit_cut(documents: Iterable[tuple[bytes, list[str], np.ndarray]], toxic: list[int], *, epochs: int = 25, least_docs: int = 4, least_share: float = 0.02, lift: float = 8.0) -> Field:
+    """Fit on cut documents.  Copies count once.  With no toxic or no clean document every score is the base rate."""
+    seen_digests: set[bytes] = set()
     types: dict[str, int] = {}
-    seqs = [np.array([types.setdefault(w, len(types)) for w in words[i]], dtype=np.int64) for i in used]
+    seqs, labels = [], []
+    for (digest, words, ids), label in zip(documents, toxic):
+        if digest not in seen_digests:  # copies must not make their words look common
+            seen_digests.add(digest)
+            seqs.append(np.array([types.setdefault(w, len(types)) for w in words], dtype=np.int32)[ids] if len(ids) else np.zeros(0, np.int32))
+            labels.append(label)
+    y = np.array(labels, dtype=float)
     names = list(types)
     index: dict[str, int] = {}
     rows = np.array([[index.setdefault(f, len(index)) for f in features(w)] for w in names], dtype=np.int64).reshape(-1, 4)
-    is_bad = np.array(["w" + w in telling or "4" + w[:4] in telling or "5" + w[:5] in telling for w in names], dtype=float)
-    golds = [is_bad[s] * toxic[i] if len(s) else np.zeros(0) for s, i in zip(seqs, used)]
+    telltale = [0, 2, 3]  # features that make a token toxic: the word and its longer beginnings
+    df = np.zeros((2, len(index)))
+    for s, label in zip(seqs, labels):
+        if len(s):
+            df[int(bool(label)), np.unique(rows[np.unique(s)][:, telltale])] += 1
+    n_bad, n_ok = max(1, int(y.sum())), max(1, int((1 - y).sum()))
+    telling = (df[1] >= max(least_docs, least_share * n_bad)) & (df[1] / n_bad > lift * (df[0] + 1) / n_ok)
+    is_bad = telling[rows[:, telltale]].any(axis=1)
     total = max(1, sum(map(len, seqs)))
-    gold_types = np.zeros(len(names))
-    gold_trans = np.zeros((2, 2))
-    for s, g in zip(seqs, golds):
-        np.add.at(gold_types, s, g)
-        if len(g) > 1:
-            gi = g.astype(int)
-            np.add.at(gold_trans, (gi[:-1], gi[1:]), 1)
+    gold_types, gold_trans = np.zeros(len(names)), np.zeros((2, 2))
+    for s, label in zip(seqs, labels):
+        g = is_bad[s] if label else np.zeros(len(s), bool)
+        gold_types += np.bincount(s[g], minlength=len(names)) if g.any() else 0
+        if len(s) > 1:
+            gold_trans += np.bincount(g[:-1] * 2 + g[1:], minlength=4).reshape(2, 2)
     rate = (gold_types.sum() + 1) / (total + 2)
     weights, bias, trans = np.zeros(len(index)), float(np.log(rate / (1 - rate))), np.zeros((2, 2))
     step = Adam([weights, np.zeros(1), trans])
     groups = list(in_groups([len(s) for s in seqs]))
-    for _ in range(epochs if n_bad and len(names) else 0):
+    for _ in range(epochs if len(names) else 0):
         emission = bias + weights[rows].sum(axis=1)
         seen, trans_seen = np.zeros(len(names)), np.zeros((2, 2))
         for group in groups:
             marginals, counts = forward_backward([emission[seqs[i]] for i in group], trans)
             trans_seen += counts
-            for i, m in zip(group, marginals):
-                seen += np.bincount(seqs[i], m, len(names)) if len(m) else 0
+            seen += np.bincount(np.concatenate([seqs[i] for i in group]), np.concatenate(marginals), len(names))
         slope_types = gold_types - seen
-        slope = np.zeros(len(index))
-        for k in range(4):
-            np.add.at(slope, rows[:, k], slope_types)
+        slope = sum(np.bincount(rows[:, k], slope_types, len(index)) for k in range(4))
         dw, db, dt = step([slope - 0.02 * weights, np.array([slope_types.sum()]), gold_trans - trans_seen - 0.05 * trans])
         weights, bias, trans = weights + dw, bias + float(db[0]), trans + dt
-    field = Field({f: float(weights[i]) for f, i in index.items() if abs(weights[i]) > 1e-3}, float(bias), trans, np.zeros(3))
-    score = field.scorer()
-    emits = [np.array([score(w) for w in ws]) for ws in words]
-    x = np.zeros((len(texts), 3))
-    for group in in_groups([len(e) for e in emits]):
-        for i, m in zip(group, forward_backward([emits[i] for i in group], trans)[0]):
+    weights[np.abs(weights) <= 1e-3] = 0.0
+    field = Field({f: float(weights[i]) for f, i in index.items() if weights[i]}, float(bias), trans, np.zeros(3))
+    emission = bias + weights[rows].sum(axis=1)
+    x = np.zeros((len(seqs), 3))
+    for group in groups:
+        for i, m in zip(group, forward_backward([emission[seqs[i]] for i in group], trans)[0]):
             x[i] = _summary(m)
     base = (y.sum() + 0.5) / (len(y) + 1)
     c = np.array([np.log(base / (1 - base)), 0.0, 0.0])
@@ -208,31 +231,69 @@ def fit(texts: list[str | None], toxic: list[int], *, epochs: int = 25, least_do
     return field
 
 
-def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_train: int = 6000) -> Field:
-    """Fit on at most max_train labelled rows of docs, in the order of a hash of their ids."""
-    known = labels.select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("y")).filter("y is not null")
-    some = known.orderBy(F.xxhash64("__id"), "__id").limit(max_train)
-    rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).join(F.broadcast(some), F.col("i") == F.col("__id")).select("i", "t", "y").collect()
-    rows.sort(key=lambda r: (r["i"], r["t"] or ""))
-    return fit([r["t"] for r in rows], [r["y"] for r in rows])
+def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_train: int = 6000, max_chars: int = 64_000_000) -> Field:
+    """Fit on labelled rows of docs, whole and in the order of a hash of their ids: max_train of them at most, and none after those that have max_chars code points together (but one).
+
+    Null labels and labels without a document do not count; a document that has two labels, or stands in two rows, counts with each.
+    """
+    known = labels.select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("y")).filter("y is not null and __id is not null")
+    some = F.broadcast(known.orderBy(F.xxhash64("__id"), "__id", "y").limit(max_train))
+    joined = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).join(some, F.col("i") == F.col("__id"))
+    sizes = joined.groupBy("__id").agg(F.sum(F.coalesce(F.length("t"), F.lit(0))).alias("n"), F.xxhash64("__id").alias("h")).collect()  # max_train rows at most
+    total, taken = 0, []
+    for r in sorted(sizes, key=lambda r: (r["h"], r["__id"])):
+        total += r["n"]
+        if taken and total > max_chars:
+            break
+        taken.append(r["__id"])
+    if len(taken) < len(sizes):
+        joined = joined.filter(F.col("__id").isin(taken))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            done = [cut(t) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([d for d, _, _ in done], pa.binary()), pa.array([w for _, w, _ in done], pa.list_(pa.string())), pa.array([ids.tobytes() for _, _, ids in done], pa.binary())], ["i", "y", "digest", "words", "ids"])
+
+    id_type = joined.schema["i"].dataType.simpleString()
+    rows = joined.select("i", "t", "y").mapInArrow(run, f"i {id_type}, y int, digest binary, words array<string>, ids binary").toArrow()
+    rows = rows.sort_by([("i", "ascending"), ("digest", "ascending"), ("y", "ascending")])
+    documents = ((r["digest"].as_py(), r["words"].as_py(), np.frombuffer(r["ids"].as_py(), np.int32)) for b in rows.to_batches() for r in _rows_of(b))
+    return fit_cut(documents, rows["y"].to_pylist())
+
+
+def _rows_of(batch: pa.RecordBatch) -> Iterator[dict]:
+    return ({name: batch.column(name)[k] for name in ("digest", "words", "ids")} for k in range(batch.num_rows))
 
 
 def score_toxicity(docs: DataFrame, field: Field, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, score, spans) for every document; spans are (start, end, p) in code points.
 
     Only the text enters the score.  Null and empty texts get the score of a
-    text with no tokens.  Documents are settled where they are read.
+    text with no tokens.  Repeated rows and rows with null ids are scored each, equal texts (ties) alike; an
+    empty table gives no rows; extra columns are ignored.  Documents are settled where they are read.
     """
     schema, run = _scoring(docs.select(id_col, text_col), field, text_col, keep=None)
     return docs.select(id_col, text_col).mapInArrow(run, schema)
 
 
 def drop_toxic(docs: DataFrame, field: Field, *, text_col: str = "text", reject: float = 0.3) -> DataFrame:
-    """docs without the rows whose score reaches reject; the rows pass through whole, without a join."""
+    """docs without the rows whose score reaches reject; the rows pass through whole with all their columns, without a join."""
     schema, run = _scoring(docs, field, text_col, keep=reject)
     return docs.mapInArrow(run, schema)
 
 
+def places_of(text: str) -> list[tuple[int, int]]:
+    """(start, end) in code points of text for every token of its lower-cased form, which may be longer."""
+    lower = text.lower()
+    spans = [x.span() for x in TOKEN.finditer(lower)]
+    if len(lower) == len(text):
+        return spans
+    origin = [i for i, c in enumerate(text) for _ in c.lower()]
+    if len(origin) != len(lower):  # lower-casing looked at neighbours too
+        origin = [min(i, len(text) - 1) for i in range(len(lower))]
+    return [(origin[s], origin[e - 1] + 1) for s, e in spans]
+
+
 def _score_texts(model: Field, score, texts: list[str]) -> tuple[list[float], list[list[dict]]]:
     emits = [np.array(list(map(score, TOKEN.findall(t.lower())))) for t in texts]
     scores, spans = [0.0] * len(texts), [[] for _ in texts]
@@ -241,9 +302,8 @@ def _score_texts(model: Field, score, texts: list[str]) -> tuple[list[float], li
             scores[i] = model.probability(m)
             hot = np.flatnonzero(m >= 0.5)
             if len(hot):
-                lower = texts[i].lower()
-                places = [x.span() for x in TOKEN.finditer(lower if len(lower) == len(texts[i]) else texts[i])]  # where lower-casing changes the length, count in the original
-                spans[i] = [{"start": places[k][0], "end": places[k][1], "p": float(m[k])} for k in hot if k < len(places)]
+                places = places_of(texts[i])
+                spans[i] = [{"start": places[k][0], "end": places[k][1], "p": float(m[k])} for k in hot]
     return scores, spans
 
 
