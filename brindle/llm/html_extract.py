@@ -6,6 +6,9 @@ short to tell, ambiguous; blocks in navigation, adverts and the like are bad.
 Pass two lets ambiguous blocks take the label of the nearest decided neighbours
 in the same section: both sides alike decide; unlike sides leave it to the
 nearer.  The edges of an article count as good neighbours, other edges as bad.
+
+A page whose words are hardly ever function words of the known languages is judged by its sentence
+ends in their place; and where no block is good, undecided blocks that read as sentences are the text.
 """
 
 from __future__ import annotations
@@ -25,20 +28,42 @@ STOP_WORDS = frozenset(
     "el y los del las por con no su para al lo como más o pero sus me si sin sobre este ya entre cuando todo esta ser son".split()
 )
 # HTML's own element classes.
-BLOCK_TAGS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul title head".split())
+BLOCK_TAGS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol optgroup option p pre section select summary table tbody td tfoot th thead tr ul title head".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW_TAGS = frozenset("script style textarea noscript template iframe svg math object select button".split())
-DROPPED_TAGS = frozenset("nav header footer aside form menu dialog head title".split())
+RAW_TAGS = frozenset("script style textarea iframe template".split())  # what stands in them is no text of the page
+DROPPED_TAGS = frozenset("nav header footer aside form menu dialog head title select optgroup option".split())
 MAIN_TAGS = frozenset(("article", "main"))
 #: words in class, id or role that mark what is not main text
-MARKED = re.compile(r"(?i)(?:^|[\s_-])(ad|ads|advert\w*|banner|sponsor\w*|promo\w*|side-?bar|side|nav\w*|menu\w*|breadcrumbs?|foot\w*|header|masthead|cookies?|consent|notices?|alerts?|popup|modal|newsletter|subscribe|share|social|related|recommended|comments?|replies|reply|disqus|widget|toolbar|login|search|complementary|contentinfo|navigation)(?:$|[\s_-])")
+MARK = re.compile(r"ads?|advert\w*|banners?|sponsor\w*|promo\w*|sidebar|side|nav\w*|menus?|breadcrumbs?|foot\w*|header|masthead|cookies?|consent|notices?|alerts?|popup|modal|newsletter|subscribe|share|sharing|social|related|recommended|comments?|replies|reply|disqus|widgets?|toolbar|login|search|complementary|contentinfo")
+#: words that say where or how, not what
+NEUTRAL = frozenset("site page main top bottom left right center middle bar box block list lists item items wrapper wrap container section sections area slot unit inner outer content contents link links button buttons primary secondary global text title heading body row col column columns group module panel pane strip zone region mobile desktop large small sticky fixed sm md lg xs js post posts article articles entry thread threads feed form signup message count first last new old fluid full wide mini sub my the and of".split())
 #: names that speak of something elsewhere on the page
-STATE = re.compile(r"(?i)(?:^|(?<=\s))(?:no|has|with|without)-\S+")
-TOKEN = re.compile(r"<!--.*?(?:-->|$)|<![^>]*(?:>|$)|<\?[^>]*(?:>|$)|</?[A-Za-z](?:[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*(?:>|$)|[^<]+|<", re.S)
-CODE_END = {tag: re.compile(f"(?i)</{tag}") for tag in ("script", "style")}
-ATTRIBUTE = re.compile(r"(?i)[\s\"'](?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
+STATE = re.compile(r"(?:no|has|with|without)[-_]\S+")
+_PART = re.compile(r"[-_]+|(?<=[a-z])(?=[A-Z])")
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)|</?[A-Za-z][^>=]*(?:=(?:\s*(?:\"[^\"]*\"|'[^']*'))?[^>=]*)*(?:>|\Z)|[^<]+|<", re.S)  # a quote opens a value only behind =
+RAW_END = {tag: re.compile(f"(?i)</{tag}(?![a-z])[^>]*(?:>|\\Z)") for tag in RAW_TAGS}
+ATTRIBUTE = re.compile(r"([^\s=>/\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]*)))?")
 SPACE = re.compile(r"\s+")
 WORDS = re.compile(r"[^\W\d_]+")
+SENTENCE_END = re.compile(r"[.!?\u3002\uff01\uff1f\u0964\u061f\u06d4\u1362](?=\W|\Z)|[\u3002\uff01\uff1f]")
+
+
+def marked(token: str) -> bool:
+    """Whether a start tag's class, id or role names something that is not main text.
+
+    A name is judged by all its words: a marking word does not count where as many words speak of something else.
+    """
+    name_end = re.match(r"<[^\s/>]*", token).end()
+    for a in ATTRIBUTE.finditer(token, name_end):
+        if a[1].lower() in ("class", "id", "role"):
+            for name in (a[2] or a[3] or a[4] or "").split():
+                if not STATE.fullmatch(name.lower()):
+                    words = [w.lower().rstrip("0123456789") for w in _PART.split(name)]
+                    hits = sum(bool(MARK.fullmatch(w)) for w in words)
+                    others = sum(bool(w) and not MARK.fullmatch(w) and w not in NEUTRAL for w in words)
+                    if hits > others:
+                        return True
+    return False
 
 
 class Block:
@@ -52,16 +77,14 @@ def blocks_of(page: str) -> list[Block]:
     """The page's blocks in order; blocks in dropped elements are labelled bad already."""
     out: list[Block] = []
     stack: list[tuple[str, bool, bool, int]] = []  # tag, dropped, main, section
-    sections, links, raw = 0, 0, None
+    sections, links, button = 0, 0, False
     current: Block | None = None
     at = 0
     while m := TOKEN.match(page, at):
         token, at = m.group(), m.end()
-        if raw:
-            if token[:2] == "</" and token[2 : 2 + len(raw)].lower() == raw:
-                raw = None
-            continue
         if token[0] != "<" or token == "<":
+            if button:
+                continue
             if current is None:
                 _, dropped, main, section = stack[-1] if stack else ("", False, False, 0)
                 current = Block(section, main, "bad" if dropped else None)
@@ -74,10 +97,12 @@ def blocks_of(page: str) -> list[Block]:
         closing = token[1] == "/"
         tag = re.match(r"[A-Za-z][^\s/>]*", token[2 if closing else 1 :]).group().lower()
         if tag in RAW_TAGS:
-            raw = None if closing or token.endswith("/>") else tag
-            if raw in CODE_END:  # code has no tags or quotes of the page
-                end = CODE_END[raw].search(page, at)
-                at = end.start() if end else len(page)
+            if not closing and not token.endswith("/>"):  # no tags or quotes of the page stand in it
+                end = RAW_END[tag].search(page, at)
+                at = end.end() if end else len(page) if tag in ("script", "style") else at
+            continue
+        if tag == "button":
+            button = not closing
             continue
         if tag == "a":
             links = 0 if closing else 1
@@ -88,7 +113,7 @@ def blocks_of(page: str) -> list[Block]:
             continue
         if tag not in BLOCK_TAGS:
             continue
-        current = None
+        current, button = None, False  # a button that was left open ends with its block
         if closing:
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == tag:
@@ -104,7 +129,7 @@ def blocks_of(page: str) -> list[Block]:
         _, dropped, main, section = stack[-1] if stack else ("", False, False, 0)
         drop = tag in DROPPED_TAGS
         if not drop and "=" in token and tag not in ("html", "body", "main"):
-            drop = any(MARKED.search(STATE.sub(" ", next(g for g in a.groups() if g is not None))) for a in ATTRIBUTE.finditer(token))
+            drop = marked(token)
         if tag in MAIN_TAGS and not dropped and not drop:
             main = True
         if tag in MAIN_TAGS or (drop and not dropped):
@@ -114,12 +139,15 @@ def blocks_of(page: str) -> list[Block]:
     return out
 
 
-def classify(text: str, linked: int, *, short: int, long: int, max_link_density: float, low_stop: float) -> str:
-    """Pass one: good, bad or ambiguous."""
+def classify(text: str, linked: int, *, short: int, long: int, max_link_density: float, low_stop: float, foreign: bool = False) -> str:
+    """Pass one: good, bad, near (fit for text, only short) or ambiguous.  foreign: the page's language is not known, sentence ends stand for function words."""
     if linked > max_link_density * len(text):
         return "bad"
     if len(text) < short:
         return "ambiguous"
+    if foreign:
+        ends = len(SENTENCE_END.findall(text))
+        return "ambiguous" if not ends else "good" if len(text) >= long and 300 * ends >= len(text) else "near"
     words = WORDS.findall(text.lower())
     density = sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0
     if density >= low_stop:
@@ -127,13 +155,19 @@ def classify(text: str, linked: int, *, short: int, long: int, max_link_density:
     return "ambiguous"
 
 
+def reads_as_sentence(text: str) -> bool:
+    """A few words with a function word among them or a sentence end behind them."""
+    words = WORDS.findall(text.lower())
+    return bool(SENTENCE_END.search(text[-3:])) and (len(words) >= 4 or len(text) >= 12) or len(words) >= 4 and any(w in STOP_WORDS for w in words)
+
+
 def extract_text(page: str | None, *, short: int = 70, long: int = 200, max_link_density: float = 0.5, low_stop: float = 0.12) -> str:
     """The main text of one page; '' if there is none."""
-    found = []
-    for b in blocks_of(page or ""):
-        text = SPACE.sub(" ", html.unescape("".join(b.text))).strip()
-        if text:
-            found.append((text, b.label or classify(text, b.linked, short=short, long=long, max_link_density=max_link_density, low_stop=low_stop), b.section, b.good_edge))
+    raw = [(SPACE.sub(" ", html.unescape("".join(b.text))).strip(), b) for b in blocks_of(page or "")]
+    raw = [(text, b) for text, b in raw if text]
+    words = [w for text, b in raw if b.label is None for w in WORDS.findall(text.lower())]
+    foreign = sum(w in STOP_WORDS for w in words) < 0.03 * len(words)
+    found = [(text, b.label or classify(text, b.linked, short=short, long=long, max_link_density=max_link_density, low_stop=low_stop, foreign=foreign), b.section, b.good_edge) for text, b in raw]
     n = len(found)
     decided = [label in ("good", "bad") for _, label, _, _ in found]
     kept = []
@@ -153,14 +187,17 @@ def extract_text(page: str | None, *, short: int = 70, long: int = 200, max_link
                 label = before if before == after or far <= near else after
         if label == "good":
             kept.append(text)
+    if not kept:
+        kept = [text for text, label, _, _ in found if label in ("near", "ambiguous") and reads_as_sentence(text)]
     return "\n\n".join(kept)
 
 
 def extract_pages(pages: DataFrame, *, id_col: str = "page_id", html_col: str = "html", carry: tuple[str, ...] = ("url",), **rules) -> DataFrame:
     """(id, carried columns, text) for every page.
 
-    Null and empty html give ''.  Repeated rows are extracted each; broken
-    markup (open tags, cut pages, stray '<') is read as browsers mostly do.
+    Null and empty html give ''.  Repeated rows and rows with null ids are extracted each, equal pages (ties) alike; an
+    empty table gives no rows; columns not carried are ignored, whatever their names.  Broken
+    markup (open tags, cut pages, stray '<' or quotes) is read as browsers mostly do.
     """
     source = pages.select(id_col, *carry, html_col)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1]) + ", text string"
