@@ -14,7 +14,12 @@ parameter averaging: every partition takes the same start, runs stochastic gradi
 steps on its own documents (a round takes every share-th place of a document, each from
 another offset, so that all rounds together take every place), and the parameters are
 averaged, weighted by the places seen, in a grouping by parameter block.  So what is gathered grows with the
-input, and the driver holds one set of parameters whatever its size.
+input, and the driver holds one set of parameters whatever its size.  Since every partition trains on its own, scores
+depend a little on how the documents are dealt to partitions.
+
+Documents lie end to end in one stream of word numbers, with the edge's number between them; the words at
+one distance from all places of a step are one gather.  Steps begin small and grow with the places seen, since a step costs
+about the same for a few hundred places as for a few thousand.
 """
 
 from __future__ import annotations
@@ -27,22 +32,40 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from .common import materialize
+from .common import materialize, mix64
 
 TOKEN = re.compile(r"\w+|[^\w\s]")
 PLACES = (-3, -2, -1, 1, 2, 3)
 FIRST_CLASS, END = 0xF0000, chr(0x10FFFF)  # signs that stand for classes and for the end of a word
 EDGE = 0  # stands beyond both ends of a document
 BLOCK = 4096  # parameters in one row while averaging
-BATCH = 512  # places in a gradient step
+BATCH = (512, 4096)  # least and most places in a gradient step
+REPEATS = 32  # occurrences of a word in a step that count in full towards its vectors
+
+
+#: signs that stand alone: neither letters, digits and _ nor blanks
+_ALONE = r"([^\pL\pN_\s\pZ\x0b\x1c-\x1f\x85])"
 
 
 def tokens_of(text: str | None) -> list[str]:
+    """The rule for one text."""
     return TOKEN.findall(text.lower()) if text else []
 
 
+def cut(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """(different words, their numbers in order, tokens per text) of many texts, by the same rule in Arrow's kernels, which lower-case sign by sign."""
+    spaced = pc.replace_substring_regex(pc.utf8_lower(pc.fill_null(texts.cast(pa.large_string()), "")), pattern=_ALONE, replacement=r" \1 ")
+    parts = pc.utf8_split_whitespace(spaced)
+    flat = parts.flatten()
+    real = pc.not_equal(flat, "").to_numpy(zero_copy_only=False)
+    upto = np.concatenate([[0], np.cumsum(real)])[np.concatenate([[0], np.cumsum(pc.list_value_length(parts).to_numpy(zero_copy_only=False))]).astype(np.int64)]
+    coded = flat.filter(pa.array(real)).dictionary_encode()
+    return coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False), np.diff(upto)
+
+
 def class_of(word: str, buckets: int) -> int:
     """The number, from 1 on, of the class that stands for a word outside the vocabulary: a hash of its end and length class."""
     return 1 + zlib.crc32(f"{word[-2:]}{min(len(word) // 4, 3)}".encode()) % buckets
@@ -87,49 +110,84 @@ class Spelling:
         return total
 
 
+def sign_windows(strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(64-bit hashes of all four signs in a row, windows per string)."""
+    joined = np.frombuffer("".join(strings).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    sizes = np.array([len(x) for x in strings], dtype=np.int64)
+    if len(joined) < 4:
+        return np.zeros(0, np.uint64), np.maximum(sizes - 3, 0)
+    low, high = joined[:-3] | joined[1:-2] << np.uint64(32), joined[2:-1] | joined[3:] << np.uint64(32)
+    inside = np.ones(len(joined), bool)
+    ends = np.cumsum(sizes)
+    for k in range(1, 4):
+        inside[ends - k] = False
+    return (mix64(low) + mix64(high ^ np.uint64(0x9E3779B97F4A7C15)))[inside[:-3]], sizes - 3
+
+
+class Letters:
+    """Log-probabilities of all windows of a corpus's rarer words, by hash: what tasks need of a Spelling."""
+
+    def __init__(self, windows: dict[str, int]):
+        spelling = Spelling(windows)
+        hashes, _ = sign_windows(list(windows))
+        order = np.argsort(hashes)
+        self.hashes, self.logs = hashes[order], np.array([spelling.letter(w) for w in windows])[order]
+
+    def __call__(self, words: list[str], groups: np.ndarray) -> np.ndarray:
+        """Log-probabilities of words in their classes."""
+        if not words:
+            return np.zeros(0)
+        hashes, sizes = sign_windows([letters_of(w, g) for w, g in zip(words, groups.tolist())])
+        at = np.minimum(np.searchsorted(self.hashes, hashes), max(len(self.hashes) - 1, 0))
+        if not len(self.hashes) or (self.hashes[at] != hashes).any():
+            raise ValueError("a word outside the vocabulary that was not counted")
+        return np.add.reduceat(self.logs[at], np.cumsum(sizes) - sizes)
+
+
 class Vocabulary:
     """Frequent words by falling count from number 1 + buckets on; others by their class, and spelt for the rest of their probability."""
 
-    def __init__(self, words: list[str], buckets: int, spelling: Spelling | None = None):
-        self.buckets, self.spelling = buckets, spelling or Spelling({})
+    def __init__(self, words: list[str], buckets: int, letters: Letters):
+        self.buckets, self.letters = buckets, letters
         self.ids = {w: 1 + buckets + i for i, w in enumerate(words)}
         self.size = 1 + buckets + len(words)
-        self.rare: dict[str, tuple[int, float]] = {}
-
-    def __call__(self, tokens: list[str]) -> tuple[np.ndarray, float]:
-        """Word numbers, and the log-probability of the rarer words within their classes."""
-        get, ids, spelt = self.ids.get, [], 0.0
-        for t in tokens:
-            i = get(t)
-            if i is None:
-                known = self.rare.get(t)
-                if known is None:
-                    i = class_of(t, self.buckets)
-                    known = i, self.spelling(t, i)
-                    if len(self.rare) < 200_000:
-                        self.rare[t] = known
-                i = known[0]
-                spelt += known[1]
-            ids.append(i)
-        return np.array(ids, dtype=np.int64), spelt
+
+    def __call__(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Number of each word, and the log-probability of the rarer ones within their classes, 0 for the others."""
+        get = self.ids.get
+        ids = np.array([get(w, -1) for w in words], dtype=np.int64)
+        rare = np.flatnonzero(ids < 0)
+        some = [words[i] for i in rare.tolist()]
+        ids[rare] = np.array([class_of(w, self.buckets) for w in some], dtype=np.int64)
+        spelt = np.zeros(len(words))
+        spelt[rare] = self.letters(some, ids[rare])
+        return ids, spelt
+
+
+def width_of(size: int) -> str:
+    """Type of word numbers at rest."""
+    return "<u2" if size <= 1 << 16 else "<u4"
 
 
 def count_words(docs: DataFrame, text_col: str) -> DataFrame:
     """(word, n) over all documents, summed in the tasks before the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(counts):
-            return pa.RecordBatch.from_arrays([pa.array(list(counts)), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
+        def out():
+            table = pa.concat_tables(held).group_by("word").aggregate([("n", "sum")])
+            return pa.RecordBatch.from_arrays([table["word"].combine_chunks(), table["n_sum"].combine_chunks()], ["word", "n"])
 
-        counts: Counter = Counter()
+        held, rows = [], 0
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                counts.update(tokens_of(text))
-            if len(counts) > 500_000:
-                yield out(counts)
-                counts = Counter()
-        if counts:
-            yield out(counts)
+            for at in range(0, batch.num_rows, 2048):
+                words, codes, _ = cut(batch.column(0).slice(at, 2048))
+                held.append(pa.table({"word": pa.array(words, pa.string()), "n": pa.array(np.bincount(codes, minlength=len(words)), pa.int64())}))
+                rows += len(words)
+                if rows > 1_000_000:
+                    yield out()
+                    held, rows = [], 0
+        if held:
+            yield out()
 
     return docs.select(text_col).mapInArrow(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -192,6 +250,14 @@ class Network:
         self.void[:size] = 0
         self.void = self.void.reshape(self.classes, self.width)
 
+    def hidden_at(self, stream: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Hidden units for the places at of a stream of word numbers."""
+        h = np.take(self.embed[0], stream[at + PLACES[0]], axis=0)
+        for k in range(1, len(PLACES)):
+            h += np.take(self.embed[k], stream[at + PLACES[k]], axis=0)
+        h += self.b
+        return np.tanh(h, out=h)
+
     def hidden_of(self, context: np.ndarray) -> np.ndarray:
         h = np.repeat(self.b[None, :], len(context), axis=0)
         for k in range(len(PLACES)):
@@ -199,37 +265,48 @@ class Network:
         return np.tanh(h)
 
     def log_probability(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
-        h = self.hidden_of(context)
+        return self.of_hidden(self.hidden_of(context), target)
+
+    def of_hidden(self, h: np.ndarray, target: np.ndarray) -> np.ndarray:
+        """Log-probabilities of targets: of their class, and in their class."""
         c = target // self.width
-        z = h @ self.wc.T + self.bc
+        z = h @ self.wc.T
+        z += self.bc
         z -= z.max(axis=1, keepdims=True)
-        lp = z[np.arange(len(c)), c] - np.log(np.exp(z).sum(axis=1))
-        order = np.argsort(c, kind="stable")
+        lp = z[np.arange(len(c)), c]
+        lp -= np.log(np.exp(z, out=z).sum(axis=1))
+        order = np.argsort(c.astype(np.uint16) if self.classes < 1 << 16 else c, kind="stable")
         cuts = np.flatnonzero(np.concatenate([[True], np.diff(c[order]) > 0, [True]])) if len(c) else [0]
         for f, e in zip(cuts[:-1], cuts[1:]):
             at = order[f:e]
             k = c[at[0]]
-            y = h[at] @ self.ww[k].T + (self.bw[k] + self.void[k])
+            y = h[at] @ self.ww[k].T
+            y += self.bw[k] + self.void[k]
             y -= y.max(axis=1, keepdims=True)
-            lp[at] += y[np.arange(len(at)), target[at] - k * self.width] - np.log(np.exp(y).sum(axis=1))
+            own = y[np.arange(len(at)), target[at] - k * self.width]
+            lp[at] += own - np.log(np.exp(y, out=y).sum(axis=1))
         return lp
 
-    def step(self, context: np.ndarray, target: np.ndarray, rate: float) -> None:
-        """One gradient step on a small batch."""
-        n = len(target)
-        target, order = np.sort(target), np.argsort(target)
-        context = context[order]
-        h = self.hidden_of(context)
+    def step(self, stream: np.ndarray, at: np.ndarray, rate: float) -> None:
+        """One gradient step on the places at of a stream of word numbers."""
+        n = len(at)
+        at = at[np.argsort(stream[at], kind="stable")]
+        target = stream[at].astype(np.int64)
+        h = self.hidden_at(stream, at)
         c = target // self.width
-        z = h @ self.wc.T + self.bc
-        p = np.exp(z - z.max(axis=1, keepdims=True))
+        p = h @ self.wc.T
+        p += self.bc
+        p -= p.max(axis=1, keepdims=True)
+        np.exp(p, out=p)
         p /= p.sum(axis=1, keepdims=True)
-        p[np.arange(n), c] -= 1
+        numbers = np.arange(n)
+        p[numbers, c] -= 1
         dh = p @ self.wc
-        self.wc -= rate / n * (p.T @ h)
-        self.bc -= rate / n * p.sum(axis=0)
+        p *= np.float32(rate / n)
+        self.wc -= p.T @ h
+        self.bc -= p.sum(axis=0)
         cuts = np.flatnonzero(np.concatenate([[True], np.diff(c) > 0, [True]])).tolist()
-        inside, numbers = target - c * self.width, np.arange(n)
+        inside = target - c * self.width
         for f, e, k in zip(cuts[:-1], cuts[1:], c[cuts[:-1]].tolist()):
             own, ww = h[f:e], self.ww[k]
             q = own @ ww.T
@@ -242,13 +319,30 @@ class Network:
             q *= np.float32(rate / (e - f))
             ww -= q.T @ own
             self.bw[k] -= q.sum(axis=0)
-        dh *= (1 - h * h) * (rate * 0.05)
+        h *= h
+        dh *= np.subtract(1, h, out=h)
+        dh *= np.float32(rate * 0.05)
         self.b -= dh.mean(axis=0)
-        rows = (context + np.arange(len(PLACES)) * self.size).T.ravel()
-        order = np.argsort(rows, kind="stable")
-        rows = rows[order]
-        starts = np.flatnonzero(np.concatenate([[True], np.diff(rows) > 0]))
-        self.embed.reshape(-1, self.hidden)[rows[starts]] -= np.add.reduceat(dh[order % n], starts, axis=0)
+        for k, place in enumerate(PLACES):
+            words = stream[at + place]
+            order = np.argsort(words, kind="stable")
+            words = words[order]
+            starts = np.flatnonzero(np.concatenate([[True], words[1:] != words[:-1]]))
+            times = np.diff(np.concatenate([starts, [n]]))
+            move = np.add.reduceat(np.take(dh, order, axis=0), starts, axis=0)
+            move *= np.minimum(1, REPEATS / times).astype(np.float32)[:, None]
+            self.embed[k][words[starts]] -= move
+
+
+def lay_out(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(stream, first places): documents of word numbers end to end, with the edge between and around them."""
+    reach = max(PLACES)
+    edge = np.full(reach, EDGE, docs[0].dtype if docs else np.int64)
+    parts = [edge]
+    for d in docs:
+        parts += [d, edge]
+    sizes = np.array([len(d) + reach for d in docs], dtype=np.int64)
+    return np.concatenate(parts), reach + np.cumsum(sizes) - sizes
 
 
 def contexts(ids: np.ndarray) -> np.ndarray:
@@ -258,19 +352,23 @@ def contexts(ids: np.ndarray) -> np.ndarray:
 
 
 def encode_docs(docs: DataFrame, vocab: list[str], windows: dict[str, int], buckets: int, id_col: str, text_col: str) -> DataFrame:
-    """(id, ids, spelt): word numbers of every whole text, as little-endian 32-bit integers, and the log-probability of rarer words within their classes."""
-    spark = docs.sparkSession
-    held = spark.sparkContext.broadcast((vocab, windows))
+    """(id, ids, spelt): word numbers of every whole text, as little-endian integers, and the log-probability of rarer words within their classes."""
+    held = docs.sparkSession.sparkContext.broadcast((vocab, Letters(windows)))
     source = docs.select(id_col, text_col)
     id_type = source.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = Vocabulary(held.value[0], buckets, Spelling(held.value[1]))
+        vocabulary = Vocabulary(held.value[0], buckets, held.value[1])
+        kind = np.dtype(width_of(vocabulary.size))
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
-                done = [encode(tokens_of(t)) for t in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([ids.astype("<u4").tobytes() for ids, _ in done], pa.binary()), pa.array([x for _, x in done], pa.float64())], ["id", "ids", "spelt"])
+            for at in range(0, batch.num_rows, 2048):
+                part = batch.slice(at, 2048)
+                words, codes, n = cut(part.column(1))
+                ids, spelt = vocabulary(words)
+                raw, ends = ids.astype(kind)[codes].tobytes(), np.cumsum(n)
+                total = np.concatenate([[0.0], np.cumsum(spelt[codes])])
+                cuts = (ends * kind.itemsize).tolist()
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([raw[f:e] for f, e in zip([0, *cuts], cuts)], pa.binary()), pa.array(total[ends] - total[ends - n])], ["id", "ids", "spelt"])
 
     return materialize(source.mapInArrow(run, f"id {id_type}, ids binary, spelt double"))
 
@@ -286,25 +384,31 @@ def average_round(encoded: DataFrame, size: int, hidden: int, flat: np.ndarray,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = Network(size, hidden, held.value.copy())
-        seen, some_c, some_t, some = 0, [], [], 0
+        kind, seen = width_of(size), 0
+
+        def learn(docs):
+            stream, firsts = lay_out(docs)
+            at = np.concatenate([f + places_of(len(d), round_no, share) for f, d in zip(firsts.tolist(), docs)])
+            for some in np.array_split(at, max(1, round(len(at) / most_places()))):
+                net.step(stream, some, rate)
+            return len(at)
+
+        def most_places():
+            return min(BATCH[1], max(BATCH[0], seen // 8))
+
+        held_docs, waiting = [], 0
         for batch in batches:
             for raw in batch.column(0).to_pylist():
-                ids = np.frombuffer(raw, "<u4").astype(np.int64)
-                at = places_of(len(ids), round_no, share)
-                if not len(at):
-                    continue
-                some_c.append(contexts(ids)[at])
-                some_t.append(ids[at])
-                some += len(at)
-                if some >= BATCH:
-                    c, t = np.concatenate(some_c), np.concatenate(some_t)
-                    whole = some // BATCH * BATCH
-                    for f in range(0, whole, BATCH):
-                        net.step(c[f : f + BATCH], t[f : f + BATCH], rate)
-                    seen, some_c, some_t, some = seen + whole, [c[whole:]], [t[whole:]], some - whole
-        if some:
-            net.step(np.concatenate(some_c), np.concatenate(some_t), rate)
-            seen += some
+                ids = np.frombuffer(raw, kind)
+                n = len(places_of(len(ids), round_no, share))
+                if n:
+                    held_docs.append(ids)
+                    waiting += n
+                if waiting >= 4 * most_places():
+                    seen += learn(held_docs)
+                    held_docs, waiting = [], 0
+        if waiting:
+            seen += learn(held_docs)
         if not seen:
             return
         starts = range(0, net.n, BLOCK)
@@ -335,8 +439,9 @@ def lm_score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     """(id, n_tokens, log_likelihood, mean_log_likelihood) for every document.
 
     Null, empty and blank texts have no tokens, a sum of 0 and no mean.
-    Repeated rows are scored each; extra columns are ignored.  Sums run over
-    every token of the whole text, and the network is trained on every place.
+    Repeated rows and rows with null ids are scored each, equal texts (ties) alike up to rounding; an empty table gives no
+    rows; extra columns are ignored.  Sums run over
+    every token of the whole text, however long, and the network is trained on every place.
     The vocabulary is all words with at least often * sqrt(tokens) occurrences, and no fewer than words.
     """
     if rounds % share:
@@ -352,20 +457,21 @@ def lm_score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = Network(size, hidden, held.value.copy())
+        kind = width_of(size)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                ids = [np.frombuffer(b, "<u4").astype(np.int64) for b in part.column(1).to_pylist()]
-                flat_ids = np.concatenate(ids)
-                lp = np.zeros(len(flat_ids))
-                if len(flat_ids):
-                    where = np.concatenate([contexts(i) for i in ids if len(i)])
-                    for f in range(0, len(lp), 16_384):
-                        lp[f : f + 16_384] = net.log_probability(where[f : f + 16_384], flat_ids[f : f + 16_384])
-                total = np.concatenate([[0.0], np.cumsum(lp)])
-                n = [len(i) for i in ids]
-                sums = [float(total[e] - total[e - k]) + x for e, k, x in zip(np.cumsum(n).tolist(), n, part.column(2).to_pylist())]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(sums, pa.float64()), pa.array([s / k if k else None for s, k in zip(sums, n)], pa.float64())], ["id", "n_tokens", "log_likelihood", "mean_log_likelihood"])
+                ids = [np.frombuffer(b, kind) for b in part.column(1).to_pylist()]
+                n = np.array([len(i) for i in ids])
+                stream, firsts = lay_out(ids)
+                places = np.repeat(firsts - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                lp = np.zeros(len(places))
+                for f in range(0, len(lp), 16_384):
+                    some = places[f : f + 16_384]
+                    lp[f : f + 16_384] = net.of_hidden(net.hidden_at(stream, some), stream[some].astype(np.int64))
+                total, ends = np.concatenate([[0.0], np.cumsum(lp)]), np.cumsum(n)
+                sums = total[ends] - total[ends - n] + part.column(2).to_numpy()
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(sums), pa.array([s / k if k else None for s, k in zip(sums.tolist(), n.tolist())], pa.float64())], ["id", "n_tokens", "log_likelihood", "mean_log_likelihood"])
 
     id_type = encoded.schema["id"].dataType.simpleString()
     return encoded.mapInArrow(run, f"id {id_type}, n_tokens bigint, log_likelihood double, mean_log_likelihood double").withColumnRenamed("id", id_col)
