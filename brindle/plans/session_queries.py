@@ -10,10 +10,13 @@ from .registry import catalog, query, table
 
 
 def _shared(spark) -> str:
+    """A new folder that driver and executors share; a temporary one only in local sessions."""
     import tempfile
 
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="brindle-")
-    return f"{named.rstrip('/')}/brindle-{uuid.uuid4().hex}"
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return f"{(named or tempfile.mkdtemp(prefix='brindle-')).rstrip('/')}/brindle-{uuid.uuid4().hex}"
 
 
 @query("SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
@@ -35,6 +38,101 @@ def _is_folder(spark, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(p).isDirectory()
 
 
+#: customers' scripts: (script, turn, message, attribute asked before); {noun}, {store} and {price} are the product's
+SCRIPTS = [
+    (0, 1, "I'm looking for {noun}. A key requirement is: cotton.", None),
+    (0, 2, "For that, what matters is: color: red; budget around ${price}.", None),
+    (0, 3, "I don't have an additional preference for size.", "size"),
+    (0, 4, "Actually, ignore my earlier preference. What I need is: {store}.", None),
+    (1, 1, "I'm looking for {noun}, but I'm still exploring.", None),
+    (1, 2, "red cotton", "color"),
+    (1, 3, "Correction: make that blue", None),
+    (1, 4, "no wool and I want black lining", None),
+    (2, 1, "I'm looking for {noun}. red", None),
+    (2, 2, "Make that blue but keep the red as an option", None),
+    (2, 3, "I can't spend more than ${price}", "budget"),
+    (3, 1, "maybe red", None),
+    (3, 2, 'the label says "no cotton"', None),
+    (3, 3, "cotton rather than wool", None),
+    (3, 4, "These options are not right, I need nylon", None),
+    (4, 1, "I'm looking for {noun}. 60% cotton 40% wool", None),
+    (4, 2, "change that to 80% cotton", None),
+    (4, 3, "leather or suede", "material"),
+    (4, 4, "not suede", None),
+    (5, 1, "I'm looking for {noun}. red under ${price}", None),
+    (5, 2, "Actually, I need blue; budget around ${price}", None),
+    (5, 2, "What I need is: green", None),
+    (5, 3, "I'm looking for hats instead", None),
+    (6, 1, "size wide", "size"),
+    (6, 2, "lining: cotton", None),
+    (6, 3, "make that lining: wool", None),
+    (6, 4, "I don't have a preference for size, but I always want walking shoes", None),
+]
+
+
+def _messages(spark, sf_dir):
+    """Each product as the target of a session that follows one of the scripts."""
+    c = catalog(spark, sf_dir)
+    kind = "array<struct<script:int,turn:int,message:string,asked:string>>"
+    rows = F.array(*[F.struct(F.lit(s).alias("script"), F.lit(t).alias("turn"), F.lit(m).alias("message"), F.lit(q).alias("asked")) for s, t, m, q in SCRIPTS]).cast(kind)
+    mine = F.filter(rows, lambda x: x["script"] == F.pmod(F.col("product_id"), F.lit(7)))
+    noun = F.element_at(F.split("title", " "), -1)
+    text = F.replace(F.replace(F.replace(F.col("m.message"), F.lit("{noun}"), noun), F.lit("{store}"), F.col("store")), F.lit("{price}"), F.format_string("%.2f", F.col("price")))
+    return c.withColumn("m", F.explode(mine)).select(F.col("product_id").alias("session_id"), "m.turn", text.alias("message"), "m.asked")
+
+
+#: what the scripts leave: (script, source, attribute, text, turn, derivation)
+LEFT = """left_of(script, source, attribute, text, turn, derivation) AS (VALUES
+    (0, 'category', 'category', '{noun}', 1, NULL), (0, 'hard_constraint', NULL, 'cotton', 1, NULL), (0, 'clarification', NULL, 'color: red', 2, NULL), (0, 'clarification', NULL, 'budget around ${price}', 2, NULL), (0, 'override', 'size', '{store}', 4, NULL),
+    (1, 'category', 'category', '{noun}', 1, NULL), (1, 'clarification', 'color', 'cotton', 2, 'facet_removed'), (1, 'override', 'color', 'blue', 3, NULL), (1, 'exclusion', 'material', 'wool', 4, NULL), (1, 'clarification', 'color', 'I want black lining', 4, NULL),
+    (2, 'category', 'category', '{noun}', 1, NULL), (2, 'override', 'color', 'blue or red', 2, 'kept_facet_alternative'), (2, 'clarification', 'budget', 'I can''t spend more than ${price}', 3, NULL),
+    (3, 'exclusion', 'material', 'wool', 3, NULL), (3, 'clarification', NULL, 'cotton', 3, NULL), (3, 'clarification', NULL, 'I need nylon', 4, NULL),
+    (4, 'category', 'category', '{noun}', 1, NULL), (4, 'override', 'material', '80% cotton', 2, NULL), (4, 'clarification', 'material', 'leather', 3, 'excluded_alternative_removed'), (4, 'exclusion', 'material', 'suede', 4, NULL),
+    (5, 'category', 'category', 'hats', 3, NULL), (5, 'clarification', 'color', 'I need blue', 2, NULL), (5, 'clarification', 'budget', 'budget around ${price}', 2, NULL),
+    (6, 'override', 'material', 'lining: wool', 3, NULL), (6, 'clarification', 'size', 'I always want walking shoes', 4, NULL))"""
+_FILL = "replace(replace(replace({x}, '{{noun}}', string_split(p_name, ' ')[-1]), '{{store}}', p_brand), '{{price}}', printf('%.2f', p_retailprice))"
+
+
+@query(f"WITH {LEFT} SELECT p_partkey AS session_id, source, attribute, {_FILL.format(x='text')} AS text, turn, derivation FROM part JOIN left_of ON script = p_partkey % 7")
+def dialogue_fold(spark, sf_dir):
+    """Corrections, kept options, contrasts, denials, doubts, reports, taken back, declined and stale turns, with budgets."""
+    return ledger.fold(_messages(spark, sf_dir)).select("session_id", "source", "attribute", "text", "turn", "derivation")
+
+
+@query(f"""WITH s(script, category, declined, semantic_query) AS (VALUES
+    (0, '{{noun}}', 'size', 'Product category: {{noun}}' || chr(10) || 'Required features: cotton; color: red; budget around ${{price}}; {{store}}'),
+    (1, '{{noun}}', '', 'Product category: {{noun}}' || chr(10) || 'Required features: cotton; blue; black lining'),
+    (2, '{{noun}}', '', 'Product category: {{noun}}' || chr(10) || 'Required features: blue or red; I can''t spend more than ${{price}}'),
+    (3, '', '', 'Required features: cotton; nylon'),
+    (4, '{{noun}}', '', 'Product category: {{noun}}' || chr(10) || 'Required features: 80% cotton; leather'),
+    (5, 'hats', '', 'Product category: hats' || chr(10) || 'Required features: blue; budget around ${{price}}'),
+    (6, '', 'size', 'Required features: lining: wool; I always want walking shoes'))
+    SELECT p_partkey AS session_id, {_FILL.format(x='category')} AS category, declined, {_FILL.format(x='semantic_query')} AS semantic_query FROM part JOIN s ON script = p_partkey % 7""")
+def session_standing(spark, sf_dir):
+    """Category, declined attributes and the semantic query after each session's last turn."""
+    return ledger.standing(_messages(spark, sf_dir)).select("session_id", "category", "declined", "semantic_query")
+
+
+@query(f"""WITH {LEFT}, one AS (SELECT script, to_json(list([source, coalesce(attribute, ''), lower(text)] ORDER BY source, coalesce(attribute, ''), lower(text))) AS facts FROM left_of GROUP BY 1)
+    SELECT p_partkey AS session_id, sha256(facts) AS signature FROM part JOIN one ON script = p_partkey % 7 WHERE script IN (3, 6)""")
+def session_signature(spark, sf_dir):
+    """The semantic signature of sessions whose facts do not depend on the product."""
+    return ledger.standing(_messages(spark, sf_dir)).filter("session_id % 7 in (3, 6)").select("session_id", "signature")
+
+
+@query("""WITH s(script, accepted, rejected, evidence) AS (VALUES (0, 4, 0, 5), (1, 4, 0, 5), (2, 3, 0, 3), (3, 4, 0, 3), (4, 4, 0, 4), (5, 3, 1, 3), (6, 4, 0, 2))
+    SELECT p_partkey AS session_id, accepted, rejected, evidence FROM part JOIN s ON script = p_partkey % 7""")
+def session_stream_state(spark, sf_dir):
+    """The ledger as a keyed stream: every session's turns arrive once, and its state is read after the last."""
+    path = _shared(spark)
+    said = _messages(spark, sf_dir).drop("asked")
+    said.write.parquet(path)
+    stream = spark.readStream.schema("session_id bigint, turn int, message string").parquet(path)
+    out = windows.run_to_end(ledger.follow(stream), f"{path}-run", "append")
+    count = lambda s: F.sum((F.col("status") == s).cast("int")).cast("int")
+    return out.groupBy("session_id").agg(count("accepted").alias("accepted"), count("rejected").alias("rejected"), F.max_by("evidence", F.struct("turn", F.col("status") == "accepted")).alias("evidence"))
+
+
 def _dialogues(spark, sf_dir):
     """Each product as the target of a four-turn session in the simulator's wording."""
     c = catalog(spark, sf_dir)
@@ -49,24 +147,6 @@ def _dialogues(spark, sf_dir):
     return c.select(F.col("product_id").alias("session_id"), F.explode(turns).alias("t")).select("session_id", "t.*")
 
 
-@query("""WITH p AS (SELECT p_partkey AS session_id, string_split(p_name, ' ')[1] AS first, string_split(p_name, ' ')[-1] AS last, lower(p_type) AS category, p_brand AS store FROM part)
-    SELECT session_id, 'category' AS source, last AS text, 1::INT AS turn FROM p UNION ALL SELECT session_id, 'hard_constraint', first, 1 FROM p
-    UNION ALL SELECT session_id, 'clarification', category, 2 FROM p UNION ALL SELECT session_id, 'override', store, 4 FROM p""")
-def dialogue_fold(spark, sf_dir):
-    return ledger.fold(_dialogues(spark, sf_dir)).filter("attribute <> 'budget'").select("session_id", "source", "text", "turn")
-
-
-@query("SELECT p_partkey AS session_id, 4 AS accepted, 0 AS rejected, 5 AS evidence FROM part")
-def session_stream_state(spark, sf_dir):
-    """The ledger as a keyed stream: every session's turns arrive once, and its state is read after the last."""
-    path = _shared(spark)
-    _dialogues(spark, sf_dir).write.parquet(path)
-    stream = spark.readStream.schema("session_id bigint, turn int, message string").parquet(path)
-    out = windows.run_to_end(ledger.follow(stream), f"{path}-run", "append")
-    count = lambda s: F.sum((F.col("status") == s).cast("int")).cast("int")
-    return out.groupBy("session_id").agg(count("accepted").alias("accepted"), count("rejected").alias("rejected"), F.max_by("evidence", "turn").alias("evidence"))
-
-
 def _flat(spark, sf_dir):
     c = catalog(spark, sf_dir)
     kind = F.concat_ws(" ", F.lower("categories"), F.element_at(F.split("title", " "), -1))  # the title's noun is the leaf
