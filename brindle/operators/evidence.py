@@ -37,6 +37,11 @@ def variants(value: Column) -> Column:
     return F.concat(F.lit("(?:"), _literal(v), F.lit("|"), _literal(bare), F.lit("|"), _literal(short), F.lit(")"))
 
 
+def held(value: Column, then) -> Column:
+    """then(value), with value worked out once however often then uses it."""
+    return F.transform(F.array(value), then)[0]
+
+
 def signals(text: Column, value: Column) -> Column:
     """struct(yes, no): whether a text states a value, and whether it denies or qualifies it."""
     t, v = F.replace(F.lower(F.coalesce(text, F.lit(""))), F.lit("gray"), F.lit("grey")), variants(value)
@@ -67,8 +72,12 @@ def soft_budget(price: Column, lower_bound: Column, value: Column) -> Column:
 def preference_signal(p: Column, sources: Column, price: Column, lower_bound: Column) -> Column:
     """Support (to 1), contradiction (to -1) or 0 for nothing known or both, turned by the preference's polarity."""
     seen = F.transform(sources, lambda s: F.struct(signals(s["text"], p["value"]).alias("x"), s["confidence"].alias("c")))
-    best = lambda which: F.coalesce(F.array_max(F.transform(F.filter(seen, lambda s: s["x"][which]), lambda s: s["c"])), F.lit(0.0))
-    words = F.when((best("yes") > 0) & (best("no") > 0), 0.0).otherwise(best("yes") - best("no"))
+
+    def weighed(rows):
+        best = F.struct(*[F.coalesce(F.array_max(F.transform(F.filter(rows, lambda s: s["x"][w]), lambda s: s["c"])), F.lit(0.0)).alias(w) for w in ("yes", "no")])
+        return held(best, lambda b: F.when((b["yes"] > 0) & (b["no"] > 0), 0.0).otherwise(b["yes"] - b["no"]))
+
+    words = held(seen, weighed)
     return F.when(p["attribute"] == "budget", budget_evidence(price, lower_bound, p["value"])).otherwise(words) * p["polarity"]
 
 
@@ -83,13 +92,16 @@ def evidence_score(preferences: Column, sources: Column, price: Column, lower_bo
     """Sum over groups of the best member: alternatives of a facet count once, features and exclusions each.  Contradictions weigh twice, hard ones a quarter more."""
 
     def one(p):
-        s = preference_signal(p, sources, price, lower_bound)
         key = F.when((p["polarity"] == 1) & p["alternative_group"].isNotNull(), F.concat_ws("|", p["attribute"], p["alternative_group"])).when((p["attribute"] == "feature") | (p["polarity"] < 0), F.concat_ws(":", p["attribute"], p["value"], p["polarity"].cast("string"))).otherwise(p["attribute"])
-        return F.struct(key.alias("key"), (_weight(p["attribute"]) * s * F.when(p["hard"], 1.25).otherwise(p["confidence"]) * F.when(s < 0, 2.0).otherwise(1.0)).alias("v"))
+        strength = _weight(p["attribute"]) * F.when(p["hard"], 1.25).otherwise(p["confidence"])
+        value = held(preference_signal(p, sources, price, lower_bound), lambda s: s * F.when(s < 0, 2.0).otherwise(1.0) * strength)
+        return F.struct(key.alias("key"), value.alias("v"))
+
+    def summed(rows):
+        best = F.transform(F.array_distinct(F.transform(rows, lambda r: r["key"])), lambda k: F.array_max(F.transform(F.filter(rows, lambda r: r["key"] == k), lambda r: r["v"])))
+        return F.aggregate(best, F.lit(0.0), lambda a, x: a + x)
 
-    rows = F.transform(F.filter(preferences, lambda p: p["polarity"] != 0), one)
-    best = F.transform(F.array_distinct(F.transform(rows, lambda r: r["key"])), lambda k: F.array_max(F.transform(F.filter(rows, lambda r: r["key"] == k), lambda r: r["v"])))
-    return F.aggregate(best, F.lit(0.0), lambda a, x: a + x)
+    return held(F.transform(F.filter(preferences, lambda p: p["polarity"] != 0), one), summed)
 
 
 def contradicts(preferences: Column, sources: Column, price: Column, lower_bound: Column) -> Column:
