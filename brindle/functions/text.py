@@ -103,3 +103,31 @@ def money(x: Column | str) -> Column:
 def hash_order(*parts: Column | str) -> Column:
     """A deterministic ordering key: sha2 over parts joined by a zero byte."""
     return F.sha2(F.concat_ws("\0", *[_col(p).cast("string") if not isinstance(p, str) else F.col(p).cast("string") for p in parts]), 256)
+
+
+# Words that open a request, and departments that may stand before a category.
+REQUESTS = "show me; find; find me; i want; i need; i would like; i am looking for; looking for"
+DEPARTMENTS = "men women mens womens boys girls kids unisex".split()
+
+
+def category_terms(x: Column | str) -> Column:
+    """Singular words of a category text, without stop words."""
+    return F.transform(terms(x), singular)
+
+
+def asserted_category(message: Column, names: list[str]) -> Column:
+    """struct(name, rest): the known category, the longest that fits, which a request begins with, singular or plural and behind articles and departments; and what follows it.  Null where none does."""
+    opened = F.regexp_replace(F.lower(F.trim(message)), "^(?:" + "|".join(r.replace(" ", r"\s+") for r in sorted(REQUESTS.split("; "), key=len, reverse=True)) + r")\s+", "")
+    bare = F.regexp_replace(opened, rf"^(?:(?:a|an|the|some|{'|'.join(DEPARTMENTS)})\s+)+", "")
+    found = F.lit(None).cast("struct<name:string,rest:string>")
+    for name in sorted(names, key=lambda n: (len(n), n)):
+        stem = name[:-1] if name.endswith("s") else name
+        pattern = rf"^\Q{stem}\E(?:s|es)?\b"
+        rest = F.btrim(F.regexp_replace(bare, pattern, ""), F.lit(" ,.;!?"))
+        found = F.when(bare.rlike(pattern) & (opened != F.lower(F.trim(message))), F.struct(F.lit(name).alias("name"), rest.alias("rest"))).otherwise(found)
+    return found
+
+
+def category_choices(x: Column | str) -> Column:
+    """The alternatives of a category text joined by 'or', each as singular words."""
+    return F.filter(F.transform(F.split(_col(x), r"(?i)\s+or\s+"), category_terms), lambda c: F.size(c) > 0)

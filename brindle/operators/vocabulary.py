@@ -78,3 +78,16 @@ def contrasts(neighbors: DataFrame, facts: DataFrame) -> DataFrame:
 def suffix_paths(path: Column) -> Column:
     """Every suffix of a category path, longest first, joined by ' > '."""
     return F.when(F.size(path) > 0, F.transform(F.sequence(F.lit(1), F.size(path)), lambda i: F.array_join(F.slice(path, i, F.size(path) - i + 1), " > "))).otherwise(F.array().cast("array<string>"))
+
+
+def with_lane(found: DataFrame, *, least_share: float = 0.95, least_margin: float = 0.50) -> DataFrame:
+    """aliases() with state: whether an alias is sure enough to change a session's state and not only its search."""
+    return found.withColumn("state", (F.col("confidence") >= least_share) & (F.col("margin") >= least_margin))
+
+
+def roles(names: DataFrame, patterns: dict[str, str], *, least_support: int = 5, other: str = "object") -> DataFrame:
+    """(canonical, role, support) of taxonomy names (canonical), the role by the first pattern that a name holds."""
+    role = F.lit(other)
+    for name, pattern in reversed(patterns.items()):
+        role = F.when(F.col("canonical").rlike(rf"\b(?:{pattern})\b"), F.lit(name)).otherwise(role)
+    return names.groupBy("canonical").agg(F.count(F.lit(1)).alias("support")).filter(F.col("support") >= least_support).withColumn("role", role)

@@ -58,21 +58,30 @@ def constraint_entries(flat: DataFrame) -> DataFrame:
 
 
 def build_index(flat: DataFrame, path: str) -> None:
-    """Write the index tables and, last, a manifest that open_index checks; postings are clustered by token."""
+    """Write the index tables to a new version's folder and then, last, a manifest that names it, with counts that open_index checks; postings are clustered by token.
+
+    Readers go by the newest manifest, so a rebuild never shows them a mix of versions.
+    """
+    import uuid
+
+    version = uuid.uuid4().hex
     tables = {"products": flat, "postings": postings(flat, "product_id", {f: f for f in TEXT_FIELDS}).repartitionByRange("token").sortWithinPartitions("token"), "entries": constraint_entries(flat)}
     spark = flat.sparkSession
     for name, df in tables.items():
-        df.write.mode("overwrite").parquet(f"{path}/{name}")
-    counts = [(name, spark.read.parquet(f"{path}/{name}").count()) for name in tables]
-    spark.createDataFrame(counts, "name string, n long").coalesce(1).write.mode("overwrite").json(f"{path}/manifest")
+        df.write.parquet(f"{path}/{name}/v={version}")
+    counts = [(name, spark.read.parquet(f"{path}/{name}/v={version}").count(), version) for name in tables]
+    spark.createDataFrame(counts, "name string, n long, version string").withColumn("built", F.current_timestamp()).coalesce(1).write.mode("append").json(f"{path}/manifest")
 
 
 def open_index(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     """The tables of an index, after checking counts against the manifest and membership both ways."""
-    manifest = {r["name"]: r["n"] for r in spark.read.schema("name string, n long").json(f"{path}/manifest").collect()}
-    tables = {name: spark.read.parquet(f"{path}/{name}") for name in ("products", "postings", "entries")}
+    built = spark.read.schema("name string, n long, version string, built timestamp").json(f"{path}/manifest")
+    manifest = {r["name"]: r["last"] for r in built.groupBy("name").agg(F.max_by(F.struct("n", "version"), F.struct("built", "version")).alias("last")).collect()}
+    tables = {name: spark.read.option("recursiveFileLookup", "true").parquet(f"{path}/{name}/v={manifest[name]['version']}") for name in ("products", "postings", "entries")}
+    held = {r["name"]: r["n"] for r in built.groupBy("name").agg(F.sum("n").alias("n")).collect()}
     for name, df in tables.items():
-        if df.count() != manifest.get(name):
+        everything = spark.read.option("recursiveFileLookup", "true").parquet(f"{path}/{name}")  # all versions, and nothing beside them
+        if df.count() != manifest[name]["n"] or everything.count() != held[name]:
             raise ValueError(f"{name} does not match the manifest")
     stray = tables["entries"].join(tables["products"], "product_id", "left_anti").limit(1).count()
     if stray:
@@ -116,4 +125,38 @@ def vectors_valid(vectors: DataFrame, vec: str, dims: int) -> DataFrame:
     return vectors.agg(F.count(F.lit(1)).alias("rows"), F.bool_and(F.size(vec) == dims).alias("right_size"), F.bool_and(~F.exists(vec, lambda x: F.isnan(x) | (F.abs(x) == float("inf")))).alias("finite"), F.bool_and(F.abs(norm - 1) < 1e-3).alias("unit"))
 
 
-__all__ = ["CATALOG", "build_index", "constraint_entries", "difference", "facets_of", "fingerprint", "flatten", "open_index", "problems", "read_catalog", "vectors_valid", "write_once"]
+def ids_in_order(vectors: DataFrame, id_col: str) -> DataFrame:
+    """(ids_in_order): whether ids are 0, 1, 2, ... without gaps or repeats, as positions in a matrix must be."""
+    same = (F.count(F.lit(1)) == F.countDistinct(id_col)) & (F.min(id_col) == 0) & (F.max(id_col) == F.count(F.lit(1)) - 1)
+    return vectors.agg(same.alias("ids_in_order"))
+
+
+def read_fields(spark: SparkSession, path: str, id_key: str = "parent_asin") -> DataFrame:
+    """(product_id, field, value, raw): every key of every JSON line as atomic values; lists give each item, objects each 'label: value' and the value."""
+    v = spark.read.text(path).select(F.col("value").alias("raw"))
+    entries = v.select("raw", F.explode(F.from_json("raw", "map<string,string>")).alias("field", "text"))
+    plain = lambda x: F.array(x)
+    listed = F.from_json("text", "array<string>")
+    nested = F.flatten(F.transform(F.map_entries(F.from_json("text", "map<string,string>")), lambda e: F.array(F.concat_ws(": ", e["key"], e["value"]), e["value"])))
+    values = F.when(F.col("text").startswith("["), F.coalesce(listed, plain(F.col("text")))).when(F.col("text").startswith("{"), F.coalesce(nested, plain(F.col("text")))).otherwise(plain(F.col("text")))
+    rows = entries.withColumn("product_id", F.get_json_object("raw", f"$.{id_key}")).filter(F.col("field") != id_key)
+    return rows.select("product_id", "field", F.explode(F.array_distinct(values)).alias("value"), "raw").filter(F.trim("value") != "")
+
+
+def lock_pack(rows: DataFrame, path: str) -> None:
+    """Write a data pack and, last, a manifest with its row count and content digest; refuses to overwrite."""
+    rows.write.mode("errorifexists").json(f"{path}/rows")
+    spark = rows.sparkSession
+    spark.createDataFrame([(rows.count(), fingerprint(rows), rows.schema.json())], "n long, digest string, shape string").coalesce(1).write.mode("errorifexists").json(f"{path}/manifest")
+
+
+def verify_pack(spark: SparkSession, path: str) -> bool:
+    """Whether a pack still holds what its manifest says."""
+    import json
+
+    m = spark.read.schema("n long, digest string, shape string").json(f"{path}/manifest").first()
+    rows = spark.read.schema(T.StructType.fromJson(json.loads(m["shape"]))).json(f"{path}/rows")
+    return rows.count() == m["n"] and fingerprint(rows) == m["digest"]
+
+
+__all__ = ["CATALOG", "build_index", "constraint_entries", "difference", "facets_of", "fingerprint", "flatten", "ids_in_order", "lock_pack", "open_index", "problems", "read_catalog", "read_fields", "vectors_valid", "verify_pack", "write_once"]
