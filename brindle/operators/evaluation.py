@@ -114,3 +114,10 @@ def power(effect: float, deviation: float, n: int, alpha_z: float = 1.9599639845
     z = abs(effect) / (deviation / math.sqrt(n)) if deviation > 0 and n > 0 else 0.0
     cdf = lambda x: 0.5 * (1 + math.erf(x / math.sqrt(2)))
     return cdf(z - alpha_z) + cdf(-z - alpha_z)
+
+
+def variant_overlap(ranks: DataFrame, depth: int = 120, top: int = 10) -> DataFrame:
+    """(query_id, jaccard, overlap) of two rankings (query_id, doc_id, ra, rb): of the first depth places, and the share of the first top that both hold."""
+    both = lambda k, op: F.sum(op(F.coalesce(F.col("ra") <= k, F.lit(False)), F.coalesce(F.col("rb") <= k, F.lit(False))).cast("int"))
+    g = ranks.groupBy("query_id").agg(both(depth, lambda a, b: a & b).alias("i"), both(depth, lambda a, b: a | b).alias("u"), both(top, lambda a, b: a & b).alias("t"))
+    return g.select("query_id", (F.col("i") / F.greatest("u", F.lit(1))).alias("jaccard"), (F.col("t") / F.lit(top)).alias("overlap"))
