@@ -372,14 +372,14 @@ def member_pairs(members: DataFrame, percent: int, every: bool) -> DataFrame:
             if out_a:
                 yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], ["a", "b"])
 
-    dealt = members.repartition("lid", "x", "y").sortWithinPartitions("lid", "x", "y")
+    dealt = members.select("lid", "x", "y", "blk", "id", "n", "bits", "component").repartition("lid", "x", "y").sortWithinPartitions("lid", "x", "y")
     return dealt.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
 def _dealt(members: DataFrame, blk: Column, other: Column) -> DataFrame:
     """members with a row for each block number in other; x and y are that pair of blocks in order."""
     spread = members.withColumn("blk", blk.cast("int")).withColumn("other", F.explode(other.cast("array<int>")))
-    return spread.withColumn("x", F.least("blk", "other")).withColumn("y", F.greatest("blk", "other")).select("lid", "x", "y", "blk", "id", "n", "bits", "component")
+    return spread.withColumn("x", F.least("blk", "other")).withColumn("y", F.greatest("blk", "other")).select("lid", "x", "y", "blk", "id", "n", "component")
 
 
 def shared_blocks(members: DataFrame, block: int, hubs: int = 16) -> DataFrame:
@@ -390,7 +390,7 @@ def shared_blocks(members: DataFrame, block: int, hubs: int = 16) -> DataFrame:
     own = F.pmod(F.xxhash64("id"), F.col("blocks"))
     every = F.when(hub, F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).otherwise(F.array(own))
     spread = sized.withColumn("blk", F.explode(every.cast("array<int>")))
-    return spread.select("lid", F.col("blk").alias("x"), F.col("blk").alias("y"), "blk", "id", "n", "bits", F.col("id").alias("component"))
+    return spread.select("lid", F.col("blk").alias("x"), F.col("blk").alias("y"), "blk", "id", "n", F.col("id").alias("component"))
 
 
 def open_blocks(members: DataFrame, block: int) -> DataFrame:
@@ -480,17 +480,18 @@ def _components(docs: DataFrame, width: int, percent: int, most_common: int, blo
     rows = materialize(describe(docs, common, id_col="doc", text_col="text", width=width, percent=percent))
     filled = rows.filter("n > 0").select("id", "n", "digest", "gid")
     classes = materialize(settle(filled, [F.min("id").alias("rep")]))
-    reps = rows.join(classes.filter("id = rep").select("id"), "id", "left_semi").select("id", "n", "gid", "bits")
+    reps = materialize(rows.join(classes.filter("id = rep").select("id"), "id", "left_semi").select("id", "n", "gid", "bits"))
+    bits = reps.select("id", "bits")
     postings = rows.filter("prefix is not null").select("gid", "n", F.posexplode("prefix").alias("pos", "token")).select("token", "gid", (F.col("n") * F.lit(1 << 32) + F.col("pos")).alias("place"))
     same = reps.groupBy("gid").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select(F.col("gid").alias("lid"), "gid")
     lists = group_lists(postings, percent).unionByName(same)
-    members = materialize(lists.join(reps, "gid").select("lid", "id", "n", "bits"))
+    members = materialize(lists.join(reps.select("gid", "id", "n"), "gid").select("lid", "id", "n"))  # bitmaps join only what is dealt
     how = {"id_col": "doc", "text_col": "text", "width": width, "percent": percent}
-    first = materialize(member_pairs(shared_blocks(members, block), percent, every=False))
+    first = materialize(member_pairs(shared_blocks(members, block).join(bits, "id"), percent, every=False))
     links = materialize(verify(first, docs, **how))
     parts = connected_components(links)
     reached = members.join(parts, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    second = materialize(member_pairs(open_blocks(reached, block), percent, every=True).join(first, ["a", "b"], "left_anti"))
+    second = materialize(member_pairs(open_blocks(reached, block).join(bits, "id"), percent, every=True).join(first, ["a", "b"], "left_anti"))
     if second.limit(1).count():
         links = links.unionByName(verify(second, docs, **how))
         parts = connected_components(links)
