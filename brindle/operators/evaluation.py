@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 MISS_TURN = 11
@@ -22,12 +24,31 @@ def by_scenario(outcomes: DataFrame) -> DataFrame:
     return out.withColumn("scenario_type", F.when(F.col("g") == 1, "all").otherwise(F.col("scenario_type"))).drop("g")
 
 
+def at_places(rows: DataFrame, group: str, value: str, places: dict[str, Callable[[Column], Column]], *, cuts: int = 64) -> DataFrame:
+    """(group, n, a value for each name): the values at places (from 0, as functions of the group's size n) of each group's sorted values.
+
+    Approximate quantiles cut a group into ranges, exact counts by range tell where a place lies, and only ranges with a
+    place are sorted; so no task sorts a whole group.  Nulls are left out.
+    """
+    known = rows.filter(F.col(value).isNotNull()).select(F.col(group).alias("__g"), F.col(value).alias("__v"))
+    bounds = known.groupBy("__g").agg(F.array_distinct(F.percentile_approx("__v", F.array(*[F.lit((i + 1) / cuts) for i in range(cuts - 1)]), 10_000)).alias("__cuts"))
+    g2 = bounds.select(F.col("__g").alias("__g2"), "__cuts")
+    ranged = known.join(g2, F.col("__g").eqNullSafe(F.col("__g2"))).select("__g", "__v", F.size(F.filter("__cuts", lambda c: c < F.col("__v"))).alias("__r"))
+    counts = ranged.groupBy("__g", "__r").agg(F.count(F.lit(1)).alias("c"))
+    w = Window.partitionBy("__g")
+    spans = counts.withColumn("n", F.sum("c").over(w)).withColumn("start", F.sum("c").over(w.orderBy("__r")) - F.col("c"))
+    wanted = spans.withColumn("at", F.explode(F.array(*[F.struct(F.lit(name).alias("name"), place(F.col("n")).cast("long").alias("i")) for name, place in places.items()])))
+    hit = wanted.filter((F.col("at.i") >= F.col("start")) & (F.col("at.i") < F.col("start") + F.col("c"))).select(F.col("__g").alias("__g2"), F.col("__r").alias("__r2"), "n", F.col("at.name").alias("name"), (F.col("at.i") - F.col("start") + 1).alias("place"))
+    few = hit.select("__g2", "__r2").distinct()
+    kept = ranged.join(few, F.col("__g").eqNullSafe(F.col("__g2")) & (F.col("__r") == F.col("__r2")), "left_semi")
+    sorted_ = kept.withColumn("i", F.row_number().over(Window.partitionBy("__g", "__r").orderBy("__v")))
+    found = sorted_.join(hit, F.col("__g").eqNullSafe(F.col("__g2")) & (F.col("__r") == F.col("__r2")) & (F.col("i") == F.col("place")))
+    return found.groupBy(F.col("__g").alias(group)).agg(F.max("n").alias("n"), *[F.max(F.when(F.col("name") == name, F.col("__v"))).alias(name) for name in places])
+
+
 def percentile_at(rows: DataFrame, group: str, value: str, shares: dict[str, float]) -> DataFrame:
     """Values at place int(share * n) of the sorted rows, not interpolated."""
-    w = Window.partitionBy(group).orderBy(value)
-    placed = rows.select(group, value, (F.row_number().over(w) - 1).alias("i"), F.count(F.lit(1)).over(Window.partitionBy(group)).alias("n"))
-    aggs = [F.max(F.when(F.col("i") == F.least(F.col("n") - 1, F.floor(F.col("n") * share)), F.col(value))).alias(name) for name, share in shares.items()]
-    return placed.groupBy(group).agg(F.max("n").alias("n"), *aggs)
+    return at_places(rows, group, value, {name: (lambda n, share=share: F.least(n - 1, F.floor(n * share))) for name, share in shares.items()})
 
 
 def recall_at(ranked: DataFrame, truth: DataFrame, depths: tuple[int, ...]) -> DataFrame:

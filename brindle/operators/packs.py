@@ -25,11 +25,21 @@ def one_per_family(rows: DataFrame, family: str, id_col: str, seed: str) -> Data
 
 
 def deal(rows: DataFrame, id_col: str, seed: str, cycle: tuple[str, ...], within: str | None = None) -> DataFrame:
-    """Deal rows in hash order to a repeating cycle of splits, within each group."""
+    """Deal rows in hash order to a repeating cycle of splits, within each group.
+
+    Rows are numbered inside 4096 ranges of the hash, and each range begins where the one before ends, so that no
+    task holds a whole group, or, without groups, all rows.
+    """
     group = F.col(within) if within else F.lit(1)
-    i = F.row_number().over(Window.partitionBy(group).orderBy(hash_order(F.lit(seed), F.col(id_col)), id_col)) - 1
+    keyed = rows.withColumn("__g", group).withColumn("__h", hash_order(F.lit(seed), F.col(id_col))).withColumn("__r", F.substring("__h", 1, 3))
+    sizes = keyed.groupBy("__g", "__r").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("__g").orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(F.col("__g").alias("__g2"), F.col("__r").alias("__r2"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__start"))
+    local = F.row_number().over(Window.partitionBy("__g", "__r").orderBy("__h", id_col)) - 1
+    placed = keyed.withColumn("__i", local).join(starts, F.col("__g").eqNullSafe(F.col("__g2")) & (F.col("__r") == F.col("__r2")))
     names = F.array(*[F.lit(c) for c in cycle])
-    return rows.withColumn("split", F.get(names, F.pmod(i, F.lit(len(cycle)))))
+    split = F.get(names, F.pmod(F.col("__i") + F.col("__start"), F.lit(len(cycle))).cast("int"))
+    return placed.withColumn("split", split).drop("__g", "__h", "__r", "__i", "__g2", "__r2", "__start")
 
 
 def band(reviews: Column) -> Column:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .evaluation import at_places
+
 # How readily customers answer a question about an attribute.
 ANSWERABILITY = {"feature": 1.0, "material": 0.95, "color": 0.90, "budget": 0.80, "size": 0.70, "style": 0.65, "use_case": 0.60, "category": 0.30, "brand": 0.20}
 
@@ -47,11 +49,8 @@ def best_question(gains: DataFrame, asked: DataFrame | None = None) -> DataFrame
 
 def quartiles(rows: DataFrame, group: str, value: str) -> DataFrame:
     """Cut points at places n/4, n/2 and 3n/4 of the sorted values, not interpolated; none for groups under four."""
-    w = Window.partitionBy(group).orderBy(value)
-    n = F.count(F.lit(1)).over(Window.partitionBy(group))
-    placed = rows.filter(F.col(value).isNotNull()).select(group, value, (F.row_number().over(w) - 1).alias("i"), n.alias("n")).filter("n >= 4")
-    at = lambda num: F.max(F.when(F.col("i") == F.floor(F.col("n") * num / 4), F.col(value)))
-    return placed.groupBy(group).agg(at(1).alias("q1"), at(2).alias("q2"), at(3).alias("q3"))
+    found = at_places(rows, group, value, {f"q{k}": (lambda n, k=k: F.floor(n * k / 4)) for k in (1, 2, 3)})
+    return found.filter("n >= 4").select(group, "q1", "q2", "q3")
 
 
 def margin_and_entropy(scored: DataFrame, first: int = 10) -> DataFrame:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
@@ -99,18 +103,38 @@ def softmax(score: Column, query: str, temperature: float = 5.0) -> Column:
 
 
 def vector_top_k(vectors: DataFrame, queries: DataFrame, k: int, *, vec: str = "embedding", block: int = 4096) -> DataFrame:
-    """(query_id, doc_id, score, rank) by dot product.
+    """(query_id, doc_id, score, rank) by dot product, ties by id; null vectors are left out.
 
     The stated query set meets all rows in blocks of about ``block`` queries, so
-    what is broadcast at once is bounded; each block keeps k rows a query.
+    what is broadcast at once is bounded.  Each Arrow batch is one matrix product and passes on its k best rows a query, which the shuffle ranks.
     """
-    dot = F.aggregate(F.zip_with(vec, "q", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, x: s + x)
+    spark = vectors.sparkSession
+    wanted = queries.select("query_id", F.col(vec).alias("q")).filter("q IS NOT NULL")
+    rows = vectors.select("doc_id", F.col(vec).alias("v")).filter("v IS NOT NULL")
+    kinds = f"query_id {wanted.schema['query_id'].dataType.simpleString()}, doc_id {rows.schema['doc_id'].dataType.simpleString()}, score double"
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("doc_id"))
-    wanted = queries.select("query_id", F.col(vec).alias("q"))
     blocks, out = -(-queries.count() // block) or 1, None
     for i in range(blocks):
-        part = wanted if blocks == 1 else wanted.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i)
-        scored = vectors.crossJoin(F.broadcast(part)).select("query_id", "doc_id", F.round(dot, 9).alias("score"))
-        top = scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+        part = (wanted if blocks == 1 else wanted.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i)).toArrow()  # about block rows
+        held = spark.sparkContext.broadcast((part["query_id"], np.array(part["q"].to_pylist(), np.float64)))
+
+        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            names, matrix = held.value
+            for batch in batches:
+                if not batch.num_rows or not len(matrix):
+                    continue
+                flat = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+                scores = np.round(flat.reshape(batch.num_rows, -1) @ matrix.T, 9)
+                ids = batch.column(0).to_numpy(zero_copy_only=False)
+                some = min(k, batch.num_rows)
+                least = np.partition(scores, batch.num_rows - some, axis=0)[batch.num_rows - some]
+                who, which = np.nonzero((scores >= least).T)  # a few more than k where scores tie
+                order = np.lexsort((ids[which], -scores[which, who], who))
+                who, which = who[order], which[order]
+                place = np.arange(len(who)) - np.searchsorted(who, who, "left")
+                who, which = who[place < k], which[place < k]
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(who)).combine_chunks(), batch.column(0).take(pa.array(which)), pa.array(scores[which, who])], ["query_id", "doc_id", "score"])
+
+        top = rows.mapInArrow(run, kinds).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
         out = top if out is None else out.unionByName(top)
     return out

@@ -18,7 +18,7 @@ K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 
 
 def postings(docs: DataFrame, id_col: str, fields: Mapping[str, Column | str], tokenizer=terms) -> DataFrame:
-    """(doc_id, field, token, tf)."""
+    """(doc_id, field, token, tf).  Queries over the same documents can share what write_postings keeps."""
     parts = [docs.select(F.col(id_col).alias("doc_id"), F.lit(name).alias("field"), F.explode(tokenizer(col)).alias("token")) for name, col in fields.items()]
     every = parts[0]
     for p in parts[1:]:
@@ -26,6 +26,12 @@ def postings(docs: DataFrame, id_col: str, fields: Mapping[str, Column | str], t
     return every.groupBy("doc_id", "field", "token").agg(F.count(F.lit(1)).alias("tf"))
 
 
+def write_postings(post: DataFrame, path: str) -> DataFrame:
+    """Postings written once, sorted by token, for all routes that read them."""
+    post.sortWithinPartitions("token").write.parquet(path)
+    return post.sparkSession.read.schema(post.schema).parquet(path)
+
+
 def doc_lengths(post: DataFrame) -> DataFrame:
     """(doc_id, n): tokens over all indexed fields."""
     return post.groupBy("doc_id").agg(F.sum("tf").alias("n"))
@@ -45,17 +51,19 @@ def term_score(weighted_tf: Column, length: Column, average: Column, weight: Col
     return weight * weighted_tf * (K1 + 1) / (weighted_tf + K1 * (1 - B + B * length / average))
 
 
-def bm25(post: DataFrame, queries: DataFrame, *, weights: Mapping[str, float] | None = None, fields: tuple[str, ...] | None = None, k: int | None = 350) -> DataFrame:
+def bm25(post: DataFrame, queries: DataFrame, *, weights: Mapping[str, float] | None = None, fields: tuple[str, ...] | None = None, k: int | None = 350, broadcast_rows: int = 200_000) -> DataFrame:
     """(query_id, doc_id, score[, rank]) of queries (query_id, token).
 
     Document frequency and length are those of all indexed fields; weights
     scale the counts of a field (0 still admits the document); fields
-    restricts where tokens may match.
+    restricts where tokens may match.  Query tokens are broadcast up to broadcast_rows of them, so that postings of a frequent
+    token stay where they are read; beyond that they are joined by a shuffle.
     """
     lengths = doc_lengths(post)
     totals = lengths.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("n").alias("avg_len"))
     wanted = queries.select("query_id", "token").distinct()
-    used = post.join(wanted.select("token").distinct(), "token", "left_semi")
+    near = F.broadcast if wanted.count() <= broadcast_rows else (lambda df: df)
+    used = post.join(near(wanted.select("token").distinct()), "token", "left_semi")
     if fields is not None:
         used = used.filter(F.col("field").isin(*fields))
     weight = F.lit(1.0)
@@ -65,9 +73,9 @@ def bm25(post: DataFrame, queries: DataFrame, *, weights: Mapping[str, float] |
             weight = F.when(F.col("field") == name, F.lit(float(w))).otherwise(weight)
     tf = used.groupBy("token", "doc_id").agg(F.sum(weight * F.col("tf")).alias("wtf"))
     df = tf.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    scored = tf.join(df, "token").join(lengths, "doc_id").crossJoin(F.broadcast(totals))  # totals is one row
+    scored = tf.join(near(df), "token").join(lengths, "doc_id").crossJoin(F.broadcast(totals))  # totals is one row; df has a row a query token
     value = scored.select("token", "doc_id", term_score(F.col("wtf"), F.col("n"), F.col("avg_len"), idf(F.col("n_docs"), F.col("df"))).alias("s"))
-    out = wanted.join(value, "token").groupBy("query_id", "doc_id").agg(F.round(F.sum("s"), 9).alias("score"))
+    out = value.join(near(wanted), "token").groupBy("query_id", "doc_id").agg(F.round(F.sum("s"), 9).alias("score"))
     return out if k is None else top_k(out, k)
 
 
