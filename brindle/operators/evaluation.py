@@ -142,3 +142,36 @@ def variant_overlap(ranks: DataFrame, depth: int = 120, top: int = 10) -> DataFr
     both = lambda k, op: F.sum(op(F.coalesce(F.col("ra") <= k, F.lit(False)), F.coalesce(F.col("rb") <= k, F.lit(False))).cast("int"))
     g = ranks.groupBy("query_id").agg(both(depth, lambda a, b: a & b).alias("i"), both(depth, lambda a, b: a | b).alias("u"), both(top, lambda a, b: a & b).alias("t"))
     return g.select("query_id", (F.col("i") / F.greatest("u", F.lit(1))).alias("jaccard"), (F.col("t") / F.lit(top)).alias("overlap"))
+
+
+def rule_search(rows: DataFrame, grid: list[dict[str, float]], *, folds: int = 5) -> DataFrame:
+    """(setting, accuracy, worst_fold) of every setting of rule weights on rows (group, label 0/1, features): the share of right decisions, and of the worst fold; a score over 0.5 says 1.
+
+    Folds are dealt by a hash of group, so rows of a group stay together.  The grid is a literal beside the rows: one pass.
+    """
+    names = sorted(grid[0])
+    settings = F.explode(F.array(*[F.struct(F.lit(i).alias("setting"), *[F.lit(float(g[n])).alias(n) for n in names]) for i, g in enumerate(grid)]))
+    s = rows.withColumn("s", settings)
+    score = sum((F.col(f"s.{n}") * F.col(n).cast("double") for n in names), F.lit(0.0))
+    right = ((score > 0.5).cast("int") == F.col("label")).cast("double")
+    fold = s.select("s.setting", F.pmod(F.xxhash64("group"), F.lit(folds)).alias("fold"), right.alias("r")).groupBy("setting", "fold").agg(F.sum("r").alias("r"), F.count(F.lit(1)).alias("n"))
+    return fold.groupBy("setting").agg(F.round(F.sum("r") / F.sum("n"), 9).alias("accuracy"), F.round(F.min(F.col("r") / F.col("n")), 9).alias("worst_fold"))
+
+
+def model_comparison(runs: DataFrame, baseline: str) -> DataFrame:
+    """(model, score, delta, pairs, assets) of runs (model, score, pairs, assets): each model's mean score against the baseline's, and its largest costs."""
+    g = runs.groupBy("model").agg(F.avg("score").alias("score"), F.max("pairs").alias("pairs"), F.max("assets").alias("assets"))
+    base = F.max(F.when(F.col("model") == baseline, F.col("score"))).over(Window.partitionBy(F.lit(1)))  # a row a model
+    return g.select("model", F.round("score", 9).alias("score"), F.round(F.col("score") - base, 9).alias("delta"), "pairs", "assets")
+
+
+def check_tallies(checks: DataFrame) -> DataFrame:
+    """(group, passed, failed, unknown, all_passed) of authored checks (group, ok); null is unknown and passes nothing."""
+    return checks.groupBy("group").agg(F.count(F.when(F.col("ok"), 1)).alias("passed"), F.count(F.when(~F.col("ok"), 1)).alias("failed"), F.count(F.when(F.col("ok").isNull(), 1)).alias("unknown"), (F.count(F.when(F.coalesce(~F.col("ok"), F.lit(True)), 1)) == 0).alias("all_passed"))
+
+
+def gates(metrics: DataFrame, least: dict[str, float], most: dict[str, float]) -> DataFrame:
+    """metrics with admitted, and the names of the bounds that a run breaks; an unknown metric breaks its bound."""
+    broken = F.array(*[F.when(~F.coalesce(F.col(n) >= v, F.lit(False)), F.lit(n)) for n, v in least.items()], *[F.when(~F.coalesce(F.col(n) <= v, F.lit(False)), F.lit(n)) for n, v in most.items()])
+    names = F.filter(broken, lambda x: x.isNotNull())
+    return metrics.withColumn("broken", names).withColumn("admitted", F.size(names) == 0)

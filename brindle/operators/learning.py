@@ -65,3 +65,20 @@ def platt(rows: DataFrame, slopes: Sequence[float], offsets: Sequence[float]) ->
 def split_folds(id_col: str, folds: int, seed: str):
     """Fold number of a group id, by hash."""
     return F.pmod(F.conv(F.substring(F.sha2(F.concat_ws("\0", F.lit(seed), F.col(id_col).cast("string")), 256), 1, 8), 16, 10).cast("long"), F.lit(folds))
+
+
+def intent_model(rows: DataFrame, features: Sequence[str], label: str, group: str, *, folds: int = 5, abstain: float = 0.4) -> DataFrame:
+    """(classes, rows, accuracy, abstained, confidence) on one hash-dealt fold of groups, of a multinomial logistic model fitted on the others.
+
+    Predictions under ``abstain`` confidence abstain and count as wrong.
+    """
+    from pyspark.ml.feature import StringIndexer
+
+    fold = split_folds(group, folds, "intent")
+    stages = [StringIndexer(inputCol=label, outputCol="__y", stringOrderType="alphabetAsc"), VectorAssembler(inputCols=list(features), outputCol="__raw"), StandardScaler(inputCol="__raw", outputCol="__x", withMean=True), LogisticRegression(featuresCol="__x", labelCol="__y", regParam=0.01, family="multinomial", maxIter=30)]
+    model = Pipeline(stages=stages).fit(rows.filter(fold != 0))
+    from pyspark.ml.functions import vector_to_array
+
+    scored = model.transform(rows.filter(fold == 0)).withColumn("p", F.array_max(vector_to_array("probability")))
+    sure = F.col("p") >= abstain
+    return scored.agg(F.lit(len(model.stages[0].labels)).alias("classes"), F.count(F.lit(1)).alias("rows"), F.round(F.avg((sure & (F.col("prediction") == F.col("__y"))).cast("double")), 6).alias("accuracy"), F.round(F.avg((~sure).cast("double")), 6).alias("abstained"), F.round(F.avg("p"), 6).alias("confidence"))

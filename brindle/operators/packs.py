@@ -71,3 +71,22 @@ def overlap(rows: DataFrame, dimensions: tuple[str, ...]) -> DataFrame:
         part = rows.groupBy(F.lit(d).alias("dimension"), F.col(d).cast("string").alias("value")).agg(F.countDistinct("split").alias("splits")).filter("splits > 1")
         out = part if out is None else out.unionByName(part)
     return out
+
+
+def stratified_split(rows: DataFrame, id_col: str, scenario: str, quotas: dict[str, int], seed: str, *, group: str | None = None) -> DataFrame:
+    """rows with split 'validation' for each scenario's quota of groups in hash order, 'train' for the others; all rows of a group (default: a row) go one way, by the scenario of its first row."""
+    key = group or id_col
+    first = rows.groupBy(key).agg(F.min_by(scenario, F.struct(hash_order(F.lit(seed), F.col(id_col)), F.col(id_col))).alias("__s"))
+    wanted = F.lit(0)
+    for name, n in quotas.items():
+        wanted = F.when(F.col("__s") == name, n).otherwise(wanted)
+    place = F.row_number().over(Window.partitionBy("__s").orderBy(hash_order(F.lit(seed), F.col(key)), key))
+    dealt = first.withColumn("split", F.when(place <= wanted, "validation").otherwise("train")).drop("__s")
+    return rows.join(dealt, key)
+
+
+def unseen_sessions(products: DataFrame, id_col: str, bucket: str, per_bucket: int, scenarios: tuple[str, ...], seed: str) -> DataFrame:
+    """(id, bucket, scenario, ordinal): per_bucket products of each bucket in hash order as targets of synthetic sessions, scenarios dealt in turn."""
+    i = F.row_number().over(Window.partitionBy(bucket).orderBy(hash_order(F.lit(seed), F.col(id_col)), id_col))
+    some = products.withColumn("ordinal", i).filter(F.col("ordinal") <= per_bucket)
+    return some.select(F.col(id_col).alias("id"), F.col(bucket).alias("bucket"), F.get(F.array(*[F.lit(s) for s in scenarios]), F.pmod(F.col("ordinal") - 1, F.lit(len(scenarios))).cast("int")).alias("scenario"), "ordinal")

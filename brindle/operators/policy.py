@@ -87,3 +87,36 @@ def score_gap(scored: DataFrame, near: int = 20, far: int = 30) -> DataFrame:
     s = scored.groupBy("query_id").agg(F.max(F.when(F.col("rank") == 1, F.col("score"))).alias("top"), F.max(F.when(F.col("rank") == near, F.col("score"))).alias("a"), F.max(F.when(F.col("rank") == far, F.col("score"))).alias("b"))
     gap = F.coalesce((F.col("a") - F.col("b")) / F.greatest(F.abs("top"), F.lit(1e-9)), F.lit(0.0))
     return s.select("query_id", F.round(gap, 9).alias("gap"), F.when(gap > 0.05, near).otherwise(far).alias("depth"))
+
+
+def answer_entropy(candidates: DataFrame) -> DataFrame:
+    """(query_id, attribute, entropy, unknown) in bits of rows (query_id, attribute, answers array): a candidate's share is split among its answers, none is unknown."""
+    n = F.count(F.lit(1)).over(Window.partitionBy("query_id", "attribute"))
+    rows = candidates.withColumn("n", n).withColumn("k", F.greatest(F.size("answers"), F.lit(1)))
+    mass = rows.select("query_id", "attribute", F.explode(F.when(F.size("answers") > 0, F.col("answers")).otherwise(F.array(F.lit(None).cast("string")))).alias("answer"), (1 / F.col("n") / F.col("k")).alias("m")).groupBy("query_id", "attribute", "answer").agg(F.sum("m").alias("m"))
+    return mass.groupBy("query_id", "attribute").agg(F.round(F.greatest(F.lit(0.0), -F.sum(F.col("m") * F.log2("m"))), 9).alias("entropy"), F.round(F.coalesce(F.sum(F.when(F.col("answer").isNull(), F.col("m"))), F.lit(0.0)), 9).alias("unknown"))
+
+
+def discriminating(candidates: DataFrame, *, first: int = 30, coverage: float = 0.60, second: float = 0.15, largest: float = 0.75) -> DataFrame:
+    """(query_id, attribute): the attribute that splits the first candidates (query_id, rank, attribute, answers) best: known for most, two groups at least, none too large."""
+    top = candidates.filter(F.col("rank") <= first)
+    total = top.groupBy("query_id", "attribute").agg(F.count(F.lit(1)).alias("n"), F.sum((F.size("answers") > 0).cast("int")).alias("present"))
+    groups = top.select("query_id", "attribute", F.explode("answers").alias("a")).groupBy("query_id", "attribute", "a").agg(F.count(F.lit(1)).alias("c"))
+    two = groups.groupBy("query_id", "attribute").agg(F.reverse(F.array_sort(F.collect_list("c"))).alias("cs"))
+    j = total.join(two, ["query_id", "attribute"]).withColumn("cover", F.col("present") / F.col("n")).withColumn("top", F.col("cs")[0] / F.col("present"))
+    fit = j.filter((F.col("cover") >= coverage) & (F.size("cs") >= 2) & (F.get("cs", F.lit(1)) / F.col("n") >= second) & (F.col("top") <= largest))
+    w = Window.partitionBy("query_id").orderBy(F.desc(F.round(F.col("cover") * (1 - F.col("top")), 9)), F.desc("attribute"))
+    return fit.withColumn("i", F.row_number().over(w)).filter("i = 1").select("query_id", "attribute")
+
+
+# How a question about an attribute is asked.
+QUESTION = {"material": "What material or fabric would you prefer?", "color": "Which color would you prefer?", "size": "What size, width, or fit do you need?", "style": "What style would work best for you?", "use_case": "What activity or occasion will you use it for?", "budget": "What price range would you like to stay within?", "other": "What other feature or requirement matters most to you?"}
+
+
+def question_text(attribute: Column, examples: Column) -> Column:
+    """The question for an attribute, with up to three example answers behind it."""
+    out = F.lit(QUESTION["other"])
+    for name, text in QUESTION.items():
+        out = F.when(attribute == name, F.lit(text)).otherwise(out)
+    some = F.slice(examples, 1, 3)
+    return F.when(F.size(some) > 0, F.concat(out, F.lit(" For example: "), F.array_join(some, ", "), F.lit("."))).otherwise(out)
