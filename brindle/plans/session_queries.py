@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import fusion, learning, lexical, retrieval as r
 from ..streaming import ledger, windows
-from .registry import catalog, query, table
+from .registry import CATALOG, catalog, query, table
 
 
 def _shared(spark) -> str:
@@ -153,12 +153,39 @@ def _flat(spark, sf_dir):
     return c.select("product_id", "title", kind.alias("categories"), F.lit("").alias("features"), F.lit("").alias("details"), "store", F.lit("").alias("description"), "price", "rating", "reviews")
 
 
+EVIDENCE = [("ring", "category", 1.4), ("red", "hard_constraint", 3.8), ("leather upper", "clarification", 2.5), ("small", "exclusion", 3.8), ("under $950", "hard_constraint", 3.8), ("around $930", "clarification", 2.0), ("cotton", "override", 6.0)]
+_SAID = ["without red", "red-free", "faux leather", "60% cotton lining", "leather upper with strap", "replacement strap", "grey rods"]
+
+
+@query(f"""WITH {CATALOG}, it AS (SELECT *, [{", ".join(f"'{w}'" for w in _SAID)}][size % 7 + 1] AS said, size % 7 AS k, string_split(title, ' ')[1] AS adj, lower(categories) AS typ FROM cat WHERE title LIKE '% ring'),
+    x AS (SELECT *, adj = 'red' OR k IN (0, 1) AS has_red, k = 3 AS has_cotton, adj = 'small' OR typ = 'small' AS has_small, adj = 'red' AS says_red,
+        (CASE WHEN adj = 'red' THEN 4.0 WHEN k IN (0, 1) THEN 2.8 ELSE 0 END)::DOUBLE AS w_red, greatest(CASE WHEN adj = 'small' THEN 4.0 ELSE 0 END, CASE WHEN typ = 'small' THEN 3.0 ELSE 0 END)::DOUBLE AS w_small,
+        CASE WHEN price < 950 THEN 0 ELSE greatest((price - 950) / 950, 0.001) END::DOUBLE AS over, list_filter(['red', 'grey', 'blue'], lambda c: (c = 'red' AND (adj = 'red' OR k IN (0, 1))) OR (c = 'grey' AND k = 6) OR (c = 'blue' AND adj = 'blue')) AS colors, k IN (2, 4) AS leather FROM it),
+    s AS (SELECT *, 1.4::DOUBLE * (1.9::DOUBLE + 0.4::DOUBLE + 0.45::DOUBLE)
+        + 3.8::DOUBLE * (1.9::DOUBLE * has_red::INT + 0.1::DOUBLE * w_red + 0.45::DOUBLE * has_red::INT) + 2.5::DOUBLE * CASE k WHEN 4 THEN 1.9::DOUBLE + 0.4::DOUBLE * 2.8::DOUBLE / 4 + 0.99::DOUBLE + 0.45::DOUBLE WHEN 2 THEN 0.95::DOUBLE + 0.4::DOUBLE * 2.8::DOUBLE / 8 ELSE 0 END
+        + 6 * CASE WHEN has_cotton THEN 1.9::DOUBLE + 0.4::DOUBLE * 2.8::DOUBLE / 4 + 0.45::DOUBLE ELSE 0 END - 3.8::DOUBLE * CASE WHEN has_small THEN 1.9::DOUBLE + 0.1::DOUBLE * w_small + 0.45::DOUBLE ELSE 0 END AS c,
+        1.4::DOUBLE * 3.8::DOUBLE * (1 - over) + 1.4::DOUBLE * 2 * (1 - abs(price - 930) / 930) AS p, greatest(0, least(5, rating)) * 0.02::DOUBLE + 1.05::DOUBLE * ln(1 + reviews) AS q,
+        3.8::DOUBLE * (CASE WHEN has_red THEN 0.3::DOUBLE ELSE -0.25::DOUBLE END - 0.5::DOUBLE * (len(colors) > 0 AND NOT list_contains(colors, 'red'))::INT) + 6 * (CASE WHEN has_cotton THEN 0.3::DOUBLE ELSE -0.25::DOUBLE END - 0.5::DOUBLE * leather::INT) AS f, -3.8::DOUBLE * 0.5::DOUBLE * least(over, 2) AS b FROM x),
+    t AS (SELECT product_id, round(0.85::DOUBLE + c + p + q + f + b, 9) AS score, has_small OR over > 0 OR (k IN (0, 1) AND NOT says_red) AS violation, (has_red AND k NOT IN (0, 1))::INT + has_cotton::INT AS hard_exact FROM s)
+    SELECT * FROM (SELECT product_id, round(score, 6) AS score, violation, hard_exact, row_number() OVER (ORDER BY violation, (hard_exact = 2)::INT DESC, hard_exact DESC, score DESC, product_id) AS rank FROM t) WHERE rank <= 60""")
+def lexical_order(spark, sf_dir):
+    """The default backend's scores and tiers for one compiled request, with limits, exclusions and clashing facets."""
+    c = catalog(spark, sf_dir)
+    said = F.get(F.array(*[F.lit(w) for w in _SAID]), (F.col("size") % 7).cast("int"))
+    kind = F.concat_ws(" ", F.lower("categories"), F.element_at(F.split("title", " "), -1))
+    flat = c.select("product_id", "title", kind.alias("categories"), said.alias("features"), F.lit("").alias("details"), F.lit("").alias("store"), F.lit("").alias("description"), "price", "rating", "reviews")
+    evidence = spark.createDataFrame([(1, *e) for e in EVIDENCE], "query_id int, text string, source string, weight double")
+    every = c.select(F.lit(1).alias("query_id"), "product_id", F.lit(0.01).alias("rrf"))
+    ranked = lexical.rank(every, lexical.product_features(flat), evidence, k=60)
+    return ranked.select("product_id", F.round("score", 6).alias("score"), "violation", "hard_exact", "rank")
+
+
 @query()
 def lexical_search(spark, sf_dir):
     """The default backend end to end: folded dialogues, two routes, fusion, scores and tiers; one session for every different title."""
     flat = _flat(spark, sf_dir)
     first = flat.groupBy("title").agg(F.min("product_id").alias("session_id"))
-    evidence = ledger.fold(_dialogues(spark, sf_dir).join(first, "session_id", "left_semi")).withColumnRenamed("session_id", "query_id").filter("attribute <> 'budget'")
+    evidence = ledger.fold(_dialogues(spark, sf_dir).join(first, "session_id", "left_semi")).withColumnRenamed("session_id", "query_id")
     post = r.postings(flat, "product_id", {f: f for f in ("title", "categories", "store")})
     tokens = evidence.select("query_id", "source", F.explode(r.terms("text")).alias("token"))
     weights = {"title": 4, "categories": 8, "store": 1}
