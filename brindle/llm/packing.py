@@ -53,7 +53,7 @@ class BestFit:
             here += pieces
         else:
             free, here = self.capacity, pieces
-            if self.n >= self.limit:
+            if self.n >= self.limit and length < self.capacity:  # a full piece needs no open bin
                 fullest = (self.bits & -self.bits).bit_length() - 1
                 closed.append((self.capacity - fullest, self._take(fullest)))
         left = free - length
