@@ -34,24 +34,28 @@ def features(word: str) -> tuple[str, ...]:
     return ("w" + word, "3" + word[:3], "4" + word[:4], "5" + word[:5])
 
 
-def _scan(m: np.ndarray, start: float) -> np.ndarray:
-    """Shares of state 1 after each of many steps of 2x2 weights m (n, 2, 2) on a pair of weights, which begins with the share ``start``.
+def _scan(weights: list[np.ndarray], start: float) -> np.ndarray:
+    """Shares of state 1 after each of many steps on a pair of weights that begins with the share ``start``; weights: 0 to 0, 0 to 1, 1 to 0 and 1 to 1 of every step.
 
     The steps are laid out in lanes.  Every lane is run from both states at once, which gives what it does to any
     pair; then the lanes' beginnings follow one another, and all lanes run again from theirs.
     """
-    n = len(m)
-    steps = max(1, int(np.sqrt(n)))
+    n = len(weights[0])
+    steps = max(1, int(np.sqrt(n) / 6))
     lanes = -(-n // steps)
-    pad = np.ones((lanes * steps, 4))
-    pad[:n] = m.reshape(n, 4)
-    a, b, c, d = (np.ascontiguousarray(x) for x in pad.reshape(lanes, steps, 4).transpose(2, 1, 0))  # 0 to 0, 0 to 1, 1 to 0, 1 to 1
+    laid = []
+    for w in weights:
+        x = np.ones(lanes * steps)
+        x[:n] = w
+        laid.append(np.ascontiguousarray(x.reshape(lanes, steps).T))
+    a, b, c, d = laid
     u0, u1, v0, v1 = np.ones(lanes), np.zeros(lanes), np.zeros(lanes), np.ones(lanes)
     for t in range(steps):
         u0, u1 = u0 * a[t] + u1 * c[t], u0 * b[t] + u1 * d[t]
         v0, v1 = v0 * a[t] + v1 * c[t], v0 * b[t] + v1 * d[t]
-        scale = 1 / (u0 + u1 + v0 + v1)
-        u0, u1, v0, v1 = u0 * scale, u1 * scale, v0 * scale, v1 * scale
+        if t % 4 == 3 or t == steps - 1:
+            scale = 1 / (u0 + u1 + v0 + v1)
+            u0, u1, v0, v1 = u0 * scale, u1 * scale, v0 * scale, v1 * scale
     begin, p = np.empty(lanes), start
     for k, (x0, x1, y0, y1) in enumerate(zip(u0.tolist(), u1.tolist(), v0.tolist(), v1.tolist())):
         begin[k] = p
@@ -65,30 +69,35 @@ def _scan(m: np.ndarray, start: float) -> np.ndarray:
     return out.T.ravel()[:n]
 
 
-def forward_backward(emit: list[np.ndarray], trans: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
-    """Marginals of state 1 for each sequence, and expected transition counts.  emit: scores of state 1 against state 0; trans: 2x2 scores.
+def forward_backward(emit: list[np.ndarray], trans: np.ndarray, count: bool = True) -> tuple[list[np.ndarray], np.ndarray]:
+    """Marginals of state 1 for each sequence, and expected transition counts if count.  emit: scores of state 1 against state 0; trans: 2x2 scores.
 
     All sequences run as one, whose steps forget what was before where a sequence begins.
     """
     sizes = np.array([len(e) for e in emit], dtype=np.int64)
+    counts = np.zeros((2, 2))
     if not sizes.sum():
-        return [np.zeros(0) for _ in emit], np.zeros((2, 2))
+        return [np.zeros(0) for _ in emit], counts
     e = np.exp(np.clip(np.concatenate(emit), -30, 30))
     ends = np.cumsum(sizes)
-    first = np.zeros(len(e), bool)
-    first[(ends - sizes)[sizes > 0]] = True
-    m = np.exp(trans)[None, :, :] * np.stack([np.ones(len(e)), e], axis=1)[:, None, :]
-    m[first, :, 0], m[first, :, 1] = 1.0, e[first, None]
+    firsts = (ends - sizes)[sizes > 0]
+    t = np.exp(np.clip(trans, -30, 30))
+    m = [np.full(len(e), t[0, 0]), t[0, 1] * e, np.full(len(e), t[1, 0]), t[1, 1] * e]
+    for k, w in enumerate(m):
+        w[firsts] = e[firsts] if k % 2 else 1.0
     fwd = _scan(m, 0.5)
     back = np.empty(len(e))  # share of state 1 among the backward weights
     back[-1] = 0.5
-    back[:-1] = _scan(m[:0:-1].transpose(0, 2, 1), 0.5)[::-1]
+    if len(e) > 1:
+        back[:-1] = _scan([w[:0:-1] for w in (m[0], m[2], m[1], m[3])], 0.5)[::-1]
     up = fwd * back
     marginal = up / (up + (1 - fwd) * (1 - back))
-    inner = np.flatnonzero(~first)
-    g, b, w = fwd[inner - 1], back[inner], m[inner]
-    joint = np.stack([1 - g, g], axis=1)[:, :, None] * w * np.stack([1 - b, b], axis=1)[:, None, :]
-    counts = (joint / joint.sum(axis=(1, 2), keepdims=True)).sum(axis=0) if len(inner) else np.zeros((2, 2))
+    if count and len(e) > 1:
+        g, b = fwd[:-1], back[1:]
+        x = [(1 - g) * m[0][1:] * (1 - b), (1 - g) * m[1][1:] * b, g * m[2][1:] * (1 - b), g * m[3][1:] * b]
+        inner = 1 / (x[0] + x[1] + x[2] + x[3])
+        inner[firsts[1:] - 1] = 0.0  # steps from one sequence to the next
+        counts = np.array([v @ inner for v in x]).reshape(2, 2)
     return np.split(marginal, ends[:-1]), counts
 
 
@@ -216,7 +225,7 @@ def fit_cut(documents: Iterable[tuple[bytes, list[str], np.ndarray]], toxic: lis
     emission = bias + weights[rows].sum(axis=1)
     x = np.zeros((len(seqs), 3))
     for group in groups:
-        for i, m in zip(group, forward_backward([emission[seqs[i]] for i in group], trans)[0]):
+        for i, m in zip(group, forward_backward([emission[seqs[i]] for i in group], trans, False)[0]):
             x[i] = _summary(m)
     base = (y.sum() + 0.5) / (len(y) + 1)
     c = np.array([np.log(base / (1 - base)), 0.0, 0.0])
@@ -298,7 +307,7 @@ def _score_texts(model: Field, score, texts: list[str]) -> tuple[list[float], li
     emits = [np.array(list(map(score, TOKEN.findall(t.lower())))) for t in texts]
     scores, spans = [0.0] * len(texts), [[] for _ in texts]
     for group in in_groups([len(e) for e in emits]):
-        for i, m in zip(group, forward_backward([emits[i] for i in group], model.trans)[0]):
+        for i, m in zip(group, forward_backward([emits[i] for i in group], model.trans, False)[0]):
             scores[i] = model.probability(m)
             hot = np.flatnonzero(m >= 0.5)
             if len(hot):
