@@ -54,7 +54,19 @@ def materialize(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/brindle-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    held = spark.read.schema(df.schema).parquet(path)
+    held.brindle_path = path
+    return held
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that materialize wrote, once nothing that is still to run reads them."""
+    for df in tables:
+        path = getattr(df, "brindle_path", None)
+        if path:
+            jvm = df.sparkSession.sparkContext._jvm
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def placed(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, bool]:
@@ -70,7 +82,9 @@ def placed(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, bool
     rows = materialize(source.withColumn("row", F.monotonically_increasing_id()))
     order = rows.select("id", F.xxhash64("text").alias("h"), "row").orderBy(F.asc_nulls_last("id"), "h", "row")
     numbers = materialize(order.select("row", F.monotonically_increasing_id().alias("doc")))
-    return materialize(rows.join(numbers, "row").select("doc", "id", "text")), True
+    out = materialize(rows.join(numbers, "row").select("doc", "id", "text"))
+    discard(rows, numbers)
+    return out, True
 
 
 def crc_fold(doc_id) -> int:

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 
 def contract(edges: DataFrame) -> DataFrame:
@@ -57,9 +57,11 @@ def connected_components(edges: DataFrame, *, block: int = 400_000, most_rounds:
     known = materialize(edges.select("a", "b"))
     parts = -(-known.count() // block) or 1
     now = materialize(contract(known.coalesce(1) if parts == 1 else known.repartition(parts)))
+    discard(known)
     state = None
     for _ in range(most_rounds if parts > 1 else 0):
-        now = materialize(_round(now))
+        before, now = now, materialize(_round(now))
+        discard(before)
         seen = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if tuple(seen) == state:
             break

@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import materialize, mix64, placed
+from .common import discard, materialize, mix64, placed
 from .components import connected_components
 from .exact_dedup import settle
 
@@ -136,6 +136,7 @@ def common_shingles(docs: DataFrame, id_col: str, text_col: str, *, width: int,
     if floor is None:
         return np.zeros(0, np.uint64)
     rows = counts.filter(F.floor(F.log2("n")) >= floor).select("h").toArrow().column(0)
+    discard(counts)
     return np.sort(rows.to_numpy().view(np.uint64))
 
 
@@ -451,7 +452,9 @@ def verify(pairs: DataFrame, docs: DataFrame, *, id_col: str, text_col: str, wid
 
     texts = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("t"))
     rows = texts.join(near(wanted), F.col("__id") == F.col("id")).select("hub", "part", "id", "tag", "t")
-    return rows.repartition("hub", "part").sortWithinPartitions("hub", "part", "tag").mapInArrow(run, "a bigint, b bigint")
+    found = materialize(rows.repartition("hub", "part").sortWithinPartitions("hub", "part", "tag").mapInArrow(run, "a bigint, b bigint"))
+    discard(turned)
+    return found
 
 
 def ngram_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, most_common: int = 500_000, block: int = 512) -> DataFrame:
@@ -486,15 +489,20 @@ def _components(docs: DataFrame, width: int, percent: int, most_common: int, blo
     same = reps.groupBy("gid").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select(F.col("gid").alias("lid"), "gid")
     lists = group_lists(postings, percent).unionByName(same)
     members = materialize(lists.join(reps.select("gid", "id", "n"), "gid").select("lid", "id", "n"))  # bitmaps join only what is dealt
+    alone = materialize(rows.filter("n = 0").select("id", F.col("n").alias("n_shingles"), F.col("id").alias("component_id")))
+    discard(rows)
     how = {"id_col": "doc", "text_col": "text", "width": width, "percent": percent}
     first = materialize(member_pairs(shared_blocks(members, block).join(bits, "id"), percent, every=False))
-    links = materialize(verify(first, docs, **how))
+    links = verify(first, docs, **how)
     parts = connected_components(links)
     reached = members.join(parts, "id", "left").withColumn("component", F.coalesce("component", "id"))
     second = materialize(member_pairs(open_blocks(reached, block).join(bits, "id"), percent, every=True).join(first, ["a", "b"], "left_anti"))
+    discard(members, reps, first)
     if second.limit(1).count():
-        links = links.unionByName(verify(second, docs, **how))
-        parts = connected_components(links)
+        more = verify(second, docs, **how)
+        parts = connected_components(links.unionByName(more))
+        discard(more)
+    discard(second, links)
     done = classes.select("id", "n", "rep").join(parts.withColumnRenamed("id", "rep"), "rep", "left")
     linked = done.select("id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
-    return linked.unionByName(rows.filter("n = 0").select("id", F.col("n").alias("n_shingles"), F.col("id").alias("component_id")))
+    return linked.unionByName(alone)

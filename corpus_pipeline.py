@@ -3,6 +3,10 @@
 Every stage works on all rows its predecessor kept and returns the columns of
 documents, but the last, which returns the packed pieces.  Stages learn only from
 ``labels`` and ``benchmark``; the statistics of a stage are those of its own input.
+
+Null and empty texts are clean, have no lines to lose, link with nothing, hit nothing and pack as the end token alone;
+repeated rows share an id, so all rows of an id stay or go together; documents of any length pass whole; an empty table
+gives an empty result; extra columns travel with their rows up to the packing.
 """
 
 from __future__ import annotations
@@ -10,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from brindle.llm import toxicity
-from brindle.llm.common import materialize, read
+from brindle.llm.common import discard, fresh, materialize, read
 from brindle.llm.decontaminate import remove_contaminated
 from brindle.llm.line_dedup import line_dedup
 from brindle.llm.ngram_join import ngram_components
@@ -34,10 +38,11 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str, *, broa
 
     The ids that go are broadcast up to broadcast_rows of them (16 MB), else joined by a shuffle.
     """
-    gone = materialize(ngram_components(docs).filter("doc_id <> component_id").select(F.col("doc_id").alias("__gone")))
+    (name,) = fresh(docs.columns, "gone")
+    gone = materialize(ngram_components(docs).filter("doc_id <> component_id").select(F.col("doc_id").alias(name)))
     if gone.count() <= broadcast_rows:
         gone = F.broadcast(gone)
-    return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+    return docs.join(gone, F.col("doc_id") == F.col(name), "left_anti")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,6 +51,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def pack_rest(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that are left, in sequences of 1024 tokens: one row for each piece."""
     return pieces(pack(docs, tokenizer_path(), keep_ids=False))
 
 
@@ -55,9 +61,10 @@ STAGES = [("toxicity", drop_toxic), ("line_dedup", drop_lines), ("ngram_join", o
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        before, docs = docs, stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
             docs = materialize(docs)
+            discard(before)
     return docs
 
 
