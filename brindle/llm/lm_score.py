@@ -2,7 +2,7 @@
 
 Every token is predicted from the words on both sides of it, itself masked: the
 hidden layer sums one learned vector per window place and word, and a
-two-level softmax (class, then word in class) gives the conditional
+two-level softmax (class, then word in class; classes are wider for rarer words) gives the conditional
 probability.  A document's score is the sum of its tokens' conditional log-probabilities.
 
 The vocabulary comes from word counts over all documents: the words that occur
@@ -33,16 +33,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import materialize, mix64
+from .common import discard, materialize, mix64
 
 TOKEN = re.compile(r"\w+|[^\w\s]")
 PLACES = (-3, -2, -1, 1, 2, 3)
 FIRST_CLASS, END = 0xF0000, chr(0x10FFFF)  # signs that stand for classes and for the end of a word
 EDGE = 0  # stands beyond both ends of a document
 BLOCK = 4096  # parameters in one row while averaging
-BATCH = (512, 4096)  # least and most places in a gradient step
+BATCH = (512, 8192)  # least and most places in a gradient step
 REPEATS = 32  # occurrences of a word in a step that count in full towards its vectors
 
 
@@ -228,13 +228,19 @@ def count_windows(rarer: DataFrame, buckets: int) -> dict[str, int]:
 
 
 class Network:
-    """size words in classes of width; hidden units; parameters in one flat array."""
+    """size words in classes; hidden units; parameters in one flat array.
+
+    Words are numbered by falling frequency, and class k begins at word k * k * spread: classes grow with the square root of
+    the rank, which keeps both the number of classes and the expected size of a word's class small where counts fall as ranks rise.
+    """
 
     def __init__(self, size: int, hidden: int, flat: np.ndarray | None = None):
         self.size, self.hidden = size, hidden
-        self.width = int(np.ceil(np.sqrt(size)))
-        self.classes = -(-size // self.width)
-        shapes = [(len(PLACES), size, hidden), (hidden,), (self.classes, hidden), (self.classes,), (self.classes, self.width, hidden), (self.classes, self.width)]
+        self.spread = max(1.0, math.log(size + 1) / 4)
+        self.classes = int(math.sqrt((size - 1) / self.spread)) + 1 if size else 0
+        self.begins = np.ceil(np.arange(self.classes + 1) ** 2 * self.spread).astype(np.int64)
+        self.begins[-1] = size
+        shapes = [(len(PLACES), size, hidden), (hidden,), (self.classes, hidden), (self.classes,), (size, hidden), (size,)]
         self.n = sum(int(np.prod(s)) for s in shapes)
         if flat is None:
             rng = np.random.default_rng(7)
@@ -246,9 +252,18 @@ class Network:
             views.append(flat[at : at + k].reshape(s))
             at += k
         self.embed, self.b, self.wc, self.bc, self.ww, self.bw = views
-        self.void = np.full(self.classes * self.width, -1e9, np.float32)
-        self.void[:size] = 0
-        self.void = self.void.reshape(self.classes, self.width)
+
+    def class_at(self, words: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.begins, words, "right") - 1
+
+    @staticmethod
+    def weigh(h: np.ndarray, w: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Scores of rows of hidden units, small enough for exp; hidden units are within -1 and 1."""
+        z = h @ w.T
+        z += b
+        if np.abs(w).sum(axis=1).max() + np.abs(b).max() > 80:
+            z -= z.max(axis=1, keepdims=True)
+        return z
 
     def hidden_at(self, stream: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Hidden units for the places at of a stream of word numbers."""
@@ -269,23 +284,23 @@ class Network:
 
     def of_hidden(self, h: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Log-probabilities of targets: of their class, and in their class."""
-        c = target // self.width
-        z = h @ self.wc.T
-        z += self.bc
-        z -= z.max(axis=1, keepdims=True)
+        if not len(target):
+            return np.zeros(0)
+        order = np.argsort(target, kind="stable")
+        h, target = np.take(h, order, axis=0), target[order]
+        c = self.class_at(target)
+        z = self.weigh(h, self.wc, self.bc)
         lp = z[np.arange(len(c)), c]
         lp -= np.log(np.exp(z, out=z).sum(axis=1))
-        order = np.argsort(c.astype(np.uint16) if self.classes < 1 << 16 else c, kind="stable")
-        cuts = np.flatnonzero(np.concatenate([[True], np.diff(c[order]) > 0, [True]])) if len(c) else [0]
-        for f, e in zip(cuts[:-1], cuts[1:]):
-            at = order[f:e]
-            k = c[at[0]]
-            y = h[at] @ self.ww[k].T
-            y += self.bw[k] + self.void[k]
-            y -= y.max(axis=1, keepdims=True)
-            own = y[np.arange(len(at)), target[at] - k * self.width]
-            lp[at] += own - np.log(np.exp(y, out=y).sum(axis=1))
-        return lp
+        cuts = np.flatnonzero(np.concatenate([[True], np.diff(c) > 0, [True]])).tolist()
+        for f, e, k in zip(cuts[:-1], cuts[1:], c[cuts[:-1]].tolist()):
+            first, last = self.begins[k], self.begins[k + 1]
+            y = self.weigh(h[f:e], self.ww[first:last], self.bw[first:last])
+            own = y[np.arange(e - f), target[f:e] - first]
+            lp[f:e] += own - np.log(np.exp(y, out=y).sum(axis=1))
+        out = np.empty(len(lp))
+        out[order] = lp
+        return out
 
     def step(self, stream: np.ndarray, at: np.ndarray, rate: float) -> None:
         """One gradient step on the places at of a stream of word numbers."""
@@ -293,10 +308,8 @@ class Network:
         at = at[np.argsort(stream[at], kind="stable")]
         target = stream[at].astype(np.int64)
         h = self.hidden_at(stream, at)
-        c = target // self.width
-        p = h @ self.wc.T
-        p += self.bc
-        p -= p.max(axis=1, keepdims=True)
+        c = self.class_at(target)
+        p = self.weigh(h, self.wc, self.bc)
         np.exp(p, out=p)
         p /= p.sum(axis=1, keepdims=True)
         numbers = np.arange(n)
@@ -306,19 +319,17 @@ class Network:
         self.wc -= p.T @ h
         self.bc -= p.sum(axis=0)
         cuts = np.flatnonzero(np.concatenate([[True], np.diff(c) > 0, [True]])).tolist()
-        inside = target - c * self.width
         for f, e, k in zip(cuts[:-1], cuts[1:], c[cuts[:-1]].tolist()):
-            own, ww = h[f:e], self.ww[k]
-            q = own @ ww.T
-            q += self.bw[k] + self.void[k]
-            q -= q.max(axis=1, keepdims=True)
+            first, last = self.begins[k], self.begins[k + 1]
+            own, ww = h[f:e], self.ww[first:last]
+            q = self.weigh(own, ww, self.bw[first:last])
             np.exp(q, out=q)
             q /= q.sum(axis=1, keepdims=True)
-            q[numbers[: e - f], inside[f:e]] -= 1
+            q[numbers[: e - f], target[f:e] - first] -= 1
             dh[f:e] += q @ ww
             q *= np.float32(rate / (e - f))
             ww -= q.T @ own
-            self.bw[k] -= q.sum(axis=0)
+            self.bw[first:last] -= q.sum(axis=0)
         h *= h
         dh *= np.subtract(1, h, out=h)
         dh *= np.float32(rate * 0.05)
@@ -327,11 +338,12 @@ class Network:
             words = stream[at + place]
             order = np.argsort(words, kind="stable")
             words = words[order]
-            starts = np.flatnonzero(np.concatenate([[True], words[1:] != words[:-1]]))
-            times = np.diff(np.concatenate([starts, [n]]))
-            move = np.add.reduceat(np.take(dh, order, axis=0), starts, axis=0)
-            move *= np.minimum(1, REPEATS / times).astype(np.float32)[:, None]
-            self.embed[k][words[starts]] -= move
+            ends = np.flatnonzero(np.concatenate([words[1:] != words[:-1], [True]]))
+            sums = np.cumsum(np.take(dh, order, axis=0), axis=0)[ends]  # up to the last place of each word
+            sums[1:] -= sums[:-1].copy()
+            times = np.diff(ends, prepend=-1)
+            sums *= np.minimum(1, REPEATS / times).astype(np.float32)[:, None]
+            self.embed[k][words[ends]] -= sums
 
 
 def lay_out(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -394,7 +406,7 @@ def average_round(encoded: DataFrame, size: int, hidden: int, flat: np.ndarray,
             return len(at)
 
         def most_places():
-            return min(BATCH[1], max(BATCH[0], seen // 8))
+            return min(BATCH[1], max(BATCH[0], seen // 4))
 
         held_docs, waiting = [], 0
         for batch in batches:
@@ -435,6 +447,11 @@ def average_round(encoded: DataFrame, size: int, hidden: int, flat: np.ndarray,
     return np.concatenate([np.frombuffer(r["part"], np.float32) / np.float32(r["seen"]) for r in rows]) if rows else flat
 
 
+def one_thread(spark: SparkSession) -> None:
+    """Python workers started from now on use one thread for matrix products: a task has one core, and more threads only wait for each other."""
+    spark.sparkContext.environment.setdefault("OPENBLAS_NUM_THREADS", "1")
+
+
 def lm_score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 1500, often: float = 0.1, buckets: int = 64, hidden: int = 24, rounds: int = 2, share: int = 2, rate: float = 0.7) -> DataFrame:
     """(id, n_tokens, log_likelihood, mean_log_likelihood) for every document.
 
@@ -447,9 +464,13 @@ def lm_score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     if rounds % share:
         raise ValueError("rounds must be a multiple of share, so that every place is trained on equally often")
     spark = docs.sparkSession
-    vocab, rarer = choose_words(materialize(count_words(docs, text_col)), words, often)
+    one_thread(spark)
+    counts = materialize(count_words(docs, text_col))
+    vocab, rarer = choose_words(counts, words, often)
+    windows = count_windows(rarer, buckets)
+    discard(counts)
     size = 1 + buckets + len(vocab)
-    encoded = encode_docs(docs, vocab, count_windows(rarer, buckets), buckets, id_col, text_col)
+    encoded = encode_docs(docs, vocab, windows, buckets, id_col, text_col)
     flat = Network(size, hidden).flat
     for r in range(rounds):
         flat = average_round(encoded, size, hidden, flat, round_no=r, share=share, rate=rate / (1 + r))

@@ -68,7 +68,7 @@ def brute_factors(data, starts, order, span):
                 while n < span and data[a + n] == data[b + n]:
                     n += 1
                 best = max(best, n)
-        out.append(best)
+        out.append(best if best == span else best // 5 * 5)  # below span in steps of five
     return out
 
 
@@ -274,10 +274,11 @@ def test_lm_scores_against_brute_force(spark, monkeypatch):
         ids, total = [number(x) for x in w], 0.0
         for k, x in enumerate(w):
             h = np.tanh(net.b + sum(net.embed[j][ids[k + p] if 0 <= k + p < len(ids) else lm.EDGE] for j, p in enumerate(lm.PLACES)))
-            c, inside = divmod(ids[k], net.width)
+            c = max(j for j in range(net.classes) if net.begins[j] <= ids[k])
+            own = range(net.begins[c], net.begins[c + 1])
             z = h @ net.wc.T + net.bc
-            y = (h @ net.ww[c].T + net.bw[c])[: net.size - c * net.width]
-            total += z[c] - math.log(np.exp(z).sum()) + y[inside] - math.log(np.exp(y).sum())
+            y = np.array([h @ net.ww[j] + net.bw[j] for j in own])
+            total += z[c] - math.log(np.exp(z).sum()) + y[ids[k] - own[0]] - math.log(np.exp(y).sum())
             total += 0 if x in vocab else spelling(x, lm.class_of(x, buckets))
         want.append((i, len(w), total))
     key = lambda r: (r[0] is None, r[0] or 0, r[1], r[2])
@@ -319,3 +320,52 @@ def test_ngram_long_lists_are_dealt_linearly(spark):
     meets = {(r["x"], r["y"]): r["c"] for r in nj.open_blocks(several, 512).groupBy("x", "y").agg({"id": "count"}).withColumnRenamed("count(id)", "c").collect()}
     rest, main = 11, 2  # 857 or 858 members a component
     assert set(meets) == {(x, y) for x in range(rest) for y in range(x, rest + main)}
+
+# ---- packing
+
+
+def naive_best_fit(sizes, size, open_bins):
+    """Used places of closed and of open bins: the tightest bin that fits takes a piece; where a bin more than allowed is needed the fullest closes; full ones close at once."""
+    bins, closed = [], []
+    for n in sizes:
+        fits = [b for b in bins if size - b >= n]
+        if fits:
+            bins.remove(max(fits))
+            n += max(fits)
+        elif n < size and len(bins) >= open_bins:
+            closed.append(max(bins))
+            bins.remove(max(bins))
+        (closed if n == size else bins).append(n)
+    return closed, sorted(bins)
+
+
+@pytest.mark.parametrize("seed, open_bins", [(1, 1), (2, 3), (3, 16), (4, 4096)])
+def test_best_fit_against_a_naive_version(seed, open_bins):
+    from brindle.llm import packing
+
+    r = random.Random(seed)
+    sizes = [min(64, int(r.paretovariate(0.8))) for _ in range(2000)]
+    p = packing.BestFit(64, open_bins)
+    closed = [used for k, n in enumerate(sizes) for used, _ in p.put(n, [k])]
+    rest = sorted(used for used, _ in p.rest())
+    want, left = naive_best_fit(sizes, 64, open_bins)
+    assert sorted(closed) == sorted(want) and rest == left
+    if open_bins == 4096:
+        assert len(closed) + len(rest) <= 1.05 * -(-sum(sizes) // 64)
+
+
+def test_packing_repeated_rows_and_null_ids(spark):
+    from brindle.llm import packing
+    from brindle.llm.queries import tokenizer_path
+
+    docs = frame(spark, [(1, "a b c"), (1, "a b c"), (None, "x"), (2, None), (None, "")])
+    got = packing.pieces(packing.pack(docs, tokenizer_path(), keep_ids=False)).collect()
+    assert len(got) == 5 and sorted(str(r["doc_id"]) for r in got) == ["1", "1", "2", "None", "None"]
+    assert len({(r["sequence_id"], r["offset"]) for r in got}) == 5
+
+
+def test_pages_repeated_and_with_null_ids(spark):
+    from brindle.llm import html_extract as he
+
+    df = spark.createDataFrame([(1, "u", "<article>Same</article>")] * 2 + [(None, None, "<article>Same</article>"), (None, "v", None)], "page_id long, url string, html string")
+    assert sorted(r["text"] for r in he.extract_pages(df).collect()) == ["", "Same", "Same", "Same"]
