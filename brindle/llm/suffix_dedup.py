@@ -301,11 +301,22 @@ def _windows(doc: np.ndarray, start: np.ndarray, n: np.ndarray, held: list[bytes
 _TEXTS = "key bigint, doc bigint, start bigint, n bigint, held binary"
 
 
-def _compare(texts: DataFrame, span: int) -> DataFrame:
+def _groups(key: np.ndarray, most: int) -> Iterator[slice]:
+    """Rows sorted by key in groups of about most, none of which cuts a key's rows."""
+    cuts = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)][: len(key)]])
+    at = 0
+    while at < len(cuts) - 1:
+        end = max(at + 1, int(np.searchsorted(cuts, cuts[at] + most, "right")) - 1)
+        yield slice(cuts[at], cuts[end])
+        at = end
+
+
+def _compare(texts: DataFrame, span: int, most: int = 2000) -> DataFrame:
     """(doc, start, end) of the removed windows of rows (key, doc, start, n, bytes); rows of n < 0 are settled spans of -n bytes, which pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, doc, start, n, held in _runs(batches, 1):
+        every = ((cols[0], cols[1:]) for cols in _runs(batches, 1))
+        for doc, start, n, held in ([c[some] for c in cols] for key, cols in every for some in _groups(key, most)):
             ready = n < 0
             row, where, _, factor = _windows(doc[~ready], start[~ready], n[~ready], held[~ready].tolist(), span)
             gone = factor >= span

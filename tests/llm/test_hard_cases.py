@@ -86,6 +86,18 @@ def test_longest_previous_factors_against_brute_force(seed):
     assert sd.longest_previous(data, starts, order, 100).tolist() == brute_factors(data, starts, order, 100)
 
 
+@pytest.mark.parametrize("most", [1, 2, 3, 100])
+def test_groups_cut_no_key(most):
+    import numpy as np
+
+    from brindle.llm import suffix_dedup as sd
+
+    for keys in ([], [1], [1, 1, 1], [1, 2, 2, 3, 3, 3, 4], [5, 5, 6, 7, 8, 8]):
+        key = np.array(keys, np.int64)
+        got = [key[s].tolist() for s in sd._groups(key, most)]
+        assert sum(got, []) == keys and all(got) and all(a[-1] != b[0] for a, b in zip(got, got[1:]))
+
+
 @pytest.mark.parametrize("hot", [20_000, 0])
 def test_suffix_dedup_keeps_one_copy_of_repeated_rows(spark, hot):
     from brindle.llm import suffix_dedup as sd
