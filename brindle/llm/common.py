@@ -5,8 +5,11 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -87,6 +90,18 @@ def placed(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, bool
     return out, True
 
 
+def text_runs(batches: Iterator[pa.RecordBatch], where: int, size: int, most: int = 4096) -> Iterator[pa.RecordBatch]:
+    """Rows in runs of about size bytes of their text column, most rows at most; one row at least."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(where).cast(pa.large_binary())), 0).to_numpy(zero_copy_only=False))
+        at = 0
+        while at < batch.num_rows:
+            base = ends[at - 1] if at else 0
+            end = min(at + most, max(at + 1, int(np.searchsorted(ends, base + size, "right"))))
+            yield batch.slice(at, end - at)
+            at = end
+
+
 def crc_fold(doc_id) -> int:
     """crc32 of an id written as decimal text."""
     return zlib.crc32(str(doc_id).encode())

@@ -7,11 +7,14 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .common import read
 from .decontaminate import find_contamination
 from .exact_dedup import exact_dedup
+from .fingerprints import compare_edits
 from .html_extract import extract_pages
 from .line_dedup import line_dedup
 from .lm_score import lm_score
 from .ngram_join import ngram_components
 from .packing import pack, pieces
+from .periodic_runs import periodic_runs
+from .ranked_search import ranked_search
 from .secrets import scan_secrets
 from .suffix_dedup import suffix_dedup
 from .toxicity import score_toxicity, train
@@ -84,7 +87,41 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_components(read(spark, sf_dir, "documents"))
 
 
+def with_repeats(docs: DataFrame) -> DataFrame:
+    """Documents whose id's crc32, written in decimal, ends in 0, with the words from one place on replaced by repeats of a stretch; all others as they are."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.floor(h / 10)
+    chosen = docs.select("doc_id", "text", g.alias("g"), F.when(h % 10 == 0, F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))).alias("words"))
+    sized = chosen.withColumn("n", F.size("words")).withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")).cast("int"))
+    period = sized.withColumn("p", (1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8))).cast("int"))
+    left = F.col("n") - F.col("a")
+    repeats = F.slice(F.flatten(F.array_repeat(F.slice("words", F.col("a") + 1, F.col("p")), F.ceil(left / F.col("p")).cast("int"))), F.lit(1), left)
+    return period.select("doc_id", F.when(F.col("n") > 0, F.array_join(F.concat(F.slice("words", F.lit(1), F.col("a")), repeats), " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs(with_repeats(read(spark, sf_dir, "documents")))
+    ranked = F.transform("runs", lambda r: F.struct((r["length"] / r["period"]).alias("power"), (-r["start"]).alias("early"), (-r["period"]).alias("small"), r["length"].alias("length")))
+    best = found.withColumn("best", F.array_max(ranked))
+    start, length, period = -F.col("best.early"), F.col("best.length"), -F.col("best.small")
+    listed = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", *[r[c].cast("string") for c in ("start", "length", "period")]), F.lit("\n"))), "")
+    return best.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), start.alias("start"), length.alias("length"), period.alias("period"), F.floor(1000 * length / period).cast("long").alias("exponent_milli"),
+        F.sha2(listed.cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = compare_edits(read(spark, sf_dir, "documents"))
+    return done.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
 QUERIES = {"op1_pack": op1_pack, "op2_secrets": op2_secrets, "op3_toxicity": op3_toxicity, "op4_extract": op4_extract, "op5_suffix_dedup": op5_suffix_dedup, "op6_decontaminate": op6_decontaminate, "op7_line_dedup": op7_line_dedup, "op8_exact_dedup": op8_exact_dedup, "op9_lm_score": op9_lm_score, "op10_ngram_join": op10_ngram_join}
+QUERIES |= {"op11_periodic_runs": op11_periodic_runs, "op12_ranked_search": op12_ranked_search, "op13_fingerprints": op13_fingerprints}
 
 _UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -123,4 +160,17 @@ ORACLE = {
         WITH d AS (SELECT doc_id, sha256(translate(coalesce(text, ''), '%s', '%s')) AS text_sha256 FROM documents)
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, text_sha256
         FROM d WINDOW w AS (PARTITION BY text_sha256)""" % (_UP, _LOW),
+    "op12_ranked_search": r"""
+        WITH tok AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '%(u)s', '%(l)s'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+        item AS (
+            SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), '%(u)s', '%(l)s'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM benchmark),
+        s AS (SELECT count(*) AS n_docs, sum(len(w))::BIGINT AS total FROM tok WHERE len(w) > 0),
+        tf AS (SELECT doc_id, n, t, count(*) AS tf FROM (SELECT doc_id, len(w) AS n, unnest(w) AS t FROM tok) WHERE t IN (SELECT t FROM item) GROUP BY 1, 2, 3),
+        df AS (SELECT t, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM tf, s GROUP BY t, n_docs),
+        imp AS (SELECT doc_id, t, (1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + (50 * n * n_docs) // total)) AS x FROM tf, s),
+        scored AS (SELECT item_id, doc_id, sum(w * x)::BIGINT AS score FROM item JOIN df USING (t) JOIN imp USING (t) GROUP BY 1, 2)
+        SELECT item_id, rank, doc_id, score
+        FROM (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score FROM scored WHERE score > 0)
+        WHERE rank <= 50""" % {"u": _UP, "l": _LOW},
 }
