@@ -29,6 +29,7 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -127,11 +128,16 @@ def sign_windows(strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
 class Letters:
     """Log-probabilities of all windows of a corpus's rarer words, by hash: what tasks need of a Spelling."""
 
-    def __init__(self, windows: dict[str, int]):
+    def __init__(self, hashes: np.ndarray, logs: np.ndarray):
+        self.hashes, self.logs = hashes, logs
+
+    @staticmethod
+    def arrays(windows: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+        """(hashes in order, log-probabilities): what Letters is made of, and all that is broadcast of it."""
         spelling = Spelling(windows)
         hashes, _ = sign_windows(list(windows))
         order = np.argsort(hashes)
-        self.hashes, self.logs = hashes[order], np.array([spelling.letter(w) for w in windows])[order]
+        return hashes[order], np.array([spelling.letter(w) for w in windows])[order]
 
     def __call__(self, words: list[str], groups: np.ndarray) -> np.ndarray:
         """Log-probabilities of words in their classes."""
@@ -365,12 +371,12 @@ def contexts(ids: np.ndarray) -> np.ndarray:
 
 def encode_docs(docs: DataFrame, vocab: list[str], windows: dict[str, int], buckets: int, id_col: str, text_col: str) -> DataFrame:
     """(id, ids, spelt): word numbers of every whole text, as little-endian integers, and the log-probability of rarer words within their classes."""
-    held = docs.sparkSession.sparkContext.broadcast((vocab, Letters(windows)))
+    held = docs.sparkSession.sparkContext.broadcast((vocab, *Letters.arrays(windows)))
     source = docs.select(id_col, text_col)
     id_type = source.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = Vocabulary(held.value[0], buckets, held.value[1])
+        vocabulary = Vocabulary(held.value[0], buckets, Letters(*held.value[1:]))
         kind = np.dtype(width_of(vocabulary.size))
         for batch in batches:
             for at in range(0, batch.num_rows, 2048):
@@ -447,9 +453,17 @@ def average_round(encoded: DataFrame, size: int, hidden: int, flat: np.ndarray,
     return np.concatenate([np.frombuffer(r["part"], np.float32) / np.float32(r["seen"]) for r in rows]) if rows else flat
 
 
-def one_thread(spark: SparkSession) -> None:
-    """Python workers started from now on use one thread for matrix products: a task has one core, and more threads only wait for each other."""
-    spark.sparkContext.environment.setdefault("OPENBLAS_NUM_THREADS", "1")
+@contextmanager
+def one_thread(spark: SparkSession) -> Iterator[None]:
+    """Functions that are sent off meanwhile use one thread for matrix products: a task has one core, and more threads only wait for each other."""
+    env, name = spark.sparkContext.environment, "OPENBLAS_NUM_THREADS"
+    before = env.get(name)
+    env.setdefault(name, "1")
+    try:
+        yield
+    finally:
+        if before is None:
+            env.pop(name, None)
 
 
 def lm_score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 1500, often: float = 0.1, buckets: int = 64, hidden: int = 24, rounds: int = 2, share: int = 2, rate: float = 0.7) -> DataFrame:
@@ -463,8 +477,12 @@ def lm_score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     """
     if rounds % share:
         raise ValueError("rounds must be a multiple of share, so that every place is trained on equally often")
+    with one_thread(docs.sparkSession):
+        return _scored(docs, id_col, text_col, words, often, buckets, hidden, rounds, share, rate)
+
+
+def _scored(docs: DataFrame, id_col: str, text_col: str, words: int, often: float, buckets: int, hidden: int, rounds: int, share: int, rate: float) -> DataFrame:
     spark = docs.sparkSession
-    one_thread(spark)
     counts = materialize(count_words(docs, text_col))
     vocab, rarer = choose_words(counts, words, often)
     windows = count_windows(rarer, buckets)

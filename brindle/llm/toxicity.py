@@ -125,8 +125,12 @@ def _summary(m: np.ndarray) -> tuple[float, float, float]:
 class Field:
     """The fitted model: weights by feature, the other emission score, transitions and the calibration."""
 
-    def __init__(self, weights: dict[str, float], bias: float, trans: np.ndarray, calibration: np.ndarray):
-        self.weights, self.bias, self.trans, self.calibration = weights, bias, trans, calibration
+    def __init__(self, weights: dict[str, float], bias: float, trans: np.ndarray | list, calibration: np.ndarray | list):
+        self.weights, self.bias, self.trans, self.calibration = weights, bias, np.array(trans, float), np.array(calibration, float)
+
+    def plain(self) -> tuple[dict[str, float], float, list, list]:
+        """The parameters in builtin types, which executors read without this package; Field(*plain) is the same model."""
+        return self.weights, float(self.bias), self.trans.tolist(), self.calibration.tolist()
 
     def scorer(self):
         cache: dict[str, float] = {}
@@ -318,13 +322,13 @@ def _score_texts(model: Field, score, texts: list[str]) -> tuple[list[float], li
 
 def _scoring(source: DataFrame, field: Field, text_col: str, keep: float | None):
     """Schema and mapInArrow function: the score and spans of each row, or the whole rows that score under keep."""
-    held = source.sparkSession.sparkContext.broadcast(field)
+    held = source.sparkSession.sparkContext.broadcast(field.plain())
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("p", pa.float64())]))
     where = source.columns.index(text_col)
     schema = source.schema if keep is not None else f"`{source.columns[0]}` {source.schema[0].dataType.simpleString()}, score double, spans array<struct<start:bigint,end:bigint,p:double>>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = held.value
+        model = Field(*held.value)
         score = model.scorer()
         for batch in batches:
             for at in range(0, batch.num_rows, 2048):
