@@ -35,6 +35,10 @@ DROPPED_TAGS = frozenset("nav header footer aside form menu dialog head title se
 MAIN_TAGS = frozenset(("article", "main"))
 #: words in class, id or role that mark what is not main text
 MARK = re.compile(r"ads?|advert\w*|banners?|sponsor\w*|promo\w*|sidebar|side|nav\w*|menus?|breadcrumbs?|foot\w*|header|masthead|cookies?|consent|notices?|alerts?|popup|modal|newsletter|subscribe|share|sharing|social|related|recommended|comments?|replies|reply|disqus|widgets?|toolbar|login|search|complementary|contentinfo")
+#: those among them that name a place on the page or a way to share it: a whole article may stand in such an element
+PLACE = re.compile(r"sidebar|side|nav\w*|header|masthead|foot\w*|banners?|share|sharing|social|widgets?|toolbar|search|complementary|promo\w*|modal|popup")
+#: words that name the article
+STORY = frozenset("article articles post posts story stories entry main".split())
 #: words that say where or how, not what
 NEUTRAL = frozenset("site page main top bottom left right center middle bar box block list lists item items wrapper wrap container section sections area slot unit inner outer content contents link links button buttons primary secondary global text title heading body row col column columns group module panel pane strip zone region mobile desktop large small sticky fixed sm md lg xs js post posts article articles entry thread threads feed form signup message count first last new old fluid full wide mini sub my the and of".split())
 #: names that speak of something elsewhere on the page
@@ -48,35 +52,56 @@ WORDS = re.compile(r"[^\W\d_]+")
 SENTENCE_END = re.compile(r"[.!?\u3002\uff01\uff1f\u0964\u061f\u06d4\u1362](?=\W|\Z)|[\u3002\uff01\uff1f]")
 
 
-def marked(token: str) -> bool:
-    """Whether a start tag's class, id or role names something that is not main text.
+def marked(token: str) -> str | None:
+    """What a start tag's class, id or role says of the element: "matter" that is not main text (notices, adverts, comments, forms), "mixed" with the article, its "place" beside it (sidebars, headers), or None.
 
     A name is judged by all its words: a marking word does not count where as many words speak of something else.
     """
     name_end = re.match(r"<[^\s/>]*", token).end()
+    told = None
     for a in ATTRIBUTE.finditer(token, name_end):
         if a[1].lower() in ("class", "id", "role"):
             for name in (a[2] or a[3] or a[4] or "").split():
                 if not STATE.fullmatch(name.lower()):
                     words = [w.lower().rstrip("0123456789") for w in _PART.split(name)]
-                    hits = sum(bool(MARK.fullmatch(w)) for w in words)
-                    others = sum(bool(w) and not MARK.fullmatch(w) and w not in NEUTRAL for w in words)
-                    if hits > others:
-                        return True
-    return False
+                    hits = [w for w in words if MARK.fullmatch(w)]
+                    others = sum(bool(w) and w not in NEUTRAL for w in words) - sum(w not in NEUTRAL for w in hits)
+                    if len(hits) > others:
+                        if all(PLACE.fullmatch(w) for w in hits):
+                            told = told or "place"
+                        elif STORY.isdisjoint(words):
+                            return "matter"
+                        else:
+                            told = "mixed"
+    return told
+
+
+class Drop:
+    """An element that is no main text, by its tag or by a name."""
+
+    __slots__ = ("why", "live")
+
+    def __init__(self, why: str):
+        self.why, self.live = why, True
 
 
 class Block:
-    __slots__ = ("text", "linked", "section", "good_edge", "label")
+    """A block of text inside so many drops, the outermost first; its edges count as good inside an article."""
+
+    __slots__ = ("text", "linked", "section", "good_edge", "drops")
 
-    def __init__(self, section: int, good_edge: bool, label: str | None):
-        self.text, self.linked, self.section, self.good_edge, self.label = [], 0, section, good_edge, label
+    def __init__(self, section: int, good_edge: bool, drops: tuple[Drop, ...]):
+        self.text, self.linked, self.section, self.good_edge, self.drops = [], 0, section, good_edge, drops
+
+    @property
+    def label(self) -> str | None:
+        return "bad" if any(d.live for d in self.drops) else None
 
 
 def blocks_of(page: str) -> list[Block]:
-    """The page's blocks in order; blocks in dropped elements are labelled bad already."""
+    """The page's blocks in order."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool, int]] = []  # tag, dropped, main, section
+    stack: list[tuple[str, tuple[Drop, ...], bool, int]] = []  # tag, drops, inside an article, section
     sections, links, button = 0, 0, False
     current: Block | None = None
     at = 0
@@ -86,8 +111,8 @@ def blocks_of(page: str) -> list[Block]:
             if button:
                 continue
             if current is None:
-                _, dropped, main, section = stack[-1] if stack else ("", False, False, 0)
-                current = Block(section, main, "bad" if dropped else None)
+                _, drops, main, section = stack[-1] if stack else ("", (), False, 0)
+                current = Block(section, main, drops)
                 out.append(current)
             current.text.append(token)
             current.linked += links and len(token.strip())
@@ -126,19 +151,41 @@ def blocks_of(page: str) -> list[Block]:
             stack.pop()
         elif tag != "p" and stack and stack[-1][0] == "p":
             stack.pop()
-        _, dropped, main, section = stack[-1] if stack else ("", False, False, 0)
-        drop = tag in DROPPED_TAGS
-        if not drop and "=" in token and tag not in ("html", "body", "main"):
-            drop = marked(token)
-        if tag in MAIN_TAGS and not dropped and not drop:
-            main = True
-        if tag in MAIN_TAGS or (drop and not dropped):
+        _, drops, main, section = stack[-1] if stack else ("", (), False, 0)
+        why = "tag" if tag in DROPPED_TAGS else marked(token) if "=" in token and tag not in ("html", "body", "main") else None
+        if tag in MAIN_TAGS or why:
             sections += 1
             section = sections
-        stack.append((tag, dropped or drop, main and not drop, section))
+        stack.append((tag, (*drops, Drop(why)) if why else drops, main or tag in MAIN_TAGS, section))
     return out
 
 
+def rescue(found: list[tuple[Block, int]]) -> None:
+    """Revive elements that were dropped by a name but hold the main part of the page's good text.  found: (block, characters of good text).
+
+    An element named after a place is revived if it holds more than four times the good text outside all dropped elements and no article stands
+    there; a mixed one if no text reads well there; one named after its matter if, besides, an article stands in it.  The
+    largest comes first, of equal ones the outermost; what is dropped inside it stays so.
+    """
+    while True:
+        outside = [(b, good) for b, good in found if b.label is None and good]
+        free, article = sum(good for _, good in outside), any(b.good_edge for b, _ in outside)
+        held: dict[int, list] = {}
+        for b, good in found:
+            live = [d for d in b.drops if d.live]
+            if good and live and live[0].why != "tag":
+                inner = held.setdefault(id(live[0]), [live[0], 0, False])
+                inner[1] += good * (len(live) == 1 or all(d.why == "place" for d in live))
+                inner[2] |= b.good_edge and len(live) == 1
+        best = max(held.values(), key=lambda x: x[1], default=None)
+        while best is not None and not (best[1] > 4 * free and not article if best[0].why == "place" else best[1] and not free and (best[2] or best[0].why == "mixed")):
+            del held[id(best[0])]
+            best = max(held.values(), key=lambda x: x[1], default=None)
+        if best is None:
+            return
+        best[0].live = False
+
+
 def classify(text: str, linked: int, *, short: int, long: int, max_link_density: float, low_stop: float, foreign: bool = False) -> str:
     """Pass one: good, bad, near (fit for text, only short) or ambiguous.  foreign: the page's language is not known, sentence ends stand for function words."""
     if linked > max_link_density * len(text):
@@ -165,9 +212,13 @@ def extract_text(page: str | None, *, short: int = 70, long: int = 200, max_link
     """The main text of one page; '' if there is none."""
     raw = [(SPACE.sub(" ", html.unescape("".join(b.text))).strip(), b) for b in blocks_of(page or "")]
     raw = [(text, b) for text, b in raw if text]
-    words = [w for text, b in raw if b.label is None for w in WORDS.findall(text.lower())]
-    foreign = sum(w in STOP_WORDS for w in words) < 0.03 * len(words)
-    found = [(text, b.label or classify(text, b.linked, short=short, long=long, max_link_density=max_link_density, low_stop=low_stop, foreign=foreign), b.section, b.good_edge) for text, b in raw]
+    live = [text for text, b in raw if b.label is None] or [text for text, b in raw if all(d.why != "tag" for d in b.drops)]
+    words = [w for text in live for w in WORDS.findall(text.lower())]
+    rules = {"short": short, "long": long, "max_link_density": max_link_density, "low_stop": low_stop, "foreign": sum(w in STOP_WORDS for w in words) < 0.03 * len(words)}
+    labels = [classify(text, b.linked, **rules) for text, b in raw]
+    if any(b.label for _, b in raw):
+        rescue([(b, len(text) * (label in ("good", "near"))) for (text, b), label in zip(raw, labels)])
+    found = [(text, b.label or label, b.section, b.good_edge) for (text, b), label in zip(raw, labels)]
     n = len(found)
     decided = [label in ("good", "bad") for _, label, _, _ in found]
     kept = []
