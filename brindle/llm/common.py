@@ -39,6 +39,14 @@ def fresh(columns: list[str], *names: str) -> list[str]:
     return out
 
 
+def integer_ids(df: DataFrame, *columns: str) -> None:
+    """Refuse ids that are no integers before any job runs."""
+    for c in columns:
+        kind = df.schema[c].dataType.simpleString()
+        if kind not in ("tinyint", "smallint", "int", "bigint", "void"):
+            raise TypeError(f"ids must be integers, but {c} is {kind}")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: what the cluster names in spark.checkpoint.dir.  A temporary one only where that is unset and the session is local (tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
@@ -79,6 +87,7 @@ def placed(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, bool
     null ids come last and rows with equal ids follow one another by a hash of their texts; (id, hash, row) is
     sorted by ranges, so a frequent id does not stay in one task, and the number is the place in that order.
     """
+    integer_ids(docs, id_col)
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     if not source.groupBy("id").agg(F.count(F.lit(1)).alias("c")).filter("c > 1 OR id IS NULL").limit(1).count():
         return source.select(F.col("id").alias("doc"), "id", "text"), False

@@ -22,7 +22,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from .common import ASCII_LOWER, ascii_lower, fresh, materialize
+from .common import ASCII_LOWER, ascii_lower, fresh, integer_ids, materialize
 
 #: a word is a run of ASCII letters and digits and of everything beyond ASCII
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -143,6 +143,7 @@ class _Blocks:
     """The benchmark's items in blocks of about block_words words at most; a block is broadcast when asked for."""
 
     def __init__(self, benchmark: DataFrame, item_col: str, text_col: str, block_words: int):
+        integer_ids(benchmark, item_col)
         self.items = benchmark.select(F.col(item_col).cast("long").alias("i"), F.col(text_col).alias("t")).filter("t is not null")
         size = self.items.agg(F.sum(F.length("t"))).first()[0] or 0
         self.n = 1 + size // (2 * block_words)  # a word and its gap take two characters at least
@@ -192,7 +193,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "
     matches: longest verbatim matches as (item_id, doc_word, item_word,
     n_words).  Null and empty texts have no words; repeated rows, and rows with equal or null ids, are judged
     each, whatever the benchmark's size; an empty benchmark hits nothing; items with equal texts all match.
-    Extra columns are ignored.
+    Item ids must be integers; document ids may be of any type.  Extra columns are ignored.
     """
     blocks = _Blocks(benchmark, item_col, item_text_col, block_words)
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))

@@ -16,7 +16,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import ascii_lower, materialize
+from .common import ascii_lower, integer_ids, materialize
 
 
 def _fold(counts: Counter, capacity: int) -> Counter:
@@ -70,11 +70,13 @@ def exact_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     """One row per document: id, digest, keep_id, group_size, kept.
 
     Texts are equal when identical after lower-casing A-Z; null counts as
-    empty.  Of equal texts the row with the largest id stays.  An empty table
-    gives no rows; repeated ids are kept as rows of their group; extra columns
-    are ignored, whatever their names.
+    empty.  Of equal texts the row with the largest id stays; rows that repeat that id stay with it.  Null ids
+    come last: such a row stays only in a group of nothing else, whose keep_id is null, and there one does.  kept is never
+    null.  Ids must be integers.  An empty table gives no rows; extra columns are ignored, whatever their names.
     """
+    integer_ids(docs, id_col)
     text = ascii_lower(F.coalesce(F.col(text_col), F.lit("")))
-    digests = materialize(docs.select(F.col(id_col).cast("long").alias("id"), F.sha2(text.cast("binary"), 256).alias("digest")))
-    done = settle(digests, [F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")], capacity=capacity)
-    return done.select(F.col("id").alias(id_col), "digest", "keep_id", "group_size", (F.col("id") == F.col("keep_id")).alias("kept"))
+    digests = materialize(docs.select(F.col(id_col).cast("long").alias("id"), F.sha2(text.cast("binary"), 256).alias("digest"), F.when(F.col(id_col).isNull(), F.monotonically_increasing_id()).alias("bare")))
+    done = settle(digests, [F.max("id").alias("keep_id"), F.min("bare").alias("stays"), F.count(F.lit(1)).alias("group_size")], capacity=capacity)
+    kept = F.when(F.col("keep_id").isNull(), F.col("bare") == F.col("stays")).otherwise(F.col("id").eqNullSafe(F.col("keep_id")))
+    return done.select(F.col("id").alias(id_col), "digest", "keep_id", "group_size", kept.alias("kept"))

@@ -464,7 +464,7 @@ def ngram_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     distinct shingles; component_id is the smallest id a document reaches by
     links.  Texts of fewer than width words have one shingle, the whole
     sequence; null, empty and blank texts have none and link with nothing.
-    Rows with equal or null ids are documents of their own, null being the greatest id; equal texts (ties, repeated
+    Ids must be integers.  Rows with equal or null ids are documents of their own, null being the greatest id; equal texts (ties, repeated
     rows) are linked.  An empty table gives no rows; extra columns are ignored, whatever their names.
     """
     numbered, moved = placed(docs, id_col, text_col)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from .common import materialize
+from .common import integer_ids, materialize
 
 PIECE = "struct<doc_id:bigint,piece:int,start:bigint,length:bigint,ids_crc32:bigint{ids}>"
 ROW = "tag bigint, used int, pieces array<{piece}>"
@@ -128,11 +128,12 @@ def pack(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: s
 
     pieces is an array of (doc_id, piece, start, length, ids_crc32[, ids]) in
     the order of their places; offsets are gapless from 0.  Every document
-    ends with end_id, so null and empty texts are one token.  Repeated rows
+    ends with end_id, so null and empty texts are one token.  Ids must be integers; null ids are carried along.  Repeated rows
     are packed each; an empty table gives none; extra columns are ignored.
     keep_ids=False leaves the token ids out and keeps only their checksum.
     Memory of a task: open_bins part-filled sequences and one batch.
     """
+    integer_ids(docs, id_col)
     shape = PIECE.format(ids=",ids:array<int>" if keep_ids else "")
     schema = ROW.format(piece=shape)
     fields = [("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())] + [("ids", pa.list_(pa.int32()))] * keep_ids

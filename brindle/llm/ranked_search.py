@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import discard, materialize, text_runs
+from .common import discard, integer_ids, materialize, text_runs
 
 #: a term is a run of ASCII letters and digits and of everything beyond ASCII; A-Z are lower-cased and all other ASCII is a blank
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -176,6 +176,7 @@ def ranked_search(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id",
     answered by itself, so a repeated item has its ranks twice.  Null, empty and blank texts have no terms: such documents count nowhere, such
     items get no rows, nor do any where a table is empty.  Extra columns are ignored.  Item ids may be of any type.
     """
+    integer_ids(docs, id_col)
     kind = items.schema[item_col].dataType.simpleString()
     answers = [_search(docs, ids, words, kind, id_col=id_col, text_col=text_col, top=top, once=once, block_docs=block_docs, parts=parts) for ids, words in _blocks(items, item_col, item_text_col, block_chars)]
     return reduce(DataFrame.unionByName, answers) if answers else docs.sparkSession.createDataFrame([], f"item_id {kind}, rank int, doc_id bigint, score bigint")

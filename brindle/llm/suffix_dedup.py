@@ -353,7 +353,7 @@ def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
 
     Null counts as empty; texts under span bytes lose nothing.  Copies within one document count.
     Of rows with one id each counts as a document: they stand behind one another by a hash of
-    their texts, so one copy of a repeated row stays; null ids come last.  An empty table gives no rows; extra columns are ignored.
+    their texts, so one copy of a repeated row stays; null ids come last.  Ids must be integers.  An empty table gives no rows; extra columns are ignored.
     """
     numbered, moved = placed(docs, id_col, text_col)
     source = numbered.select("doc", "text")
