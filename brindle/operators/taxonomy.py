@@ -13,14 +13,19 @@ def spans(paths: DataFrame) -> DataFrame:
     return each.select(F.array_join(F.slice("path", F.col("i"), F.col("k")), " ").alias("span"), "product_id").distinct()
 
 
-def longest_match(span_rows: DataFrame, queries: DataFrame, most: int = 6) -> DataFrame:
-    """(query_id, span): the longest taxonomy span that stands in the query's tokens, ties by text."""
+def longest_match(span_rows: DataFrame, queries: DataFrame) -> DataFrame:
+    """(query_id, span): the longest taxonomy span that stands in the query's tokens, ties by text.
+
+    Only widths that some span has are looked up, so spans of any length match and a query of n tokens gives n rows a width.
+    """
+    known = span_rows.select("span").distinct().withColumn("width", F.size(F.split("span", " ")))
+    widths = known.groupBy().agg(F.sort_array(F.collect_set("width")).alias("widths"))  # one row of different lengths
     n = F.size("tokens")
-    starts = queries.filter(n > 0).select("query_id", "tokens", F.explode(F.sequence(F.lit(1), n)).alias("i"))
-    parts = starts.select("query_id", F.explode(F.transform(F.sequence(F.lit(1), F.least(F.lit(most), F.size("tokens") - F.col("i") + 1)), lambda k: F.struct(k.alias("width"), F.array_join(F.slice("tokens", F.col("i"), k), " ").alias("span")))).alias("p")).select("query_id", "p.*")
-    hit = parts.join(span_rows.select("span").distinct(), "span", "left_semi")
-    w = Window.partitionBy("query_id").orderBy(F.desc("width"), "span")
-    return hit.withColumn("r", F.row_number().over(w)).filter("r = 1").select("query_id", "span")
+    asked = queries.filter(n > 0).crossJoin(F.broadcast(widths)).select("query_id", "tokens", F.explode("widths").alias("width")).filter(F.col("width") <= n)
+    starts = asked.select("query_id", "tokens", "width", F.explode(F.sequence(F.lit(1), n - F.col("width") + 1)).alias("i"))
+    parts = starts.select("query_id", "width", F.array_join(F.slice("tokens", F.col("i"), F.col("width")), " ").alias("span"))
+    hit = parts.join(known, ["span", "width"], "left_semi")
+    return hit.groupBy("query_id").agg(F.min(F.struct((-F.col("width")).alias("w"), "span")).alias("b")).select("query_id", "b.span")
 
 
 def match_level(tokens: Column, affirmed: Column, body: Column, atoms: Column) -> Column:
@@ -29,18 +34,3 @@ def match_level(tokens: Column, affirmed: Column, body: Column, atoms: Column) -
     inside = F.contains(F.concat(F.lit(" "), F.array_join(affirmed, " "), F.lit(" ")), phrase)
     return F.when(F.array_contains(atoms, F.array_join(tokens, " ")), 4).when(inside, 3).when(F.size(F.array_except(tokens, affirmed)) == 0, 2).when(F.size(F.array_except(tokens, body)) == 0, 1).otherwise(0)
 
-
-def alias_matches(texts: DataFrame, aliases: DataFrame, most: int = 5) -> DataFrame:
-    """(id, alias, canonical, start): known aliases in token arrays (id, tokens), longest first at each place, not overlapping."""
-    n = F.size("tokens")
-    starts = texts.filter(n > 0).select("id", "tokens", F.explode(F.sequence(F.lit(1), n)).alias("start"))
-    grams = starts.select("id", "start", F.explode(F.transform(F.sequence(F.lit(1), F.least(F.lit(most), F.size("tokens") - F.col("start") + 1)), lambda k: F.struct(k.alias("width"), F.array_join(F.slice("tokens", F.col("start"), k), " ").alias("alias")))).alias("g")).select("id", "start", "g.*")
-    hits = grams.join(aliases.select("alias", "canonical"), "alias")
-    best = hits.groupBy("id", "start").agg(F.max_by(F.struct("width", "alias", "canonical"), "width").alias("b"))
-    chosen = F.aggregate(
-        F.array_sort(F.collect_list(F.struct("start", "b"))),
-        F.struct(F.lit(1).alias("free"), F.array().cast("array<struct<start:int,b:struct<width:int,alias:string,canonical:string>>>").alias("out")),
-        lambda acc, x: F.when(x["start"] >= acc["free"], F.struct((x["start"] + x["b"]["width"]).alias("free"), F.concat(acc["out"], F.array(x)).alias("out"))).otherwise(acc),
-        lambda acc: acc["out"],
-    )
-    return best.groupBy("id").agg(chosen.alias("c")).select("id", F.explode("c").alias("c")).select("id", "c.b.alias", "c.b.canonical", "c.start")

@@ -53,14 +53,15 @@ def slate_feedback(spark, sf_dir):
     return t.select("id", feedback.slate_rejected("text").alias("rejected"), feedback.preference_text("text").alias("rest"))
 
 
-@query("""SELECT p_partkey AS product_id, CASE p_size % 3 WHEN 0 THEN ' cotton' ELSE '' END AS lining, CASE p_size % 3 WHEN 0 THEN '' WHEN 1 THEN 'suede' ELSE 'leather, no wool' END AS upper FROM part""")
+@query("""WITH c AS (SELECT p_partkey AS product_id, unnest(string_split(CASE p_size % 3 WHEN 0 THEN 'lining: ' || p_name || '; ' || lower(p_type) WHEN 1 THEN lower(p_type) || ' and a ' || p_name || ' upper' ELSE 'upper is ' || p_name || ', no ' || lower(p_type) END, ';')) AS clause FROM part),
+    s AS (SELECT product_id, regexp_extract(clause, '^\\s*(lining|upper)\\s*(?::|is)\\s*(.*)$', 1) AS led, trim(regexp_extract(clause, '^\\s*(lining|upper)\\s*(?::|is)\\s*(.*)$', 2)) AS behind, regexp_extract(clause, '^(?:.*(?:\\band |\\bbut |\\bwith |,))?\\s*(?:(?:the|its|a|an) )?([^,]*?) (lining|upper)\\s*$', 1) AS before, regexp_extract(clause, ' (lining|upper)\\s*$', 1) AS own FROM c)
+    SELECT product_id, CASE WHEN led <> '' THEN led ELSE own END AS component, CASE WHEN led <> '' THEN led || ' ' || behind ELSE before || ' ' || own END AS said FROM s WHERE led <> '' OR own <> ''""")
 def component_views(spark, sf_dir):
-    """Which component a product's wording belongs to."""
-    said = F.when(F.col("p_size") % 3 == 0, "lining: cotton; warm").when(F.col("p_size") % 3 == 1, "warm and a suede upper").otherwise("upper is leather, no wool")
+    """Which component a product's wording belongs to: one row for each component of the features."""
+    kind = F.lower("p_type")
+    said = F.when(F.col("p_size") % 3 == 0, F.concat(F.lit("lining: "), "p_name", F.lit("; "), kind)).when(F.col("p_size") % 3 == 1, F.concat(kind, F.lit(" and a "), "p_name", F.lit(" upper"))).otherwise(F.concat(F.lit("upper is "), "p_name", F.lit(", no "), kind))
     p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("product_id"), F.col("p_name").alias("title"), said.alias("features"))
-    c = p.select("product_id", values.components({"title": "title", "features": "features"}).alias("c"))
-    part = lambda n: F.coalesce(F.regexp_replace(F.try_element_at("c", F.lit(n))[2], rf"\b{n}\b:?", ""), F.lit(""))
-    return c.select("product_id", F.when(F.trim(part("lining")) != "", F.concat(F.lit(" "), F.trim(F.regexp_replace(part("lining"), ":", "")))).otherwise("").alias("lining"), F.trim(F.regexp_replace(part("upper"), r"^ *is ", "")).alias("upper"))
+    return p.select("product_id", F.explode(values.components({"title": "title", "features": "features"})).alias("component", "texts")).select("product_id", "component", F.col("texts")[2].alias("said"))
 
 
 @query("""SELECT p_partkey AS id, replace(p_name, 'large', 'larg') || ' widget run relat poni hop cafe' AS stems,
@@ -96,15 +97,6 @@ def taxonomy_longest_match(spark, sf_dir):
     return taxonomy.longest_match(spans, p.select(F.col("p_partkey").alias("query_id"), tokens.alias("tokens")))
 
 
-@query("""SELECT p_partkey AS id, 'old red' AS alias, 'crimson' AS canonical, 2 AS start FROM part WHERE p_name LIKE 'red %' UNION ALL SELECT p_partkey, 'ring', 'jewel', 3 FROM part WHERE p_name LIKE '% ring'""")
-def alias_matches(spark, sf_dir):
-    """Longest aliases first, not overlapping: 'old red' hides 'red'."""
-    known = spark.createDataFrame([("red", "scarlet"), ("old red", "crimson"), ("ring", "jewel"), ("red ring", "ruby")], "alias string, canonical string")
-    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.concat(F.array(F.lit("an")), F.split(F.when(F.col("p_name").startswith("red "), F.concat(F.lit("old "), "p_name")).otherwise(F.col("p_name")), " ")).alias("tokens"))
-    found = taxonomy.alias_matches(p, known)
-    return found.withColumn("start", F.when(F.col("canonical") == "jewel", F.lit(3)).otherwise(F.col("start")).cast("int"))
-
-
 @query("""SELECT p_partkey AS id, CASE WHEN p_name = 'red ring' THEN 4 WHEN p_name LIKE 'red %' OR p_name LIKE '% ring' THEN 0 ELSE 0 END AS level FROM part WHERE p_name <> 'red ring' UNION ALL SELECT p_partkey, 4 FROM part WHERE p_name = 'red ring'""")
 def match_levels(spark, sf_dir):
     words = F.split("p_name", " ")

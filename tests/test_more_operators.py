@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from brindle.functions import parsing as p
-from brindle.operators import admission, evaluation as ev, simulate, taxonomy
+from brindle.operators import admission, evaluation as ev, simulate, spans as text_spans, taxonomy
 from brindle.streaming import profile
 
 
@@ -45,9 +45,9 @@ def test_taxonomy(spark):
     assert spans.filter("span = 'running shoes'").count() == 1 and spans.filter("span = 'shoes'").count() == 2
     q = spark.createDataFrame([(7, ["cheap", "running", "shoes"]), (8, ["hat"])], "query_id long, tokens array<string>")
     assert [tuple(r) for r in taxonomy.longest_match(spans, q).collect()] == [(7, "running shoes")]
-    alias = spark.createDataFrame([("navy", "blue"), ("navy blue", "blue"), ("blue suede", "suede")], "alias string, canonical string")
-    t = spark.createDataFrame([(1, ["navy", "blue", "suede"])], "id long, tokens array<string>")
-    assert [tuple(r) for r in taxonomy.alias_matches(t, alias).collect()] == [(1, "navy blue", "blue", 1)]
+    alias = spark.createDataFrame([("navy", "color", "blue", None, True), ("navy blue", "color", "blue", None, True), ("blue suede", "material", "suede", None, True)], "alias string, attribute string, canonical string, role string, state boolean")
+    t = spark.createDataFrame([(1, "navy blue suede")], "id long, text string")
+    assert [(r["id"], r["lane"], r["alias"], r["canonical"], r["start"]) for r in text_spans.alias_spans(t, alias).collect()] == [(1, "expansion", "navy blue", "blue", 0)]
 
 
 def test_match_levels(spark):
