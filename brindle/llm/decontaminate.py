@@ -22,7 +22,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from .common import ASCII_LOWER, ascii_lower, fresh, integer_ids, materialize
+from .common import ASCII_LOWER, ascii_lower, fresh, integer_ids, materialize, tidied
 
 #: a word is a run of ASCII letters and digits and of everything beyond ASCII
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -170,7 +170,7 @@ def _found(source: DataFrame, held, window: int, shard_words: int, only_hit: boo
             ids = part.column(0).take(pa.array([r[0] for r in rows], pa.int64()))
             yield pa.RecordBatch.from_arrays([ids, pa.array([r[1] for r in rows], pa.int64()), pa.array([list(r[2]) for r in rows], pa.list_(pa.int32())), pa.array([[dict(zip(("item_id", "doc_word", "item_word", "n_words"), m)) for m in r[3]] for r in rows], _KIND)], [first.name, "n_words", "hits", "matches"])
 
-    return source.mapInArrow(run, f"`{first.name}` {first.dataType.simpleString()}, n_words bigint, hits array<int>, matches {MATCHES}")
+    return source.mapInArrow(tidied(run), f"`{first.name}` {first.dataType.simpleString()}, n_words bigint, hits array<int>, matches {MATCHES}")
 
 
 def _by_blocks(numbered: DataFrame, blocks: _Blocks, window: int, shard_words: int) -> DataFrame:
@@ -223,4 +223,4 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, *, text_col: str
             clean = [not spans for _, _, _, spans in _scan(range(part.num_rows), part.column(where).to_pylist(), index)]
             yield part.filter(pa.array(clean, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidied(run), docs.schema)

@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import discard, materialize, mix64, placed
+from .common import discard, materialize, mix64, placed, tidied
 from .components import connected_components
 from .exact_dedup import settle
 
@@ -125,7 +125,7 @@ def common_shingles(docs: DataFrame, id_col: str, text_col: str, *, width: int,
         if held:
             yield block()
 
-    counts = materialize(docs.select(F.col(text_col)).mapInArrow(count, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n")).filter("n >= 8"))
+    counts = materialize(docs.select(F.col(text_col)).mapInArrow(tidied(count), "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n")).filter("n >= 8"))
     steps = {r["k"]: r["c"] for r in counts.groupBy(F.floor(F.log2("n")).alias("k")).agg(F.count(F.lit(1)).alias("c")).collect()}
     total, floor = 0, None
     for k in sorted(steps, reverse=True):
@@ -198,7 +198,7 @@ def describe(docs: DataFrame, common: np.ndarray, *, id_col: str, text_col: str,
                         prefixes.append(None)
                 yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(digest), pa.array(gids, pa.int64()), pa.array(bits, pa.binary()), pa.array(prefixes, pa.list_(pa.int64()))], ["id", "n", "digest", "gid", "bits", "prefix"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    return docs.select(id_col, text_col).mapInArrow(tidied(run), schema)
 
 
 def _runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[np.ndarray]]:
@@ -304,7 +304,7 @@ def group_lists(postings: DataFrame, percent: int, most: int = 1_000_000) -> Dat
             if out_l:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_l), pa.int64()), pa.array(np.concatenate(out_g), pa.int64())], ["lid", "gid"])
 
-    return postings.repartition("token").sortWithinPartitions("token", "gid").mapInArrow(run, "lid bigint, gid bigint").distinct()
+    return postings.repartition("token").sortWithinPartitions("token", "gid").mapInArrow(tidied(run), "lid bigint, gid bigint").distinct()
 
 
 def best_forest(likeness: np.ndarray) -> list[tuple[int, int]]:
@@ -374,7 +374,7 @@ def member_pairs(members: DataFrame, percent: int, every: bool) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], ["a", "b"])
 
     dealt = members.select("lid", "x", "y", "blk", "id", "n", "bits", "component").repartition("lid", "x", "y").sortWithinPartitions("lid", "x", "y")
-    return dealt.mapInArrow(run, "a bigint, b bigint").distinct()
+    return dealt.mapInArrow(tidied(run), "a bigint, b bigint").distinct()
 
 
 def _dealt(members: DataFrame, blk: Column, other: Column) -> DataFrame:
@@ -452,7 +452,7 @@ def verify(pairs: DataFrame, docs: DataFrame, *, id_col: str, text_col: str, wid
 
     texts = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("t"))
     rows = texts.join(near(wanted), F.col("__id") == F.col("id")).select("hub", "part", "id", "tag", "t")
-    found = materialize(rows.repartition("hub", "part").sortWithinPartitions("hub", "part", "tag").mapInArrow(run, "a bigint, b bigint"))
+    found = materialize(rows.repartition("hub", "part").sortWithinPartitions("hub", "part", "tag").mapInArrow(tidied(run), "a bigint, b bigint"))
     discard(turned)
     return found
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from .common import integer_ids, materialize
+from .common import integer_ids, materialize, tidied
 
 PIECE = "struct<doc_id:bigint,piece:int,start:bigint,length:bigint,ids_crc32:bigint{ids}>"
 ROW = "tag bigint, used int, pieces array<{piece}>"
@@ -162,7 +162,7 @@ def pack(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: s
 
         return run
 
-    rows = materialize(docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(first_level, schema))
+    rows = materialize(docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(tidied(first_level), schema))
     done, parts, level = rows.filter("tag >= 0"), docs.rdd.getNumPartitions(), 0
     left = rows.filter("tag < 0")
     while parts > 1:

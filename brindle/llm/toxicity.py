@@ -25,6 +25,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from .common import tidied
+
 TOKEN = re.compile(r"[^\W\d_]+")
 CACHE_WORDS = 400_000
 FLOOR = 1e-4
@@ -268,7 +270,7 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([d for d, _, _ in done], pa.binary()), pa.array([w for _, w, _ in done], pa.list_(pa.string())), pa.array([ids.tobytes() for _, _, ids in done], pa.binary())], ["i", "y", "digest", "words", "ids"])
 
     id_type = joined.schema["i"].dataType.simpleString()
-    rows = joined.select("i", "t", "y").mapInArrow(run, f"i {id_type}, y int, digest binary, words array<string>, ids binary").toArrow()
+    rows = joined.select("i", "t", "y").mapInArrow(tidied(run), f"i {id_type}, y int, digest binary, words array<string>, ids binary").toArrow()
     rows = rows.sort_by([("i", "ascending"), ("digest", "ascending"), ("y", "ascending")])
     documents = ((r["digest"].as_py(), r["words"].as_py(), np.frombuffer(r["ids"].as_py(), np.int32)) for b in rows.to_batches() for r in _rows_of(b))
     return fit_cut(documents, rows["y"].to_pylist())
@@ -286,13 +288,13 @@ def score_toxicity(docs: DataFrame, field: Field, *, id_col: str = "doc_id", tex
     empty table gives no rows; extra columns are ignored.  Documents are settled where they are read.
     """
     schema, run = _scoring(docs.select(id_col, text_col), field, text_col, keep=None)
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    return docs.select(id_col, text_col).mapInArrow(tidied(run), schema)
 
 
 def drop_toxic(docs: DataFrame, field: Field, *, text_col: str = "text", reject: float = 0.3) -> DataFrame:
     """docs without the rows whose score reaches reject; the rows pass through whole with all their columns, without a join."""
     schema, run = _scoring(docs, field, text_col, keep=reject)
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidied(run), schema)
 
 
 def places_of(text: str) -> list[tuple[int, int]]:
