@@ -174,6 +174,51 @@ def rule_search(rows: DataFrame, grid: list[dict[str, float]], *, folds: int = 5
     return fold.groupBy("setting").agg(F.round(F.sum("r") / F.sum("n"), 9).alias("accuracy"), F.round(F.min(F.col("r") / F.col("n")), 9).alias("worst_fold"))
 
 
+def macro_f1(counts: dict[tuple, int]) -> float:
+    """Mean F1 over the labels of counts by (label, said), 0 for a label that is neither given nor said."""
+    labels = {label for pair in counts for label in pair}
+    scores = []
+    for x in labels:
+        hit = counts.get((x, x), 0)
+        miss = sum(n for (a, b), n in counts.items() if (a == x) != (b == x))
+        scores.append(2 * hit / (2 * hit + miss) if hit else 0.0)
+    return sum(scores) / len(scores) if scores else 0.0
+
+
+def coordinate_search(rows: DataFrame, decide: Callable[[dict[str, Column]], Column], start: dict[str, float], grid: list[float], *, sweeps: int = 8, label: str = "label", fold: str = "fold") -> tuple[dict[str, float], float]:
+    """(settings, cross-validated macro F1): settings improved one after the other over a grid until a sweep changes none, or sweeps are done.
+
+    decide gives the label that settings (columns by name) say of a row.  Each step is one aggregate: all values of the grid at once, counted by
+    fold, label and decision, which is all that macro F1 needs, and so few rows that the driver compares them.  Ties go to the better F1 over all rows, then to the
+    value nearest to the one held, then to the smaller.
+    """
+    held, score = dict(start), 0.0
+    for _ in range(sweeps):
+        before = dict(held)
+        for name in start:
+            tried = rows.withColumn("__value", F.explode(F.array(*[F.lit(float(v)) for v in grid])))
+            said = decide({n: F.col("__value") if n == name else F.lit(float(v)) for n, v in held.items()})
+            counts: dict[float, dict] = {}
+            for r in tried.groupBy("__value", fold, label, said.alias("__said")).agg(F.count(F.lit(1)).alias("n")).collect():  # grid x folds x labels^2 rows at most
+                counts.setdefault(r["__value"], {}).setdefault(r[fold], {})[(r[label], r["__said"])] = r["n"]
+
+            def rank(value):
+                folds = counts[value]
+                whole: dict[tuple, int] = {}
+                for c in folds.values():
+                    for k, n in c.items():
+                        whole[k] = whole.get(k, 0) + n
+                return (round(sum(map(macro_f1, folds.values())) / len(folds), 9), round(macro_f1(whole), 9), -abs(value - held[name]), -value)
+
+            if counts:
+                best = max(counts, key=rank)
+                score = rank(best)[0]
+                held[name] = best
+        if held == before:
+            break
+    return held, score
+
+
 def model_comparison(runs: DataFrame, baseline: str) -> DataFrame:
     """(model, score, delta, pairs, assets) of runs (model, score, pairs, assets): each model's mean score against the baseline's, and its largest costs."""
     g = runs.groupBy("model").agg(F.avg("score").alias("score"), F.max("pairs").alias("pairs"), F.max("assets").alias("assets"))
