@@ -12,14 +12,17 @@ from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.text import terms
+from ..functions.text import STOP_WORDS, terms, words
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 
 
 def postings(docs: DataFrame, id_col: str, fields: Mapping[str, Column | str], tokenizer=terms) -> DataFrame:
     """(doc_id, field, token, tf).  Queries over the same documents can share what write_postings keeps."""
-    parts = [docs.select(F.col(id_col).alias("doc_id"), F.lit(name).alias("field"), F.explode(tokenizer(col)).alias("token")) for name, col in fields.items()]
+    plain = tokenizer is terms  # its stop words are dropped behind the explode, in generated code
+    parts = [docs.select(F.col(id_col).alias("doc_id"), F.lit(name).alias("field"), F.explode(words(col) if plain else tokenizer(col)).alias("token")) for name, col in fields.items()]
+    if plain:
+        parts = [p.filter(~F.col("token").isin(*STOP_WORDS)) for p in parts]
     every = parts[0]
     for p in parts[1:]:
         every = every.unionByName(p)
@@ -28,8 +31,13 @@ def postings(docs: DataFrame, id_col: str, fields: Mapping[str, Column | str], t
 
 def write_postings(post: DataFrame, path: str) -> DataFrame:
     """Postings written once, sorted by token, for all routes that read them."""
-    post.sortWithinPartitions("token").write.parquet(path)
-    return post.sparkSession.read.schema(post.schema).parquet(path)
+    return write_once(post.sortWithinPartitions("token"), path)
+
+
+def write_once(rows: DataFrame, path: str) -> DataFrame:
+    """Rows in a shared folder, for several routes to read: what made them, such as cutting texts into tokens, is done once."""
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
 def doc_lengths(post: DataFrame) -> DataFrame:
@@ -79,16 +87,18 @@ def bm25(post: DataFrame, queries: DataFrame, *, weights: Mapping[str, float] |
     return out if k is None else top_k(out, k)
 
 
-def phrase_route(docs: DataFrame, queries: DataFrame, k: int | None = 180) -> DataFrame:
+def phrase_route(docs: DataFrame, queries: DataFrame, k: int | None = 180, *, broadcast_rows: int = 200_000) -> DataFrame:
     """Documents (doc_id, tokens) that contain a query's phrase (query_id, phrase) in order, by BM25 of the phrase as one term.
 
     Candidates come from an equi-join on the phrase's rarest token, so only
-    documents with that token are searched.
+    documents with that token are searched.  Only tokens of phrases leave the documents: those are broadcast up to broadcast_rows of them.
     """
-    tokens = docs.select("doc_id", F.explode(F.array_distinct("tokens")).alias("token"))
+    asked = queries.filter(F.size("phrase") > 0).select("query_id", "phrase", F.explode("phrase").alias("token"))
+    near = F.broadcast if asked.count() <= broadcast_rows else (lambda df: df)
+    tokens = docs.select("doc_id", F.explode(F.array_distinct("tokens")).alias("token")).join(near(asked.select("token").distinct()), "token", "left_semi")
     df = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    rare = queries.filter(F.size("phrase") > 0).select("query_id", "phrase", F.explode("phrase").alias("token")).join(df, "token").groupBy("query_id", "phrase").agg(F.min_by("token", F.struct("df", "token")).alias("token"))
-    maybe = rare.join(tokens, "token").join(docs, "doc_id")
+    rare = asked.join(df, "token").groupBy("query_id", "phrase").agg(F.min_by("token", F.struct("df", "token")).alias("token"))
+    maybe = tokens.join(near(rare), "token").join(docs, "doc_id")
     needle, hay = F.concat(F.lit(" "), F.array_join("phrase", " "), F.lit(" ")), F.concat(F.lit(" "), F.array_join("tokens", " "), F.lit(" "))
     found = maybe.select("query_id", "doc_id", F.size("tokens").alias("n"), (F.size(F.split(F.replace(hay, needle, F.concat(needle, F.lit("\0"))), "\0")) - 1).alias("tf")).filter("tf > 0")
     counts = found.groupBy("query_id").agg(F.count(F.lit(1)).alias("df"))

@@ -53,11 +53,14 @@ def affordable(limit: int, budget: Column, elapsed: Column, cost: Column) -> Col
 
 
 def running_cost(measured: DataFrame) -> DataFrame:
-    """Rows (session_id, turn, seconds, candidates) with cost: the running mean that halves the weight of all that is older."""
-    w = Window.partitionBy("session_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
+    """Rows (session_id, turn, seconds, candidates) with cost: the running mean that halves the weight of all that is older.
+
+    64 rows decide it: what is older weighs less than the last bit of a double.
+    """
+    w = Window.partitionBy("session_id").orderBy("turn").rowsBetween(-63, 0)
     each = F.col("seconds") / F.col("candidates")
     rows = measured.filter("candidates >= 1 AND seconds >= 0").withColumn("__all", F.collect_list(each).over(w))
-    return rows.withColumn("cost", F.aggregate(F.slice("__all", 2, 1 << 20), F.col("__all")[0], lambda a, x: (a + x) / 2)).drop("__all")
+    return rows.withColumn("cost", F.aggregate(F.slice("__all", 2, 63), F.col("__all")[0], lambda a, x: (a + x) / 2)).drop("__all")
 
 
 def frontier(ranked: DataFrame, scored: DataFrame, step: int) -> DataFrame:

@@ -4,6 +4,7 @@ from pyspark.sql import Window, functions as F
 
 from ..functions.text import FACETS, terms
 from ..operators import evaluation as ev, packs, vocabulary as voc
+from ..sources import catalog as sources
 from .registry import CATALOG, OUTCOMES, catalog, outcomes, query, table, terms_sql
 
 METRICS = """count(*) AS sessions, round(avg(hit::INT), 6) AS hit_rate, round(avg(reciprocal_rank), 6) AS mrr, round(avg(coalesce(first_hit_turn, 11)), 6) AS mean_turns,
@@ -278,7 +279,10 @@ def product_contrasts(spark, sf_dir):
     return voc.contrasts(n, titles.select("doc_id", F.lit("term").alias("attribute"), F.explode("tokens").alias("value")))
 
 
-@query("SELECT p_brand AS store, sha256(string_agg(p_partkey || ':' || p_name, chr(10) ORDER BY p_partkey)) AS fingerprint, count(*) AS n FROM part GROUP BY 1")
+@query("""WITH r AS (SELECT p_brand AS store, sha256('{"p_name":"' || p_name || '","p_partkey":' || p_partkey || '}') AS h FROM part),
+    l AS (SELECT store, i, sum(('0x' || substr(h, 1 + 15 * i, 15))::HUGEINT) AS s FROM r, (SELECT unnest([0, 1, 2, 3]) AS i) GROUP BY 1, 2), n AS (SELECT store, count(*) AS n FROM r GROUP BY 1)
+    SELECT store, sha256(string_agg(s, ',' ORDER BY i) || ',' || any_value(n)) AS fingerprint, any_value(n) AS n FROM l JOIN n USING (store) GROUP BY 1""")
 def catalog_fingerprint(spark, sf_dir):
-    rows = table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("store")).agg(F.array_sort(F.collect_list(F.struct("p_partkey", "p_name"))).alias("r"), F.count(F.lit(1)).alias("n"))
-    return rows.select("store", F.sha2(F.array_join(F.transform("r", lambda x: F.concat_ws(":", x["p_partkey"], x["p_name"])), "\n").cast("binary"), 256).alias("fingerprint"), "n")
+    """A digest of each store's rows, whatever their order."""
+    rows = table(spark, sf_dir, "part").select(F.col("p_brand").alias("store"), "p_partkey", "p_name")
+    return sources.fingerprints(rows, "store")

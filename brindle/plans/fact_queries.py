@@ -4,8 +4,7 @@ from pyspark.sql import functions as F
 
 from ..operators import facts
 from ..streaming import transactions, windows
-from .registry import query, table
-from .session_queries import _shared
+from .registry import _shared, query, table
 
 VALUES = {"material": "of is de von", "color": "and der und la", "style": "was that en es", "feature": "it this are den", "other": "for on les los", "category": "be with que an"}
 CUES = facts.Cues(denial=("in", "die", "le"), neutral=("as", "by", "er"), relaxed=("at", "re", "ed"), quantities=("the", "ha", "th", "of"), additive=("to", "des"), replacement=("a", "un", "zu"))

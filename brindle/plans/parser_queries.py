@@ -6,8 +6,7 @@ from ..functions import feedback, parsing, values
 from ..functions.text import asserted_category, typed_terms
 from ..operators import admission, taxonomy, vocabulary
 from ..sources import catalog as sources
-from .registry import CATALOG, catalog, query, table
-from .session_queries import _shared
+from .registry import CATALOG, _shared, catalog, query, table
 
 #: texts beside what the parsers must find in them
 BUDGETS = [

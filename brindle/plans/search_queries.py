@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from ..functions.text import affirmed, facet, has_sequence, query_terms, terms
 from ..operators import fusion, retrieval as r
 from ..operators.vocabulary import suffix_paths
-from .registry import BM25_SCORE, CATALOG, DOC_CTES, FACETS, catalog, facet_sql, query, table, terms_sql
+from .registry import _shared, BM25_SCORE, CATALOG, DOC_CTES, FACETS, catalog, facet_sql, query, table, terms_sql
 
 
 def _docs(spark, sf_dir):
@@ -47,12 +47,14 @@ def bm25_or_topk(spark, sf_dir):
 
 @query(f"WITH {DOC_CTES}, {PHRASES} SELECT query_id, doc_id, score, rank FROM pbr WHERE rank <= 180")
 def phrase_search(spark, sf_dir):
-    return r.phrase_route(_tokens(spark, sf_dir), _phrases(spark, sf_dir))
+    return r.phrase_route(r.write_once(_tokens(spark, sf_dir), _shared(spark)), _phrases(spark, sf_dir))
 
 
 def _two_routes(spark, sf_dir):
-    broad = r.bm25(_docs(spark, sf_dir), _queries(spark, sf_dir), k=350).withColumn("route", F.lit("broad"))
-    phrase = r.phrase_route(_tokens(spark, sf_dir), _phrases(spark, sf_dir)).withColumn("route", F.lit("phrase"))
+    tokens = r.write_once(_tokens(spark, sf_dir), _shared(spark))  # both routes read them several times
+    post = r.postings(tokens, "doc_id", {"text": "tokens"}, tokenizer=F.col)
+    broad = r.bm25(post, _queries(spark, sf_dir), k=350).withColumn("route", F.lit("broad"))
+    phrase = r.phrase_route(tokens, _phrases(spark, sf_dir)).withColumn("route", F.lit("phrase"))
     return broad.unionByName(phrase).withColumn("weight", F.lit(1.0)).select("query_id", "doc_id", "route", "rank", "weight")
 
 

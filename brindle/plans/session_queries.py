@@ -1,22 +1,10 @@
 """Dialogue, streaming, lexical search and training queries."""
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..operators import fusion, learning, lexical, retrieval as r
 from ..streaming import ledger, windows
-from .registry import CATALOG, catalog, query, table
-
-
-def _shared(spark) -> str:
-    """A new folder that driver and executors share; a temporary one only in local sessions."""
-    import tempfile
-
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not named and not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-    return f"{(named or tempfile.mkdtemp(prefix='brindle-')).rstrip('/')}/brindle-{uuid.uuid4().hex}"
+from .registry import CATALOG, _shared, catalog, query, table
 
 
 @query("SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
