@@ -174,7 +174,7 @@ def rule_search(rows: DataFrame, grid: list[dict[str, float]], *, folds: int = 5
     return fold.groupBy("setting").agg(F.round(F.sum("r") / F.sum("n"), 9).alias("accuracy"), F.round(F.min(F.col("r") / F.col("n")), 9).alias("worst_fold"))
 
 
-def macro_f1(counts: dict[tuple, int]) -> float:
+def f1_of_counts(counts: dict[tuple, int]) -> float:
     """Mean F1 over the labels of counts by (label, said), 0 for a label that is neither given nor said."""
     labels = {label for pair in counts for label in pair}
     scores = []
@@ -208,7 +208,7 @@ def coordinate_search(rows: DataFrame, decide: Callable[[dict[str, Column]], Col
                 for c in folds.values():
                     for k, n in c.items():
                         whole[k] = whole.get(k, 0) + n
-                return (round(sum(map(macro_f1, folds.values())) / len(folds), 9), round(macro_f1(whole), 9), -abs(value - held[name]), -value)
+                return (round(sum(map(f1_of_counts, folds.values())) / len(folds), 9), round(f1_of_counts(whole), 9), -abs(value - held[name]), -value)
 
             if counts:
                 best = max(counts, key=rank)

@@ -127,7 +127,7 @@ def test_coordinate_search(spark):
         for _, label, x, y in some:
             k = (label, int(s["a"] * x + s["b"] * y > s["t"]))
             counts[k] = counts.get(k, 0) + 1
-        return ev.macro_f1(counts)
+        return ev.f1_of_counts(counts)
 
     def rank(s, name, v, own):
         t = {**s, name: v}
@@ -141,5 +141,5 @@ def test_coordinate_search(spark):
         if want == before:
             break
     assert held == want and score > 0.8
-    assert ev.macro_f1({(0, 0): 2, (1, 1): 2}) == 1.0 and ev.macro_f1({}) == 0.0 and not math.isnan(ev.macro_f1({(0, 1): 3}))
+    assert ev.f1_of_counts({(0, 0): 2, (1, 1): 2}) == 1.0 and ev.f1_of_counts({}) == 0.0 and not math.isnan(ev.f1_of_counts({(0, 1): 3}))
     assert list(itertools.islice(held, 3)) == ["a", "b", "t"]
