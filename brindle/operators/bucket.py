@@ -96,22 +96,31 @@ def branches_of(text: Column) -> Column:
     return F.filter(F.transform(F.split(text, r"(?i)\s+or\s+"), one), lambda b: F.size(b["words"]) > 0)
 
 
-def _local(f: Column, owner: Column) -> Column:
-    """A field cut to the words of one component: from it up to the next one, or what stands before it at the end."""
-    words = f["words"]
-    n, p = F.size(words), F.array_position(words, owner).cast("int")
-    behind = F.slice(words, p + 1, F.greatest(n - p, F.lit(0)))
-    ahead = F.slice(words, 1, F.greatest(p - 1, F.lit(0)))
-    stop = F.array_position(F.transform(behind, lambda w: F.array_contains(_among(OWNERS), w)), F.lit(True)).cast("int")
-    start = F.array_position(F.reverse(F.transform(ahead, lambda w: F.array_contains(_among(OWNERS), w))), F.lit(True)).cast("int")
-    suffix = F.slice(words, F.when(start > 0, p - start + 1).otherwise(1), F.when(start > 0, start).otherwise(p))
-    own = F.when(p == n, suffix).otherwise(F.slice(words, p, F.when(stop > 0, stop).otherwise(n - p + 1)))
-    return F.struct(F.array_join(own, " ").alias("text"), own.alias("words"), F.array_intersect(own, f["affirmed"]).alias("affirmed"))
+def _locals(f: Column, owner: Column) -> Column:
+    """A field's words of one component, a struct for every mention of it: from it up to the next component.
+
+    As a field's last word a component also owns the words before it, back to the component before, if it is the first
+    one or a material or colour stands right before it ("lining cotton, leather upper").
+    """
+    words, n = f["words"], F.size(f["words"])
+    at = F.filter(F.transform(words, lambda w, i: F.when(F.array_contains(_among(OWNERS), w), i + 1)), lambda i: i.isNotNull())
+
+    def spans(at):
+        def span(p, k):
+            stop, back = F.coalesce(F.get(at, k + 1), n + 1), F.coalesce(F.get(at, k - 1), F.lit(0))
+            close = (k == 0) | F.array_contains(_among([*MATERIALS, *COLORS]), F.get(words, p - 2))
+            begin = F.when((p == n) & (p > 1) & close, back + 1).otherwise(p)
+            return F.when(F.get(words, p - 1) == owner, F.slice(words, begin, stop - begin))
+
+        return F.filter(F.transform(at, span), lambda own: own.isNotNull())
+
+    every = F.flatten(F.transform(F.array(at), spans))
+    return F.transform(every, lambda own: F.struct(F.array_join(own, " ").alias("text"), own.alias("words"), F.array_intersect(own, f["affirmed"]).alias("affirmed")))
 
 
 def branch_match(fields: Column, price: Column, b: Column) -> Column:
     """struct(level, share, violated): 4 a whole field, 3 the phrase in a field, 2 all words in a field, 1 some words, 0 none; materials or colours other than the wanted violate."""
-    seen = F.when(b["owner"].isNull(), fields).otherwise(F.transform(F.filter(fields, lambda f: F.array_contains(f["words"], b["owner"])), lambda f: _local(f, b["owner"])))
+    seen = F.when(b["owner"].isNull(), fields).otherwise(F.flatten(F.transform(F.filter(fields, lambda f: F.array_contains(f["words"], b["owner"])), lambda f: _locals(f, b["owner"]))))
 
     def judged(seen):
         stated = F.array_distinct(F.flatten(F.transform(seen, lambda f: f["affirmed"])))

@@ -143,3 +143,35 @@ def test_coordinate_search(spark):
     assert held == want and score > 0.8
     assert ev.f1_of_counts({(0, 0): 2, (1, 1): 2}) == 1.0 and ev.f1_of_counts({}) == 0.0 and not math.isnan(ev.f1_of_counts({(0, 1): 3}))
     assert list(itertools.islice(held, 3)) == ["a", "b", "t"]
+
+
+# ---- components in fields
+
+
+def brute_locals(words, owner):
+    from brindle.operators.bucket import COLORS, MATERIALS, OWNERS
+
+    at = [i for i, w in enumerate(words) if w in OWNERS]
+    out = []
+    for k, i in enumerate(at):
+        if words[i] == owner:
+            stop = at[k + 1] if k + 1 < len(at) else len(words)
+            own = words[i:stop]
+            if i == len(words) - 1 and i and (k == 0 or words[i - 1] in MATERIALS + COLORS):
+                own = words[(at[k - 1] + 1 if k else 0) : i] + own
+            out.append(own)
+    return out
+
+
+def test_every_mention_of_a_component(spark):
+    from brindle.operators import bucket
+
+    r = random.Random(6)
+    rows = [[r.choice(["lining", "upper", "sole", "cotton", "red", "warm", "wool"]) for _ in range(r.randint(0, 9))] for _ in range(120)] + [["upper", "leather", "warm", "upper"]]
+    df = spark.createDataFrame([(i, w, w[::2]) for i, w in enumerate(rows)], "id int, words array<string>, affirmed array<string>")
+    field = F.struct(F.array_join("words", " ").alias("text"), F.col("words").alias("words"), F.col("affirmed").alias("affirmed"))
+    got = df.select("id", bucket._locals(field, F.lit("upper")).alias("l")).collect()
+    for g in got:
+        want = brute_locals(rows[g["id"]], "upper")
+        assert [x["words"] for x in g["l"]] == want and [x["text"] for x in g["l"]] == [" ".join(w) for w in want]
+        assert all(set(x["affirmed"]) == set(x["words"]) & set(rows[g["id"]][::2]) for x in g["l"])
