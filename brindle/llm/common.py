@@ -99,20 +99,25 @@ def placed(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, bool
     return out, True
 
 
+def give_back() -> None:
+    """Give freed memory back to the system: a process that lives on must not add up what each piece of work has freed."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
 def tidied(run: Callable) -> Callable:
-    """A function for mapInArrow that gives freed memory back to the system when a task ends: workers live on, and what one task has freed must not add up to what the next one takes."""
+    """A function for mapInArrow that gives freed memory back when a task ends; its worker goes on to the next one."""
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import ctypes
-
         try:
             yield from run(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            try:
-                ctypes.CDLL(None).malloc_trim(0)
-            except (AttributeError, OSError):  # not glibc
-                pass
+            give_back()
 
     return whole
 

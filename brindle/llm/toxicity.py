@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import tidied
+from .common import give_back, tidied
 
 TOKEN = re.compile(r"[^\W\d_]+")
 CACHE_WORDS = 400_000
@@ -273,7 +273,10 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     rows = joined.select("i", "t", "y").mapInArrow(tidied(run), f"i {id_type}, y int, digest binary, words array<string>, ids binary").toArrow()
     rows = rows.sort_by([("i", "ascending"), ("digest", "ascending"), ("y", "ascending")])
     documents = ((r["digest"].as_py(), r["words"].as_py(), np.frombuffer(r["ids"].as_py(), np.int32)) for b in rows.to_batches() for r in _rows_of(b))
-    return fit_cut(documents, rows["y"].to_pylist())
+    field = fit_cut(documents, rows["y"].to_pylist())
+    del rows, documents
+    give_back()
+    return field
 
 
 def _rows_of(batch: pa.RecordBatch) -> Iterator[dict]:
