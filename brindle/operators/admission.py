@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
@@ -20,21 +19,22 @@ def stratified(ranked: DataFrame, n: int, keep: int) -> DataFrame:
 def greedy_cover(ranked: DataFrame, k: int, pool: int = 120) -> DataFrame:
     """(query_id, doc_id, place): repeatedly the candidate that adds most unseen facts, ties by rank; a query's pool of ``pool`` ranks is the operator's definition.
 
-    ranked: (query_id, doc_id, rank, facts array).
+    ranked: (query_id, doc_id, rank, facts array); a document stands once in a query's pool.
     """
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        left = sorted(zip(pdf["rank"], pdf["doc_id"], (set(f) for f in pdf["facts"])), key=lambda x: x[0])
-        seen, out = set(), []
-        while left and len(out) < k:
-            best = max(left, key=lambda x: (len(x[2] - seen), -x[0]))
-            left.remove(best)
-            seen |= best[2]
-            out.append((pdf["query_id"].iloc[0], best[1], len(out) + 1))
-        return pd.DataFrame(out, columns=["query_id", "doc_id", "place"])
-
-    kind = ranked.schema["query_id"].dataType.simpleString()
-    return ranked.filter(F.col("rank") <= pool).select("query_id", "doc_id", "rank", "facts").groupBy("query_id").applyInPandas(run, f"query_id {kind}, doc_id {ranked.schema['doc_id'].dataType.simpleString()}, place int")
+    row = F.struct(F.col("rank").cast("int").alias("rank"), "doc_id", "facts")
+    pools = ranked.filter(F.col("rank") <= pool).groupBy("query_id").agg(F.array_sort(F.collect_list(row)).alias("pool"))  # pool rows at most
+    doc = ranked.schema["doc_id"].dataType.simpleString()
+    none = F.struct(F.array_distinct(F.flatten(F.transform(F.slice("pool", 1, 0), lambda c: c["facts"]))).alias("seen"), F.array().cast(f"array<{doc}>").alias("out"))
+
+    def step(state, _):
+        left = F.filter("pool", lambda c: ~F.array_contains(state["out"], c["doc_id"]))
+        best = F.array_max(F.transform(left, lambda c: F.struct(F.size(F.array_except(c["facts"], state["seen"])).alias("new"), (-c["rank"]).alias("r"), c["doc_id"].alias("doc_id"), c["facts"].alias("facts"))))
+        return F.when(F.size(left) == 0, state).otherwise(F.transform(F.array(best), lambda b: F.struct(F.array_union(state["seen"], b["facts"]).alias("seen"), F.concat(state["out"], F.array(b["doc_id"])).alias("out")))[0])
+
+    chosen = F.aggregate(F.sequence(F.lit(1), F.lit(k)), none, step, lambda state: state["out"])
+    placed = pools.select("query_id", F.posexplode(chosen).alias("place", "doc_id"))
+    return placed.select("query_id", "doc_id", (F.col("place") + 1).alias("place"))
 
 
 def score_break(scored: DataFrame, share: float = 0.70, least: int = 3) -> DataFrame:

@@ -160,6 +160,12 @@ def variant_overlap(ranks: DataFrame, depth: int = 120, top: int = 10) -> DataFr
     return g.select("query_id", (F.col("i") / F.greatest("u", F.lit(1))).alias("jaccard"), (F.col("t") / F.lit(top)).alias("overlap"))
 
 
+def variant_correlation(scores: DataFrame) -> DataFrame:
+    """(query_id, n, pearson) of two scores of the same candidates (query_id, doc_id, a, b): null where a score does not vary or fewer than two candidates have both."""
+    both = scores.filter("a IS NOT NULL AND b IS NOT NULL").groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.corr("a", "b").alias("r"))
+    return both.select("query_id", "n", F.when(~F.isnan("r"), F.col("r")).alias("pearson"))
+
+
 def rule_search(rows: DataFrame, grid: list[dict[str, float]], *, folds: int = 5) -> DataFrame:
     """(setting, accuracy, worst_fold) of every setting of rule weights on rows (group, label 0/1, features): the share of right decisions, and of the worst fold; a score over 0.5 says 1.
 

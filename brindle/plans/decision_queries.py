@@ -2,7 +2,7 @@
 
 from pyspark.sql import Window, functions as F
 
-from ..operators import evaluation as ev, outcomes, render, views
+from ..operators import admission, evaluation as ev, outcomes, render, views
 from .registry import query, table
 
 # ---- questions by what their answers would change
@@ -49,6 +49,18 @@ def question_by_outcome(spark, sf_dir):
     return outcomes.decided(pool, facets, gain=0.2, turn_cost=0.0001).withColumn("value", F.round("value", 9))
 
 
+@query(f"""WITH RECURSIVE {_POOL}, c AS (SELECT query_id, list({{'doc': doc_id, 'rank': rank, 'facts': [adj, noun, kind]}}) AS pool FROM pl GROUP BY 1),
+    cover AS (SELECT query_id, 0 AS place, NULL::BIGINT AS doc_id, []::VARCHAR[] AS seen, []::BIGINT[] AS taken FROM c
+        UNION ALL SELECT query_id, place + 1, b.doc, list_distinct(list_concat(seen, b.facts)), list_append(taken, b.doc) FROM (
+            SELECT cover.*, list_max(list_transform(list_filter(pool, lambda x: NOT list_contains(taken, x.doc)), lambda x: {{'new': len(list_filter(list_distinct(x.facts), lambda y: NOT list_contains(seen, y))), 'r': -x.rank, 'doc': x.doc, 'facts': x.facts}})) AS b FROM cover JOIN c USING (query_id) WHERE place < 8) WHERE b IS NOT NULL)
+    SELECT query_id, doc_id, place FROM cover WHERE place > 0""")
+def covering_candidates(spark, sf_dir):
+    """Of each pool eight products that together show the most different facts, one after the other."""
+    p = table(spark, sf_dir, "part").withColumn("rank", F.row_number().over(Window.partitionBy("p_size").orderBy(F.desc("p_retailprice"), "p_partkey")))
+    facts = F.array(F.element_at(F.split("p_name", " "), 1), F.element_at(F.split("p_name", " "), 2), F.lower("p_type"))
+    return admission.greedy_cover(p.select(F.col("p_size").alias("query_id"), F.col("p_partkey").alias("doc_id"), "rank", facts.alias("facts")), 8, pool=outcomes.MAX_POOL)
+
+
 # ---- rendered documents
 
 

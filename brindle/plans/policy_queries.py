@@ -212,6 +212,14 @@ def metamorphic_overlap(spark, sf_dir):
     return ev.variant_overlap(r, 20, 10).select("query_id", F.round("jaccard", 9).alias("jaccard"), F.round("overlap", 9).alias("overlap"))
 
 
+@query("""WITH g AS (SELECT l_suppkey AS query_id, l_partkey, sum(l_quantity) AS a, sum(l_extendedprice) AS b FROM lineitem GROUP BY 1, 2)
+    SELECT query_id, count(*) AS n, CASE WHEN count(*) > 1 AND var_pop(a) > 0 AND var_pop(b) > 0 THEN round(corr(a, b), 9) END AS pearson FROM g GROUP BY 1""")
+def metamorphic_correlation(spark, sf_dir):
+    """How far two scores of the same candidates go together, for every query."""
+    g = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("query_id"), F.col("l_partkey").alias("doc_id")).agg(F.sum("l_quantity").alias("a"), F.sum("l_extendedprice").alias("b"))
+    return ev.variant_correlation(g).withColumn("pearson", F.round("pearson", 9))
+
+
 @query("""WITH r AS (SELECT o_orderpriority AS run, o_orderkey, o_totalprice AS v FROM orders), s AS (SELECT run, v, row_number() OVER (PARTITION BY run ORDER BY v) - 1 AS i, count(*) OVER (PARTITION BY run) AS n FROM r)
     SELECT run, max(n) AS turns, max(v) FILTER (i = least(n - 1, floor(n * 0.5::DOUBLE))) AS p50, max(v) FILTER (i = least(n - 1, floor(n * 0.95::DOUBLE))) AS p95, max(v) AS most FROM s GROUP BY 1""")
 def suite_rows(spark, sf_dir):
