@@ -175,3 +175,16 @@ def test_every_mention_of_a_component(spark):
         want = brute_locals(rows[g["id"]], "upper")
         assert [x["words"] for x in g["l"]] == want and [x["text"] for x in g["l"]] == [" ".join(w) for w in want]
         assert all(set(x["affirmed"]) == set(x["words"]) & set(rows[g["id"]][::2]) for x in g["l"])
+
+
+def test_variant_correlation(spark):
+    rows = [(1, i, float(i), 3.0 - 2 * i) for i in range(5)] + [(2, 0, 1.0, 1.0), (2, 1, 1.0, 2.0), (3, 0, 1.0, None)]
+    df = spark.createDataFrame(rows, "query_id int, doc_id int, a double, b double")
+    got = {r["query_id"]: (r["n"], r["pearson"]) for r in ev.variant_correlation(df).collect()}
+    assert got[1][0] == 5 and got[1][1] == pytest.approx(-1.0) and got[2] == (2, None) and 3 not in got
+
+
+def test_power_by_columns(spark):
+    df = spark.createDataFrame([(0.28, 1.0, 100), (0.0, 1.0, 50), (2.0, 1.0, 9), (1.0, 0.0, 9)], "effect double, deviation double, n long")
+    got = [r["p"] for r in df.select(ev.power_of("effect", "deviation", "n").alias("p")).collect()]
+    assert got[:3] == pytest.approx([ev.power(0.28, 1.0, 100), ev.power(0.0, 1.0, 50), ev.power(2.0, 1.0, 9)], abs=1e-6) and got[3] is None
