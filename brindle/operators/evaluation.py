@@ -162,8 +162,8 @@ def variant_overlap(ranks: DataFrame, depth: int = 120, top: int = 10) -> DataFr
 
 def variant_correlation(scores: DataFrame) -> DataFrame:
     """(query_id, n, pearson) of two scores of the same candidates (query_id, doc_id, a, b): null where a score does not vary or fewer than two candidates have both."""
-    both = scores.filter("a IS NOT NULL AND b IS NOT NULL").groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.corr("a", "b").alias("r"))
-    return both.select("query_id", "n", F.when(~F.isnan("r"), F.col("r")).alias("pearson"))
+    spread = F.stddev_pop("a") * F.stddev_pop("b")
+    return scores.filter("a IS NOT NULL AND b IS NOT NULL").groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.when(spread > 0, F.covar_pop("a", "b") / F.nullif(spread, F.lit(0.0))).alias("pearson"))
 
 
 def rule_search(rows: DataFrame, grid: list[dict[str, float]], *, folds: int = 5) -> DataFrame:
