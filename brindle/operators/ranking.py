@@ -112,7 +112,6 @@ def vector_top_k(vectors: DataFrame, queries: DataFrame, k: int, *, vec: str = "
     wanted = queries.select("query_id", F.col(vec).alias("q")).filter("q IS NOT NULL")
     rows = vectors.select("doc_id", F.col(vec).alias("v")).filter("v IS NOT NULL")
     kinds = f"query_id {wanted.schema['query_id'].dataType.simpleString()}, doc_id {rows.schema['doc_id'].dataType.simpleString()}, score double"
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("doc_id"))
     blocks, out = -(-queries.count() // block) or 1, None
     for i in range(blocks):
         part = (wanted if blocks == 1 else wanted.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i)).toArrow()  # about block rows
@@ -135,6 +134,7 @@ def vector_top_k(vectors: DataFrame, queries: DataFrame, k: int, *, vec: str = "
                 who, which = who[place < k], which[place < k]
                 yield pa.RecordBatch.from_arrays([names.take(pa.array(who)).combine_chunks(), batch.column(0).take(pa.array(which)), pa.array(scores[which, who])], ["query_id", "doc_id", "score"])
 
-        top = rows.mapInArrow(run, kinds).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-        out = top if out is None else out.unionByName(top)
-    return out
+        some = rows.mapInArrow(run, kinds)
+        out = some if out is None else out.unionByName(some)
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("doc_id"))  # over all blocks: a union of ranked ones does not keep their partitions
+    return out.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)

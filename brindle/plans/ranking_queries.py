@@ -201,9 +201,9 @@ def vector_topk_dot(spark, sf_dir):
     SELECT query_id, doc_id, round(CASE WHEN a >= 0.30::DOUBLE AND a - b >= 0.02::DOUBLE THEN least(1, greatest(0, score)) ELSE 0 END, 6) AS bonus FROM vr JOIN m USING (query_id)""")
 def vector_gated_bonus(spark, sf_dir):
     v = _vectors(spark, sf_dir)
-    m = v.groupBy("query_id").agg(F.max(F.when(F.col("rank") == 1, F.col("score"))).alias("a"), F.max(F.when(F.col("rank") == 2, F.col("score"))).alias("b"))
-    open_ = (F.col("a") >= 0.30) & (F.col("a") - F.col("b") >= 0.02)
-    return v.join(m, "query_id").select("query_id", "doc_id", F.round(F.when(open_, F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("score")))).otherwise(0.0), 6).alias("bonus"))
+    at = lambda rank: F.max(F.when(F.col("rank") == rank, F.col("score"))).over(Window.partitionBy("query_id"))
+    open_ = (at(1) >= 0.30) & (at(1) - at(2) >= 0.02)
+    return v.select("query_id", "doc_id", F.round(F.when(open_, F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("score")))).otherwise(0.0), 6).alias("bonus"))
 
 
 @query(f"""WITH {RANKED}, x AS (SELECT query_id, doc_id, rank, price > 980 AS violation, size < 20 AND rank <= 10 AS seen FROM rk),

@@ -146,3 +146,13 @@ def test_product_neighbors_cap_candidates_and_not_askers(spark):
     idf = {"common": math.log1p(302 / 301), "own7": math.log1p(302 / 2), "far": math.log1p(302 / 2), "own299": math.log1p(302)}
     assert of[299][0] == (7, round(idf["common"] / (idf["common"] + idf["own299"] + idf["own7"]), 9))
     assert of[301] == [(7, round(idf["own7"] / (idf["own7"] + idf["far"] + idf["common"]), 9)), (300, round(idf["far"] / (idf["own7"] + idf["far"] + idf["common"]), 9))]
+
+
+def test_vectors_of_several_blocks_join_and_rank_alike(spark):
+    v = spark.createDataFrame([(i, [float((i * 7) % 11), float((i * 5) % 13)]) for i in range(90)], "doc_id long, embedding array<float>").repartition(3)
+    q = v.withColumnRenamed("doc_id", "query_id")
+    one, many = (k.vector_top_k(v, q, 4, block=b) for b in (1000, 20))
+    cols = ("query_id", "doc_id", "score", "rank")
+    assert rows(many, *cols) == rows(one, *cols)
+    first = many.groupBy("query_id").agg(F.max("score").alias("best"))
+    assert many.join(first.hint("merge"), "query_id").filter("rank = 1 and score = best").count() == 90
