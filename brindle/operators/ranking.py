@@ -8,6 +8,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..functions.dealing import spread
+
 
 def quality_prior(rating: Column, reviews: Column, weight: float = 1.05) -> Column:
     """0.02 * rating clipped to 0..5, and weight * ln(1 + reviews)."""
@@ -102,15 +104,16 @@ def softmax(score: Column, query: str, temperature: float = 5.0) -> Column:
     return e / F.sum(e).over(w)
 
 
-def vector_top_k(vectors: DataFrame, queries: DataFrame, k: int, *, vec: str = "embedding", block: int = 4096) -> DataFrame:
+def vector_top_k(vectors: DataFrame, queries: DataFrame, k: int, *, vec: str = "embedding", block: int = 4096, cells: int = 1 << 19) -> DataFrame:
     """(query_id, doc_id, score, rank) by dot product, ties by id; null vectors are left out.
 
     The stated query set meets all rows in blocks of about ``block`` queries, so
-    what is broadcast at once is bounded.  Each Arrow batch is one matrix product and passes on its k best rows a query, which the shuffle ranks.
+    what is broadcast at once is bounded.  A task multiplies a block by as many rows at a time as give about ``cells`` scores, holds its k best rows a query
+    and passes them on at its end; the shuffle ranks those of all tasks.
     """
     spark = vectors.sparkSession
     wanted = queries.select("query_id", F.col(vec).alias("q")).filter("q IS NOT NULL")
-    rows = vectors.select("doc_id", F.col(vec).alias("v")).filter("v IS NOT NULL")
+    rows = spread(vectors.select("doc_id", F.col(vec).alias("v")), "doc_id", each=20_000).filter("v IS NOT NULL")
     kinds = f"query_id {wanted.schema['query_id'].dataType.simpleString()}, doc_id {rows.schema['doc_id'].dataType.simpleString()}, score double"
     blocks, out = -(-queries.count() // block) or 1, None
     for i in range(blocks):
@@ -119,20 +122,29 @@ def vector_top_k(vectors: DataFrame, queries: DataFrame, k: int, *, vec: str = "
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             names, matrix = held.value
+            if not len(matrix):
+                return
+            step, least, kept = max(1, cells // len(matrix)), None, None  # least: what a row's score must reach for each query
             for batch in batches:
-                if not batch.num_rows or not len(matrix):
-                    continue
                 flat = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-                scores = np.round(flat.reshape(batch.num_rows, -1) @ matrix.T, 9)
-                ids = batch.column(0).to_numpy(zero_copy_only=False)
-                some = min(k, batch.num_rows)
-                least = np.partition(scores, batch.num_rows - some, axis=0)[batch.num_rows - some]
-                who, which = np.nonzero((scores >= least).T)  # a few more than k where scores tie
-                order = np.lexsort((ids[which], -scores[which, who], who))
-                who, which = who[order], which[order]
-                place = np.arange(len(who)) - np.searchsorted(who, who, "left")
-                who, which = who[place < k], which[place < k]
-                yield pa.RecordBatch.from_arrays([names.take(pa.array(who)).combine_chunks(), batch.column(0).take(pa.array(which)), pa.array(scores[which, who])], ["query_id", "doc_id", "score"])
+                every, ids = flat.reshape(batch.num_rows, -1), batch.column(0).to_numpy(zero_copy_only=False)
+                for at in range(0, batch.num_rows, step):
+                    scores = every[at : at + step] @ matrix.T
+                    if least is None:
+                        some = len(scores) - k
+                        first = np.partition(scores, some, axis=0)[some] - 2e-9 if some >= 0 else np.full(len(matrix), -np.inf)
+                        least = np.where(np.isnan(first), -np.inf, first)
+                    which, who = np.nonzero(scores >= least)
+                    found = who, np.round(scores[which, who], 9), ids[at + which]
+                    who, score, doc = found if kept is None else (np.concatenate(x) for x in zip(kept, found))
+                    order = np.lexsort((doc, -score, who))
+                    who, score, doc = who[order], score[order], doc[order]
+                    place = np.arange(len(who)) - np.searchsorted(who, who, "left")
+                    kept = who[place < k], score[place < k], doc[place < k]
+                    full = place == k - 1
+                    least[who[full]] = np.maximum(least[who[full]], score[full] - 2e-9)  # before rounding
+            if kept is not None:
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(kept[0])).combine_chunks(), pa.array(kept[2]), pa.array(kept[1])], ["query_id", "doc_id", "score"])
 
         some = rows.mapInArrow(run, kinds)
         out = some if out is None else out.unionByName(some)
