@@ -17,8 +17,12 @@ from ..functions.text import STOP_WORDS, terms, words
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 
 
-def postings(docs: DataFrame, id_col: str, fields: Mapping[str, Column | str], tokenizer=terms) -> DataFrame:
-    """(doc_id, field, token, tf).  Queries over the same documents can share what write_postings keeps."""
+def postings(docs: DataFrame, id_col: str, fields: Mapping[str, Column | str], tokenizer=terms, *, only: DataFrame | None = None, broadcast_rows: int = 200_000) -> DataFrame:
+    """(doc_id, field, token, tf).  Queries over the same documents can share what write_postings keeps.
+
+    With only, a frame of tokens, all other tokens of a field are counted together under a null token: lengths stay whole, and
+    far fewer rows are shuffled or written.  It is broadcast up to broadcast_rows tokens.
+    """
     plain = tokenizer is terms  # its stop words are dropped behind the explode, in generated code
     parts = [docs.select(F.col(id_col).alias("doc_id"), F.lit(name).alias("field"), F.explode(words(col) if plain else tokenizer(col)).alias("token")) for name, col in fields.items()]
     if plain:
@@ -26,6 +30,10 @@ def postings(docs: DataFrame, id_col: str, fields: Mapping[str, Column | str], t
     every = parts[0]
     for p in parts[1:]:
         every = every.unionByName(p)
+    if only is not None:
+        known = only.select(F.col("token").alias("known")).distinct()
+        known = F.broadcast(known) if known.count() <= broadcast_rows else known
+        every = every.join(known, F.col("token") == F.col("known"), "left").select("doc_id", "field", F.col("known").alias("token"))
     return every.groupBy("doc_id", "field", "token").agg(F.count(F.lit(1)).alias("tf"))
 
 
@@ -67,11 +75,10 @@ def bm25(post: DataFrame, queries: DataFrame, *, weights: Mapping[str, float] |
     restricts where tokens may match.  Query tokens are broadcast up to broadcast_rows of them, so that postings of a frequent
     token stay where they are read; beyond that they are joined by a shuffle.
     """
-    lengths = doc_lengths(post)
-    totals = lengths.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("n").alias("avg_len"))
+    totals = doc_lengths(post).agg(F.count(F.lit(1)).alias("n_docs"), F.avg("n").alias("avg_len"))
     wanted = queries.select("query_id", "token").distinct()
     near = F.broadcast if wanted.count() <= broadcast_rows else (lambda df: df)
-    used = post.join(near(wanted.select("token").distinct()), "token", "left_semi")
+    used = post.withColumn("n", F.sum("tf").over(Window.partitionBy("doc_id"))).join(near(wanted.select("token").distinct()), "token", "left_semi")
     if fields is not None:
         used = used.filter(F.col("field").isin(*fields))
     weight = F.lit(1.0)
@@ -79,9 +86,9 @@ def bm25(post: DataFrame, queries: DataFrame, *, weights: Mapping[str, float] |
         weight = F.lit(0.0)
         for name, w in weights.items():
             weight = F.when(F.col("field") == name, F.lit(float(w))).otherwise(weight)
-    tf = used.groupBy("token", "doc_id").agg(F.sum(weight * F.col("tf")).alias("wtf"))
+    tf = used.groupBy("token", "doc_id", "n").agg(F.sum(weight * F.col("tf")).alias("wtf"))
     df = tf.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    scored = tf.join(near(df), "token").join(lengths, "doc_id").crossJoin(F.broadcast(totals))  # totals is one row; df has a row a query token
+    scored = tf.join(near(df), "token").crossJoin(F.broadcast(totals))  # totals is one row; df has a row a query token
     value = scored.select("token", "doc_id", term_score(F.col("wtf"), F.col("n"), F.col("avg_len"), idf(F.col("n_docs"), F.col("df"))).alias("s"))
     out = value.join(near(wanted), "token").groupBy("query_id", "doc_id").agg(F.round(F.sum("s"), 9).alias("score"))
     return out if k is None else top_k(out, k)
@@ -90,17 +97,21 @@ def bm25(post: DataFrame, queries: DataFrame, *, weights: Mapping[str, float] |
 def phrase_route(docs: DataFrame, queries: DataFrame, k: int | None = 180, *, broadcast_rows: int = 200_000) -> DataFrame:
     """Documents (doc_id, tokens) that contain a query's phrase (query_id, phrase) in order, by BM25 of the phrase as one term.
 
-    Candidates come from an equi-join on the phrase's rarest token, so only
-    documents with that token are searched.  Only tokens of phrases leave the documents: those are broadcast up to broadcast_rows of them.
+    Every token is met with the phrases that begin with it, broadcast up to broadcast_rows of them, and the tokens behind it are compared; only
+    places of whole phrases leave the documents.  Of places that touch or overlap the first counts.
     """
-    asked = queries.filter(F.size("phrase") > 0).select("query_id", "phrase", F.explode("phrase").alias("token"))
-    near = F.broadcast if asked.count() <= broadcast_rows else (lambda df: df)
-    tokens = docs.select("doc_id", F.explode(F.array_distinct("tokens")).alias("token")).join(near(asked.select("token").distinct()), "token", "left_semi")
-    df = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    rare = asked.join(df, "token").groupBy("query_id", "phrase").agg(F.min_by("token", F.struct("df", "token")).alias("token"))
-    maybe = tokens.join(near(rare), "token").join(docs, "doc_id")
-    needle, hay = F.concat(F.lit(" "), F.array_join("phrase", " "), F.lit(" ")), F.concat(F.lit(" "), F.array_join("tokens", " "), F.lit(" "))
-    found = maybe.select("query_id", "doc_id", F.size("tokens").alias("n"), (F.size(F.split(F.replace(hay, needle, F.concat(needle, F.lit("\0"))), "\0")) - 1).alias("tf")).filter("tf > 0")
+    asked = queries.filter(F.size("phrase") > 0).select("query_id", "phrase", F.get("phrase", F.lit(0)).alias("token"))
+    few, longest = asked.agg(F.count(F.lit(1)) <= broadcast_rows, F.coalesce(F.max(F.size("phrase")), F.lit(1))).first()
+    each = docs.select("doc_id", F.size("tokens").alias("n"), "tokens", F.posexplode("tokens").alias("at", "token"))
+    if not few:  # what a phrase may need is cut before the shuffle
+        each = each.select("doc_id", "n", F.slice("tokens", F.col("at") + 1, longest).alias("tokens"), "at", "token")
+    met = each.join(F.broadcast(asked) if few else asked, "token")
+    begin, size = F.col("at") if few else F.lit(0), F.size("phrase")
+    second = (size == 1) | (F.get("tokens", begin + 1) == F.get("phrase", F.lit(1)))
+    whole = met.filter(second).filter(F.slice("tokens", begin + 1, size) == F.col("phrase")).select("query_id", "doc_id", "n", size.alias("size"), "at")
+    step = lambda a, at: F.when(at >= a["free"], F.struct((at + F.col("size") + 1).alias("free"), (a["tf"] + 1).alias("tf"))).otherwise(a)
+    places = whole.groupBy("query_id", "doc_id", "n", "size").agg(F.sort_array(F.collect_list("at")).alias("places"))
+    found = places.select("query_id", "doc_id", "n", F.aggregate("places", F.struct(F.lit(0).alias("free"), F.lit(0).alias("tf")), step, lambda a: a["tf"]).alias("tf"))
     counts = found.groupBy("query_id").agg(F.count(F.lit(1)).alias("df"))
     totals = docs.agg(F.count(F.lit(1)).alias("n_docs"), F.avg(F.size("tokens")).alias("avg_len"))
     scored = found.join(counts, "query_id").crossJoin(F.broadcast(totals))
