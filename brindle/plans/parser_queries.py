@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..functions import feedback, parsing, values
+from ..functions.dealing import spread
 from ..functions.text import asserted_category, typed_terms
 from ..operators import admission, taxonomy, vocabulary
 from ..sources import catalog as sources
@@ -28,7 +29,7 @@ def _sql(rows):
 def _texts(spark, sf_dir, texts):
     """Every product with the text of its number."""
     every = F.array(*[F.lit(t) for t in texts])
-    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.get(every, F.pmod("p_partkey", F.lit(len(texts))).cast("int")).alias("text"))
+    return spread(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.get(every, F.pmod("p_partkey", F.lit(len(texts))).cast("int")).alias("text")), "id")
 
 
 @query(f"""WITH b(i, mode, amount, branch) AS (VALUES {_sql([(i, *x) for i, (_, found) in enumerate(BUDGETS) for x in found])})
@@ -59,7 +60,7 @@ def component_views(spark, sf_dir):
     """Which component a product's wording belongs to: one row for each component of the features."""
     kind = F.lower("p_type")
     said = F.when(F.col("p_size") % 3 == 0, F.concat(F.lit("lining: "), "p_name", F.lit("; "), kind)).when(F.col("p_size") % 3 == 1, F.concat(kind, F.lit(" and a "), "p_name", F.lit(" upper"))).otherwise(F.concat(F.lit("upper is "), "p_name", F.lit(", no "), kind))
-    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("product_id"), F.col("p_name").alias("title"), said.alias("features"))
+    p = spread(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("product_id"), F.col("p_name").alias("title"), said.alias("features")), "product_id")
     return p.select("product_id", F.explode(values.components({"title": "title", "features": "features"})).alias("component", "texts")).select("product_id", "component", F.col("texts")[2].alias("said"))
 
 
