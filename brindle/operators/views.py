@@ -22,13 +22,13 @@ def assessed(signals: DataFrame, weights: dict[str, float] = WEIGHTS) -> DataFra
     return group.groupBy("query_id", "doc_id").agg(F.sum("vote").alias("score"), F.bool_or("violated").alias("violation"))
 
 
-def explained(fields: DataFrame) -> DataFrame:
-    """(query_id, doc_id, pref, status, signal, fields) of signals by field (query_id, doc_id, pref, field, signal): what is known of each preference and which fields say so.
+def explained(fields: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(query_id, doc_id, pref, status, signal, fields, what a preference has in keep) of signals by field (query_id, doc_id, pref, field, signal): what is known of each preference and which fields say so.
 
     The strongest signal counts; signals of both signs leave a preference unknown.  A field is named if its own signal has the sign of the whole.
     """
-    g = fields.groupBy("query_id", "doc_id", "pref").agg(F.max("signal").alias("top"), F.min("signal").alias("low"), F.collect_list(F.struct("field", "signal")).alias("all"))
+    g = fields.groupBy("query_id", "doc_id", "pref", *keep).agg(F.max("signal").alias("top"), F.min("signal").alias("low"), F.collect_list(F.struct("field", "signal")).alias("all"))
     whole = F.when((F.col("top") > 0) & (F.col("low") < 0), 0.0).when(F.col("top") > 0, F.col("top")).otherwise(F.col("low"))
     named = F.array_sort(F.transform(F.filter("all", lambda x: x["signal"] * F.col("signal") > 0), lambda x: x["field"]))
     status = F.when(F.col("signal") > 0, "supported").when(F.col("signal") < 0, "contradicted").otherwise("unknown")
-    return g.withColumn("signal", whole).select("query_id", "doc_id", "pref", status.alias("status"), "signal", named.alias("fields"))
+    return g.withColumn("signal", whole).select("query_id", "doc_id", "pref", status.alias("status"), "signal", named.alias("fields"), *keep)

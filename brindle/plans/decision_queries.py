@@ -2,6 +2,7 @@
 
 from pyspark.sql import Window, functions as F
 
+from ..functions.dealing import spread
 from ..operators import admission, evaluation as ev, outcomes, render, views
 from .registry import query, table
 
@@ -99,7 +100,8 @@ def _signals(spark, sf_dir):
     """Signals by field of a few requirements, the given products being the stated set."""
     prefs = F.array(*[F.struct(F.lit(i).alias("pref"), F.lit(v).alias("value"), F.lit(a).alias("attribute"), F.lit(g).alias("grp"), F.lit(h).alias("hard"), F.lit(float(c)).alias("confidence")) for i, v, a, g, h, c in _PREFS])
     fields = F.array(*[F.struct(F.lit(n).alias("field"), F.col(c).alias("said")) for n, c in (("title", "p_name"), ("type", "p_type"))])
-    p = table(spark, sf_dir, "part").select(F.col("p_size").alias("query_id"), F.col("p_partkey").alias("doc_id"), F.explode(fields).alias("f")).select("query_id", "doc_id", "f.field", F.split(F.lower("f.said"), " ").alias("w"))
+    p = spread(table(spark, sf_dir, "part").select(F.col("p_size").alias("query_id"), F.col("p_partkey").alias("doc_id"), "p_name", "p_type"), "doc_id")  # a product's groups stay in its task
+    p = p.select("query_id", "doc_id", F.explode(fields).alias("f")).select("query_id", "doc_id", "f.field", F.split(F.lower("f.said"), " ").alias("w"))
     each = p.select("*", F.inline(prefs))
     own = F.lit(None).cast("string")
     for a, listed in _KINDS.items():
@@ -112,9 +114,7 @@ def _signals(spark, sf_dir):
 def view_assessment(spark, sf_dir):
     """Products under alternatives and hard requirements: the best vote of each group, and whether a whole group is contradicted."""
     s = _signals(spark, sf_dir)
-    whole = views.explained(s.select("query_id", "doc_id", "pref", "field", "signal")).select("query_id", "doc_id", "pref", "signal")
-    told = s.select("query_id", "doc_id", "pref", "attribute", "grp", "hard", "confidence").distinct().join(whole, ["query_id", "doc_id", "pref"])
-    return views.assessed(told).withColumn("score", F.round("score", 9))
+    return views.assessed(views.explained(s, keep=("attribute", "grp", "hard", "confidence"))).withColumn("score", F.round("score", 9))
 
 
 @query(f"""WITH {_SIGNALS} SELECT query_id, doc_id, pref, CASE WHEN signal > 0 THEN 'supported' WHEN signal < 0 THEN 'contradicted' ELSE 'unknown' END AS status, signal, array_to_string(list_sort(list_transform(list_filter(every, lambda x: x.signal * e.signal > 0), lambda x: x.field)), ',') AS fields FROM e""")

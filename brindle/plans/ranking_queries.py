@@ -2,6 +2,7 @@
 
 from pyspark.sql import Window, functions as F
 
+from ..functions.dealing import spread
 from ..functions.text import facet, money
 from ..operators import paging, policy, ranking as k, retrieval as r
 from .registry import CATALOG, FACETS, catalog, facet_sql, query, table
@@ -41,7 +42,8 @@ def review_prior_shrinkage(spark, sf_dir):
 def budget_range_filter(spark, sf_dir):
     b = [(0, 0, 0, "maximum", 950.0), (0, 1, 0, "minimum", 910.0), (1, 0, 0, "under", 905.0), (1, 0, 1, "over", 990.0), (2, 0, 0, "around", 700.0)]
     budgets = F.explode(F.array(*[F.struct(F.lit(q).alias("query_id"), F.lit(g).alias("grp"), F.lit(a).alias("alt"), F.lit(m).alias("mode"), F.lit(x).alias("amount")) for q, g, a, m, x in b]))
-    pairs = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), F.col("p_retailprice").alias("price"), budgets.alias("b")).select("doc_id", "price", "b.*")
+    p = spread(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), F.col("p_retailprice").alias("price")), "doc_id")  # a product's groups stay in its task
+    pairs = p.select("doc_id", "price", budgets.alias("b")).select("doc_id", "price", "b.*")
     return k.budgets_allow(pairs)
 
 
