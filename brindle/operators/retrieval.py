@@ -9,10 +9,14 @@ DataFrame (query_id, ...): one job answers all of them.
 from __future__ import annotations
 
 from collections.abc import Mapping
+from typing import NamedTuple
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.text import STOP_WORDS, terms, words
+from . import counted as c
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 
@@ -48,6 +52,86 @@ def write_once(rows: DataFrame, path: str) -> DataFrame:
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
+class Counted(NamedTuple):
+    """Documents as rows (doc_id, n, tokens, times[, phrases, phrase_times]) of numbers of a vocabulary and of phrases."""
+
+    rows: DataFrame
+    vocabulary: list[str]
+    phrases: list[list[str]]
+
+
+def vocabulary_of(queries: DataFrame, most: int) -> list[str] | None:
+    """The different tokens of queries (query_id, token), if there are no more than most of both."""
+    wanted = queries.select("query_id", "token").filter("token is not null").distinct().limit(most + 1).toArrow()
+    return None if wanted.num_rows > most else sorted(set(wanted["token"].to_pylist()))
+
+
+def _countable(frame: DataFrame, id_col: str) -> bool:
+    return frame.schema[id_col].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint")
+
+
+def count_texts(docs: DataFrame, queries: DataFrame | None = None, phrases: DataFrame | None = None, *, path: str, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = 200_000) -> Counted | None:
+    """What bm25 needs of documents for queries (query_id, token), and phrase_route for phrases (query_id, phrase), from one reading of the texts, written to path.
+
+    None where queries, phrases or their words are more than broadcast_rows, or ids are no integers: then postings and arrays of tokens serve.
+    """
+    vocabulary = vocabulary_of(queries, broadcast_rows) if queries is not None else []
+    found = phrases.filter(F.size("phrase") > 0).select("phrase").distinct().limit(broadcast_rows + 1).toArrow()["phrase"].to_pylist() if phrases is not None else []
+    if vocabulary is None or len(found) > broadcast_rows or not _countable(docs, id_col):
+        return None
+    every = sorted({*vocabulary, *(w for p in found for w in p)})
+    return Counted(write_once(c.count_texts(docs, id_col, text_col, every, found), path), every, found)
+
+
+def count_postings(post: DataFrame, vocabulary: list[str], *, weights: Mapping[str, float] | None = None, fields: tuple[str, ...] | None = None, path: str | None = None) -> Counted:
+    """The same from postings, with the counts of a field scaled by weights; fields restricts where tokens may match.  Written to path, or else computed whenever read."""
+    weight = F.lit(1.0)
+    if weights is not None:
+        weight = F.lit(0.0)
+        for name, w in weights.items():
+            weight = F.when(F.col("field") == name, F.lit(float(w))).otherwise(weight)
+    numbers = post.sparkSession.createDataFrame(pa.table({"token": pa.array(vocabulary, pa.string()), "number": pa.array(range(len(vocabulary)), pa.int32())}))
+    inside = F.lit(True) if fields is None else F.col("field").isin(*fields)
+    met = post.join(F.broadcast(numbers), "token", "left").withColumn("hit", F.when(inside & F.col("number").isNotNull(), F.struct("number", (weight * F.col("tf")).alias("times"))))
+    rows = met.groupBy("doc_id").agg(F.sum("tf").alias("n"), F.collect_list("hit").alias("hits"))  # nulls are not collected
+    rows = rows.select("doc_id", "n", F.col("hits.number").alias("tokens"), F.col("hits.times").alias("times"))
+    return Counted(rows if path is None else write_once(rows, path), vocabulary, [])
+
+
+def whole_documents(rows: DataFrame) -> DataFrame:
+    """Counted rows with those of one id together; they are dealt anew only if an id occurs twice."""
+    rows = rows.select("doc_id", "n", "tokens", "times")
+    if rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1").isEmpty():
+        return rows
+    return rows.groupBy("doc_id").agg(F.sum("n").alias("n"), F.collect_list(F.struct("tokens", "times")).alias("held")).select("doc_id", "n", F.flatten("held.tokens").alias("tokens"), F.flatten("held.times").alias("times"))
+
+
+def with_tokens(counted: Counted, docs: DataFrame) -> DataFrame:
+    """(doc_id, tokens): the different asked tokens, as words, of the documents (doc_id)."""
+    words = F.lit(counted.vocabulary) if counted.vocabulary else F.array().cast("array<string>")
+    held = whole_documents(counted.rows).join(docs, "doc_id", "left_semi")
+    return held.select("doc_id", F.transform(F.array_distinct("tokens"), lambda t: F.get(words, t)).alias("tokens"))
+
+
+def bm25_counted(counted: Counted, queries: DataFrame, k: int = 350) -> DataFrame:
+    """bm25 of counted documents, as a product of two sparse matrices by blocks of documents; queries hold tokens of their vocabulary."""
+    spark, number = queries.sparkSession, {t: i for i, t in enumerate(counted.vocabulary)}
+    wanted = queries.select("query_id", "token").filter("token is not null").distinct().toArrow()
+    ids = wanted.select(["query_id"]).group_by("query_id").aggregate([])["query_id"].combine_chunks()
+    place = {x: i for i, x in enumerate(ids.to_pylist())}
+    asked: list[list[int]] = [[] for _ in place]
+    for x, t in zip(wanted["query_id"].to_pylist(), wanted["token"].to_pylist()):
+        asked[place[x]].append(number[t])
+    rows = whole_documents(counted.rows).filter("n > 0")
+    n_docs, average = rows.agg(F.count(F.lit(1)), F.avg("n")).first()
+    frequency = rows.select(F.explode(F.array_distinct("tokens")).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("df")).toArrow()
+    weights = c.idf_weights(frequency, len(number), n_docs, LEAST_IDF)
+    found = c.best_documents(rows, [np.array(sorted(a), np.int64) for a in asked], weights, average or 1.0, k, K1, B)
+    names = spark.createDataFrame(pa.table({"query": pa.array(range(len(place)), pa.int32()), "query_id": ids}), queries.select(F.lit(0).alias("query"), "query_id").schema)
+    best = top_k(found, k, query="query")
+    return best.join(F.broadcast(names), "query").select("query_id", F.col("doc_id").cast(rows.schema["doc_id"].dataType).alias("doc_id"), "score", "rank")
+
+
 def doc_lengths(post: DataFrame) -> DataFrame:
     """(doc_id, n): tokens over all indexed fields."""
     return post.groupBy("doc_id").agg(F.sum("tf").alias("n"))
@@ -67,14 +151,18 @@ def term_score(weighted_tf: Column, length: Column, average: Column, weight: Col
     return weight * weighted_tf * (K1 + 1) / (weighted_tf + K1 * (1 - B + B * length / average))
 
 
-def bm25(post: DataFrame, queries: DataFrame, *, weights: Mapping[str, float] | None = None, fields: tuple[str, ...] | None = None, k: int | None = 350, broadcast_rows: int = 200_000) -> DataFrame:
+def bm25(post: DataFrame, queries: DataFrame, *, weights: Mapping[str, float] | None = None, fields: tuple[str, ...] | None = None, k: int | None = 350, broadcast_rows: int = 200_000, path: str | None = None) -> DataFrame:
     """(query_id, doc_id, score[, rank]) of queries (query_id, token).
 
     Document frequency and length are those of all indexed fields; weights
     scale the counts of a field (0 still admits the document); fields
-    restricts where tokens may match.  Query tokens are broadcast up to broadcast_rows of them, so that postings of a frequent
-    token stay where they are read; beyond that they are joined by a shuffle.
+    restricts where tokens may match.  Up to broadcast_rows query tokens the documents are counted, in path if it is given, and
+    multiplied with all queries; beyond that, without k, or where ids are no integers, postings are joined with the tokens by a shuffle.
     """
+    if k is not None and _countable(post, "doc_id"):
+        vocabulary = vocabulary_of(queries, broadcast_rows)
+        if vocabulary is not None:
+            return bm25_counted(count_postings(post, vocabulary, weights=weights, fields=fields, path=path), queries, k)
     totals = doc_lengths(post).agg(F.count(F.lit(1)).alias("n_docs"), F.avg("n").alias("avg_len"))
     wanted = queries.select("query_id", "token").distinct()
     near = F.broadcast if wanted.count() <= broadcast_rows else (lambda df: df)
@@ -112,8 +200,21 @@ def phrase_route(docs: DataFrame, queries: DataFrame, k: int | None = 180, *, br
     step = lambda a, at: F.when(at >= a["free"], F.struct((at + F.col("size") + 1).alias("free"), (a["tf"] + 1).alias("tf"))).otherwise(a)
     places = whole.groupBy("query_id", "doc_id", "n", "size").agg(F.sort_array(F.collect_list("at")).alias("places"))
     found = places.select("query_id", "doc_id", "n", F.aggregate("places", F.struct(F.lit(0).alias("free"), F.lit(0).alias("tf")), step, lambda a: a["tf"]).alias("tf"))
+    return _phrase_scores(found, docs.agg(F.count(F.lit(1)).alias("n_docs"), F.avg(F.size("tokens")).alias("avg_len")), k)
+
+
+def phrases_counted(counted: Counted, queries: DataFrame, k: int | None = 180) -> DataFrame:
+    """phrase_route of counted documents."""
+    numbers = queries.sparkSession.createDataFrame([(i, p) for i, p in enumerate(counted.phrases)], "number int, phrase array<string>")
+    asked = queries.filter(F.size("phrase") > 0).join(F.broadcast(numbers), "phrase").select("query_id", "number")
+    held = counted.rows.filter(F.size("phrases") > 0).select("doc_id", "n", F.explode(F.arrays_zip("phrases", "phrase_times")).alias("p"))
+    found = held.select("doc_id", "n", F.col("p.phrases").alias("number"), F.col("p.phrase_times").alias("tf")).join(F.broadcast(asked), "number")
+    return _phrase_scores(found, counted.rows.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("n").alias("avg_len")), k)
+
+
+def _phrase_scores(found: DataFrame, totals: DataFrame, k: int | None) -> DataFrame:
+    """Found (query_id, doc_id, n, tf) by BM25 of the phrase as one term."""
     counts = found.groupBy("query_id").agg(F.count(F.lit(1)).alias("df"))
-    totals = docs.agg(F.count(F.lit(1)).alias("n_docs"), F.avg(F.size("tokens")).alias("avg_len"))
     scored = found.join(counts, "query_id").crossJoin(F.broadcast(totals))
     out = scored.select("query_id", "doc_id", F.round(term_score(F.col("tf").cast("double"), F.col("n"), F.col("avg_len"), idf(F.col("n_docs"), F.col("df"))), 9).alias("score"))
     return out if k is None else top_k(out, k)
