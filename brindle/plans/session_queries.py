@@ -171,16 +171,28 @@ def lexical_order(spark, sf_dir):
 @query()
 def lexical_search(spark, sf_dir):
     """The default backend end to end: folded dialogues, two routes, fusion, scores and tiers; one session for every different title."""
-    flat = _flat(spark, sf_dir)
+    flat = r.write_once(_flat(spark, sf_dir), _shared(spark))
     first = flat.groupBy("title").agg(F.min("product_id").alias("session_id"))
-    evidence = ledger.fold(_dialogues(spark, sf_dir).join(first, "session_id", "left_semi")).withColumnRenamed("session_id", "query_id")
-    post = r.postings(flat, "product_id", {f: f for f in ("title", "categories", "store")})
+    folded = ledger.fold(_dialogues(spark, sf_dir).join(first, "session_id", "left_semi")).withColumnRenamed("session_id", "query_id")
+    evidence = r.write_once(folded.select("query_id", "text", "source", "weight"), _shared(spark))
     tokens = evidence.select("query_id", "source", F.explode(r.terms("text")).alias("token"))
+    broad, category = _catalog_routes(spark, flat, tokens)
+    routes = broad.withColumn("route", F.lit("broad")).unionByName(category.withColumn("route", F.lit("category"))).withColumn("weight", F.lit(1.0))
+    fused = r.write_once(fusion.reciprocal_rank(routes).select("query_id", F.col("doc_id").alias("product_id"), F.col("score").alias("rrf")), _shared(spark))
+    held = flat.join(fused.select("product_id").distinct(), "product_id", "left_semi")  # features cost more than a join, and only candidates need them
+    return lexical.rank(fused, lexical.product_features(held), evidence)
+
+
+def _catalog_routes(spark, flat, tokens):
+    """Products by all tokens and by those of the category, from rows that are counted once."""
+    post = r.postings(flat, "product_id", {f: f for f in ("title", "categories", "store")})
     weights = {"title": 4, "categories": 8, "store": 1}
-    broad = r.bm25(post, tokens, weights=weights, k=350).withColumn("route", F.lit("broad")).withColumn("weight", F.lit(1.0))
-    category = r.bm25(post, tokens.filter("source = 'category'"), weights=weights, k=180).withColumn("route", F.lit("category")).withColumn("weight", F.lit(1.0))
-    fused = fusion.reciprocal_rank(broad.unionByName(category)).select("query_id", F.col("doc_id").alias("product_id"), F.col("score").alias("rrf"))
-    return lexical.rank(fused, lexical.product_features(flat), evidence.select("query_id", "text", "source", "weight"))
+    own = tokens.filter("source = 'category'")
+    vocabulary = r.vocabulary_of(tokens, 200_000)
+    if vocabulary is None:
+        return r.bm25(post, tokens, weights=weights, k=350), r.bm25(post, own, weights=weights, k=180)
+    counted = r.count_postings(post, vocabulary, weights=weights, path=_shared(spark))
+    return r.bm25_counted(counted, tokens, 350), r.bm25_counted(counted, own, 180)
 
 
 @query()

@@ -47,3 +47,13 @@ def test_rounded_as_spark_rounds(spark):
     x = [0.1234567895, 2.0000000005, 1.0000000015, 0.3, 12345.6789012345, 0.0, 7.1234567885]
     want = [v["y"] for v in spark.createDataFrame([(i, v) for i, v in enumerate(x)], "i int, x double").select("i", F.round("x", 9).alias("y")).orderBy("i").collect()]
     assert c.rounded(np.array(x)).tolist() == want
+
+
+def test_routes_of_the_catalog_share_counted_rows(spark):
+    from brindle.plans.session_queries import _catalog_routes
+
+    flat = spark.createDataFrame([(i, ["red ring", "hot bolt", "red bolt"][i % 3], ["small ring", "bolt"][i % 2], "Brand#1") for i in range(40)], "product_id long, title string, categories string, store string")
+    tokens = spark.createDataFrame([(1, "category", "ring"), (1, "override", "red"), (2, "category", "bolt"), (2, "hard_constraint", "brand"), (2, "hard_constraint", None)], "query_id long, source string, token string")
+    post, weights = r.postings(flat, "product_id", {f: f for f in ("title", "categories", "store")}), {"title": 4, "categories": 8, "store": 1}
+    for got, asked, k in zip(_catalog_routes(spark, flat, tokens), (tokens, tokens.filter("source = 'category'")), (350, 180)):
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, r.bm25(post, asked, weights=weights, k=k, broadcast_rows=0).collect()))
