@@ -36,9 +36,11 @@ MAIN_TAGS = frozenset(("article", "main"))
 #: words in class, id or role that mark what is not main text
 MARK = re.compile(r"ads?|advert\w*|banners?|sponsor\w*|promo\w*|sidebar|side|nav\w*|menus?|breadcrumbs?|foot\w*|header|masthead|cookies?|consent|notices?|alerts?|popup|modal|newsletter|subscribe|share|sharing|social|related|recommended|comments?|replies|reply|disqus|widgets?|toolbar|login|search|complementary|contentinfo")
 #: those among them that name a place on the page or a way to share it: a whole article may stand in such an element
-PLACE = re.compile(r"sidebar|side|nav\w*|header|masthead|foot\w*|banners?|share|sharing|social|widgets?|toolbar|search|complementary|promo\w*|modal|popup")
+PLACE = re.compile(r"sidebar|side|header|masthead|foot\w*|banners?|share|sharing|social|widgets?|toolbar|search|complementary|promo\w*|modal|popup")
 #: words that name the article
 STORY = frozenset("article articles post posts story stories entry main".split())
+#: words that make it another one
+ELSEWHERE = frozenset(("related", "recommended"))
 #: words that say where or how, not what
 NEUTRAL = frozenset("site page main top bottom left right center middle bar box block list lists item items wrapper wrap container section sections area slot unit inner outer content contents link links button buttons primary secondary global text title heading body row col column columns group module panel pane strip zone region mobile desktop large small sticky fixed sm md lg xs js post posts article articles entry thread threads feed form signup message count first last new old fluid full wide mini sub my the and of".split())
 #: names that speak of something elsewhere on the page
@@ -69,7 +71,7 @@ def marked(token: str) -> str | None:
                     if len(hits) > others:
                         if all(PLACE.fullmatch(w) for w in hits):
                             told = told or "place"
-                        elif STORY.isdisjoint(words):
+                        elif STORY.isdisjoint(words) or not ELSEWHERE.isdisjoint(hits):
                             return "matter"
                         else:
                             told = "mixed"
