@@ -57,3 +57,12 @@ def test_routes_of_the_catalog_share_counted_rows(spark):
     post, weights = r.postings(flat, "product_id", {f: f for f in ("title", "categories", "store")}), {"title": 4, "categories": 8, "store": 1}
     for got, asked, k in zip(_catalog_routes(spark, flat, tokens), (tokens, tokens.filter("source = 'category'")), (350, 180)):
         assert sorted(map(tuple, got.collect())) == sorted(map(tuple, r.bm25(post, asked, weights=weights, k=k, broadcast_rows=0).collect()))
+
+
+def test_empty_tables_are_counted(spark, tmp_path):
+    docs = spark.createDataFrame([(1, None), (2, "")], "doc_id long, text string")
+    q, phrases = spark.createDataFrame([(9, "red")], "query_id long, token string"), spark.createDataFrame([(9, ["red"])], "query_id long, phrase array<string>")
+    for i, (d, a, b) in enumerate([(docs, q, phrases), (docs.limit(0), q, phrases), (spark.createDataFrame(DOCS, docs.schema), q.limit(0), phrases.limit(0))]):
+        got = r.count_texts(d, a, b, path=str(tmp_path / str(i)))
+        assert not r.bm25_counted(got, a).collect() and not r.phrases_counted(got, b).collect()
+        assert not r.with_tokens(got, d.select("doc_id").limit(0)).collect()
