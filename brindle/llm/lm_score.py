@@ -45,6 +45,9 @@ EDGE = 0  # stands beyond both ends of a document
 BLOCK = 4096  # parameters in one row while averaging
 BATCH = (512, 8192)  # least and most places in a gradient step
 REPEATS = 32  # occurrences of a word in a step that count in full towards its vectors
+ROWS = 1024  # rows whose class scores are held at once, so that they stay in a core's cache
+MOST = 16  # rows that totals adds one after the other
+LIMIT = 60  # scores up to here need no shift ahead of exp
 
 
 #: signs that stand alone: neither letters, digits and _ nor blanks
@@ -56,7 +59,18 @@ def tokens_of(text: str | None) -> list[str]:
     return TOKEN.findall(text.lower()) if text else []
 
 
+def strings_of(words: pa.Array) -> list[str]:
+    """The same as to_pylist, without a scalar object for each value."""
+    return words.to_numpy(zero_copy_only=False).tolist()
+
+
 def cut(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The same as cut_words, the words as strings of Python."""
+    words, codes, n = cut_words(texts)
+    return strings_of(words), codes, n
+
+
+def cut_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """(different words, their numbers in order, tokens per text) of many texts, by the same rule in Arrow's kernels, which lower-case sign by sign."""
     spaced = pc.replace_substring_regex(pc.utf8_lower(pc.fill_null(texts.cast(pa.large_string()), "")), pattern=_ALONE, replacement=r" \1 ")
     parts = pc.utf8_split_whitespace(spaced)
@@ -64,7 +78,7 @@ def cut(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
     real = pc.not_equal(flat, "").to_numpy(zero_copy_only=False)
     upto = np.concatenate([[0], np.cumsum(real)])[np.concatenate([[0], np.cumsum(pc.list_value_length(parts).to_numpy(zero_copy_only=False))]).astype(np.int64)]
     coded = flat.filter(pa.array(real)).dictionary_encode()
-    return coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False), np.diff(upto)
+    return coded.dictionary, coded.indices.to_numpy(zero_copy_only=False), np.diff(upto)
 
 
 def class_of(word: str, buckets: int) -> int:
@@ -155,6 +169,7 @@ class Vocabulary:
 
     def __init__(self, words: list[str], buckets: int, letters: Letters):
         self.buckets, self.letters = buckets, letters
+        self.classes: dict[tuple[str, int], int] = {}  # by all that class_of reads of a word
         self.ids = {w: 1 + buckets + i for i, w in enumerate(words)}
         self.size = 1 + buckets + len(words)
 
@@ -164,11 +179,18 @@ class Vocabulary:
         ids = np.array([get(w, -1) for w in words], dtype=np.int64)
         rare = np.flatnonzero(ids < 0)
         some = [words[i] for i in rare.tolist()]
-        ids[rare] = np.array([class_of(w, self.buckets) for w in some], dtype=np.int64)
+        ids[rare] = np.array([self.class_at(w) for w in some], dtype=np.int64)
         spelt = np.zeros(len(words))
         spelt[rare] = self.letters(some, ids[rare])
         return ids, spelt
 
+    def class_at(self, word: str) -> int:
+        key = word[-2:], min(len(word) // 4, 3)
+        group = self.classes.get(key)
+        if group is None:
+            group = self.classes[key] = class_of(word, self.buckets)
+        return group
+
 
 def width_of(size: int) -> str:
     """Type of word numbers at rest."""
@@ -186,8 +208,8 @@ def count_words(docs: DataFrame, text_col: str) -> DataFrame:
         held, rows = [], 0
         for batch in batches:
             for at in range(0, batch.num_rows, 2048):
-                words, codes, _ = cut(batch.column(0).slice(at, 2048))
-                held.append(pa.table({"word": pa.array(words, pa.string()), "n": pa.array(np.bincount(codes, minlength=len(words)), pa.int64())}))
+                words, codes, _ = cut_words(batch.column(0).slice(at, 2048))
+                held.append(pa.table({"word": words.cast(pa.string()), "n": pa.array(np.bincount(codes, minlength=len(words)), pa.int64())}))
                 rows += len(words)
                 if rows > 1_000_000:
                     yield out()
@@ -218,7 +240,7 @@ def count_windows(rarer: DataFrame, buckets: int) -> dict[str, int]:
 
         counts: dict[str, int] = {}
         for batch in batches:
-            for word, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for word, n in zip(strings_of(batch.column(0)), batch.column(1).to_pylist()):
                 s = letters_of(word, class_of(word, buckets))
                 for i in range(len(s) - 3):
                     w = s[i : i + 4]
@@ -246,67 +268,97 @@ class Network:
         self.classes = int(math.sqrt((size - 1) / self.spread)) + 1 if size else 0
         self.begins = np.ceil(np.arange(self.classes + 1) ** 2 * self.spread).astype(np.int64)
         self.begins[-1] = size
-        shapes = [(len(PLACES), size, hidden), (hidden,), (self.classes, hidden), (self.classes,), (size, hidden), (size,)]
+        shapes = [(size, len(PLACES), hidden), (hidden,), (self.classes, hidden + 1), (size, hidden + 1)]
         self.n = sum(int(np.prod(s)) for s in shapes)
-        if flat is None:
-            rng = np.random.default_rng(7)
-            flat = (rng.standard_normal(self.n) * 0.05).astype(np.float32)
-        self.flat, at = flat, 0
+        self.flat, at = np.empty(self.n, np.float32) if flat is None else flat, 0
         views = []
         for s in shapes:
             k = int(np.prod(s))
-            views.append(flat[at : at + k].reshape(s))
+            views.append(self.flat[at : at + k].reshape(s))
             at += k
-        self.embed, self.b, self.wc, self.bc, self.ww, self.bw = views
+        self.vectors, self.b, self.of_classes, self.of_words = views
+        self.embed = self.vectors.transpose(1, 0, 2)  # by place and word
+        (self.wc, self.bc), (self.ww, self.bw) = ((v[:, :hidden], v[:, hidden]) for v in (self.of_classes, self.of_words))
+        if flat is None:
+            rng = np.random.default_rng(7)
+            for view in (self.embed, self.b, self.wc, self.bc, self.ww, self.bw):
+                view[:] = rng.standard_normal(view.shape) * 0.05
+        self.ones = np.ones(max(size, hidden + 1), np.float32)
 
     def class_at(self, words: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.begins, words, "right") - 1
 
+    def small(self, w: np.ndarray) -> bool:
+        """Whether no score can be too large for exp; hidden units are within -1 and 1."""
+        return (np.abs(w) @ self.ones[: w.shape[1]]).max(initial=0) <= LIMIT
+
     @staticmethod
-    def weigh(h: np.ndarray, w: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Scores of rows of hidden units, small enough for exp; hidden units are within -1 and 1."""
+    def weigh(h: np.ndarray, w: np.ndarray, small: bool) -> np.ndarray:
+        """Scores of rows of hidden units, small enough for exp."""
         z = h @ w.T
-        z += b
-        if np.abs(w).sum(axis=1).max() + np.abs(b).max() > 80:
+        if not small:
             z -= z.max(axis=1, keepdims=True)
         return z
 
     def hidden_at(self, stream: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """Hidden units for the places at of a stream of word numbers."""
-        h = np.take(self.embed[0], stream[at + PLACES[0]], axis=0)
-        for k in range(1, len(PLACES)):
-            h += np.take(self.embed[k], stream[at + PLACES[k]], axis=0)
-        h += self.b
-        return np.tanh(h, out=h)
+        """Hidden units for the places at of a stream of word numbers, and a 1 for the bias."""
+        vectors, places = self.vectors.reshape(-1, self.hidden), len(PLACES)
+        out = np.empty((len(at), self.hidden + 1), np.float32)
+        out[:, -1] = 1
+        for f in range(0, len(at), ROWS):
+            some = at[f : f + ROWS]
+            h = np.take(vectors, stream[some + PLACES[0]].astype(np.int64) * places, axis=0)
+            for k in range(1, places):
+                h += np.take(vectors, stream[some + PLACES[k]].astype(np.int64) * places + k, axis=0)
+            h += self.b
+            out[f : f + ROWS, :-1] = np.tanh(h, out=h)
+        return out
 
     def hidden_of(self, context: np.ndarray) -> np.ndarray:
         h = np.repeat(self.b[None, :], len(context), axis=0)
         for k in range(len(PLACES)):
             h += self.embed[k][context[:, k]]
-        return np.tanh(h)
+        return np.concatenate([np.tanh(h), np.ones((len(h), 1), np.float32)], axis=1)
 
     def log_probability(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
-        return self.of_hidden(self.hidden_of(context), target)
+        order, out = np.argsort(target, kind="stable"), np.empty(len(target))
+        out[order] = self.of_hidden(self.hidden_of(context[order]), target[order])
+        return out
+
+    def log_probability_at(self, stream: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Log-probabilities of the words at the places at of a stream of word numbers."""
+        order, out = np.argsort(stream[at], kind="stable"), np.empty(len(at))
+        some = at[order]
+        out[order] = self.of_hidden(self.hidden_at(stream, some), stream[some].astype(np.int64))
+        return out
 
     def of_hidden(self, h: np.ndarray, target: np.ndarray) -> np.ndarray:
-        """Log-probabilities of targets: of their class, and in their class."""
+        """Log-probabilities of rising targets: of their class, and in their class."""
         if not len(target):
-            return np.zeros(0)
-        order = np.argsort(target, kind="stable")
-        h, target = np.take(h, order, axis=0), target[order]
+            return np.zeros(0, np.float32)
         c = self.class_at(target)
-        z = self.weigh(h, self.wc, self.bc)
-        lp = z[np.arange(len(c)), c]
-        lp -= np.log(np.exp(z, out=z).sum(axis=1))
-        cuts = np.flatnonzero(np.concatenate([[True], np.diff(c) > 0, [True]])).tolist()
-        for f, e, k in zip(cuts[:-1], cuts[1:], c[cuts[:-1]].tolist()):
+        lp, numbers = np.empty(len(c), np.float32), np.arange(ROWS)
+
+        def one_of(z, own):
+            mine = z[numbers[: len(z)], own]
+            return mine - np.log(np.exp(z, out=z) @ self.ones[: z.shape[1]])
+
+        small = self.small(self.of_classes)
+        for f in range(0, len(c), ROWS):
+            lp[f : f + ROWS] = one_of(self.weigh(h[f : f + ROWS], self.of_classes, small), c[f : f + ROWS])
+        small = self.small(self.of_words)
+        for f, e, k in self.groups(c):
             first, last = self.begins[k], self.begins[k + 1]
-            y = self.weigh(h[f:e], self.ww[first:last], self.bw[first:last])
-            own = y[np.arange(e - f), target[f:e] - first]
-            lp[f:e] += own - np.log(np.exp(y, out=y).sum(axis=1))
-        out = np.empty(len(lp))
-        out[order] = lp
-        return out
+            for g in range(f, e, ROWS):
+                d = min(e, g + ROWS)
+                lp[g:d] += one_of(self.weigh(h[g:d], self.of_words[first:last], small), target[g:d] - first)
+        return lp
+
+    @staticmethod
+    def groups(c: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(first, end, class) of the stretches of one class."""
+        cuts = np.flatnonzero(np.concatenate([[True], np.diff(c) > 0, [True]])).tolist()
+        return zip(cuts[:-1], cuts[1:], c[cuts[:-1]].tolist())
 
     def step(self, stream: np.ndarray, at: np.ndarray, rate: float) -> None:
         """One gradient step on the places at of a stream of word numbers."""
@@ -315,41 +367,81 @@ class Network:
         target = stream[at].astype(np.int64)
         h = self.hidden_at(stream, at)
         c = self.class_at(target)
-        p = self.weigh(h, self.wc, self.bc)
-        np.exp(p, out=p)
-        p /= p.sum(axis=1, keepdims=True)
-        numbers = np.arange(n)
-        p[numbers, c] -= 1
-        dh = p @ self.wc
-        p *= np.float32(rate / n)
-        self.wc -= p.T @ h
-        self.bc -= p.sum(axis=0)
-        cuts = np.flatnonzero(np.concatenate([[True], np.diff(c) > 0, [True]])).tolist()
-        for f, e, k in zip(cuts[:-1], cuts[1:], c[cuts[:-1]].tolist()):
-            first, last = self.begins[k], self.begins[k + 1]
-            own, ww = h[f:e], self.ww[first:last]
-            q = self.weigh(own, ww, self.bw[first:last])
-            np.exp(q, out=q)
-            q /= q.sum(axis=1, keepdims=True)
-            q[numbers[: e - f], target[f:e] - first] -= 1
-            dh[f:e] += q @ ww
-            q *= np.float32(rate / (e - f))
-            ww -= q.T @ own
-            self.bw[first:last] -= q.sum(axis=0)
+        dh, numbers = np.empty_like(h), np.arange(n)
+
+        def missed(own, w, small, hit):
+            """Probabilities less those wished for."""
+            p = self.weigh(own, w, small)
+            np.exp(p, out=p)
+            p *= np.reciprocal(p @ self.ones[: p.shape[1]])[:, None]
+            p[numbers[: len(p)], hit] -= 1
+            return p
+
+        small, change = self.small(self.of_classes), np.zeros_like(self.of_classes)
+        for f in range(0, n, ROWS):
+            own = h[f : f + ROWS]
+            p = missed(own, self.of_classes, small, c[f : f + ROWS])
+            np.matmul(p, self.of_classes, out=dh[f : f + ROWS])
+            change += p.T @ own
+        change *= np.float32(rate / n)
+        self.of_classes -= change
+        small = self.small(self.of_words)
+        for f, e, k in self.groups(c):
+            first, own, w = self.begins[k], h[f:e], self.of_words[self.begins[k] : self.begins[k + 1]]
+            p = missed(own, w, small, target[f:e] - first)
+            dh[f:e] += p @ w
+            change = p.T @ own
+            change *= np.float32(rate / (e - f))
+            w -= change
         h *= h
         dh *= np.subtract(1, h, out=h)
         dh *= np.float32(rate * 0.05)
-        self.b -= dh.mean(axis=0)
-        for k, place in enumerate(PLACES):
-            words = stream[at + place]
-            order = np.argsort(words, kind="stable")
-            words = words[order]
-            ends = np.flatnonzero(np.concatenate([words[1:] != words[:-1], [True]]))
-            sums = np.cumsum(np.take(dh, order, axis=0), axis=0)[ends]  # up to the last place of each word
-            sums[1:] -= sums[:-1].copy()
-            times = np.diff(ends, prepend=-1)
-            sums *= np.minimum(1, REPEATS / times).astype(np.float32)[:, None]
-            self.embed[k][words[ends]] -= sums
+        self.b -= (np.ones(n, np.float32) @ dh)[:-1] / np.float32(n)
+        places = len(PLACES)
+        words = np.stack([stream[at + p] for p in PLACES])
+        order = np.argsort(words, axis=1, kind="stable")
+        words = words.ravel()[(order + np.arange(places)[:, None] * n).ravel()]
+        heads = np.concatenate([[True], words[1:] != words[:-1]])
+        heads[::n] = True
+        starts = np.flatnonzero(heads)
+        times = np.diff(starts, append=len(words))
+        sums = totals(dh[:, :-1].copy(), order.ravel(), starts, times)
+        sums *= np.minimum(1, REPEATS / times).astype(np.float32)[:, None]
+        hit = words[starts].astype(np.int64) * places + starts // n
+        vectors = self.vectors.reshape(-1, self.hidden)
+        vectors[hit] = np.take(vectors, hit, axis=0) - sums
+
+
+def totals(rows: np.ndarray, source: np.ndarray, starts: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """Sums of rows[source[s : s + t]] for each start s and its number t, at least 1.
+
+    The j-th rows of all sums are added at once, for j below MOST; what is longer is cut in pieces, whose sums are summed likewise.
+    """
+    pieces = (times + (MOST - 1)) // MOST
+    if not len(times) or int(pieces.max()) == 1:
+        return short_totals(rows, source, starts, times)
+    first = np.cumsum(pieces) - pieces
+    skipped = (np.arange(int(pieces.sum())) - np.repeat(first, pieces)) * MOST
+    parts = short_totals(rows, source, np.repeat(starts, pieces) + skipped, np.minimum(MOST, np.repeat(times, pieces) - skipped))
+    out, many = np.take(parts, first, axis=0), np.flatnonzero(pieces > 1)
+    out[many] = totals(parts, np.arange(len(parts)), first[many], pieces[many])
+    return out
+
+
+def short_totals(rows: np.ndarray, source: np.ndarray, starts: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """The same for numbers from 1 to MOST."""
+    order = np.argsort((MOST - times).astype(np.uint8), kind="stable")
+    starts = starts[order]
+    as_many = np.cumsum(np.bincount(times, minlength=MOST + 1)[::-1])[::-1].tolist()  # sums of at least so many rows
+    sums = np.take(rows, source[starts], axis=0)
+    for j in range(1, MOST):
+        k = as_many[j + 1]
+        if not k:
+            break
+        sums[:k] += np.take(rows, source[starts[:k] + j], axis=0)
+    out = np.empty_like(sums)
+    out[order] = sums
+    return out
 
 
 def lay_out(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -505,9 +597,8 @@ def _scored(docs: DataFrame, id_col: str, text_col: str, words: int, often: floa
                 stream, firsts = lay_out(ids)
                 places = np.repeat(firsts - (np.cumsum(n) - n), n) + np.arange(n.sum())
                 lp = np.zeros(len(places))
-                for f in range(0, len(lp), 16_384):
-                    some = places[f : f + 16_384]
-                    lp[f : f + 16_384] = net.of_hidden(net.hidden_at(stream, some), stream[some].astype(np.int64))
+                for f in range(0, len(lp), 65_536):
+                    lp[f : f + 65_536] = net.log_probability_at(stream, places[f : f + 65_536])
                 total, ends = np.concatenate([[0.0], np.cumsum(lp)]), np.cumsum(n)
                 sums = total[ends] - total[ends - n] + part.column(2).to_numpy()
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(sums), pa.array([s / k if k else None for s, k in zip(sums.tolist(), n.tolist())], pa.float64())], ["id", "n_tokens", "log_likelihood", "mean_log_likelihood"])
