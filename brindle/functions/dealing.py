@@ -12,7 +12,7 @@ def remembered(f: Callable, most: int = 4096) -> Callable:
     memo: dict = {}
 
     def run(*args, **named):
-        key = (args, tuple(sorted(named.items())))
+        key = (args, tuple(sorted(named.items()))) if named else (args,)
         if key not in memo:
             if len(memo) >= most:
                 memo.clear()

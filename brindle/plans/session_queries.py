@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from ..functions.dealing import spread
 from ..operators import fusion, learning, lexical, retrieval as r
 from ..streaming import ledger, windows
 from .registry import CATALOG, _shared, catalog, query, table
@@ -58,9 +59,9 @@ SCRIPTS = [
 ]
 
 
-def _messages(spark, sf_dir):
-    """Each product as the target of a session that follows one of the scripts."""
-    c = catalog(spark, sf_dir)
+def _messages(spark, sf_dir, dealt=False):
+    """Each product as the target of a session that follows one of the scripts; dealt: written by all cores, where nothing deals the messages behind it."""
+    c = spread(catalog(spark, sf_dir), "product_id") if dealt else catalog(spark, sf_dir)
     kind = "array<struct<script:int,turn:int,message:string,asked:string>>"
     rows = F.array(*[F.struct(F.lit(s).alias("script"), F.lit(t).alias("turn"), F.lit(m).alias("message"), F.lit(q).alias("asked")) for s, t, m, q in SCRIPTS]).cast(kind)
     mine = F.filter(rows, lambda x: x["script"] == F.pmod(F.col("product_id"), F.lit(7)))
@@ -113,7 +114,7 @@ def session_signature(spark, sf_dir):
 def session_stream_state(spark, sf_dir):
     """The ledger as a keyed stream: every session's turns arrive once, and its state is read after the last."""
     path = _shared(spark)
-    said = _messages(spark, sf_dir).drop("asked")
+    said = _messages(spark, sf_dir, dealt=True).drop("asked")
     said.write.parquet(path)
     stream = spark.readStream.schema("session_id bigint, turn int, message string").parquet(path)
     out = windows.run_to_end(ledger.follow(stream), f"{path}-run", "append")

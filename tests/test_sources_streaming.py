@@ -1,7 +1,10 @@
 import json
+import os
+import time
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupStateTimeout
 
 from brindle.sources import catalog as c
 from brindle.streaming import ledger, windows
@@ -88,3 +91,77 @@ def test_stream_rejects_stale_turns(spark, tmp_path):
     spark.createDataFrame([(1, 2, "I need wool"), (1, 4, "I don't want leather")], schema).coalesce(1).write.mode("append").parquet(src)
     both = windows.run_to_end(ledger.follow(stream), folder, "append")
     assert sorted((r["turn"], r["status"]) for r in both.collect()) == [(1, "accepted"), (2, "accepted"), (2, "rejected"), (3, "accepted"), (4, "accepted")]
+
+
+TURNS = "session_id long, turn int, message string"
+
+
+def followed(spark, src, rows, run, **how):
+    """The updates of all batches so far, after these rows have arrived."""
+    spark.createDataFrame(rows, TURNS).coalesce(1).write.mode("append").parquet(src)
+    return windows.run_to_end(ledger.follow(spark.readStream.schema(TURNS).parquet(src), **how), run, "append")
+
+
+def test_stream_state_has_pages_of_sessions(spark, tmp_path):
+    src, run = str(tmp_path / "turns"), str(tmp_path / "run")
+    asked = [(s, t, m) for s in range(60) for t, m in DIALOGUE]
+    first = followed(spark, src, [r for r in asked if r[1] < 4], run, pages=8)
+    assert first.groupBy("session_id").count().filter("count = 4").count() == 60
+    state = spark.read.format("statestore").load(f"{run}/state")
+    assert 1 < state.count() <= 8  # a key for each session cost more than its turns
+    later = [r for r in asked if r[1] >= 4 and r[0] % 3 == 0]  # other sessions of their pages stay as they are
+    followed(spark, src, later, run, pages=8)
+    every = followed(spark, src, [(1, 3, DIALOGUE[2][1]), (1, 2, "I need wool"), (2, 4, DIALOGUE[4][1])], run, pages=8)
+    tally = {(r["session_id"], r["status"]): r["count"] for r in every.groupBy("session_id", "status").count().collect()}
+    assert (tally[0, "accepted"], tally[0, "rejected"]) == (5, 1)
+    assert (tally[1, "accepted"], tally[1, "rejected"], tally[1, "repeated"]) == (3, 2, 1)
+    assert (tally[2, "accepted"], tally[4, "accepted"]) == (4, 3)
+    with pytest.raises(Exception, match="pages"):
+        followed(spark, src, [(5, 9, "red"), (6, 9, "red"), *((s, 9, "red") for s in range(60))], run, pages=4)
+
+
+def test_stream_takes_turns_of_a_batch_as_the_fold_does(spark, tmp_path):
+    rows = [(1, 3, "blue"), (1, 2, "What I need is: green"), (1, 2, "Actually, I need blue; budget around $9"), (1, 1, "I'm looking for hats. red under $7")]
+    last = followed(spark, str(tmp_path / "turns"), rows, str(tmp_path / "run")).filter("status = 'accepted'").orderBy("turn").collect()
+    assert [r["turn"] for r in last] == [1, 2, 3]
+    assert last[-1]["evidence"] == ledger.fold(spark.createDataFrame(rows, TURNS)).count()
+
+
+def test_stream_of_odd_sessions_is_whole(spark, tmp_path):
+    big = 2**53 + 1
+    rows = [(None, 1, "red"), (big, 1, "red"), (big - 1, 1, None), (big, None, "blue"), (-1, 1, "red"), (big, 2, "a\tb\nc")]
+    src, run = str(tmp_path / "turns"), str(tmp_path / "run")
+    for batches in (1, 2):  # the same rows again are repeated or stale
+        out = followed(spark, src, rows, run, pages=1)
+    have = sorted((tuple(r)[:3] for r in out.collect()), key=str)
+    taken = [(None, 1, "accepted"), (big, 1, "accepted"), (big - 1, 1, "accepted"), (big, None, "rejected"), (-1, 1, "accepted"), (big, 2, "accepted")]
+    again = [(None, 1, "repeated"), (big, 1, "rejected"), (big - 1, 1, "repeated"), (big, None, "rejected"), (-1, 1, "repeated"), (big, 2, "repeated")]
+    assert have == sorted(taken + again, key=str)
+
+
+def test_idle_sessions_leave_their_page(spark, tmp_path):
+    src, out = str(tmp_path / "turns"), str(tmp_path / "out")
+
+    def arrive(*rows):
+        spark.createDataFrame(rows, TURNS).coalesce(1).write.mode("append").parquet(src)
+
+    def seen(n):
+        for _ in range(240):
+            time.sleep(0.25)
+            if (rows := spark.read.schema(ledger.UPDATES).parquet(out).collect() if os.path.isdir(out) else []) and len(rows) >= n:
+                return {(r["session_id"], r["turn"], r["status"]) for r in rows}
+        raise AssertionError("no answer")
+
+    arrive((1, 5, "red"), (2, 5, "red"))
+    updates = ledger.follow(spark.readStream.schema(TURNS).parquet(src), GroupStateTimeout.ProcessingTimeTimeout, 30_000, pages=1)
+    q = updates.writeStream.outputMode("append").option("checkpointLocation", str(tmp_path / "state")).foreachBatch(lambda b, _: b.write.mode("append").parquet(out)).start()
+    try:
+        seen(2)
+        time.sleep(16)
+        arrive((2, 6, "blue"))
+        seen(3)
+        time.sleep(16)
+        arrive((1, 4, "red"), (2, 4, "red"))  # the first is new again, the second is still known
+        assert seen(5) >= {(1, 4, "accepted"), (2, 4, "rejected")}
+    finally:
+        q.stop()
