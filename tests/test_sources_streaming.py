@@ -121,7 +121,7 @@ def test_stream_state_has_pages_of_sessions(spark, tmp_path):
 
 
 def test_stream_takes_turns_of_a_batch_as_the_fold_does(spark, tmp_path):
-    rows = [(1, 3, "blue"), (1, 2, "What I need is: green"), (1, 2, "Actually, I need blue; budget around $9"), (1, 1, "I'm looking for hats. red under $7")]
+    rows = [(1, 3, "no cotton"), (1, 2, "no wool"), (1, 2, "I don't have a preference for size"), (1, 1, "I'm looking for hats. red")]
     last = followed(spark, str(tmp_path / "turns"), rows, str(tmp_path / "run")).filter("status = 'accepted'").orderBy("turn").collect()
     assert [r["turn"] for r in last] == [1, 2, 3]
     assert last[-1]["evidence"] == ledger.fold(spark.createDataFrame(rows, TURNS)).count()
